@@ -32,17 +32,18 @@ def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     t = t.withColumn("__w", F.expr(f"filter(split(`{text_col}`, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"))
     t = t.withColumn("__l", F.expr(f"filter(split(`{text_col}`, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
-    t = t.withColumn("__h", F.expr("if(size(__w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(__w) - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))"))
+    t = t.withColumn("__d", F.expr("transform(__w, w -> xxhash64(w))")).withColumn("__m", F.expr("greatest(size(__w) - 2, 0)"))
+    t = t.withColumn("__h", F.expr("zip_with(zip_with(slice(__d, 1, __m), slice(__d, 2, __m), (a, b) -> xxhash64(a, b)), slice(__d, 3, __m), (a, b) -> xxhash64(a, b))"))
     t = t.withColumn("__s", F.expr("if(size(array_distinct(__h)) = size(__h), cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(__h, (h, i) -> named_struct('h', h, 'i', i))))"))
-    t = t.withColumn("__p", F.expr("filter(transform(__s, (s, j) -> if(s.h = get(__s, j - 1).h or s.h = get(__s, j + 1).h, s.i, null)), x -> x is not null)"))
+    t = t.withColumn("__p", F.expr("transform(filter(__s, (s, j) -> s.h = get(__s, j - 1).h or s.h = get(__s, j + 1).h), s -> s.i)"))
     return t.withColumns({
         "n_words": F.expr("cast(size(__w) as long)"),
         "word_chars": F.expr("cast(length(array_join(__w, '')) as long)"),
-        "n_symbols": F.expr(f"cast(length(`{text_col}`) - length(translate(`{text_col}`, '#*$%&|<>', '')) as long)"),
+        "n_symbols": F.expr(f"cast(length(regexp_replace(`{text_col}`, '[^#*$%&|<>]+', '')) as long)"),
         "n_lines": F.expr("cast(size(__l) as long)"),
         "n_dup_lines": F.expr("cast(size(__l) - size(array_distinct(__l)) as long)"),
-        "n_repeat_words": F.expr("cast(size(array_distinct(flatten(transform(__p, p -> array(p, p + 1, p + 2))))) as long)"),
-    }).drop("__w", "__l", "__h", "__s", "__p", text_col)
+        "n_repeat_words": F.expr("cast(size(array_distinct(concat(__p, transform(__p, p -> p + 1), transform(__p, p -> p + 2)))) as long)"),
+    }).drop("__w", "__l", "__d", "__m", "__h", "__s", "__p", text_col)
 
 
 def sketches(features: DataFrame, *keys: str) -> DataFrame:
