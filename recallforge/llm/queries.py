@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from . import mixing, quality_rules
 from .decontaminate import op8_benchmark_decontamination
+from .html_text import op6_html_extraction
 from .mixing import op9_poisson_mix
+from .quality_model import op4_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secrets import op10_secret_scans
 from .tokens import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_quality_rules, op8_benchmark_decontamination, op9_poisson_mix, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_token_counts, op6_html_extraction, op7_quality_rules, op8_benchmark_decontamination, op9_poisson_mix, op10_secret_scans)}
 ORACLES = {"op7_quality_rules": quality_rules.ORACLE, "op9_poisson_mix": mixing.ORACLE}
