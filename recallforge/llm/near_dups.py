@@ -219,7 +219,8 @@ def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: st
         queried = ask.select("id") if queried is None else materialize(queried.unionByName(ask.select("id")), f"near-asked{k}")
         wanted = ask.join(many.select("root", "id", "text"), ["root", "id"]).groupBy("root").agg(F.collect_list(F.struct("id", "part", "text")).alias("asked"))
         asked = materialize(wanted, f"near-wanted{k}")
-        fans = asked.join(many.select("root", "block").distinct(), "root").select("root", "block", "asked")
+        places = many.selectExpr("root q_of", "block q_block").distinct()
+        fans = asked.withColumnRenamed("root", "q_root").join(places, F.col("q_root") == F.col("q_of")).select("q_root", "q_block", "asked")
         members = many.select("root", "block", "id", "text").join(state.select("id", "part"), "id")
 
         def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +235,7 @@ def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: st
                             out.append((min(i, q["id"]), max(i, q["id"])))
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-        found = fans.groupBy("root", "block").cogroup(members.groupBy("root", "block")).applyInPandas(across, "a long, b long")
+        found = fans.groupBy("q_root", "q_block").cogroup(members.groupBy("root", "block")).applyInPandas(across, "a long, b long")
         links = materialize(links.unionByName(found).distinct(), f"near-links{k}")
     raise RuntimeError("a candidate group did not settle")
 
