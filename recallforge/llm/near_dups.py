@@ -294,3 +294,9 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN cls US
 
 
 ORACLE = oracle()
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with the columns of ``docs``; repeated rows of a kept id stay."""
+    gone = near_duplicates(docs.select(id_col, text_col), n, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
