@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ._common import documents, gram_hashes, materialize, mix, sequence_hash, slices, word_hashes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-TREES, DEPTH, SMALL, BLOCK, BLOCK_SHINGLES = 16, 4, 64, 256, 1_500_000
+#: Trees and their depth; classes in a small node; classes and shingles in a block; members of a group asked in a round.
+TREES, DEPTH, SMALL, BLOCK, BLOCK_SHINGLES, ASKED = 16, 4, 64, 256, 1_500_000, 2048
 _N = TREES * DEPTH
 with np.errstate(over="ignore"):
     _MUL = mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -153,6 +154,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     its edges only, which the rounds shorten to stars.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
+    state = None
     for k in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -162,9 +164,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low2, "u")
         new = small.selectExpr("u", "m v").unionByName(small.filter("v <> m").selectExpr("v u", "m v")).filter("u <> v").distinct()
         new = materialize(new, f"cc{k}")
-        same = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
-        e = new
-        if same:
+        e, before = new, state
+        state = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.expr("cast(v as decimal(38,0))"))).first())
+        if state == before:
             break
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
@@ -195,48 +197,55 @@ def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: st
         return pd.DataFrame({"root": part["root"].to_numpy(), "a": ids[roots], "b": ids})
 
     inner = materialize(texts.groupBy("root", "block").applyInPandas(within, "root long, a long, b long"), "near-inner")
-    # groups of several blocks: every part of a block but the group's largest meets all members of the group, part by part
+    # groups of several blocks: members of every part but a group's largest meet all blocks of the group, one of each part first
     links = inner.filter("a <> b").select("a", "b")
     many = texts.filter("blocks > 1")
     if many.isEmpty():
         return links
-    split = inner.join(many.select("root").distinct(), "root", "left_semi")
-    queried: DataFrame | None = None
+    split = materialize(inner.join(many.select("root").distinct(), "root", "left_semi"), "near-split")
+    own, queried = split.filter("a <> b").select("a", "b"), None
     for k in range(1000):
-        parts = components(links)
+        parts = components(own)
         state = materialize(split.select("root", F.col("b").alias("id")).join(parts.withColumnRenamed("root", "part"), "id", "left").select("root", "id", F.coalesce("part", "id").alias("part")), f"near-state{k}")
-        counts = materialize(state.groupBy("root", "part").agg(F.count("*").alias("size")), f"near-counts{k}")
-        # members of all parts but the largest are asked once each against the whole group; first round: one of each part
-        best = counts.groupBy("root").agg(F.max(F.struct("size", F.negate("part").alias("k"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1").selectExpr("root", "-m.k largest")
-        ask = state.join(best, "root").filter("part <> largest") if k else state.join(best, "root").filter("part = id")
-        ask = ask.select("root", "id", "part")
-        if queried is not None:
+        sizes = state.groupBy("root", "part").agg(F.count("*").alias("size"))
+        best = sizes.groupBy("root").agg(F.max(F.struct("size", F.negate("part").alias("k"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1").selectExpr("root", "-m.k largest")
+        ask = state.join(best, "root").filter("part <> largest").select("root", "id", "part")
+        if queried is None:
+            ask = ask.filter("part = id")
+        else:
             ask = ask.join(queried, "id", "left_anti")
-        ask = ask.withColumn("turn", F.expr(f"row_number() over (partition by root, pmod(xxhash64(id), 16) order by id)")).filter("turn <= 4").drop("turn")
+        ask = ask.withColumn("turn", F.expr(f"row_number() over (partition by root, pmod(xxhash64(id), 16) order by id)")).filter(f"turn <= {ASKED // 16}").drop("turn")
         ask = materialize(ask, f"near-ask{k}")
-        if ask.isEmpty():
+        if ask.isEmpty():  # heads exist wherever parts do, so this also ends the first round only where one part is left
             return links
         queried = ask.select("id") if queried is None else materialize(queried.unionByName(ask.select("id")), f"near-asked{k}")
-        wanted = ask.join(many.select("root", "id", "text"), ["root", "id"]).groupBy("root").agg(F.collect_list(F.struct("id", "part", "text")).alias("asked"))
-        asked = materialize(wanted, f"near-wanted{k}")
         places = many.selectExpr("root q_of", "block q_block").distinct()
-        fans = asked.withColumnRenamed("root", "q_root").join(places, F.col("q_root") == F.col("q_of")).select("q_root", "q_block", "asked")
+        fans = ask.join(many.select("id", "text"), "id").selectExpr("root q_root", "id q_id", "part q_part", "text q_text").join(places, F.col("q_root") == F.col("q_of")).drop("q_of")
         members = many.select("root", "block", "id", "text").join(state.select("id", "part"), "id")
 
         def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out: list[tuple[int, int]] = []
             if len(left) and len(right):
-                sets = [(int(i), int(p), shingles(t, n)) for i, p, t in zip(right["id"], right["part"], right["text"], strict=True)]
-                for q in left["asked"].iloc[0]:
-                    s, seen = shingles(q["text"], n), set()
-                    for i, p, other in sets:
-                        if p != q["part"] and p not in seen and linked(s, other, percent):
-                            seen.add(p)
-                            out.append((min(i, q["id"]), max(i, q["id"])))
+                ids, part = right["id"].to_numpy(), right["part"].to_numpy()
+                sets = [shingles(t, n) for t in right["text"]]
+                sizes = np.array([len(s) for s in sets])
+                tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+                starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(tokens), np.int64)
+                for q, own_part, text in zip(left["q_id"], left["q_part"], left["q_text"], strict=True):
+                    s = shingles(text, n)
+                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                    at = at[tokens[at] == s]
+                    mark[at] = 1
+                    both = np.add.reduceat(mark[inverse], starts)
+                    mark[at] = 0
+                    hit = (100 * both >= percent * (len(s) + sizes - both)) & (part != own_part)
+                    for p in np.unique(part[hit]):  # one link to each part is enough
+                        i = int(ids[hit & (part == p)].min())
+                        out.append((min(i, q), max(i, q)))
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-        found = fans.groupBy("q_root", "q_block").cogroup(members.groupBy("root", "block")).applyInPandas(across, "a long, b long")
-        links = materialize(links.unionByName(found).distinct(), f"near-links{k}")
+        found = materialize(fans.groupBy("q_root", "q_block").cogroup(members.groupBy("root", "block")).applyInPandas(across, "a long, b long").distinct(), f"near-found{k}")
+        links, own = links.unionByName(found), own.unionByName(found)
     raise RuntimeError("a candidate group did not settle")
 
 
