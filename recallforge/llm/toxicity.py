@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from ._common import documents, slices
 
 ORDER, DECAY, UNIT, CUT = 4, 0.7, 24, 0.3
+#: Share of a toxic landmark's pairs that a unit must have to be compared, and the decision for all other units.
+CLOSE, FAR = 0.65, -1.0
 #: Bounds of the training sample: documents of each label, landmarks, and distinct clean units to train on.
-MOST_DOCS, LANDMARKS, MOST_CLEAN = 2_000, 128, 60_000
+MOST_DOCS, LANDMARKS, MOST_CLEAN = 2_000, 64, 120_000
 SPACED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 
 
@@ -65,6 +67,11 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(w) for w in marked])
 
 
+def _coarse(c: np.ndarray) -> np.ndarray:
+    """Codes of characters from 0 (none) over the end marks 1 to 3 to 63."""
+    return np.where(c < 4, c, c % 60 + 4).astype(np.int64)
+
+
 def kernel(a: np.ndarray, b: np.ndarray, pairwise: bool) -> np.ndarray:
     """Subsequence kernel of order ``ORDER``: rows of ``a`` with all rows of ``b``, or (pairwise) with the same row."""
     shape = (len(a),) if pairwise else (len(a), len(b))
@@ -95,11 +102,40 @@ class Model:
     bias: float
     curve: np.ndarray  # of the document's summary, then the constant
     lowest: float
+    toxic: int  # so many landmarks, the first ones, are toxic units
 
     def __post_init__(self) -> None:
         self.codes, _ = codes(self.landmarks)
         self.own = np.sqrt(kernel(self.codes, self.codes, True) + 1e-12)
         self.known: dict[str, float] = {}
+        # ordered pairs of neighbouring characters of the toxic landmarks, by a coarse code of characters
+        coarse = _coarse(self.codes)
+        pairs = [sorted({int(c[i]) * 64 + int(c[i + 1]) for i in range(len(w) + 2)}) for c, w in zip(coarse, self.landmarks[: self.toxic], strict=False)]
+        every = sorted({p for x in pairs for p in x})
+        self.pair_at = np.full(4096, len(every), np.int64)
+        self.pair_at[every] = np.arange(len(every))
+        self.pairs_of = np.zeros((len(every) + 1, max(1, len(pairs))), np.float32)
+        for k, x in enumerate(pairs):
+            self.pairs_of[self.pair_at[x], k] = 1 / len(x)
+
+    def close(self, words: list[str]) -> np.ndarray:
+        """Which units have ``CLOSE`` of the neighbouring pairs of a toxic landmark in order, at most one character between them.
+
+        Only for these are kernels computed; no other unit shares enough subsequences to be toxic.
+        """
+        out = np.zeros(len(words), bool)
+        by = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for s in range(0, len(by), 4096):
+            part = by[s : s + 4096]
+            c = _coarse(codes([words[i] for i in part])[0])
+            there = np.zeros((len(part), len(self.pairs_of)), np.float32)
+            row = np.arange(len(part))[:, None]
+            for gap in (1, 2):
+                if c.shape[1] > gap:
+                    there[row, self.pair_at[c[:, :-gap] * 64 + c[:, gap:]]] = 1
+            there[:, -1] = 0
+            out[part] = (there @ self.pairs_of).max(1) >= CLOSE
+        return out
 
     def values(self, words: list[str]) -> np.ndarray:
         """Normalized kernels of units to the landmarks."""
@@ -112,7 +148,11 @@ class Model:
         return out
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        return self.values(words) @ self.alpha + self.bias
+        out = np.full(len(words), FAR)
+        at = np.flatnonzero(self.close(words))
+        if len(at):
+            out[at] = self.values([words[i] for i in at]) @ self.alpha + self.bias
+        return out
 
     def scores(self, texts: Iterable[str | None], most: int = 400_000) -> list[float]:
         """Scores of whole texts; units are looked up among those already decided."""
@@ -147,7 +187,7 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3) -> Model:
     pos, neg = [b for b, t in zip(bags, toxic, strict=True) if t == 1], [b for b, t in zip(bags, toxic, strict=True) if t == 0]
     in_pos, in_neg = Counter(u for b in pos for u in b), Counter(u for b in neg for u in b)
     if not pos or not neg or not in_pos:
-        return Model(["-"], np.zeros(1), 0.0, np.array([0.0, 0.0, 0.0, -3.0]), 0.0)
+        return Model(["-"], np.zeros(1), 0.0, np.array([0.0, 0.0, 0.0, -3.0]), 0.0, 0)
 
     def lift(u: str) -> float:
         return np.log((in_pos[u] + 0.5) / (len(pos) + 1)) - np.log((in_neg[u] + 0.5) / (len(neg) + 1))
@@ -155,19 +195,23 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3) -> Model:
     ranked = sorted(in_pos, key=lambda u: (-lift(u) * (in_pos[u] > 1), -in_pos[u], u))
     clean = sorted(in_neg, key=lambda u: (-in_neg[u], u))
     rare = clean[200:]
+    # the frequent half and an even sample of the rest may be learned from
     landmarks = list(dict.fromkeys([*ranked[: LANDMARKS * 5 // 8], *clean[: LANDMARKS // 8], *rare[:: max(1, len(rare) // (LANDMARKS // 4))]]))[:LANDMARKS]
-    model = Model(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(4), -1.0)
+    model = Model(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(4), FAR, len([u for u in ranked[: LANDMARKS * 5 // 8] if lift(u) > 0]))
     vals, vecs = np.linalg.eigh(model.values(landmarks).astype(np.float64))
     keep = vals > 1e-4
     root = vecs[:, keep] / np.sqrt(vals[keep])  # Nystrom: features are kernels times this
-    # the frequent half and an even sample of the rest
     negatives = list(dict.fromkeys([*clean[: MOST_CLEAN // 2], *rare[:: max(1, -(-len(rare) * 2 // MOST_CLEAN))]]))[:MOST_CLEAN]
+    negatives = [u for u, near in zip(negatives, model.close(negatives), strict=True) if near] or negatives[:1]
     xn = model.values(negatives) @ root
     wn = np.sqrt([in_neg[u] for u in negatives])
     witness = {u for u in ranked if in_pos[u] > 1 and lift(u) > 2.5} or set(ranked[:1])
     every = sorted(in_pos)
+    every = [u for u, near in zip(every, model.close(every), strict=True) if near]
     xe = model.values(every) @ root
     at = {u: i for i, u in enumerate(every)}
+    witness = witness & set(at) or set(every[:1])
+    pos_sets = [set(b) for b in pos]
     for k in range(rounds):
         chosen = sorted(witness)
         x = np.vstack([xe[[at[u] for u in chosen]], xn])
@@ -176,11 +220,11 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3) -> Model:
         w, bias = svm(x, y, np.r_[wp / wp.sum() * wn.sum() / 8, wn])
         if k + 1 < rounds:
             f = xe @ w + bias
-            best = [max(b, key=lambda u: (f[at[u]], u)) for b in pos if b]
+            best = [max(b & at.keys(), key=lambda u: (f[at[u]], u)) for b in pos_sets if b & at.keys()]
             witness = {u for u in best if f[at[u]] > -0.5 and lift(u) > 0} | {u for u in every if f[at[u]] > 0 and lift(u) > 0.7} or witness
     model.alpha, model.bias = root @ w, bias
     known = dict(zip(every, (xe @ w + bias).tolist(), strict=True))
-    others = sorted(set(in_neg) - set(known))
+    others = sorted((set(in_neg) | set(in_pos)) - set(known))
     known.update(zip(others, model.decisions(others).tolist(), strict=True))
     model.lowest = min(known.values())
     d = np.array([summary(b, known, model.lowest) for b in [*pos, *neg]])
@@ -224,7 +268,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     """
     base = docs.drop("score", "predicted")
     schema = base.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    sent = docs.sparkSession.sparkContext.broadcast((model.landmarks, model.alpha, model.bias, model.curve, model.lowest))
+    sent = docs.sparkSession.sparkContext.broadcast((model.landmarks, model.alpha, model.bias, model.curve, model.lowest, model.toxic))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
