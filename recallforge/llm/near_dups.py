@@ -5,8 +5,8 @@ the run of minimal hashes chosen so far, and a node with more than ``small`` cla
 hash function (the first tokens of its path stay those of its parent).  Small nodes are compared exhaustively, and
 nodes that are still large when a tree ends in blocks and each with the first class of the node, by signatures; what
 may be linked there forms candidate groups.  Within a candidate group links are confirmed on the full sets: blocks of
-bounded size are compared exhaustively, and parts of a group that lie in several blocks meet through representatives
-until no two parts of a group are left that have not been compared.
+bounded size are compared exhaustively; in a group of several blocks the members outside its largest part meet all
+blocks, first one of each part and then those that are still outside.
 
 A pair of similarity 0.85 agrees in one minwise token with probability 0.85 and shares a leaf of depth d of one tree
 with 0.85**d at least; with 16 trees of depth up to 4 the chance to miss it is under 1e-5, and under 1e-12 where nodes
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import documents, gram_hashes, materialize, mix, sequence_hash, slices, word_hashes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Trees and their depth; classes in a small node; classes and shingles in a block; members of a group asked in a round.
+#: Trees and their depth; classes in a small node; classes and shingles in a block; members of a group that meet a block in one task.
 TREES, DEPTH, SMALL, BLOCK, BLOCK_SHINGLES, ASKED = 16, 4, 64, 256, 1_500_000, 2048
 _N = TREES * DEPTH
 with np.errstate(over="ignore"):
@@ -88,34 +88,34 @@ def sets_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
 
 
 def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small nodes with their classes, and the large nodes of the last level: (node, rep, sig) each."""
-    word = "conv(hex(substring(sig, {0}, 4)), 16, 10)"
+    """Small nodes with their classes, and the large nodes of the last level: (node, rep) each.
+
+    Small nodes that hold the same classes, as those of one pair in most trees, get the same name.
+    """
+    word = "conv(hex(substring(path, {0}, 4)), 16, 10)"
     first = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    level = first.select("rep", "tree", F.expr(f"xxhash64(tree, {word.format('tree * %d + 1' % (4 * DEPTH))})").alias("node"))
+    first = first.select("rep", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("path"))
+    level = first.withColumn("node", F.expr(f"xxhash64(tree, {word.format(1)})"))
     done = None
-    sigs = classes.select("rep", "sig")
     for d in range(DEPTH):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        sizes = materialize(sizes, f"near-sizes{d}")
+        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep", F.lit("held"))).alias("held")).filter("n > 1")
         level = materialize(level.join(sizes, "node"), f"near-level{d}")
-        small = level.filter(f"n <= {SMALL}").select("node", "rep")
+        small = level.filter(f"n <= {SMALL}").select(F.xxhash64("n", "first", "held").alias("node"), "rep")
         done = small if done is None else done.unionByName(small)
-        large = level.filter(f"n > {SMALL}").drop("n")
+        large = level.filter(f"n > {SMALL}").drop("n", "first", "held")
         if d + 1 == DEPTH or large.isEmpty():
             break
-        at = f"tree * {4 * DEPTH} + {4 * (d + 1) + 1}"
-        level = large.join(sigs, "rep").select("rep", "tree", F.expr(f"xxhash64(node, {word.format(at)})").alias("node"))
-    return done, large
+        level = large.withColumn("node", F.expr(f"xxhash64(node, {word.format(4 * (d + 1) + 1)})"))
+    return done, large.select("node", "rep")
 
 
 def candidate_edges(classes: DataFrame, least: float) -> DataFrame:
     """(a, b): classes that signatures say may be linked; a spanning set of every node's such pairs."""
     small, large = tree_nodes(classes)
     # a node that stayed large: blocks of it, and the node's first class in each
-    firsts = large.groupBy("node").agg(F.min("rep").alias("first"))
-    sizes = large.groupBy("node").agg(F.count("*").alias("n"))
+    sizes = large.groupBy("node").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
     blocks = large.join(sizes, "node").withColumn("block", F.expr(f"pmod(xxhash64(rep, 'block'), cast(ceil(n / {SMALL}) as int))"))
-    starts = firsts.join(sizes, "node").withColumn("block", F.explode(F.expr(f"sequence(0L, ceil(n / {SMALL}) - 1)"))).selectExpr("xxhash64(node, block) node", "first rep")
+    starts = sizes.withColumn("block", F.explode(F.expr(f"sequence(0L, ceil(n / {SMALL}) - 1)"))).selectExpr("xxhash64(node, block) node", "first rep")
     groups = small.unionByName(blocks.selectExpr("xxhash64(node, cast(block as bigint)) node", "rep")).unionByName(starts)
     rows = groups.distinct().join(classes.select("rep", "sig"), "rep")
 
@@ -147,15 +147,22 @@ def candidate_edges(classes: DataFrame, least: float) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInPandas(stream, "a long, b long").distinct()
 
 
+def is_stars(e: DataFrame) -> bool:
+    """Whether every node of the edges (u, v) is either a centre v or has one edge to a centre."""
+    ends = e.selectExpr("u x", "1 up", "0 top").unionByName(e.selectExpr("v x", "0 up", "1 top"))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 or (up > 0 and top > 0)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, root): for all ids of the edges the smallest id reachable, by large-star and small-star rounds.
 
     Each round joins every node's larger neighbours to its smallest one, then its smaller ones; a hot node costs
-    its edges only, which the rounds shorten to stars.
+    its edges only, which the rounds shorten to stars.  It ends once the edges are stars.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
-    state = None
     for k in range(rounds):
+        if is_stars(e):
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -163,12 +170,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
         new = small.selectExpr("u", "m v").unionByName(small.filter("v <> m").selectExpr("v u", "m v")).filter("u <> v").distinct()
-        new = materialize(new, f"cc{k}")
-        e, before = new, state
-        state = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.expr("cast(v as decimal(38,0))"))).first())
-        if state == before:
-            break
-    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        e = materialize(new, f"cc{k}")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -197,31 +200,29 @@ def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: st
         return pd.DataFrame({"root": part["root"].to_numpy(), "a": ids[roots], "b": ids})
 
     inner = materialize(texts.groupBy("root", "block").applyInPandas(within, "root long, a long, b long"), "near-inner")
-    # groups of several blocks: members of every part but a group's largest meet all blocks of the group, one of each part first
+    # groups of several blocks: one member of each part but a group's largest meets all blocks of the group, then all
+    # members that are still outside the largest part do; after that only pairs within one part have not met
     links = inner.filter("a <> b").select("a", "b")
     many = texts.filter("blocks > 1")
     if many.isEmpty():
         return links
     split = materialize(inner.join(many.select("root").distinct(), "root", "left_semi"), "near-split")
-    own, queried = split.filter("a <> b").select("a", "b"), None
-    for k in range(1000):
+    places = many.selectExpr("root q_root", "block q_block").distinct()
+    own, asked = split.filter("a <> b").select("a", "b"), None
+    for k in range(2):
         parts = components(own)
         state = materialize(split.select("root", F.col("b").alias("id")).join(parts.withColumnRenamed("root", "part"), "id", "left").select("root", "id", F.coalesce("part", "id").alias("part")), f"near-state{k}")
         sizes = state.groupBy("root", "part").agg(F.count("*").alias("size"))
         best = sizes.groupBy("root").agg(F.max(F.struct("size", F.negate("part").alias("k"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1").selectExpr("root", "-m.k largest")
-        ask = state.join(best, "root").filter("part <> largest").select("root", "id", "part")
-        if queried is None:
-            ask = ask.filter("part = id")
-        else:
-            ask = ask.join(queried, "id", "left_anti")
-        ask = ask.withColumn("turn", F.expr(f"row_number() over (partition by root, pmod(xxhash64(id), 16) order by id)")).filter(f"turn <= {ASKED // 16}").drop("turn")
-        ask = materialize(ask, f"near-ask{k}")
-        if ask.isEmpty():  # heads exist wherever parts do, so this also ends the first round only where one part is left
+        outside = state.join(best, "root").filter("part <> largest").select("root", "id", "part")
+        ask = outside.filter("part = id") if asked is None else outside.join(asked.select("id"), "id", "left_anti")
+        turns = ask.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {ASKED}) as int)").alias("turns"))
+        ask = materialize(ask.join(turns, "root").withColumn("turn", F.expr("pmod(xxhash64(id, 't'), turns)")), f"near-ask{k}")
+        if ask.isEmpty():
             return links
-        queried = ask.select("id") if queried is None else materialize(queried.unionByName(ask.select("id")), f"near-asked{k}")
-        places = many.selectExpr("root q_of", "block q_block").distinct()
-        fans = ask.join(many.select("id", "text"), "id").selectExpr("root q_root", "id q_id", "part q_part", "text q_text").join(places, F.col("q_root") == F.col("q_of")).drop("q_of")
+        fans = ask.join(many.select("id", "text"), "id").selectExpr("root q_root", "turn q_turn", "id q_id", "part q_part", "text q_text").join(places, "q_root")
         members = many.select("root", "block", "id", "text").join(state.select("id", "part"), "id")
+        members = members.join(ask.select("root", "turn").distinct(), "root")
 
         def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out: list[tuple[int, int]] = []
@@ -244,9 +245,11 @@ def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: st
                         out.append((min(i, q), max(i, q)))
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-        found = materialize(fans.groupBy("q_root", "q_block").cogroup(members.groupBy("root", "block")).applyInPandas(across, "a long, b long").distinct(), f"near-found{k}")
-        links, own = links.unionByName(found), own.unionByName(found)
-    raise RuntimeError("a candidate group did not settle")
+        found = materialize(fans.groupBy("q_root", "q_block", "q_turn").cogroup(members.groupBy("root", "block", "turn")).applyInPandas(across, "a long, b long").distinct(), f"near-found{k}")
+        links, own, asked = links.unionByName(found), own.unionByName(found), ask
+        if outside.filter("part <> id").isEmpty():
+            break
+    return links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
