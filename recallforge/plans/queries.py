@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallforge.functions import normal as N
+from recallforge.functions import stem
 from recallforge.functions import text as T
 from recallforge.operators import evaluate, ingest, retrieve
 from recallforge.sources import log
@@ -289,3 +291,52 @@ def evidence_semi_anti(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     a = d.join(lab, "doc_id", "left_semi").agg(F.count("*").alias("n")).first()[0]
     return d.join(lab, "doc_id", "left_anti").agg(F.count("*").alias("without_label")).select(F.lit(a).cast("long").alias("with_label"), "without_label")
+
+
+_NUMBER_SQL = " ".join(f"WHEN '{word}' THEN '{i}'" for i, word in enumerate(N.NUMBERS))
+
+
+@query(f"""SELECT doc_id, md5(v) AS normal_md5, CAST(length(v) AS BIGINT) AS n_chars FROM (SELECT doc_id, array_to_string(list_transform(
+list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the')),
+lambda w: CASE regexp_replace(w, '{N.ORDINAL}', '') {_NUMBER_SQL} ELSE regexp_replace(w, '{N.ORDINAL}', '') END), ' ') AS v FROM documents)""")
+def lenient_normal_form(spark, sf_dir):
+    v = table(spark, sf_dir, "documents").select("doc_id", N.lenient(F.col("text")).alias("v"))
+    return v.select("doc_id", F.md5("v").alias("normal_md5"), F.length("v").cast("long").alias("n_chars"))
+
+
+@query(r"""SELECT source, CAST(CAST(list_filter(string_split(source, '_'), lambda p: regexp_matches(p, '^\+?[0-9]+$'))[-1] AS BIGINT) AS BIGINT) AS turn_index
+FROM (SELECT conv_id || '_turn_' || turn || CASE WHEN role = 'user' THEN '_u' ELSE '' END AS source FROM conversations)""")
+def turn_index_of_source(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").selectExpr("concat(conv_id, '_turn_', turn, case when role = 'user' then '_u' else '' end) source")
+    return c.select("source", N.turn_index(F.col("source")).alias("turn_index"))
+
+
+_TURN_PAIRS = "FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
+def turn_pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    following = c.selectExpr("conv_id", "turn - 1 turn", "role held_role", "text held")
+    return c.join(following, ["conv_id", "turn"])
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN len(q) = 0 THEN 0.0 ELSE list_sum(list_transform(q, lambda x: coalesce(list_max(list_transform(m, lambda y: CASE WHEN x = y THEN 1.0::DOUBLE WHEN strlen(x) >= 4 AND strlen(y) >= 4 AND (starts_with(x, y) OR starts_with(y, x)) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)), 0.0))) / len(q) END AS prefix_bonus,
+CAST(least(0.5 * len(list_intersect(list_distinct(q), list_distinct(m))), 1.2) AS DOUBLE) AS entity_boost
+FROM (SELECT a.conv_id, a.turn, {TOK.format('a.text')} AS q, {TOK.format('b.text')} AS m {_TURN_PAIRS})""")
+def prefix_and_shared_signals(spark, sf_dir):
+    p = turn_pairs(spark, sf_dir).select("conv_id", "turn", T.tokens("text").alias("q"), T.tokens("held").alias("m"))
+    return p.select("conv_id", "turn", N.prefix_bonus(F.col("q"), F.col("m")).alias("prefix_bonus"), N.entity_boost(F.col("q"), F.col("m")).cast("double").alias("entity_boost"))
+
+
+@query(f"""SELECT a.conv_id, a.turn, CASE WHEN contains(lower(coalesce(a.text, '')), lower(b.role)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS speaker_match,
+CASE WHEN b.role = 'user' THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END AS kind_factor {_TURN_PAIRS}""")
+def speaker_and_kind_signals(spark, sf_dir):
+    kind = F.when(F.col("held_role") == "user", "verbatim_turn").otherwise("other")
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", N.speaker_match(F.col("text"), F.col("held_role")).alias("speaker_match"), N.kind_factor(kind).cast("double").alias("kind_factor"))
+
+
+@query()
+def stem_vocabulary(spark, sf_dir):
+    """Stems of all words of the documents with the number of their words and uses; the stemmer has no SQL form."""
+    v = stem.vocabulary(table(spark, sf_dir, "documents"), T.tokens("text"))
+    return v.groupBy("stem").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_uses"))

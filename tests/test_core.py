@@ -5,6 +5,8 @@ import importlib.util
 import duckdb
 import pytest
 
+from recallforge.functions import normal as N
+from recallforge.functions import stem
 from recallforge.functions import text as T
 from recallforge.operators import evaluate, ingest, retrieve
 from recallforge.plans import queries as core
@@ -54,6 +56,26 @@ def test_source_cap(spark):
     assert sorted(r.id for r in retrieve.cap_sources(df).collect()) == [2, 3, 4, 5]
 
 
+# Pairs of the published sample vocabulary and of the algorithm's description.
+STEMS = (
+    "consigned consign consistency consist consolatory consolatori consolingly consol knightly knight knocked knock kneeling kneel generously generous "
+    "communication communic skies sky dying die happy happi hopping hop hoping hope relational relat ties tie cries cri gas gas gaps gap kiwis kiwi "
+    "luxuriated luxuri news news proceed proceed national nation cement cement say say by by enjoy enjoy bed bed shed shed hopefulness hope"
+).split()
+
+
+def test_stems_of_the_published_sample():
+    assert [stem.stem(w) for w in STEMS[::2]] == STEMS[1::2]
+
+
+def test_lenient_forms_and_turn_index(spark):
+    df = spark.createDataFrame([("The Twenty-first of AN Éa, three cats!", "conv_1_turn_+5_x"), ("", "none"), (None, None)], "t string, s string")
+    from pyspark.sql import functions as F
+
+    got = [tuple(r) for r in df.select(N.lenient(F.col("t")), N.turn_index(F.col("s"))).collect()]
+    assert got == [("20 fir of 3 cats", 5), ("", None), ("", None)]
+
+
 def canonical(rows):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
