@@ -1,19 +1,23 @@
 """Op 6, HTML extraction by wrapper induction: the trees of a host's pages are aligned, constant nodes are template.
 
-Every task folds its pages into one small wrapper tree per host by simple tree matching; the partial wrappers of a
-host are then matched into one.  A wrapper node holds whether its text was the same on all pages and how much text
-varied below it; runs of like siblings are one node.  The host's content slot is the lowest node that still holds
-most of the varying text outside of menus, headers, footers, sidebars, notices, adverts, forms and comments.  A page's
-text are the blocks below that node; a page without such a node gives all its blocks outside of those regions.
+Every task folds its pages into one small wrapper tree per host; the partial wrappers of a host are then folded into
+one.  Like siblings are one node, so a level is aligned by signature, in any order of siblings.  A wrapper node holds
+the digests of the texts that all its pages have below it, and of up to ``SURE`` different pages it was on.  A page is
+aligned with its host's wrapper, and blocks equal to a constant text of their node are dropped, in a marked article
+too.  On a host of fewer pages than ``SURE``, whose pages may be copies of one another, constant texts are dropped only
+where they are the smaller part.  Menus, headers, footers, sidebars, notices, adverts, forms and comments are dropped by
+their marks; of a page with a marked article that article is kept, of others all blocks that are left.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -31,14 +35,23 @@ DROPPED = frozenset("nav footer aside form head header menu dialog".split())
 MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus share social related newsletter subscribe popup modal widget complementary contentinfo banner".split())
 MAIN = frozenset(("article", "main"))
 MOST_HOSTS, ROOT_BYTES, SALTS = 2000, 16 << 20, 64
-
-
-def parse(page: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
-    """The blocks of a page in order: (path of tag.class, inside a dropped region, text with single spaces)."""
-    out: list[tuple[tuple[str, ...], bool, str]] = []
+SURE = 5  # different pages that a text is equal on to be template whatever its share
+WIDE = 60  # children of a level from which its one-page shapes are folded
+#: An open element: (the one around it, tag, signature, inside a dropped region, inside an article or main).
+Element = tuple
+ROOT: Element = (None, "", "", False, False)
+#: Fields of a wrapper node: signature, children by signature, text digests that all its pages have, digests of up to
+#: ``SURE`` different pages, number of pages, number of text blocks on them, whether it is in a dropped region.
+SIG, KIDS, TEXTS, SEEN, PAGES, BLOCKS, GONE = range(7)
+
+
+def parse(page: str | None) -> list[tuple[Element, str]]:
+    """The blocks of a page in order: (innermost open element, text with single spaces)."""
+    out: list[tuple[Element, str]] = []
     if not page:
         return out
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    stack: list[Element] = [ROOT]
+    opened: Counter[str] = Counter()
     held: list[str] = []
 
     def flush() -> None:
@@ -46,7 +59,7 @@ def parse(page: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(s for _, s, _ in stack[1:]), stack[-1][2], text))
+                out.append((stack[-1], text))
 
     at = 0
     while m := TAG.search(page, at):
@@ -69,7 +82,7 @@ def parse(page: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if tag in INLINE and not (marked and not m[1]) and not (m[1] and any(t == tag for t, _, _ in stack[1:])):
+        if tag in INLINE and not (marked and not m[1]) and not (m[1] and opened[tag]):
             continue
         if tag in VOID:
             if tag == "hr":
@@ -77,104 +90,184 @@ def parse(page: str | None) -> list[tuple[tuple[str, ...], bool, str]]:
             continue
         flush()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                while True:
+                    found = stack.pop()[1]
+                    opened[found] -= 1
+                    if found == tag:
+                        break
             continue
-        while stack[-1][0] == "p" or (tag == "li" and stack[-1][0] == "li"):
-            stack.pop()
-        inside = any(t in MAIN for t, _, _ in stack)
-        gone = stack[-1][2] or marked or (tag in DROPPED and not (tag == "header" and inside))
+        while stack[-1][1] == "p" or (tag == "li" and stack[-1][1] == "li"):
+            opened[stack.pop()[1]] -= 1
+        around = stack[-1]
+        gone = around[3] or marked or (tag in DROPPED and not (tag == "header" and around[4]))
         if len(stack) < 200:
-            stack.append((tag, tag + "".join("." + n for n in sorted(names)[:3]), gone))
+            stack.append((around, tag, tag + "".join("." + n for n in sorted(names)[:3]), gone, around[4] or tag in MAIN))
+            opened[tag] += 1
     if at < len(page):
         held.append(page[at:])
     flush()
     return out
 
 
-def tree(blocks: list[tuple[tuple[str, ...], bool, str]]) -> list:
-    """A wrapper of one page: nodes [signature, children, text digest or -1 (varies), pages, varying mass, dropped]."""
-    root = ["", [], 0, 1, 0, False]
-    for path, gone, text in blocks:
-        node = root
-        for sig in path[:30]:
-            if not (node[1] and node[1][-1][0] == sig):
-                node[1].append([sig, [], 0, 1, 0, False])
-            node = node[1][-1]
-        node[2] = zlib.crc32(text.encode("utf-8", "replace"), max(node[2], 0))
-        node[4] += len(text)
-        node[5] = gone
+def digest(text: str) -> int:
+    held = text.encode("utf-8", "replace")
+    return len(held) << 32 | zlib.crc32(held)
+
+
+def aligned(e: Element, held: dict[int, object], step: Callable) -> object:
+    """The node that ``step`` leads to for ``e``, from the root over all elements around it; kept in ``held``."""
+    missing = []
+    while id(e) not in held:
+        missing.append(e)
+        e = e[0]
+    node = held[id(e)]
+    for e in reversed(missing):
+        node = held[id(e)] = step(node, e)
+    return node
+
+
+def tree(blocks: list[tuple[Element, str]]) -> list:
+    """A wrapper of one page.  Pages are told apart by their article, so copies with another advert are one page."""
+    open_blocks = [(e, t) for e, t in blocks if not e[3]]
+    seen = frozenset([digest("\n".join([t for e, t in open_blocks if e[4]] or [t for _, t in open_blocks]))])
+    root = ["", {}, set(), seen, 1, 0, False]
+    held: dict[int, object] = {id(ROOT): root}
+
+    def step(node: list, e: Element) -> list:
+        kid = node[KIDS].get(e[2])
+        if kid is None:
+            kid = node[KIDS][e[2]] = [e[2], {}, set(), seen, 1, 0, e[3]]
+        return kid
+
+    for e, text in blocks:
+        node = aligned(e, held, step)
+        node[TEXTS].add(digest(text))
+        node[BLOCKS] += 1
     return root
 
 
-def matching(a: list, b: list, memo: dict | None = None) -> int:
-    """Simple tree matching: the largest number of node pairs of one order-preserving, level by level mapping."""
-    if a[0] != b[0]:
-        return 0
-    memo = {} if memo is None else memo
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _table(a[1], b[1], memo)[-1][-1]
-    return memo[key]
-
-
-def _table(x: list, y: list, memo: dict) -> list[list[int]]:
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, a in enumerate(x):
-        for j, b in enumerate(y):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matching(a, b, memo))
-    return best
-
-
-def merge(a: list, b: list, memo: dict | None = None, most: int = 60) -> list:
-    """Fold wrapper ``b`` into ``a`` along their best mapping; nodes of one side only are kept in place, up to ``most`` a level."""
-    memo = {} if memo is None else memo
-    best, pairs, i, j = _table(a[1], b[1], memo), [], len(a[1]), len(b[1])
-    while i or j:
-        if i and j and a[1][i - 1][0] == b[1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + matching(a[1][i - 1], b[1][j - 1], memo):
-            pairs.append((a[1][i - 1], b[1][j - 1]))
-            i, j = i - 1, j - 1
-        elif i and best[i][j] == best[i - 1][j]:
-            pairs.append((a[1][i - 1], None))
-            i -= 1
-        else:
-            pairs.append((None, b[1][j - 1]))
-            j -= 1
-    kids = [merge(x, y, memo, most) if x and y else x or y for x, y in reversed(pairs)]
-    if len(kids) > most:  # rare one-page shapes go first; they only steer the choice of the slot
-        floor = sorted((k[3] for k in kids), reverse=True)[most - 1]
-        kids = [k for k in kids if k[3] >= floor][:most]
-    return [a[0], kids, a[2] if a[2] == b[2] else -1, a[3] + b[3], a[4] + b[4], a[5] and b[5]]
+def walk(wrapper: list) -> Iterator[tuple[int, list]]:
+    """(depth, node) of all nodes, parents first."""
+    todo = [(0, wrapper)]
+    while todo:
+        depth, node = todo.pop()
+        yield depth, node
+        todo.extend((depth + 1, k) for k in reversed(node[KIDS].values()))
+
+
+def dumps(wrapper: list) -> str:
+    return json.dumps([[d, n[SIG], sorted(n[TEXTS]), sorted(n[SEEN]), *n[PAGES:]] for d, n in walk(wrapper)])
+
+
+def loads(text: str) -> list:
+    spine: list[list] = []
+    for depth, sig, texts, seen, *rest in json.loads(text):
+        node = [sig, {}, set(texts), frozenset(seen), *rest]
+        del spine[depth:]
+        if spine:
+            spine[-1][KIDS][sig] = node
+        spine.append(node)
+    return spine[0]
+
+
+def matching(a: list, b: list) -> int:
+    """The number of node pairs that ``merge`` makes of two wrappers."""
+    todo, n = [(a, b)] if a[SIG] == b[SIG] else [], 0
+    while todo:
+        x, y = todo.pop()
+        n += 1
+        todo.extend((kid, y[KIDS][sig]) for sig, kid in x[KIDS].items() if sig in y[KIDS])
+    return n
+
+
+def merge(a: list, b: list) -> list:
+    """Fold wrapper ``b`` into ``a``, which is changed: nodes of equal signature level by level, others are added."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        x[TEXTS] &= y[TEXTS]
+        if len(x[SEEN]) < SURE:
+            x[SEEN] = frozenset(sorted(x[SEEN] | y[SEEN])[:SURE])
+        x[PAGES] += y[PAGES]
+        x[BLOCKS] += y[BLOCKS]
+        x[GONE] = x[GONE] and y[GONE]
+        for sig, kid in y[KIDS].items():
+            if sig in x[KIDS]:
+                todo.append((x[KIDS][sig], kid))
+            else:
+                x[KIDS][sig] = kid
+        if len(x[KIDS]) > WIDE:
+            floor = sorted((k[PAGES] for k in x[KIDS].values()), reverse=True)[WIDE - 1]
+            x[KIDS] = dict([(s, k) for s, k in x[KIDS].items() if k[PAGES] >= floor][:WIDE])
+    return a
 
 
 def slot(wrapper: list) -> list[str]:
-    """Path of the content slot: down while one child holds over half of the text that varies (all text, for one page)."""
-
-    def mass(n: list) -> int:
-        return 0 if n[5] else (n[4] if n[2] == -1 or n[3] == 1 or wrapper[3] == 1 else 0) + sum(map(mass, n[1]))
-
+    """Path of the content slot: down while one child holds over half of the blocks that vary."""
+    mass: dict[int, int] = {}
+    for _, n in reversed(list(walk(wrapper))):
+        varied = n[BLOCKS] - (len(n[TEXTS]) * n[PAGES] if len(n[SEEN]) > 1 else 0)
+        mass[id(n)] = 0 if n[GONE] else varied + sum(mass[id(k)] for k in n[KIDS].values())
     path, node = [], wrapper
-    while node[1]:
-        best = max(node[1], key=mass)
-        if 2 * mass(best) <= mass(node) or best[0].split(".")[0] in ("p", "h1", "h2", "h3", "li", "td"):
+    while node[KIDS]:
+        best = max(node[KIDS].values(), key=lambda k: mass[id(k)])
+        if 2 * mass[id(best)] <= mass[id(node)] or best[SIG].split(".")[0] in ("p", "h1", "h2", "h3", "li", "td"):
             break
-        path.append(best[0])
+        path.append(best[SIG])
         node = best
     return path
 
 
-def content(blocks: list[tuple[tuple[str, ...], bool, str]], path: list[str] | None) -> str:
-    """The kept blocks, joined: those below the content slot outside dropped regions; without it, all outside."""
-    want = tuple(path or ())
-    kept = [t for p, gone, t in blocks if not gone and p[: len(want)] == want]
-    main = [t for p, gone, t in blocks if not gone and any(s.split(".")[0] in MAIN for s in p)]
-    if main and len("".join(main)) >= len("".join(kept)) or not kept:
-        kept = main or [t for _, gone, t in blocks if not gone]
-    elif main:  # a page with a marked article: what stands around it is not the article
-        kept = main
-    return "\n\n".join(kept)
+def constants(wrapper: list) -> str:
+    """The template as JSON: [depth, signature, digests of constant texts] of the nodes that have any, and those above."""
+    need = len(wrapper[SEEN])
+    nodes = list(walk(wrapper))
+    fixed = {id(n): n[TEXTS] if len(n[SEEN]) >= need > 1 and not n[GONE] else set() for _, n in nodes}
+    if need < SURE:
+        same = sum(len(fixed[id(n)]) * n[PAGES] for _, n in nodes)
+        if 2 * same >= sum(n[BLOCKS] for _, n in nodes if not n[GONE]):
+            fixed = dict.fromkeys(fixed, set())
+    kept: set[int] = set()
+    for _, n in reversed(nodes):
+        if fixed[id(n)] or any(id(k) in kept for k in n[KIDS].values()):
+            kept.add(id(n))
+    return json.dumps([[d, n[SIG], sorted(fixed[id(n)])] for d, n in nodes if id(n) in kept])
+
+
+@functools.lru_cache(256)
+def template(text: str) -> tuple[dict, frozenset] | None:
+    """The nodes of ``constants`` as (children by signature, digests); None if there are none."""
+    spine: list[tuple[dict, frozenset]] = []
+    for depth, sig, digests in json.loads(text):
+        node = ({}, frozenset(digests))
+        del spine[depth:]
+        if spine:
+            spine[-1][0][sig] = node
+        spine.append(node)
+    return spine[0] if spine else None
+
+
+def content(blocks: list[tuple[Element, str]], wrapper: tuple[dict, frozenset] | None, path: list[str] | None = None) -> str:
+    """The kept blocks, joined: those outside of dropped regions that are not template; of a marked article if any is left."""
+    held: dict[int, object] = {id(ROOT): wrapper}
+
+    def step(node: tuple | None, e: Element) -> tuple | None:
+        return node and node[0].get(e[2])
+
+    open_blocks = [(e, t) for e, t in blocks if not e[3]]
+    kept = [(e, t) for e, t in open_blocks if not (wrapper and (n := aligned(e, held, step)) and digest(t) in n[1])]
+    kept = kept or open_blocks
+    main = [(e, t) for e, t in kept if e[4]]
+    return "\n\n".join([t for _, t in main] or [t for e, t in kept if below(e, path or [])] or [t for _, t in kept])
+
+
+def below(e: Element, path: list[str]) -> bool:
+    sigs = []
+    while e[0] is not None:
+        sigs.append(e[2])
+        e = e[0]
+    return sigs[::-1][: len(path)] == path
 
 
 def host(column: str = "url"):
@@ -183,19 +276,20 @@ def host(column: str = "url"):
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, slot): the JSON path of each host's content slot, from all its pages."""
+    """(host, slot, template): the JSON path of each host's content slot and its constant nodes, from all its pages."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict[str, list] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w) for w in wrappers.values()], pa.string())], names=["host", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([dumps(w) for w in wrappers.values()], pa.string())], names=["host", "wrapper"])
 
         for whole in batches:
             for batch in slices(whole, "html"):
                 for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                    new = tree(parse(page))
-                    wrappers[h] = merge(wrappers[h], new) if h in wrappers else new
+                    if blocks := parse(page):
+                        new = tree(blocks)
+                        wrappers[h] = merge(wrappers[h], new) if h in wrappers else new
                 if len(wrappers) > MOST_HOSTS:
                     yield out()
                     wrappers.clear()
@@ -204,11 +298,11 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     def whole(part: pd.DataFrame) -> pd.DataFrame:
         found = None
         for w in sorted(part["wrapper"]):
-            found = json.loads(w) if found is None else merge(found, json.loads(w))
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "slot": [json.dumps(slot(found))]})
+            found = loads(w) if found is None else merge(found, loads(w))
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "slot": [json.dumps(slot(found))], "template": [constants(found)]})
 
     rows = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(partial, "host string, wrapper string")
-    return rows.groupBy("host").applyInPandas(whole, "host string, slot string")
+    return rows.groupBy("host").applyInPandas(whole, "host string, slot string, template string")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -219,7 +313,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     slots = materialize(induce(pages, url_col, html_col), "slots")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
-    if (slots.agg(F.sum(F.octet_length("host") + F.octet_length("slot"))).first()[0] or 0) <= ROOT_BYTES:
+    if (slots.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + F.octet_length("template"))).first()[0] or 0) <= ROOT_BYTES:
         joined = rows.join(F.broadcast(slots), "host", "left")
     else:
         salted = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -228,10 +322,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                found = [content(parse(h), json.loads(s) if s else None) for h, s in zip(batch.column("html").to_pylist(), batch.column("slot").to_pylist(), strict=True)]
+                found = [content(parse(h), template(t) if t else None, json.loads(s) if s else None) for h, t, s in zip(*[batch.column(c).to_pylist() for c in ("html", "template", "slot")], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "slot").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "slot", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,20 @@ def test_html(spark):
     assert html_text.slot(html_text.merge(a, b)) == ["html", "body", "article"] and html_text.matching(a, a) == html_text.matching(a, b)
 
 
+def html_pages(spark, bodies, url="http://h.example/x"):
+    """The texts of pages of one host, by number."""
+    rows = [(i, url, f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_constant_blocks_are_template(spark):
+    """A block that is equal on all pages of the host goes, in a marked article too; equal texts of copies stay."""
+    body = "<article><h1>t{0}</h1><p>a{0}</p><div class='box'>Read more on our site</div><p>b{0}</p><p>Send us a mail</p></article>"
+    for n in (3, 8):
+        assert html_pages(spark, [body.format(i) for i in range(n)])[1] == "t1\n\na1\n\nb1", n
+    assert html_pages(spark, [body.format(0)] * 8)[1] == "t0\n\na0\n\nRead more on our site\n\nb0\n\nSend us a mail"
+
+
 def test_toxicity_tolerates_gaps(spark, edge_docs, no_docs):
     clean = [f"the {a} {b} was fine and {c}" for a, b, c in zip(*[iter(texts(1, 300, 300)[0].split() * 3)] * 3, strict=False)][:80]
     clean = clean or ["the day was fine"] * 80
