@@ -4,9 +4,10 @@ Every task folds its pages into one small wrapper tree per host; the partial wra
 one.  Like siblings are one node, so a level is aligned by signature, in any order of siblings.  A wrapper node holds
 the digests of the texts that all its pages have below it, and of up to ``SURE`` different pages it was on.  A page is
 aligned with its host's wrapper, and blocks equal to a constant text of their node are dropped, in a marked article
-too.  On a host of fewer pages than ``SURE``, whose pages may be copies of one another, constant texts are dropped only
-where they are the smaller part.  Menus, headers, footers, sidebars, notices, adverts, forms and comments are dropped by
-their marks; of a page with a marked article that article is kept, of others all blocks that are left.
+too.  On a host of fewer pages than ``SURE``, which may be near copies of one another, constant texts within the content
+slot, the container of all that varies, are dropped only if they are the smaller part of it.  Menus, headers, footers,
+sidebars, notices, adverts, forms and comments are dropped by their marks; of a page with a marked article that article
+is kept, of others all blocks that are left.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo c
 MAIN = frozenset(("article", "main"))
 MOST_HOSTS, ROOT_BYTES, SALTS = 2000, 16 << 20, 64
 SURE = 5  # different pages that a text is equal on to be template whatever its share
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr table pre blockquote figure".split())
 WIDE = 60  # children of a level from which its one-page shapes are folded
 #: An open element: (the one around it, tag, signature, inside a dropped region, inside an article or main).
 Element = tuple
@@ -204,19 +206,19 @@ def merge(a: list, b: list) -> list:
 
 
 def slot(wrapper: list) -> list[str]:
-    """Path of the content slot: down while one child holds over half of the blocks that vary."""
-    mass: dict[int, int] = {}
+    """Path of the content slot: the lowest container of all nodes that vary, in number of pages, not in text."""
+    live: set[int] = set()
     for _, n in reversed(list(walk(wrapper))):
-        varied = n[BLOCKS] - (len(n[TEXTS]) * n[PAGES] if len(n[SEEN]) > 1 else 0)
-        mass[id(n)] = 0 if n[GONE] else varied + sum(mass[id(k)] for k in n[KIDS].values())
+        varies = n[BLOCKS] > len(n[TEXTS]) * n[PAGES] or (len(n[SEEN]) == 1 and n[BLOCKS] > 0)
+        if not n[GONE] and (varies or any(id(k) in live for k in n[KIDS].values())):
+            live.add(id(n))
     path, node = [], wrapper
-    while node[KIDS]:
-        best = max(node[KIDS].values(), key=lambda k: mass[id(k)])
-        if 2 * mass[id(best)] <= mass[id(node)] or best[SIG].split(".")[0] in ("p", "h1", "h2", "h3", "li", "td"):
-            break
-        path.append(best[SIG])
-        node = best
-    return path
+    while True:
+        inner = [k for k in node[KIDS].values() if id(k) in live]
+        if len(inner) != 1 or node[BLOCKS] or inner[0][SIG].split(".")[0] in LEAVES:
+            return path
+        node = inner[0]
+        path.append(node[SIG])
 
 
 def constants(wrapper: list) -> str:
@@ -225,9 +227,12 @@ def constants(wrapper: list) -> str:
     nodes = list(walk(wrapper))
     fixed = {id(n): n[TEXTS] if len(n[SEEN]) >= need > 1 and not n[GONE] else set() for _, n in nodes}
     if need < SURE:
-        same = sum(len(fixed[id(n)]) * n[PAGES] for _, n in nodes)
-        if 2 * same >= sum(n[BLOCKS] for _, n in nodes if not n[GONE]):
-            fixed = dict.fromkeys(fixed, set())
+        node = wrapper
+        for sig in slot(wrapper):
+            node = node[KIDS][sig]
+        inner = [n for _, n in walk(node) if not n[GONE]]
+        if 2 * sum(len(fixed[id(n)]) * n[PAGES] for n in inner) >= sum(n[BLOCKS] for n in inner):
+            fixed |= {id(n): set() for n in inner}
     kept: set[int] = set()
     for _, n in reversed(nodes):
         if fixed[id(n)] or any(id(k) in kept for k in n[KIDS].values()):
@@ -248,7 +253,7 @@ def template(text: str) -> tuple[dict, frozenset] | None:
     return spine[0] if spine else None
 
 
-def content(blocks: list[tuple[Element, str]], wrapper: tuple[dict, frozenset] | None, path: list[str] | None = None) -> str:
+def content(blocks: list[tuple[Element, str]], wrapper: tuple[dict, frozenset] | None) -> str:
     """The kept blocks, joined: those outside of dropped regions that are not template; of a marked article if any is left."""
     held: dict[int, object] = {id(ROOT): wrapper}
 
@@ -258,16 +263,7 @@ def content(blocks: list[tuple[Element, str]], wrapper: tuple[dict, frozenset] |
     open_blocks = [(e, t) for e, t in blocks if not e[3]]
     kept = [(e, t) for e, t in open_blocks if not (wrapper and (n := aligned(e, held, step)) and digest(t) in n[1])]
     kept = kept or open_blocks
-    main = [(e, t) for e, t in kept if e[4]]
-    return "\n\n".join([t for _, t in main] or [t for e, t in kept if below(e, path or [])] or [t for _, t in kept])
-
-
-def below(e: Element, path: list[str]) -> bool:
-    sigs = []
-    while e[0] is not None:
-        sigs.append(e[2])
-        e = e[0]
-    return sigs[::-1][: len(path)] == path
+    return "\n\n".join([t for e, t in kept if e[4]] or [t for _, t in kept])
 
 
 def host(column: str = "url"):
@@ -276,7 +272,7 @@ def host(column: str = "url"):
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, slot, template): the JSON path of each host's content slot and its constant nodes, from all its pages."""
+    """(host, template): the constant nodes of each host as JSON, from all its pages."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict[str, list] = {}
@@ -299,10 +295,10 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
         found = None
         for w in sorted(part["wrapper"]):
             found = loads(w) if found is None else merge(found, loads(w))
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "slot": [json.dumps(slot(found))], "template": [constants(found)]})
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [constants(found)]})
 
     rows = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(partial, "host string, wrapper string")
-    return rows.groupBy("host").applyInPandas(whole, "host string, slot string, template string")
+    return rows.groupBy("host").applyInPandas(whole, "host string, template string")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -311,21 +307,21 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null and empty html give an empty text; pages without a host, null urls included, share one wrapper.  Repeated
     pages are extracted each.  Long pages are parsed whole.  Other columns, whatever their names, are not read.
     """
-    slots = materialize(induce(pages, url_col, html_col), "slots")
+    templates = materialize(induce(pages, url_col, html_col), "templates")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
-    if (slots.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + F.octet_length("template"))).first()[0] or 0) <= ROOT_BYTES:
-        joined = rows.join(F.broadcast(slots), "host", "left")
+    if (templates.agg(F.sum(F.octet_length("host") + F.octet_length("template"))).first()[0] or 0) <= ROOT_BYTES:
+        joined = rows.join(F.broadcast(templates), "host", "left")
     else:
-        salted = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(page_id, url), {SALTS}) as int)")).join(salted, ["host", "salt"], "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
-                found = [content(parse(h), template(t) if t else None, json.loads(s) if s else None) for h, t, s in zip(*[batch.column(c).to_pylist() for c in ("html", "template", "slot")], strict=True)]
+                found = [content(parse(h), template(t) if t else None) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "slot", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

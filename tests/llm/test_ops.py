@@ -165,6 +165,18 @@ def test_html_constant_blocks_are_template(spark):
     assert html_pages(spark, [body.format(0)] * 8)[1] == "t0\n\na0\n\nRead more on our site\n\nb0\n\nSend us a mail"
 
 
+def test_html_keeps_every_varying_part(spark):
+    """Title, lead, sections and pages with another layout keep all that varies, however large one part of it is."""
+    body = "<div class='top'>Our site</div><div class='post'><h1>t{0}</h1><div class='lead'>l{0}</div><div class='body'><section><p>" + "long {0} " * 60 + "</p></section><section class='b'><p>s{0}</p></section></div></div>"
+    long = " ".join(["long 1"] * 60)
+    for n in (1, 3, 8):
+        want = f"t1\n\nl1\n\n{long}\n\ns1"
+        assert html_pages(spark, [body.format(i) for i in range(1, n + 1)])[0] == (want if n > 1 else "Our site\n\n" + want), n
+    pre = ["<div class='post'><p>a{0}</p><pre>code{0}</pre><p>b{0}</p></div>".format(i) for i in range(8)]
+    pre.append("<div class='post'><p>x</p><pre>" + "big " * 9000 + "</pre></div>")
+    assert html_pages(spark, pre)[2] == "a2\n\ncode2\n\nb2"
+
+
 def test_toxicity_tolerates_gaps(spark, edge_docs, no_docs):
     clean = [f"the {a} {b} was fine and {c}" for a, b, c in zip(*[iter(texts(1, 300, 300)[0].split() * 3)] * 3, strict=False)][:80]
     clean = clean or ["the day was fine"] * 80
