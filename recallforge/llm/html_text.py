@@ -184,8 +184,8 @@ def matching(a: list, b: list) -> int:
 
 
 def merge(a: list, b: list) -> list:
-    """Fold wrapper ``b`` into ``a``, which is changed: nodes of equal signature level by level, others are added."""
-    todo = [(a, b)]
+    """Put wrapper ``b`` into ``a``, which is changed: nodes of equal signature are matched level by level, others added."""
+    todo, wide = [(a, b)], []
     while todo:
         x, y = todo.pop()
         x[TEXTS] &= y[TEXTS]
@@ -200,11 +200,47 @@ def merge(a: list, b: list) -> list:
             else:
                 x[KIDS][sig] = kid
         if len(x[KIDS]) > WIDE:
-            floor = sorted((k[PAGES] for k in x[KIDS].values()), reverse=True)[WIDE - 1]
-            x[KIDS] = dict([(s, k) for s, k in x[KIDS].items() if k[PAGES] >= floor][:WIDE])
+            wide.append(x)
+    for x in wide:
+        fold(x)
+    return a
+
+
+def unite(a: list, b: list) -> list:
+    """Put node ``b`` of the same page into ``a``, which is changed."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        x[TEXTS] |= y[TEXTS]
+        x[BLOCKS] += y[BLOCKS]
+        x[GONE] = x[GONE] and y[GONE]
+        for sig, kid in y[KIDS].items():
+            if sig in x[KIDS]:
+                todo.append((x[KIDS][sig], kid))
+            else:
+                x[KIDS][sig] = kid
     return a
 
 
+def fold(node: list) -> None:
+    """The children of ``node`` with names that only one page has become one child for each tag (and another if dropped).
+
+    It stands for any names of the tag, with the pages, blocks and common texts of all that it was made of.
+    """
+    pages: dict[tuple, list[str]] = {}
+    for sig, kid in node[KIDS].items():
+        if len(kid[SEEN]) == 1 and "." in sig and not sig.endswith(".*"):
+            pages.setdefault((sig.split(".")[0], *kid[SEEN], kid[GONE]), []).append(sig)
+    for (tag, _, gone), sigs in pages.items():
+        one = functools.reduce(unite, [node[KIDS].pop(sig) for sig in sigs])
+        sig = one[SIG] = wild(tag, gone)
+        node[KIDS][sig] = merge(node[KIDS][sig], one) if sig in node[KIDS] else one
+
+
+def wild(tag: str, gone: bool) -> str:
+    return tag + ("!.*" if gone else ".*")
+
+
 def slot(wrapper: list) -> list[str]:
     """Path of the content slot: the lowest container of all nodes that vary, in number of pages, not in text."""
     live: set[int] = set()
@@ -224,6 +260,9 @@ def slot(wrapper: list) -> list[str]:
 def constants(wrapper: list) -> str:
     """The template as JSON: [depth, signature, digests of constant texts] of the nodes that have any, and those above."""
     need = len(wrapper[SEEN])
+    if need > 1:  # names of one page only, as those with an article's number, are no signatures
+        for _, n in walk(wrapper):
+            fold(n)
     nodes = list(walk(wrapper))
     fixed = {id(n): n[TEXTS] if len(n[SEEN]) >= need > 1 and not n[GONE] else set() for _, n in nodes}
     if need < SURE:
@@ -258,7 +297,7 @@ def content(blocks: list[tuple[Element, str]], wrapper: tuple[dict, frozenset] |
     held: dict[int, object] = {id(ROOT): wrapper}
 
     def step(node: tuple | None, e: Element) -> tuple | None:
-        return node and node[0].get(e[2])
+        return node and (node[0].get(e[2]) or node[0].get(wild(e[1], e[3])))
 
     open_blocks = [(e, t) for e, t in blocks if not e[3]]
     kept = [(e, t) for e, t in open_blocks if not (wrapper and (n := aligned(e, held, step)) and digest(t) in n[1])]

@@ -177,6 +177,19 @@ def test_html_keeps_every_varying_part(spark):
     assert html_pages(spark, pre)[2] == "a2\n\ncode2\n\nb2"
 
 
+def test_html_page_own_names(spark):
+    """Articles with a class of their own are kept on hosts of any size, and their common texts are template."""
+    body = "<div class='{0} post'><h1>t{0}</h1><p>a{0} and more text</p><p>Send us a mail</p></div><div class='box'>w{0}</div><div class='foo'>All rights</div>"
+    for n in (8, 59, 300):
+        got = html_pages(spark, [body.format(i) for i in range(n)])
+        assert {got[i] == f"t{i}\n\na{i} and more text\n\nw{i}" for i in range(n)} == {True}, n
+    trees = [html_text.tree(html_text.parse(body.format(i))) for i in range(150)]
+    whole = trees[0]
+    for other in trees[1:]:
+        whole = html_text.merge(whole, other)
+    assert sum(k[html_text.PAGES] for k in whole[html_text.KIDS].values() if k[html_text.SIG].endswith("post") or k[html_text.SIG] == "div.*") == 150
+
+
 def test_toxicity_tolerates_gaps(spark, edge_docs, no_docs):
     clean = [f"the {a} {b} was fine and {c}" for a, b, c in zip(*[iter(texts(1, 300, 300)[0].split() * 3)] * 3, strict=False)][:80]
     clean = clean or ["the day was fine"] * 80
