@@ -103,9 +103,8 @@ def parse(page: str | None) -> list[tuple[Element, str]]:
             opened[stack.pop()[1]] -= 1
         around = stack[-1]
         gone = around[3] or marked or (tag in DROPPED and not (tag == "header" and around[4]))
-        if len(stack) < 200:
-            stack.append((around, tag, tag + "".join("." + n for n in sorted(names)[:3]), gone, around[4] or tag in MAIN))
-            opened[tag] += 1
+        stack.append((around, tag, tag + "".join("." + n for n in sorted(names)[:3]), gone, around[4] or tag in MAIN))
+        opened[tag] += 1
     if at < len(page):
         held.append(page[at:])
     flush()

@@ -190,6 +190,15 @@ def test_html_page_own_names(spark):
     assert sum(k[html_text.PAGES] for k in whole[html_text.KIDS].values() if k[html_text.SIG].endswith("post") or k[html_text.SIG] == "div.*") == 150
 
 
+def test_html_deep_pages(spark):
+    """Marks, end tags and the article hold below any number of open elements."""
+    for n in (100, 250, 5000):
+        deep = "<article><p>a{0}</p>" + "<div>" * n + "<nav>menu</nav><form>f{0}</form><div>b{0}</div>" + "</div>" * n + "<p>c{0}</p></article><div>out{0}</div>"
+        assert html_pages(spark, [deep.format(i) for i in range(3)])[1] == "a1\n\nb1\n\nc1", n
+    rows = "<article><table>" + "<tr><td>x{0}" * 150 + "</table><p>end{0}</p></article>"
+    assert html_pages(spark, [rows.format(i) for i in range(3)])[1].endswith("x1\n\nend1")
+
+
 def test_toxicity_tolerates_gaps(spark, edge_docs, no_docs):
     clean = [f"the {a} {b} was fine and {c}" for a, b, c in zip(*[iter(texts(1, 300, 300)[0].split() * 3)] * 3, strict=False)][:80]
     clean = clean or ["the day was fine"] * 80
