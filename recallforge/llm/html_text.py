@@ -4,10 +4,10 @@ Every task folds its pages into one small wrapper tree per host; the partial wra
 one.  Like siblings are one node, so a level is aligned by signature, in any order of siblings.  A wrapper node holds
 the digests of the texts that all its pages have below it, and of up to ``SURE`` different pages it was on.  A page is
 aligned with its host's wrapper, and blocks equal to a constant text of their node are dropped, in a marked article
-too.  On a host of fewer pages than ``SURE``, which may be near copies of one another, constant texts within the content
-slot, the container of all that varies, are dropped only if they are the smaller part of it.  Menus, headers, footers,
-sidebars, notices, adverts, forms and comments are dropped by their marks; of a page with a marked article that article
-is kept, of others all blocks that are left.
+too.  On a host of fewer pages than ``SURE``, which may be near copies of one another, that holds only if constant
+texts are under half of its blocks; else they stay.  Menus, headers, footers, sidebars, notices, adverts, forms and
+comments are dropped by their marks; of a page with a marked article that article is kept, of others all blocks that
+are left.
 """
 
 from __future__ import annotations
@@ -241,7 +241,7 @@ def wild(tag: str, gone: bool) -> str:
 
 
 def slot(wrapper: list) -> list[str]:
-    """Path of the content slot: the lowest container of all nodes that vary, in number of pages, not in text."""
+    """Path of the lowest container of all nodes that vary, to look at a wrapper; extraction keeps all that varies."""
     live: set[int] = set()
     for _, n in reversed(list(walk(wrapper))):
         varies = n[BLOCKS] > len(n[TEXTS]) * n[PAGES] or (len(n[SEEN]) == 1 and n[BLOCKS] > 0)
@@ -265,12 +265,9 @@ def constants(wrapper: list) -> str:
     nodes = list(walk(wrapper))
     fixed = {id(n): n[TEXTS] if len(n[SEEN]) >= need > 1 and not n[GONE] else set() for _, n in nodes}
     if need < SURE:
-        node = wrapper
-        for sig in slot(wrapper):
-            node = node[KIDS][sig]
-        inner = [n for _, n in walk(node) if not n[GONE]]
-        if 2 * sum(len(fixed[id(n)]) * n[PAGES] for n in inner) >= sum(n[BLOCKS] for n in inner):
-            fixed |= {id(n): set() for n in inner}
+        same = sum(len(fixed[id(n)]) * n[PAGES] for _, n in nodes)
+        if 2 * same >= sum(n[BLOCKS] for _, n in nodes if not n[GONE]):
+            fixed = dict.fromkeys(fixed, set())
     kept: set[int] = set()
     for _, n in reversed(nodes):
         if fixed[id(n)] or any(id(k) in kept for k in n[KIDS].values()):

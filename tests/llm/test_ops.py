@@ -172,6 +172,8 @@ def test_html_keeps_every_varying_part(spark):
     for n in (1, 3, 8):
         want = f"t1\n\nl1\n\n{long}\n\ns1"
         assert html_pages(spark, [body.format(i) for i in range(1, n + 1)])[0] == (want if n > 1 else "Our site\n\n" + want), n
+    copies = ["<div class='title'>t{0}</div><div class='body'><p>a</p><p>b</p></div>".format(i) for i in range(3)]
+    assert html_pages(spark, copies)[1] == "t1\n\na\n\nb"
     pre = ["<div class='post'><p>a{0}</p><pre>code{0}</pre><p>b{0}</p></div>".format(i) for i in range(8)]
     pre.append("<div class='post'><p>x</p><pre>" + "big " * 9000 + "</pre></div>")
     assert html_pages(spark, pre)[2] == "a2\n\ncode2\n\nb2"
