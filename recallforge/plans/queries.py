@@ -170,6 +170,13 @@ def build_context(spark, sf_dir):
     return hits.groupBy("query_id").agg(F.concat_ws("\n", F.lit("# Agent Memory"), F.transform(lines, lambda x: x["line"])).alias("context"))
 
 
+@query(f"""{_HY} SELECT query_id, '# Agent Memory' || chr(10) || string_agg(format('- [episodic score={{:.3f}} confidence=0.58] ', round(score, 3)) || text, chr(10) ORDER BY rank) AS context FROM top JOIN documents ON doc_id = id GROUP BY query_id""")
+def build_context_whole(spark, sf_dir):
+    """As the reference writes it: the whole content of each memory and its score."""
+    hits = hybrid_hits(spark, sf_dir).select("query_id", "id", "rank", "score").join(memories(spark, sf_dir).select("id", "content"), "id")
+    return retrieve.build_context(hits.withColumns({"memory_type": F.lit("episodic"), "confidence": F.lit(0.58)}))
+
+
 @query(f"{_HY}, u AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM top UNION ALL SELECT query_id, id, round(bm25 / 10, 6) FROM s) GROUP BY ALL) SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM u) WHERE rank <= 5")
 def fuse_candidates(spark, sf_dir):
     b = retrieve.bm25_scores(memories(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "id", F.round(F.col("bm25") / 10, 6).alias("score"))

@@ -56,6 +56,14 @@ def test_source_cap(spark):
     assert sorted(r.id for r in retrieve.cap_sources(df).collect()) == [2, 3, 4, 5]
 
 
+def test_context_has_whole_memories(spark):
+    """Every memory of a context is whole and has its score; nearly all are longer than forty characters."""
+    texts = [r.content for r in core.memories(spark, DIR).collect()]
+    contexts = [r.context for r in core.QUERIES["build_context_whole"](spark, DIR).collect()]
+    assert contexts and all(" score=" in c for c in contexts)
+    assert all(any(c.endswith("] " + t) for t in texts if t is not None) for c in contexts) and any(len(c) > 1000 for c in contexts)
+
+
 # Pairs of the published sample vocabulary and of the algorithm's description.
 STEMS = (
     "consigned consign consistency consist consolatory consolatori consolingly consol knightly knight knocked knock kneeling kneel generously generous "
