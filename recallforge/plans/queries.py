@@ -71,6 +71,15 @@ def classify_rules(spark, sf_dir):
     return c.select("x", "c.*", T.should_keep(F.lower("x"), F.col("c.memory_type")).alias("keep"))
 
 
+@query(f"""SELECT conv_id, turn, pos, split_part(r, '|', 1) AS memory_type, CAST(split_part(r, '|', 2) AS DOUBLE) AS importance, CAST(split_part(r, '|', 3) AS DOUBLE) AS confidence, strlen(lower(x)) >= 12 AS keep
+FROM (SELECT *, CASE {_RULE_SQL.replace('(l,', '(lower(x),')} ELSE 'episodic|0.45|0.58' END AS r FROM (SELECT conv_id, turn, unnest({SENT.format('text')}) AS x, CAST(generate_subscripts({SENT.format('text')}, 1) - 1 AS INTEGER) AS pos FROM conversations))""")
+def classify_sentences(spark, sf_dir):
+    """The rules over all sentences of all turns."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("pos", "x"))
+    c = rows.withColumn("c", T.classify(F.lower("x")))
+    return c.select("conv_id", "turn", "pos", "c.*", T.should_keep(F.lower("x"), F.col("c.memory_type")).alias("keep"))
+
+
 _CAND = f"""WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS namespace, conv_id || '::' || turn AS event_id, unnest({SENT.format('text')}) AS content, generate_subscripts({SENT.format('text')}, 1) - 1 AS pos FROM conversations),
 k AS (SELECT *, CASE {_RULE_SQL.replace('(l,', '(lower(content),')} ELSE 'episodic|0.45|0.58' END AS r FROM s WHERE strlen(lower(content)) >= 12),
 c AS (SELECT namespace, event_id, CAST(pos AS INTEGER) AS pos, content, split_part(r, '|', 1) AS memory_type, CAST(split_part(r, '|', 2) AS DOUBLE) AS importance, CAST(split_part(r, '|', 3) AS DOUBLE) AS confidence FROM k QUALIFY row_number() OVER (PARTITION BY event_id, lower(content) ORDER BY pos) = 1)"""
@@ -248,6 +257,16 @@ def judge_exact(spark, sf_dir):
     return rows.select("id", evaluate.exact_judge(F.col("a"), F.col("g")).alias("correct"))
 
 
+_SQUEEZE = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT conv_id, turn, n <> '' AND len(list_filter([g], lambda x: x <> '' AND (contains(n, x) OR contains(x, n)))) > 0 AS correct FROM (
+SELECT a.conv_id, a.turn, {_SQUEEZE.format('b.text')} AS n, {_SQUEEZE.format('a.text')} AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""")
+def judge_exact_turns(spark, sf_dir):
+    """The judge over all neighbouring turns: the later one as answer, the earlier one as gold."""
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", evaluate.exact_judge(F.coalesce("held", F.lit("")), F.array(F.coalesce("text", F.lit("")))).alias("correct"))
+
+
 _GRAM = "array_to_string({0}[1:8], ' ')"
 _EVAL = f"""{_BM}, g AS (SELECT query_id, array_to_string(t[1:8], ' ') AS g FROM q WHERE len(t) >= 8), dg AS (SELECT DISTINCT id, array_to_string(t[i:i+7], ' ') AS g FROM (SELECT id, t, unnest(range(1, len(t) - 6)) AS i FROM d WHERE len(t) >= 8)),
 ev AS (SELECT query_id, list(DISTINCT id) AS e FROM g JOIN dg USING (g) GROUP BY query_id), hits AS (SELECT * FROM (SELECT query_id, id, {_R.format('round(bm25, 6)')} AS rank FROM s) WHERE rank <= 10),

@@ -64,6 +64,12 @@ def test_context_has_whole_memories(spark):
     assert all(any(c.endswith("] " + t) for t in texts if t is not None) for c in contexts) and any(len(c) > 1000 for c in contexts)
 
 
+def test_rules_and_judge_read_whole_tables(spark):
+    turns = core.table(spark, DIR, "conversations").count()
+    assert core.QUERIES["classify_sentences"](spark, DIR).select("conv_id", "turn").distinct().count() > turns // 2
+    assert core.QUERIES["judge_exact_turns"](spark, DIR).count() > turns // 2
+
+
 # Pairs of the published sample vocabulary and of the algorithm's description.
 STEMS = (
     "consigned consign consistency consist consolatory consolatori consolingly consol knightly knight knocked knock kneeling kneel generously generous "
