@@ -275,11 +275,30 @@ per AS (SELECT query_id, max(n) AS n, {', '.join(f'count(*) FILTER (hit AND rank
 coalesce(sum(1.0 / log2(rank + 1)) FILTER (hit AND rank <= 5), 0) / list_sum(list_transform(range(1, greatest(least(max(n), 5), 1) + 1), lambda i: 1.0 / log2(i + 1))) AS ndcg_5 FROM j GROUP BY query_id)"""
 
 
-def evaluated(spark, sf_dir) -> DataFrame:
-    """Retrieved and evidence arrays of each query: evidence are the documents with its first eight tokens in a row."""
+_WHOLE = f"""{_BM}, k AS (SELECT query_id, t, CAST(least(len(t), 8) AS BIGINT) AS n FROM q WHERE len(t) > 0), g AS (SELECT DISTINCT query_id, array_to_string(t[i:i+n-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM k)),
+dg AS (SELECT DISTINCT id, array_to_string(t[i:i+n-1], ' ') AS g FROM (SELECT id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k) WHERE len(t) >= n)),
+ev AS {_EVAL.split("ev AS ", 1)[1]}"""
+
+
+def grams(t: str, n: str) -> str:
+    """SQL of the distinct runs of ``n`` tokens of the array ``t``, which has ``n`` at least."""
+    return f"array_distinct(transform(sequence(1, size({t}) - {n} + 1), i -> array_join(slice({t}, i, {n}), ' ')))"
+
+
+def whole_evidence(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, evidence): the documents with any eight tokens in a row of the item, or with the whole of a shorter one."""
+    q = queries.select("query_id", T.tokens("text").alias("t")).filter("size(t) > 0").withColumn("n", F.expr("least(size(t), 8)"))
+    lengths = sorted(r.n for r in q.select("n").distinct().collect())  # eight at most
+    d = memories.select("id", T.tokens("content").alias("t")).withColumn("n", F.explode(F.lit(lengths).cast("array<int>"))).filter("size(t) >= n")
+    pairs = d.selectExpr("id", f"explode({grams('t', 'n')}) g").join(q.selectExpr("query_id", f"explode({grams('t', 'n')}) g"), "g")
+    return pairs.groupBy("query_id").agg(F.collect_set("id").alias("evidence"))
+
+
+def evaluated(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """Retrieved and evidence arrays of each query: evidence are the documents with its first eight tokens in a row, or ``whole``."""
     q = asked(spark, sf_dir).select("query_id", T.tokens("text").alias("t")).filter("size(t) >= 8").selectExpr("query_id", "array_join(slice(t, 1, 8), ' ') g")
     d = memories(spark, sf_dir).select("id", T.tokens("content").alias("t")).filter("size(t) >= 8").selectExpr("id", "explode(array_distinct(transform(sequence(1, size(t) - 7), i -> array_join(slice(t, i, 8), ' ')))) g")
-    evidence = d.join(q, "g").groupBy("query_id").agg(F.collect_set("id").alias("evidence"))
+    evidence = whole_evidence(memories(spark, sf_dir), asked(spark, sf_dir)) if whole else d.join(q, "g").groupBy("query_id").agg(F.collect_set("id").alias("evidence"))
     hits = retrieve.top(retrieve.bm25_scores(memories(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("bm25", 6)), 10)
     got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
     return got.join(evidence, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<bigint>")))
@@ -300,6 +319,18 @@ def eval_summary(spark, sf_dir):
     return m.agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 5).alias(c) for c in _NAMES], F.round(F.avg(F.when(F.col("recall_10") == 0, 1.0).otherwise(0.0)), 5).alias("miss_10"))
 
 
+@query(f"{_WHOLE} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _NAMES)} FROM per")
+def retrieval_metrics_whole(spark, sf_dir):
+    m = evaluate.metrics(evaluated(spark, sf_dir, whole=True))
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in _NAMES])
+
+
+@query(f"{_WHOLE} SELECT count(*) AS questions, {', '.join(f'round(avg({c}), 5) AS {c}' for c in _NAMES)}, round(avg(CASE WHEN recall_10 = 0 THEN 1.0 ELSE 0.0 END), 5) AS miss_10 FROM per")
+def eval_summary_whole(spark, sf_dir):
+    m = evaluate.metrics(evaluated(spark, sf_dir, whole=True))
+    return m.agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 5).alias(c) for c in _NAMES], F.round(F.avg(F.when(F.col("recall_10") == 0, 1.0).otherwise(0.0)), 5).alias("miss_10"))
+
+
 @query("SELECT o_orderkey, CAST(isodow(o_orderdate) AS INTEGER) AS weekday, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS monday, strftime(date_trunc('week', o_orderdate) + INTERVAL 6 DAY, '%Y-%m-%d') AS sunday, strftime(o_orderdate, '%-d %B %Y') AS shown FROM orders")
 def date_arith(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))

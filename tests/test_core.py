@@ -70,6 +70,13 @@ def test_rules_and_judge_read_whole_tables(spark):
     assert core.QUERIES["judge_exact_turns"](spark, DIR).count() > turns // 2
 
 
+def test_evidence_of_whole_items(spark):
+    """A later passage of an item, and an item of under eight tokens, are evidence too."""
+    docs = spark.createDataFrame([(1, "x c d e f g h i j y"), (2, "say red fox now"), (3, "a b c d"), (4, "red"), (5, None)], "id long, content string")
+    asked = spark.createDataFrame([(7, "a b c d e f g h i j"), (8, "red fox"), (9, "")], "query_id long, text string")
+    assert {r.query_id: r.evidence for r in core.whole_evidence(docs, asked).collect()} == {7: [1], 8: [2]}
+
+
 # Pairs of the published sample vocabulary and of the algorithm's description.
 STEMS = (
     "consigned consign consistency consist consolatory consolatori consolingly consol knightly knight knocked knock kneeling kneel generously generous "
