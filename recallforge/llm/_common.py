@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +36,47 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run of an operator in the shared folder, dropped once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag, self.paths = spark, tag, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialize``; the table is gone after ``drop``."""
+        path = f"{shared_dir(self.spark)}/{self.tag}-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables written so far; call it when all that was computed from them is written elsewhere."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.paths.clear()
+
+
+def sieve(rows: DataFrame, among: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows whose ``key`` may be in the column ``key`` of ``among``, before a join that shuffles them.
+
+    The keys become a bitmap of 16 bits a key, aggregated on the executors, that is broadcast: ``most_bits`` (16 MB) is
+    its bound, beyond which all rows pass.  Few rows pass that the join drops again, so results never depend on it.
+    """
+    n = among.count()
+    bits = 1 << max(15, (16 * n).bit_length())
+    if bits > most_bits:
+        return rows
+    place = F.pmod(F.xxhash64(F.col(key), F.lit("sieve")), F.lit(bits))
+    maps = among.select(place.alias("at")).groupBy(F.expr("at >> 15").alias("m_bucket")).agg(F.bitmap_construct_agg(F.expr("at & 32767L")).alias("m_bits"))
+    named = rows.withColumn("m_at", place)
+    kept = named.join(F.broadcast(maps), F.expr("m_at >> 15 = m_bucket"))
+    # the bytes of a bitmap hold their lowest bit first
+    kept = kept.filter("cast(conv(hex(substring(m_bits, cast((m_at & 32767L) / 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(m_at % 8 as int)) <> 0")
+    return kept.select(*rows.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of ``documents``; nothing else is read."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

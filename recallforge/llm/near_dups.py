@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, gram_hashes, materialize, mix, sequence_hash, slices, word_hashes
+from ._common import Scratch, documents, gram_hashes, materialize, mix, sequence_hash, sieve, slices, word_hashes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Trees and their depth; classes in a small node; classes and shingles in a block; members of a group that meet a block in one task.
@@ -87,34 +87,35 @@ def sets_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(made, "doc_id long, n_shingles long, key string, sig binary")
 
 
-def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tree_nodes(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Small nodes with their classes, and the large nodes of the last level: (node, rep) each.
 
-    Small nodes that hold the same classes, as those of one pair in most trees, get the same name.
+    Small nodes that hold the same classes, as those of one pair in most trees, get the same name.  A level is written
+    as (node, rep, tree) only; nodes of one class go before the join that would shuffle them.
     """
-    word = "conv(hex(substring(path, {0}, 4)), 16, 10)"
-    first = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    first = first.select("rep", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("path"))
-    level = first.withColumn("node", F.expr(f"xxhash64(tree, {word.format(1)})"))
+    word = f"conv(hex(substring(sig, tree * {4 * DEPTH} + {{0}}, 4)), 16, 10)"
+    level = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    level = level.select(F.expr(f"xxhash64(tree, {word.format(1)})").alias("node"), "rep", "tree")
     done = None
     for d in range(DEPTH):
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep", F.lit("held"))).alias("held")).filter("n > 1")
-        level = materialize(level.join(sizes, "node"), f"near-level{d}")
+        sizes = scratch.table(sizes, f"sizes{d}")
+        level = scratch.table(sieve(level, sizes.select("node"), "node").join(sizes, "node"), f"level{d}")
         small = level.filter(f"n <= {SMALL}").select(F.xxhash64("n", "first", "held").alias("node"), "rep")
         done = small if done is None else done.unionByName(small)
-        large = level.filter(f"n > {SMALL}").drop("n", "first", "held")
+        large = level.filter(f"n > {SMALL}").select("node", "rep", "tree")
         if d + 1 == DEPTH or large.isEmpty():
             break
-        level = large.withColumn("node", F.expr(f"xxhash64(node, {word.format(4 * (d + 1) + 1)})"))
+        level = large.join(classes.select("rep", "sig"), "rep").select(F.expr(f"xxhash64(node, {word.format(4 * (d + 1) + 1)})").alias("node"), "rep", "tree")
     return done, large.select("node", "rep")
 
 
-def candidate_edges(classes: DataFrame, least: float) -> DataFrame:
+def candidate_edges(classes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(a, b): classes that signatures say may be linked; a spanning set of every node's such pairs."""
-    small, large = tree_nodes(classes)
-    # a node that stayed large: blocks of it, and the node's first class in each
+    small, large = tree_nodes(classes, scratch)
+    # a node that stayed large: blocks of it, dealt anew in every node, and the node's first class in each
     sizes = large.groupBy("node").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
-    blocks = large.join(sizes, "node").withColumn("block", F.expr(f"pmod(xxhash64(rep, 'block'), cast(ceil(n / {SMALL}) as int))"))
+    blocks = large.join(sizes, "node").withColumn("block", F.expr(f"pmod(xxhash64(node, rep, 'block'), cast(ceil(n / {SMALL}) as int))"))
     starts = sizes.withColumn("block", F.explode(F.expr(f"sequence(0L, ceil(n / {SMALL}) - 1)"))).selectExpr("xxhash64(node, block) node", "first rep")
     groups = small.unionByName(blocks.selectExpr("xxhash64(node, cast(block as bigint)) node", "rep")).unionByName(starts)
     rows = groups.distinct().join(classes.select("rep", "sig"), "rep")
@@ -153,13 +154,13 @@ def is_stars(e: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 or (up > 0 and top > 0)").isEmpty()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """(id, root): for all ids of the edges the smallest id reachable, by large-star and small-star rounds.
 
     Each round joins every node's larger neighbours to its smallest one, then its smaller ones; a hot node costs
     its edges only, which the rounds shorten to stars.  It ends once the edges are stars.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
+    e = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
     for k in range(rounds):
         if is_stars(e):
             return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
@@ -170,25 +171,30 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
         new = small.selectExpr("u", "m v").unionByName(small.filter("v <> m").selectExpr("v u", "m v")).filter("u <> v").distinct()
-        e = materialize(new, f"cc{k}")
+        e = scratch.table(new, f"cc{k}")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a spanning set of the true links among the classes of each candidate group (id, root, n)."""
+def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(a, b): a spanning set of the true links among the classes of each candidate group (id, root, n).
+
+    Texts are read again for members of groups only: the scan is sieved by their ids before its exchange.
+    """
     per = groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     blocks = groups.join(per, "root").withColumn("blocks", F.expr(f"cast(greatest(ceil(size / {BLOCK}), ceil(total / {BLOCK_SHINGLES})) as int)")).withColumn("block", F.expr("pmod(xxhash64(id, 'b'), blocks)"))
     texts = docs.selectExpr(f"cast(`{id_col}` as long) id", f"`{text_col}` text")
-    texts = texts.join(blocks.select("id", "root", "block", "blocks"), "id")
-    texts = materialize(texts, "near-texts")
+    texts = sieve(texts, groups.select("id"), "id").join(blocks.select("id", "root", "block", "blocks"), "id")
+    texts = scratch.table(texts, "texts")
 
     def within(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("id").sort_values("id")
+        part = part.drop_duplicates(["id", "text"]).sort_values("id")
         ids, sets = part["id"].to_numpy(), [shingles(t, n) for t in part["text"]]
         sizes = np.array([len(s) for s in sets])
         tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         mark, parts = np.zeros(len(tokens), np.int64), Parts(len(ids))
+        for i in np.flatnonzero(ids[1:] == ids[:-1]):  # texts of one id share its component
+            parts.join(int(i), int(i) + 1)
         for i in range(len(ids) - 1):
             own = inverse[starts[i] : starts[i] + sizes[i]]
             mark[own] = 1
@@ -197,27 +203,27 @@ def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: st
             for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)):
                 parts.join(i, i + 1 + int(j))
         roots = np.array([parts.root(i) for i in range(len(ids))])
-        return pd.DataFrame({"root": part["root"].to_numpy(), "a": ids[roots], "b": ids})
+        return pd.DataFrame({"root": part["root"].to_numpy(), "a": ids[roots], "b": ids}).drop_duplicates()
 
-    inner = materialize(texts.groupBy("root", "block").applyInPandas(within, "root long, a long, b long"), "near-inner")
+    inner = scratch.table(texts.groupBy("root", "block").applyInPandas(within, "root long, a long, b long"), "inner")
     # groups of several blocks: one member of each part but a group's largest meets all blocks of the group, then all
     # members that are still outside the largest part do; after that only pairs within one part have not met
     links = inner.filter("a <> b").select("a", "b")
     many = texts.filter("blocks > 1")
     if many.isEmpty():
         return links
-    split = materialize(inner.join(many.select("root").distinct(), "root", "left_semi"), "near-split")
+    split = scratch.table(inner.join(many.select("root").distinct(), "root", "left_semi"), "split")
     places = many.selectExpr("root q_root", "block q_block").distinct()
     own, asked = split.filter("a <> b").select("a", "b"), None
     for k in range(2):
-        parts = components(own)
-        state = materialize(split.select("root", F.col("b").alias("id")).join(parts.withColumnRenamed("root", "part"), "id", "left").select("root", "id", F.coalesce("part", "id").alias("part")), f"near-state{k}")
+        parts = components(own, scratch)
+        state = scratch.table(split.select("root", F.col("b").alias("id")).join(parts.withColumnRenamed("root", "part"), "id", "left").select("root", "id", F.coalesce("part", "id").alias("part")), f"state{k}")
         sizes = state.groupBy("root", "part").agg(F.count("*").alias("size"))
         best = sizes.groupBy("root").agg(F.max(F.struct("size", F.negate("part").alias("k"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1").selectExpr("root", "-m.k largest")
         outside = state.join(best, "root").filter("part <> largest").select("root", "id", "part")
         ask = outside.filter("part = id") if asked is None else outside.join(asked.select("id"), "id", "left_anti")
         turns = ask.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {ASKED}) as int)").alias("turns"))
-        ask = materialize(ask.join(turns, "root").withColumn("turn", F.expr("pmod(xxhash64(id, 't'), turns)")), f"near-ask{k}")
+        ask = scratch.table(ask.join(turns, "root").withColumn("turn", F.expr("pmod(xxhash64(id, 't'), turns)")), f"ask{k}")
         if ask.isEmpty():
             return links
         fans = ask.join(many.select("id", "text"), "id").selectExpr("root q_root", "turn q_turn", "id q_id", "part q_part", "text q_text").join(places, "q_root")
@@ -245,7 +251,7 @@ def confirm(groups: DataFrame, docs: DataFrame, n: int, percent: int, id_col: st
                         out.append((min(i, q), max(i, q)))
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-        found = materialize(fans.groupBy("q_root", "q_block", "q_turn").cogroup(members.groupBy("root", "block", "turn")).applyInPandas(across, "a long, b long").distinct(), f"near-found{k}")
+        found = scratch.table(fans.groupBy("q_root", "q_block", "q_turn").cogroup(members.groupBy("root", "block", "turn")).applyInPandas(across, "a long, b long").distinct(), f"found{k}")
         links, own, asked = links.unionByName(found), own.unionByName(found), ask
         if outside.filter("part <> id").isEmpty():
             break
@@ -261,19 +267,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     smallest id that links reach.  Shingles are compared by 64-bit digests.  Rows with a null id are each their own
     component, with a null component id, and kept; repeated rows of an id are returned each.  Other columns are not read.
     """
-    sets = materialize(sets_table(docs, n, id_col, text_col), "near-sets")
+    spark = docs.sparkSession
+    sets, scratch = materialize(sets_table(docs, n, id_col, text_col), "near-sets"), Scratch(spark, "near")
     whole = sets.filter("doc_id is not null and key is not null")
-    classes = whole.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
-    classes = materialize(classes, "near-classes")
-    distinct = classes.select("rep", "n").join(whole.select(F.col("doc_id").alias("rep"), "sig", F.col("n_shingles").alias("n")), ["rep", "n"]).dropDuplicates(["rep"])
-    edges = candidate_edges(materialize(distinct.select("rep", "sig"), "near-distinct"), percent / 100 - 0.25)
-    groups = components(edges)
-    groups = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    links = confirm(materialize(groups, "near-groups"), docs, n, percent, id_col, text_col)
-    roots = components(links)
-    named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
+    # the signature is a function of the set, so any one of a class is that of its first document
+    classes = whole.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = scratch.table(classes, "classes")
+    edges = candidate_edges(classes.select("rep", "sig"), percent / 100 - 0.25, scratch)
+    groups = components(edges, scratch)
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+    groups = groups.join(sieve(sizes, groups, "id").groupBy("id").agg(F.max("n").alias("n")), "id")
+    roots = components(confirm(scratch.table(groups, "groups"), docs, n, percent, id_col, text_col, scratch), scratch)
+    named = classes.select("key", "rep", "copies").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     # only classes of several documents, or linked ones, differ from their own id: few rows meet in the join by key
-    moved = materialize(named.join(classes.select("key", "rep", "copies"), "key").filter("copies > 1 or component_id <> rep").select("key", "component_id"), "near-named")
+    moved = materialize(named.filter("copies > 1 or component_id <> rep").select("key", "component_id"), "near-named")
+    scratch.drop()
     out = sets.select("doc_id", "n_shingles", "key").join(moved, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from recallforge.llm import decontaminate, html_text, mixing, near_dups, quality_model, quality_rules, secrets, substrings, tokens, toxicity
+from recallforge.llm import _common, decontaminate, html_text, mixing, near_dups, quality_model, quality_rules, secrets, substrings, tokens, toxicity
 
 rnd = random.Random(5)
 
@@ -60,6 +60,59 @@ def test_near_duplicates_equal_brute_force(spark, edge_docs, no_docs, monkeypatc
     assert near_dups.near_duplicates(no_docs).count() == 0
 
 
+def components_of(rows, n, percent):
+    """Components by comparing all pairs of sets."""
+    sets = {i: set(near_dups.shingles(t, n).tolist()) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            k = len(sets[a] & sets[b])
+            if a < b and sets[a] and 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_near_duplicates_of_templates_equal_brute_force(spark, monkeypatch):
+    """Documents of one template are similar by 0.6 to 0.8, none linked by that alone; nodes and groups of several blocks."""
+    monkeypatch.setattr(near_dups, "SMALL", 4)
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    rows = []
+    for t in range(2):
+        template = [f"t{rnd.randrange(5000)}" for _ in range(240)]
+        for i in range(60):
+            w = list(template)
+            at = rnd.randrange(200)
+            w[at : at + 24] = [f"o{rnd.randrange(10**6)}" for _ in range(24)]
+            rows.append((1000 * t + i, " ".join(w)))
+            if i % 3 == 0:
+                w[rnd.randrange(240)] = "changed"
+                rows.append((1000 * t + 500 + i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    want = components_of(rows, 3, 85)
+    assert got == want and 60 < len(set(want.values())) < len(rows)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rows = [(5, "a b c d e f"), (9, "a b c d e f"), (9, "u v w x y z"), (11, "u v w x y z"), (5, "q r s t u v"), (12, "q r s t u v"), (13, None)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 7 and sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (9, 5), (9, 9), (11, 9), (12, 5), (13, 13)]
+
+
+def test_sieve_drops_no_row(spark):
+    rows, among = spark.range(20000).withColumnRenamed("id", "k"), spark.range(0, 20000, 97).withColumnRenamed("id", "k")
+    for most in (1 << 27, 16):
+        kept = _common.sieve(rows, among, "k", most)
+        assert kept.columns == ["k"] and among.exceptAll(kept).count() == 0 and kept.count() == (20000 if most == 16 else kept.count())
+    assert _common.sieve(rows, among, "k").count() < 3000 and _common.sieve(rows, among.limit(0), "k").count() == 0
+
+
 def removed(docs, window):
     words = {i: (t or "").encode().split() for i, t in docs}
     first = {}
