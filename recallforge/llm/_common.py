@@ -58,23 +58,27 @@ class Scratch:
         self.paths.clear()
 
 
-def sieve(rows: DataFrame, among: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
-    """The rows whose ``key`` may be in the column ``key`` of ``among``, before a join that shuffles them.
+def sifted(rows: DataFrame, among: DataFrame, key: str, name: str, most_bits: int = 1 << 27) -> DataFrame:
+    """``rows`` with a boolean column ``name``: whether their ``key`` may be in the column ``key`` of ``among``.
 
     The keys become a bitmap of 16 bits a key, aggregated on the executors, that is broadcast: ``most_bits`` (16 MB) is
-    its bound, beyond which all rows pass.  Few rows pass that the join drops again, so results never depend on it.
+    its bound, beyond which every row may be.  A row whose key is there is always marked; few others are.
     """
     n = among.count()
     bits = 1 << max(15, (16 * n).bit_length())
     if bits > most_bits:
-        return rows
+        return rows.withColumn(name, F.lit(True))
     place = F.pmod(F.xxhash64(F.col(key), F.lit("sieve")), F.lit(bits))
     maps = among.select(place.alias("at")).groupBy(F.expr("at >> 15").alias("m_bucket")).agg(F.bitmap_construct_agg(F.expr("at & 32767L")).alias("m_bits"))
-    named = rows.withColumn("m_at", place)
-    kept = named.join(F.broadcast(maps), F.expr("m_at >> 15 = m_bucket"))
+    placed = rows.withColumn("m_at", place).join(F.broadcast(maps), F.expr("m_at >> 15 = m_bucket"), "left")
     # the bytes of a bitmap hold their lowest bit first
-    kept = kept.filter("cast(conv(hex(substring(m_bits, cast((m_at & 32767L) / 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(m_at % 8 as int)) <> 0")
-    return kept.select(*rows.columns)
+    bit = F.expr("cast(conv(hex(substring(m_bits, cast((m_at & 32767L) / 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(m_at % 8 as int)) <> 0")
+    return placed.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias(name))
+
+
+def sieve(rows: DataFrame, among: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows that ``sifted`` marks, before a join with ``among`` that shuffles them; the join's result is the same."""
+    return sifted(rows, among, key, "m_in", most_bits).filter("m_in").drop("m_in")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

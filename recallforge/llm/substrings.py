@@ -2,12 +2,15 @@
 
 Two documents that share a window of ``window`` words share the window's anchor, the smallest digest of its grams of
 ``GRAM`` words.  Each document gives, for each run of windows of one anchor, a passage: (anchor, digest of the
-passage's words).  Where a passage as a whole is in a smaller document, aggregation by both digests finds that; one
-row for each distinct passage is left.  Distinct passages of one anchor form a reference shard: in the order of
-their documents they are streamed against a suffix automaton of those before, whose matching statistics of ``window``
-words or more are the windows to remove, and are then added to it.  Anchors with more than ``SHARD`` distinct passages
-(the ends of a passage that very many documents quote) would make one automaton that grows with the corpus; for these
-alone the windows are compared by 128-bit digests in an aggregation.
+passage's words).  Distinct passages of one anchor, with the smallest and the largest document of each, form a
+reference shard: in the order of their first documents they are streamed against a suffix automaton of those before,
+whose matching statistics of ``window`` words or more are the windows that the first document has to give up; then they
+are added to it, and the statistics of what was added are the windows that all later documents have to give up.
+Anchors with more than ``SHARD`` distinct passages (the ends of a passage that very many documents quote) would make
+one automaton that grows with the corpus; for these alone the windows are compared by 128-bit digests in an aggregation.
+
+Automata are not broadcast: passages are sent to their shard.  Texts are shuffled only where they may hold a passage of
+a shard, or may lose words; a bitmap of bounded size tells that at the scan.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, gram_hashes, materialize, mix, slices, word_hashes
+from ._common import Scratch, documents, gram_hashes, materialize, mix, sieve, sifted, slices, word_hashes
 
 WINDOW, GRAM, SHARD = 50, 10, 256
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -124,112 +127,127 @@ class SuffixAutomaton:
             yield n
 
 
-def shard_windows(group: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, list[int]]]:
-    """For one anchor's passages (document, passage digest, words) in the order of documents: the windows that a smaller document has."""
-    automaton, out, waiting, doc = SuffixAutomaton(), [], [], None
-    for d, p, text in group:
-        if d != doc:
-            for w in waiting:
-                automaton.add(w)
-            waiting, doc = [], d
-        words = text.split()
-        hit = [e - window + 1 for e, n in enumerate(automaton.statistics(words)) if n >= window]
-        if hit:
-            out.append((p, hit))
-        if len(hit) < len(words) - window + 1:
-            waiting.append(words)
+def runs(windows: list[int], window: int) -> list[dict[str, int]]:
+    """Word intervals of sorted windows, neighbouring ones joined."""
+    out: list[dict[str, int]] = []
+    for w in windows:
+        if out and w <= out[-1]["e"] - window + 1:
+            out[-1]["e"] = w + window
+        else:
+            out.append({"s": w, "e": w + window})
     return out
 
 
-def runs(starts: list[int], offsets: list[int], window: int) -> list[dict[str, int]]:
-    """Word intervals of windows, neighbouring ones joined."""
-    out: list[dict[str, int]] = []
-    for s in starts:
-        for o in offsets:
-            if out and s + o <= out[-1]["e"] and s + o >= out[-1]["s"]:
-                out[-1]["e"] = max(out[-1]["e"], s + o + window)
-            else:
-                out.append({"s": s + o, "e": s + o + window})
-    return out
+def shard_windows(group: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, list, list]]:
+    """For one anchor's passages (first document, last document, passage digest, words), in the order of their first
+    documents: (passage digest, spans that its first document gives up, spans that later documents give up)."""
+
+    def matched(words: list[bytes]) -> list[int]:
+        return [e - window + 1 for e, n in enumerate(automaton.statistics(words)) if n >= window]
+
+    automaton, waiting, doc = SuffixAutomaton(), [], None
+
+    def add() -> Iterator[tuple[int, list, list]]:
+        for p, words, hit, again in waiting:
+            if len(hit) < len(words) - window + 1:
+                automaton.add(words)
+        for p, words, hit, again in waiting:
+            if hit or again:
+                yield p, runs(hit, window), runs(matched(words), window) if again else []
+        waiting.clear()
+
+    for first, last, p, text in group:
+        if first != doc:
+            yield from add()
+            doc = first
+        words = text.split()
+        waiting.append((p, words, matched(words), last > first))
+    yield from add()
+
+
+SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+_SPANS = "array<struct<s:int,e:int>>"
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): for documents with words to remove, intervals of words (they may overlap)."""
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").filter("doc_id is not null")
+    """(doc_id, t, spans): for texts (their digest is t) with words to remove, intervals of words (they may overlap)."""
+    rows, scratch = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"xxhash64(`{text_col}`) t", f"`{text_col}` text").filter("doc_id is not null"), Scratch(docs.sparkSession, "sub")
+
+    def batch_of(out: list[tuple], names: dict[str, pa.DataType]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, names.values(), strict=True)], names=list(names))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {"doc_id": pa.int64(), "t": pa.int64(), "f": pa.int64(), "p": pa.int64(), "n": pa.int32(), "starts": pa.list_(pa.int32())}
         for whole in batches:
             for batch in slices(whole, "text"):
-                out: list[tuple] = [(d, *p) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in passages(words_of(t), window)]
-                cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], names=["doc_id", "f", "p", "n", "starts"])
-
-    found = materialize(rows.mapInArrow(cut, "doc_id long, f long, p long, n int, starts array<int>"), "sub-passages")
-    distinct = materialize(found.groupBy("f", "p").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "sub-distinct")
-    shared = distinct.filter("last > first").select("f", "p", "first")
-    copies = found.join(shared, ["f", "p"]).filter("doc_id > first").selectExpr("doc_id", f"transform(starts, s -> named_struct('s', s, 'e', s + n + {window - 1})) spans")
-    several = distinct.groupBy("f").agg(F.count("*").alias("size"), F.min("first").alias("a"), F.max("last").alias("b")).filter("size > 1 and b > a").select("f", "size")
-    wanted = distinct.select("f", "p", "first").join(several, "f")
-    chosen = materialize(found.join(wanted, ["f", "p"]).filter("doc_id = first").select("doc_id", "f", "p", "n", "starts", "size"), "sub-chosen")
-    asked = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("f", "p", "n", F.expr("starts[0] s"), "size")).alias("asked"))
+                columns = (batch.column(c).to_pylist() for c in ("doc_id", "t", "text"))
+                yield batch_of([(d, t, *p) for d, t, text in zip(*columns, strict=True) for p in passages(words_of(text), window)], names)
+
+    found = scratch.table(rows.mapInArrow(cut, "doc_id long, t long, f long, p long, n int, starts array<int>"), "passages").withColumn("fp", F.xxhash64("f", "p"))
+    distinct = scratch.table(found.groupBy("f", "p").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
+    shards = distinct.groupBy("f").agg(F.count("*").alias("size"), F.min("first").alias("a"), F.max("last").alias("b")).filter("b > a").select("f", "size")
+    wanted = scratch.table(distinct.join(shards, "f").withColumn("fp", F.xxhash64("f", "p")), "wanted")
+    held = sieve(found, wanted.select("fp"), "fp").drop("fp")
+    chosen = held.join(wanted.drop("fp"), ["f", "p"]).filter("doc_id = first")
+    asked = scratch.table(chosen.groupBy("doc_id", "t").agg(F.collect_list(F.struct("f", "p", "n", F.expr("starts[0] s"), "size", "last")).alias("asked")), "asked")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {"f": pa.int64(), "p": pa.int64(), "first": pa.int64(), "last": pa.int64(), "size": pa.int64(), "n": pa.int32(), "words": pa.binary()}
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 out = []
-                for d, t, ask in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                    words = words_of(t)
-                    for a in ask:
-                        out.append((a["f"], a["p"], d, a["size"], b" ".join(words[a["s"] : a["s"] + a["n"] + window - 1])))
-                cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["f", "p", "doc_id", "size", "words"])
+                for d, text, ask in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked")), strict=True):
+                    words = words_of(text)
+                    out += [(a["f"], a["p"], d, a["last"], a["size"], a["n"], b" ".join(words[a["s"] : a["s"] + a["n"] + window - 1])) for a in ask]
+                yield batch_of(out, names)
 
-    texts = rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(fetch, "f long, p long, doc_id long, size long, words binary")
-    texts = materialize(texts, "sub-texts")
+    texts = sieve(rows, asked.select("doc_id"), "doc_id").join(asked, ["doc_id", "t"]).select("doc_id", "text", "asked")
+    texts = scratch.table(texts.mapInArrow(fetch, "f long, p long, first long, last long, size long, n int, words binary"), "texts")
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards as runs of sorted rows; one shard is held at a time."""
-        held: list[tuple[int, int, bytes]] = []
+        names = {"f": pa.int64(), "p": pa.int64(), "own": SPANS, "later": SPANS}
+        held: list[tuple[int, int, int, bytes]] = []
         anchor, out = None, []
-
-        def close() -> None:
-            out.extend((anchor, p, hit) for p, hit in shard_windows(held, window))
-            held.clear()
-
-        def give() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["f", "p", "hit"])
-            out.clear()
-            return batch
-
         for batch in batches:
-            for f, p, d, w in zip(*(batch.column(c).to_pylist() for c in ("f", "p", "doc_id", "words")), strict=True):
+            for f, p, first, last, words in zip(*(batch.column(c).to_pylist() for c in ("f", "p", "first", "last", "words")), strict=True):
                 if f != anchor:
-                    close()
+                    out += [(anchor, *x) for x in shard_windows(held, window)]
+                    held.clear()
                     anchor = f
-                held.append((d, p, w))
-            yield give()
-        close()
-        yield give()
+                held.append((first, last, p, words))
+            yield batch_of(out, names)
+            out.clear()
+        yield batch_of([(anchor, *x) for x in shard_windows(held, window)], names)
 
-    by_automaton = texts.filter(f"size <= {SHARD}").select("f", "p", "doc_id", "words").repartition("f").sortWithinPartitions("f", "doc_id", "p").mapInArrow(streamed, "f long, p long, hit array<int>")
+    shard = texts.filter(f"size <= {SHARD}").select("f", "p", "first", "last", "words")
+    by_automaton = shard.repartition("f").sortWithinPartitions("f", "first", "p").mapInArrow(streamed, f"f long, p long, own {_SPANS}, later {_SPANS}")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {"f": pa.int64(), "p": pa.int64(), "first": pa.int64(), "i": pa.int32(), "digest": pa.binary()}
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 out = []
-                for f, p, d, t in zip(*(batch.slice(a, 512).column(c).to_pylist() for c in ("f", "p", "doc_id", "words")), strict=True):
+                for f, p, d, t in zip(*(batch.slice(a, 512).column(c).to_pylist() for c in ("f", "p", "first", "words")), strict=True):
                     words = t.split()
                     out += [(f, p, d, i, hashlib.md5(b" ".join(words[i : i + window])).digest()) for i in range(len(words) - window + 1)]
-                cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["f", "p", "doc_id", "i", "digest"])
-
-    hot = materialize(texts.filter(f"size > {SHARD}").select("f", "p", "doc_id", "words").mapInArrow(digests, "f long, p long, doc_id long, i int, digest binary"), "sub-hot")
-    least = hot.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").select("digest", "first")
-    by_digest = hot.join(least, "digest").filter("doc_id > first").groupBy("f", "p").agg(F.array_sort(F.collect_list("i")).alias("hit"))
-    join_runs = F.udf(lambda starts, hit: runs(starts, hit, window), "array<struct<s:int,e:int>>")
-    partial = chosen.select("doc_id", "f", "p", "starts").join(materialize(by_automaton.unionByName(by_digest), "sub-hits"), ["f", "p"]).select("doc_id", join_runs("starts", "hit").alias("spans"))
-    return copies.unionByName(partial).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+                yield batch_of(out, names)
+
+    hot = texts.filter(f"size > {SHARD}")
+    each = scratch.table(hot.select("f", "p", "first", "words").mapInArrow(digests, "f long, p long, first long, i int, digest binary"), "hot")
+    least = each.groupBy("digest").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("most > least").select("digest", "least")
+    hit = each.join(least, "digest").filter("first > least").groupBy("f", "p").agg(F.array_sort(F.collect_set("i")).alias("h"))
+    # a run begins where the window before is not there, and ends where the one after is not
+    own = f"transform(arrays_zip(filter(h, (x, k) -> k = 0 or h[greatest(k - 1, 0)] <> x - 1), filter(h, (x, k) -> k = size(h) - 1 or h[least(k + 1, size(h) - 1)] <> x + 1)), z -> named_struct('s', z['0'], 'e', z['1'] + {window}))"
+    by_digest = hot.select("f", "p", "first", "last", "n").distinct().join(hit, ["f", "p"], "left").filter("h is not null or last > first")
+    by_digest = by_digest.selectExpr("f", "p", f"coalesce({own}, array()) own", f"if(last > first, array(named_struct('s', 0, 'e', n + {window - 1})), array()) later")
+    hits = scratch.table(by_automaton.unionByName(by_digest).join(wanted.select("f", "p", "first", "fp"), ["f", "p"]), "hits")
+    lost = sieve(found, hits.select("fp"), "fp").drop("fp").join(hits.drop("fp"), ["f", "p"]).withColumn("lost", F.expr("if(doc_id = first, own, later)"))
+    spans = lost.select("doc_id", "t", F.expr("flatten(transform(starts, s -> transform(lost, r -> named_struct('s', s + r.s, 'e', s + r.e))))").alias("spans")).filter("size(spans) > 0")
+    spans = materialize(spans.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "sub-spans")
+    scratch.drop()
+    return spans
 
 
 def kept_words(words: list[bytes], spans: list[dict[str, int]] | None) -> list[bytes]:
@@ -246,10 +264,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Words are split at ASCII white space.  A word goes if it is in a window of ``window`` words whose word sequence is
     also in a document with a smaller id.  Null and empty texts have no words; rows with a null id keep all their words
-    and are no reference; repeated rows of an id are returned each (they should have equal texts: spans are found by id).
+    and are no reference; repeated rows of an id are returned each, whether their texts are equal or not, and none is a
+    reference for another.  Other columns are not read.
     """
     spans = repeated_spans(docs, window, id_col, text_col)
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"xxhash64(`{text_col}`) t", f"`{text_col}` text")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -259,10 +278,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 n = [len(w) for w in words]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([a - len(k) for a, k in zip(n, kept, strict=True)], pa.int64()), pa.array([b" ".join(k).decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cleaned, "doc_id long, n_words long, n_removed long, kept string")
+    # texts that surely keep all their words go by the join
+    marked = sifted(rows, spans.select("doc_id"), "doc_id", "m_in")
+    through = marked.filter("m_in").join(spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans")
+    whole = marked.filter("not m_in").select("doc_id", "text", F.lit(None).cast(_SPANS).alias("spans"))
+    return whole.unionByName(through).mapInArrow(cleaned, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what ``remove_repeats`` keeps of all documents; nulls, empty texts and repeated rows as there."""
     cleaned = remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
