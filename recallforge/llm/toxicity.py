@@ -1,11 +1,16 @@
 """Op 1, toxicity: a support vector machine on string subsequence kernels, with Nystrom landmarks.
 
-Units are words in lower case with marks for both ends, pieces of very long words, and runs of single letters put
-together.  The kernel of two units sums their common subsequences of ``ORDER`` characters, each gap costing a factor
+Units are words in lower case with marks for both ends, pieces of very long words, the letters and digits of words with
+other characters between them, and runs of single letters put together.  The kernel of two units sums their common subsequences of ``ORDER`` characters, each gap costing a factor
 ``DECAY``, so characters put between those of an insult only lower it; it is normalized to 1 for equal units.  Kernel
 values to a few landmark units give Nystrom features; a linear SVM on them is trained on labelled documents as bags of
-units (the best unit of each toxic document is its witness, retrained in rounds).  A document's score is a logistic
-curve of the best decision over all units of its whole text, and of the number and the share of toxic units.
+units (the best unit of each toxic document is its witness, retrained in rounds).  Decisions under the margin's ``FLOOR``
+count as that floor.  A document's score is a logistic curve of the best decision over all units of its whole text, and
+of the number and the share of toxic units.
+
+A corpus is scored in two passes: every distinct unit is decided once, by its kernels to all landmarks, on the machine
+that it is dealt to; units above the floor are then looked up by all documents.  If these are too many to be sent to all
+tasks, each task decides the units of its own documents, with the same results.
 """
 
 from __future__ import annotations
@@ -22,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, slices
+from ._common import documents, materialize, slices
 
 ORDER, DECAY, UNIT, CUT = 4, 0.7, 24, 0.3
-#: Share of a toxic landmark's pairs that a unit must have to be compared, and the decision for all other units.
-CLOSE, FAR = 0.65, -1.0
+#: The least decision, and bytes of units above it that are sent to all tasks.
+FLOOR, KNOWN_BYTES = -0.8, 32 << 20
 #: Bounds of the training sample: documents of each label, landmarks, and distinct clean units to train on.
-MOST_DOCS, LANDMARKS, MOST_CLEAN = 2_000, 64, 120_000
+MOST_DOCS, LANDMARKS, MOST_CLEAN = 2_000, 128, 60_000
+PARTED = re.compile(r"[^\W_][\W_]+[^\W_]")
 SPACED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 
 
@@ -42,6 +48,8 @@ def units(text: str | None) -> Counter:
         n = found.pop(w)
         for i in range(0, len(w) - UNIT // 2, UNIT // 2):
             found[w[i : i + UNIT]] += n
+    for w in [w for w in found if PARTED.search(w)]:
+        found[re.sub(r"[\W_]+", "", w)[:UNIT]] += found[w]
     if any(len(w) == 1 for w in found):
         for m in SPACED.finditer(low):
             run = re.sub(r"[ \t]", "", m[0])
@@ -49,14 +57,21 @@ def units(text: str | None) -> Counter:
     return found
 
 
-def summary(bag: Counter, decision: dict[str, float], lowest: float) -> tuple[float, float, float]:
-    """What a document's score sees: its best decision, and how many units, and what share of them, are toxic."""
+def _soft(f: np.ndarray | float) -> np.ndarray | float:
+    return 1 / (1 + np.exp(-np.clip(6 * f, -30, 30)))
+
+
+def summary(bag: Counter, known: dict[str, float]) -> tuple[float, float, float]:
+    """What a document's score sees: its best decision, and how many units, and what share of them, are toxic.
+
+    ``known`` has the decisions of all units above the floor.
+    """
     if not bag:
-        return lowest, 0.0, math.log(1e-3)
-    f = np.array([decision[u] for u in bag])
-    n = np.fromiter(bag.values(), float, len(bag))
-    soft = float(n @ (1 / (1 + np.exp(-np.clip(6 * f, -30, 30)))))
-    return float(f.max()), math.log1p(soft), math.log(soft / n.sum() + 1e-3)
+        return FLOOR, 0.0, math.log(1e-3)
+    hits = [u for u in bag if u in known]
+    f, n, total = np.array([known[u] for u in hits]), np.array([bag[u] for u in hits], float), sum(bag.values())
+    soft = float(n @ _soft(f)) + (total - n.sum()) * _soft(FLOOR)
+    return float(f.max(initial=FLOOR)), math.log1p(soft), math.log(soft / total + 1e-3)
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +82,6 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(w) for w in marked])
 
 
-def _coarse(c: np.ndarray) -> np.ndarray:
-    """Codes of characters from 0 (none) over the end marks 1 to 3 to 63."""
-    return np.where(c < 4, c, c % 60 + 4).astype(np.int64)
-
-
 def kernel(a: np.ndarray, b: np.ndarray, pairwise: bool) -> np.ndarray:
     """Subsequence kernel of order ``ORDER``: rows of ``a`` with all rows of ``b``, or (pairwise) with the same row."""
     shape = (len(a),) if pairwise else (len(a), len(b))
@@ -101,68 +111,43 @@ class Model:
     alpha: np.ndarray
     bias: float
     curve: np.ndarray  # of the document's summary, then the constant
-    lowest: float
-    toxic: int  # so many landmarks, the first ones, are toxic units
 
     def __post_init__(self) -> None:
-        self.codes, _ = codes(self.landmarks)
-        self.own = np.sqrt(kernel(self.codes, self.codes, True) + 1e-12)
-        self.known: dict[str, float] = {}
-        # ordered pairs of neighbouring characters of the toxic landmarks, by a coarse code of characters
-        coarse = _coarse(self.codes)
-        pairs = [sorted({int(c[i]) * 64 + int(c[i + 1]) for i in range(len(w) + 2)}) for c, w in zip(coarse, self.landmarks[: self.toxic], strict=False)]
-        every = sorted({p for x in pairs for p in x})
-        self.pair_at = np.full(4096, len(every), np.int64)
-        self.pair_at[every] = np.arange(len(every))
-        self.pairs_of = np.zeros((len(every) + 1, max(1, len(pairs))), np.float32)
-        for k, x in enumerate(pairs):
-            self.pairs_of[self.pair_at[x], k] = 1 / len(x)
-
-    def close(self, words: list[str]) -> np.ndarray:
-        """Which units have ``CLOSE`` of the neighbouring pairs of a toxic landmark in order, at most one character between them.
-
-        Only for these are kernels computed; no other unit shares enough subsequences to be toxic.
-        """
-        out = np.zeros(len(words), bool)
-        by = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for s in range(0, len(by), 4096):
-            part = by[s : s + 4096]
-            c = _coarse(codes([words[i] for i in part])[0])
-            there = np.zeros((len(part), len(self.pairs_of)), np.float32)
-            row = np.arange(len(part))[:, None]
-            for gap in (1, 2):
-                if c.shape[1] > gap:
-                    there[row, self.pair_at[c[:, :-gap] * 64 + c[:, gap:]]] = 1
-            there[:, -1] = 0
-            out[part] = (there @ self.pairs_of).max(1) >= CLOSE
-        return out
+        by = sorted(range(len(self.landmarks)), key=lambda i: len(self.landmarks[i]))
+        # landmarks of about the same length go together, so that none is padded far
+        self.parts = [(part, codes([self.landmarks[i] for i in part])[0]) for part in (by[k : k + 32] for k in range(0, len(by), 32))]
+        self.own = [np.sqrt(kernel(c, c, True) + 1e-12) for _, c in self.parts]
 
     def values(self, words: list[str]) -> np.ndarray:
-        """Normalized kernels of units to the landmarks."""
+        """Normalized kernels of units to all landmarks."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         by = sorted(range(len(words)), key=lambda i: len(words[i]))
         for s in range(0, len(by), 512):
-            part = by[s : s + 512]
-            c, _ = codes([words[i] for i in part])
-            out[part] = kernel(c, self.codes, False) / np.sqrt(kernel(c, c, True) + 1e-12)[:, None] / self.own[None, :]
+            rows = by[s : s + 512]
+            c, _ = codes([words[i] for i in rows])
+            length = np.sqrt(kernel(c, c, True) + 1e-12)[:, None]
+            for (part, landmarks), own in zip(self.parts, self.own, strict=True):
+                out[np.ix_(rows, part)] = kernel(c, landmarks, False) / length / own[None, :]
         return out
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), FAR)
-        at = np.flatnonzero(self.close(words))
-        if len(at):
-            out[at] = self.values([words[i] for i in at]) @ self.alpha + self.bias
-        return out
-
-    def scores(self, texts: Iterable[str | None], most: int = 400_000) -> list[float]:
-        """Scores of whole texts; units are looked up among those already decided."""
+        """Decisions of units, the floor at least; summed by row, so they do not depend on what else is decided."""
+        out = np.full(len(words), FLOOR)
+        for s in range(0, len(words), 8192):
+            out[s : s + 8192] = (self.values(words[s : s + 8192]) * self.alpha).sum(1) + self.bias
+        return np.maximum(np.round(out, 4), FLOOR)
+
+    def above(self, words: list[str]) -> dict[str, float]:
+        """The units above the floor, with their decisions."""
+        f = self.decisions(words)
+        return {words[i]: float(f[i]) for i in np.flatnonzero(f > FLOOR)}
+
+    def scores(self, texts: Iterable[str | None], known: dict[str, float] | None = None) -> list[float]:
+        """Scores of whole texts; without ``known`` their own units are decided here."""
         bags = [units(t) for t in texts]
-        if len(self.known) > most:
-            self.known.clear()
-        new = sorted({u for bag in bags for u in bag if u not in self.known})
-        for s in range(0, len(new), 8192):
-            self.known.update(zip(new[s : s + 8192], self.decisions(new[s : s + 8192]).tolist(), strict=True))
-        seen = np.array([summary(bag, self.known, self.lowest) for bag in bags], np.float64).reshape(-1, 3)
+        if known is None:
+            known = self.above(sorted({u for bag in bags for u in bag}))
+        seen = np.array([summary(bag, known) for bag in bags], np.float64).reshape(-1, 3)
         return (1 / (1 + np.exp(-np.clip(seen @ self.curve[:3] + self.curve[3], -30, 30)))).tolist()
 
 
@@ -182,12 +167,15 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> tu
     return w[:-1], float(w[-1])
 
 
-def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3) -> Model:
-    """A model from labelled documents as bags of units; without both labels it scores all documents low."""
+def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS, most_clean: int = MOST_CLEAN) -> Model:
+    """A model from labelled documents as bags of units; without both labels it scores all documents low.
+
+    ``landmarks`` bounds the units that kernels are computed to, ``most_clean`` the distinct clean units to learn from.
+    """
     pos, neg = [b for b, t in zip(bags, toxic, strict=True) if t == 1], [b for b, t in zip(bags, toxic, strict=True) if t == 0]
     in_pos, in_neg = Counter(u for b in pos for u in b), Counter(u for b in neg for u in b)
     if not pos or not neg or not in_pos:
-        return Model(["-"], np.zeros(1), 0.0, np.array([0.0, 0.0, 0.0, -3.0]), 0.0, 0)
+        return Model(["-"], np.zeros(1), FLOOR, np.array([0.0, 0.0, 0.0, -3.0]))
 
     def lift(u: str) -> float:
         return np.log((in_pos[u] + 0.5) / (len(pos) + 1)) - np.log((in_neg[u] + 0.5) / (len(neg) + 1))
@@ -196,38 +184,31 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3) -> Model:
     clean = sorted(in_neg, key=lambda u: (-in_neg[u], u))
     rare = clean[200:]
     # the frequent half and an even sample of the rest may be learned from
-    landmarks = list(dict.fromkeys([*ranked[: LANDMARKS * 5 // 8], *clean[: LANDMARKS // 8], *rare[:: max(1, len(rare) // (LANDMARKS // 4))]]))[:LANDMARKS]
-    model = Model(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(4), FAR, len([u for u in ranked[: LANDMARKS * 5 // 8] if lift(u) > 0]))
-    vals, vecs = np.linalg.eigh(model.values(landmarks).astype(np.float64))
+    chosen = list(dict.fromkeys([*ranked[: landmarks * 5 // 8], *clean[: landmarks // 8], *rare[:: max(1, len(rare) // max(1, landmarks // 4))]]))[:landmarks]
+    model = Model(chosen, np.zeros(len(chosen)), 0.0, np.zeros(4))
+    vals, vecs = np.linalg.eigh(model.values(chosen).astype(np.float64))
     keep = vals > 1e-4
     root = vecs[:, keep] / np.sqrt(vals[keep])  # Nystrom: features are kernels times this
-    negatives = list(dict.fromkeys([*clean[: MOST_CLEAN // 2], *rare[:: max(1, -(-len(rare) * 2 // MOST_CLEAN))]]))[:MOST_CLEAN]
-    negatives = [u for u, near in zip(negatives, model.close(negatives), strict=True) if near] or negatives[:1]
+    negatives = list(dict.fromkeys([*clean[: most_clean // 2], *rare[:: max(1, -(-len(rare) * 2 // most_clean))]]))[:most_clean]
     xn = model.values(negatives) @ root
     wn = np.sqrt([in_neg[u] for u in negatives])
     witness = {u for u in ranked if in_pos[u] > 1 and lift(u) > 2.5} or set(ranked[:1])
     every = sorted(in_pos)
-    every = [u for u, near in zip(every, model.close(every), strict=True) if near]
     xe = model.values(every) @ root
     at = {u: i for i, u in enumerate(every)}
-    witness = witness & set(at) or set(every[:1])
-    pos_sets = [set(b) for b in pos]
     for k in range(rounds):
-        chosen = sorted(witness)
-        x = np.vstack([xe[[at[u] for u in chosen]], xn])
-        y = np.r_[np.ones(len(chosen)), -np.ones(len(xn))]
-        wp = np.array([in_pos[u] for u in chosen], float)
+        some = sorted(witness)
+        x = np.vstack([xe[[at[u] for u in some]], xn])
+        y = np.r_[np.ones(len(some)), -np.ones(len(xn))]
+        wp = np.array([in_pos[u] for u in some], float)
         w, bias = svm(x, y, np.r_[wp / wp.sum() * wn.sum() / 8, wn])
         if k + 1 < rounds:
             f = xe @ w + bias
-            best = [max(b & at.keys(), key=lambda u: (f[at[u]], u)) for b in pos_sets if b & at.keys()]
+            best = [max(b, key=lambda u: (f[at[u]], u)) for b in pos if b]
             witness = {u for u in best if f[at[u]] > -0.5 and lift(u) > 0} | {u for u in every if f[at[u]] > 0 and lift(u) > 0.7} or witness
     model.alpha, model.bias = root @ w, bias
-    known = dict(zip(every, (xe @ w + bias).tolist(), strict=True))
-    others = sorted((set(in_neg) | set(in_pos)) - set(known))
-    known.update(zip(others, model.decisions(others).tolist(), strict=True))
-    model.lowest = min(known.values())
-    d = np.array([summary(b, known, model.lowest) for b in [*pos, *neg]])
+    known = model.above(sorted(set(in_neg) | set(in_pos)))
+    d = np.array([summary(b, known) for b in [*pos, *neg]])
     # a logistic curve with Platt's smoothed targets
     goal = np.r_[np.full(len(pos), (len(pos) + 1) / (len(pos) + 2)), np.full(len(neg), 1 / (len(neg) + 2))]
     mean, scale = d.mean(0), d.std(0) + 1e-6
@@ -240,9 +221,14 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, condition: str, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, condition: str, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_docs: int = MOST_DOCS, landmarks: int = LANDMARKS, most_clean: int = MOST_CLEAN) -> Model:
     """A model from the ``most_docs`` documents of each label, among the labels where ``condition`` holds, with the
-    smallest digests of their ids (a documented bound); their whole texts are read."""
+    smallest digests of their ids (a documented bound); their whole texts are read.
+
+    Rows with a null id or label are left out.  Of repeated labels of an id each counts; of repeated rows of an id one
+    is read, the one with the smallest digest of its text.  Null and empty texts are empty bags; empty tables give a model
+    that scores all documents low.
+    """
     some = labels.filter(condition).select("doc_id", F.col(label_col).cast("int").alias("y")).dropna()
     picked = None
     for y in (0, 1):
@@ -256,25 +242,57 @@ def learn(docs: DataFrame, labels: DataFrame, condition: str, label_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.string())], names=["doc_id", "y", "u"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").join(F.broadcast(picked), "doc_id")
-    got = rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, u string").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(4 * most_docs).toArrow()
-    return train([Counter(json.loads(b)) for b in got.column("u").to_pylist()], np.array(got.column("y").to_pylist(), int))
+    got = rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, u string")
+    got = got.groupBy("doc_id", "y").agg(F.min_by("u", F.xxhash64("u")).alias("u")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").toArrow()
+    return train([Counter(json.loads(b)) for b in got.column("u").to_pylist()], np.array(got.column("y").to_pylist(), int), landmarks=landmarks, most_clean=most_clean)
+
+
+def toxic_units(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(unit, decision) of the units of ``docs`` above the floor; each distinct unit is decided once."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for t in batch.column("text").to_pylist():
+                    held.update(units(t))
+                if len(held) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["unit"])
+                    held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["unit"])
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = sent.value.above(batch.column("unit").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.string()), pa.array(list(near.values()), pa.float64())], names=["unit", "decision"])
+
+    distinct = docs.select(F.col(text_col).alias("text")).mapInArrow(found, "unit string").distinct()
+    return distinct.mapInArrow(decided, "unit string, decision double")
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.3 on); columns of these names are replaced.
 
-    Null, empty and blank texts get the score of the least toxic unit seen in training.  Every row is scored from its
+    Null, empty and blank texts get the score of a document without units.  Every row is scored from its
     own whole text, so repeated rows have equal scores; all other columns stay as they are.
     """
     base = docs.drop("score", "predicted")
     schema = base.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    sent = docs.sparkSession.sparkContext.broadcast((model.landmarks, model.alpha, model.bias, model.curve, model.lowest, model.toxic))
+    context = docs.sparkSession.sparkContext
+    near = materialize(toxic_units(base, model, text_col), "toxic-units")
+    size = near.agg(F.sum(F.octet_length("unit") + 64)).first()[0] or 0
+    known = None
+    if size <= KNOWN_BYTES:
+        units_, decisions = near.toArrow().to_pydict().values()
+        known = dict(zip(units_, decisions, strict=True))
+    sent = context.broadcast((model, known))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
+        m, looked_up = sent.value
         for whole in batches:
             for batch in slices(whole, text_col):
-                s = m.scores(batch.column(text_col).to_pylist())
+                s = m.scores(batch.column(text_col).to_pylist(), looked_up)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([int(v >= CUT) for v in s], pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
     return base.mapInArrow(scored, schema)
@@ -284,6 +302,7 @@ HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; null, empty and very long texts, and repeated rows, as in ``score_toxicity``."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), f"not ({HELD_OUT})")
     scored = score_toxicity(docs.withColumn("text", F.coalesce("text", F.lit(""))), model)

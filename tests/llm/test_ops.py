@@ -143,6 +143,10 @@ def test_substrings_on_edge_cases(spark, edge_docs, no_docs):
     by = {r.doc_id: r for r in substrings.remove_repeats(edge_docs).collect()}
     assert by[2].n_removed == by[2].n_words == 180 and by[1].n_removed == by[8].n_removed == by[3].n_words == by[4].n_words == 0
     assert substrings.remove_repeats(no_docs).count() == 0
+    long = " ".join(f"k{i}" for i in range(70))
+    rows = [(1, long), (2, long), (2, "one more " + long), (2, None), (3, "x " * 9 + long + " y"), (None, long), (3, "z")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 70, 0), (1, 70, 0), (2, 0, 0), (2, 70, 70), (2, 72, 70), (3, 1, 0), (3, 80, 70)]
 
 
 def test_decontamination_equals_brute_force(spark, edge_docs, no_docs):
@@ -259,12 +263,47 @@ def test_toxicity_tolerates_gaps(spark, edge_docs, no_docs):
     clean = clean or ["the day was fine"] * 80
     toxic = [f"{t} you {w} there" for t, w in zip(clean, ["idiot", "moron", "clown"] * 30, strict=False)]
     model = toxicity.train([toxicity.units(t) for t in clean + toxic], np.r_[np.zeros(len(clean), int), np.ones(len(toxic), int)])
-    s = model.scores(["you id-iot there", "what a mor_on", "the w12 w5 was fine", "", None])
-    assert s[0] >= 0.3 and s[1] >= 0.3 and max(s[2:]) < 0.3
+    gapped = ["you id-iot there", "what a mor_on", "i-d_i*o.t", "an idxiot he is", "c l o w n", "you clowxn", "a morron"]
+    s = model.scores([*gapped, "the w12 w5 was fine", "", None])
+    assert min(s[: len(gapped)]) >= 0.3 and max(s[len(gapped) :]) < 0.3, s
     scored = toxicity.score_toxicity(edge_docs, model)
     assert scored.count() == 11 and scored.filter("doc_id = 9 and predicted = 1").count() == 2 and toxicity.score_toxicity(no_docs, model).count() == 0
 
 
+def test_subsequence_kernel_equals_enumeration():
+    """All common subsequences of four characters, each weighted by its span in both words."""
+    from itertools import combinations
+
+    def weights(word):
+        marked, out = "\x01\x02" + word + "\x03", {}
+        for at in combinations(range(len(marked)), toxicity.ORDER):
+            key = "".join(marked[i] for i in at)
+            out[key] = out.get(key, 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    words = ["idiot", "i-d-iot", "idxxiot", "radio", "a", "", "tidiot"]
+    c, _ = toxicity.codes(words)
+    got = toxicity.kernel(c, c, False)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = weights(a), weights(b)
+            assert abs(got[i, j] - sum(v * y[k] for k, v in x.items() if k in y)) < 1e-4, (a, b)
+    assert np.allclose(np.diag(got), toxicity.kernel(c, c, True), atol=1e-5)
+
+
+def test_toxicity_of_sent_and_own_units(spark, monkeypatch):
+    """Units that are sent to all tasks, and units that each task decides, give the same scores."""
+    clean, toxic = [f"calm river stone walk w{i}" for i in range(40)], [f"you utter buffoon w{i}" for i in range(40)]
+    model = toxicity.train([toxicity.units(t) for t in clean + toxic], np.r_[np.zeros(40, int), np.ones(40, int)])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *toxic, "buf-foon " * 3000, None, "", "b u f f o o n"])], "doc_id long, text string")
+    both = []
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(toxicity, "KNOWN_BYTES", most)
+        both.append({r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()})
+    assert both[0] == both[1] and min(both[0][i] for i in range(40, 81)) >= 0.3 > max([*(both[0][i] for i in range(40)), both[0][81], both[0][82]])
+    assert both[0][83] >= 0.3 and both[0][81] == both[0][82]
+
+
 def test_quality_model(spark, edge_docs, no_docs):
     rows = [(i, " ".join(rnd.choice(["calm", "river", "stone", "walk"]) + ("&&&" if i % 2 else "") for _ in range(60))) for i in range(200)]
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(150)] + [(None, 1), (151, None)], "doc_id long, quality int")
