@@ -8,17 +8,20 @@ units (the best unit of each toxic document is its witness, retrained in rounds)
 count as that floor.  A document's score is a logistic curve of the best decision over all units of its whole text, and
 of the number and the share of toxic units.
 
-A corpus is scored in two passes: every distinct unit is decided once, by its kernels to all landmarks, on the machine
-that it is dealt to; units above the floor are then looked up by all documents.  If these are too many to be sent to all
-tasks, each task decides the units of its own documents, with the same results.
+Kernels to all landmarks are needed for training only: a decision is linear in the subsequences of a unit, so the trained
+machine is one table of weights of subsequences, and a unit is decided by looking up each of its own, whatever the number
+of landmarks.  Every unit of every document is decided so; scoring is a map without a shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialize, slices
+from ._common import documents, slices
 
 ORDER, DECAY, UNIT, CUT = 4, 0.7, 24, 0.3
-#: The least decision, and bytes of units above it that are sent to all tasks.
-FLOOR, KNOWN_BYTES = -0.8, 32 << 20
-#: Bounds of the training sample: documents of each label, landmarks, and distinct clean units to train on.
-MOST_DOCS, LANDMARKS, MOST_CLEAN = 2_000, 128, 60_000
+#: The least and the largest decision, decided units that a task remembers, and elements of the arrays that subsequences are looked up in.
+FLOOR, CEILING, REMEMBERED, ELEMENTS = -0.8, 0.4, 400_000, 1 << 20
+#: Bounds of the training sample: documents of each label, landmarks, and distinct clean units to train on; and how many
+#: toxic units are learned from in stretched forms too, and in how many forms.
+MOST_DOCS, LANDMARKS, MOST_CLEAN, STRETCHED, GAPPED = 2_000, 192, 60_000, 24, 6
 PARTED = re.compile(r"[^\W_][\W_]+[^\W_]")
 SPACED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 
@@ -64,11 +68,11 @@ def _soft(f: np.ndarray | float) -> np.ndarray | float:
 def summary(bag: Counter, known: dict[str, float]) -> tuple[float, float, float]:
     """What a document's score sees: its best decision, and how many units, and what share of them, are toxic.
 
-    ``known`` has the decisions of all units above the floor.
+    ``known`` has the decisions of all units above the floor at least.
     """
     if not bag:
         return FLOOR, 0.0, math.log(1e-3)
-    hits = [u for u in bag if u in known]
+    hits = [u for u in bag if known.get(u, FLOOR) > FLOOR]
     f, n, total = np.array([known[u] for u in hits]), np.array([bag[u] for u in hits], float), sum(bag.values())
     soft = float(n @ _soft(f)) + (total - n.sum()) * _soft(FLOOR)
     return float(f.max(initial=FLOOR)), math.log1p(soft), math.log(soft / total + 1e-3)
@@ -103,6 +107,57 @@ def kernel(a: np.ndarray, b: np.ndarray, pairwise: bool) -> np.ndarray:
     return total
 
 
+@functools.cache
+def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a word of ``n`` characters: all pairs of places (first, second), and all subsequences of four as two pairs, with their decay."""
+    first, second = np.triu_indices(n, 1)
+    pair = np.zeros((n, n), np.int64)
+    pair[first, second] = np.arange(len(first))
+    four = np.array(list(itertools.combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
+    return first, second, pair[four[:, 0], four[:, 1]], pair[four[:, 2], four[:, 3]], DECAY ** (four[:, 3] - four[:, 0] + 1.0)
+
+
+class Weights:
+    """A decision as weights of subsequences: two pairs of characters, each with a number among those that landmarks have."""
+
+    def __init__(self, words: list[str], alpha: np.ndarray):
+        c, lengths = codes(words)
+        self.chars = np.unique(c[c != 0])
+        own = np.sqrt(kernel(c, c, True) + 1e-12)
+        rows = []
+        for row, n, a, k in zip(c, lengths, alpha, own, strict=True):
+            if n >= ORDER and a:
+                first, second, i, j, decay = places(int(n))
+                ids = self.numbers(row[None, :n])[0]
+                pairs = ids[first] * (len(self.chars) + 1) + ids[second]
+                rows.append(np.c_[pairs[i], pairs[j], decay * (a / k)])
+        found = np.concatenate(rows) if rows else np.zeros((0, 3))
+        size = len(self.chars) + 1
+        self.begin, self.end = np.zeros(size * size, np.int64), np.zeros(size * size, np.int64)
+        for at, column in ((self.begin, 0), (self.end, 1)):
+            some = np.unique(found[:, column].astype(np.int64))
+            at[some] = np.arange(1, len(some) + 1)
+        self.width = int(self.end.max(initial=0)) + 1
+        self.table = np.zeros((int(self.begin.max(initial=0)) + 1) * self.width)
+        np.add.at(self.table, self.begin[found[:, 0].astype(np.int64)] * self.width + self.end[found[:, 1].astype(np.int64)], found[:, 2])
+
+    def numbers(self, c: np.ndarray) -> np.ndarray:
+        """Numbers of characters, 0 for those of no landmark."""
+        at = np.minimum(np.searchsorted(self.chars, c), len(self.chars) - 1)
+        return np.where(self.chars[at] == c, at + 1, 0).astype(np.int64)
+
+    def sums(self, c: np.ndarray) -> np.ndarray:
+        """The weights of all subsequences of words of one length."""
+        first, second, i, j, decay = places(c.shape[1])
+        out = np.zeros(len(c))
+        step = max(1, ELEMENTS // max(len(i), 1))
+        for s in range(0, len(c), step):
+            ids = self.numbers(c[s : s + step])
+            pairs = ids[:, first] * (len(self.chars) + 1) + ids[:, second]
+            out[s : s + step] = (self.table[(self.begin[pairs] * self.width)[:, i] + self.end[pairs][:, j]] * decay).sum(1)
+        return out
+
+
 @dataclass
 class Model:
     """Landmarks and what turns kernel values to them into a decision and a score."""
@@ -113,41 +168,57 @@ class Model:
     curve: np.ndarray  # of the document's summary, then the constant
 
     def __post_init__(self) -> None:
-        by = sorted(range(len(self.landmarks)), key=lambda i: len(self.landmarks[i]))
-        # landmarks of about the same length go together, so that none is padded far
-        self.parts = [(part, codes([self.landmarks[i] for i in part])[0]) for part in (by[k : k + 32] for k in range(0, len(by), 32))]
-        self.own = [np.sqrt(kernel(c, c, True) + 1e-12) for _, c in self.parts]
+        self.weights = Weights(self.landmarks, self.alpha)
+        self.known: dict[str, float] = {}
 
     def values(self, words: list[str]) -> np.ndarray:
         """Normalized kernels of units to all landmarks."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        ends = sorted(range(len(self.landmarks)), key=lambda i: len(self.landmarks[i]))
+        # landmarks of about the same length go together, so that none is padded far
+        parts = [(part, codes([self.landmarks[i] for i in part])[0]) for part in (ends[k : k + 32] for k in range(0, len(ends), 32))]
+        own = [np.sqrt(kernel(c, c, True) + 1e-12) for _, c in parts]
         by = sorted(range(len(words)), key=lambda i: len(words[i]))
         for s in range(0, len(by), 512):
             rows = by[s : s + 512]
             c, _ = codes([words[i] for i in rows])
             length = np.sqrt(kernel(c, c, True) + 1e-12)[:, None]
-            for (part, landmarks), own in zip(self.parts, self.own, strict=True):
-                out[np.ix_(rows, part)] = kernel(c, landmarks, False) / length / own[None, :]
+            for (part, landmarks), k in zip(parts, own, strict=True):
+                out[np.ix_(rows, part)] = kernel(c, landmarks, False) / length / k[None, :]
         return out
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        """Decisions of units, the floor at least; summed by row, so they do not depend on what else is decided."""
+        """Decisions of units, the floor at least.
+
+        The length of a unit is computed only where the least that it can be would leave the decision above the floor.
+        """
         out = np.full(len(words), FLOOR)
-        for s in range(0, len(words), 8192):
-            out[s : s + 8192] = (self.values(words[s : s + 8192]) * self.alpha).sum(1) + self.bias
-        return np.maximum(np.round(out, 4), FLOOR)
+        by: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            by[len(w) + 3].append(i)
+        for n, at in by.items():
+            rows = np.array(at)
+            c, _ = codes([words[i] for i in at])
+            sums = self.weights.sums(c)
+            least = np.sqrt((places(n)[4] ** 2).sum() + 1e-12)
+            near = np.flatnonzero(np.where(sums > 0, sums / least, 0.0) + self.bias > FLOOR - 1e-3)
+            if len(near):
+                out[rows[near]] = sums[near] / np.sqrt(kernel(c[near], c[near], True) + 1e-12) + self.bias
+        return np.clip(np.round(out, 4), FLOOR, CEILING)
 
     def above(self, words: list[str]) -> dict[str, float]:
         """The units above the floor, with their decisions."""
         f = self.decisions(words)
         return {words[i]: float(f[i]) for i in np.flatnonzero(f > FLOOR)}
 
-    def scores(self, texts: Iterable[str | None], known: dict[str, float] | None = None) -> list[float]:
-        """Scores of whole texts; without ``known`` their own units are decided here."""
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        """Scores of whole texts; units are looked up among those already decided."""
         bags = [units(t) for t in texts]
-        if known is None:
-            known = self.above(sorted({u for bag in bags for u in bag}))
-        seen = np.array([summary(bag, known) for bag in bags], np.float64).reshape(-1, 3)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list({u for bag in bags for u in bag} - self.known.keys())
+        self.known.update(zip(new, self.decisions(new).tolist(), strict=True))
+        seen = np.array([summary(bag, self.known) for bag in bags], np.float64).reshape(-1, 3)
         return (1 / (1 + np.exp(-np.clip(seen @ self.curve[:3] + self.curve[3], -30, 30)))).tolist()
 
 
@@ -167,6 +238,22 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> tu
     return w[:-1], float(w[-1])
 
 
+def stretched(words: list[str], alphabet: str, each: int = GAPPED) -> list[str]:
+    """Words with one or two characters put in, and with one in every gap; the same for the same words."""
+    rnd, out = random.Random(0), []
+
+    def put(w: str, gaps: Iterable[int]) -> str:
+        held = set(gaps)
+        return "".join(c + (rnd.choice(alphabet) if i in held else "") for i, c in enumerate(w))
+
+    for w in words:
+        inner = range(len(w) - 1)
+        for k in range(each):
+            out.append(put(w, rnd.sample(inner, min(1 + k % 2, len(inner)))))
+        out.append(put(w, inner)[:UNIT])
+    return list(dict.fromkeys(out))
+
+
 def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS, most_clean: int = MOST_CLEAN) -> Model:
     """A model from labelled documents as bags of units; without both labels it scores all documents low.
 
@@ -183,8 +270,12 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3, landmarks: in
     ranked = sorted(in_pos, key=lambda u: (-lift(u) * (in_pos[u] > 1), -in_pos[u], u))
     clean = sorted(in_neg, key=lambda u: (-in_neg[u], u))
     rare = clean[200:]
+    # insults may be stretched: the surest units are learned from with characters put in, which no clean unit has
+    sure = [u for u in ranked if in_pos[u] > 1 and lift(u) > 2.5 and len(u) >= ORDER and u.isalpha()][:STRETCHED]
+    alphabet = "".join(sorted({c for u in clean[:2000] for c in u if c.isalpha()})) or "x"
+    longer = [u for u in stretched(sure, alphabet) if not in_neg[u]]
     # the frequent half and an even sample of the rest may be learned from
-    chosen = list(dict.fromkeys([*ranked[: landmarks * 5 // 8], *clean[: landmarks // 8], *rare[:: max(1, len(rare) // max(1, landmarks // 4))]]))[:landmarks]
+    chosen = list(dict.fromkeys([*ranked[: landmarks * 3 // 8], *longer[:: max(1, len(longer) * 4 // landmarks)], *clean[: landmarks // 8], *rare[:: max(1, len(rare) // max(1, landmarks // 4))]]))[:landmarks]
     model = Model(chosen, np.zeros(len(chosen)), 0.0, np.zeros(4))
     vals, vecs = np.linalg.eigh(model.values(chosen).astype(np.float64))
     keep = vals > 1e-4
@@ -193,20 +284,20 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3, landmarks: in
     xn = model.values(negatives) @ root
     wn = np.sqrt([in_neg[u] for u in negatives])
     witness = {u for u in ranked if in_pos[u] > 1 and lift(u) > 2.5} or set(ranked[:1])
-    every = sorted(in_pos)
+    every = sorted({*in_pos, *longer})
     xe = model.values(every) @ root
     at = {u: i for i, u in enumerate(every)}
     for k in range(rounds):
-        some = sorted(witness)
+        some = sorted({*witness, *longer})
         x = np.vstack([xe[[at[u] for u in some]], xn])
         y = np.r_[np.ones(len(some)), -np.ones(len(xn))]
-        wp = np.array([in_pos[u] for u in some], float)
+        wp = np.array([in_pos[u] or 2 for u in some], float)
         w, bias = svm(x, y, np.r_[wp / wp.sum() * wn.sum() / 8, wn])
         if k + 1 < rounds:
             f = xe @ w + bias
             best = [max(b, key=lambda u: (f[at[u]], u)) for b in pos if b]
             witness = {u for u in best if f[at[u]] > -0.5 and lift(u) > 0} | {u for u in every if f[at[u]] > 0 and lift(u) > 0.7} or witness
-    model.alpha, model.bias = root @ w, bias
+    model = Model(chosen, root @ w, bias, np.zeros(4))
     known = model.above(sorted(set(in_neg) | set(in_pos)))
     d = np.array([summary(b, known) for b in [*pos, *neg]])
     # a logistic curve with Platt's smoothed targets
@@ -247,30 +338,6 @@ def learn(docs: DataFrame, labels: DataFrame, condition: str, label_col: str = "
     return train([Counter(json.loads(b)) for b in got.column("u").to_pylist()], np.array(got.column("y").to_pylist(), int), landmarks=landmarks, most_clean=most_clean)
 
 
-def toxic_units(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(unit, decision) of the units of ``docs`` above the floor; each distinct unit is decided once."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                for t in batch.column("text").to_pylist():
-                    held.update(units(t))
-                if len(held) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["unit"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["unit"])
-
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = sent.value.above(batch.column("unit").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.string()), pa.array(list(near.values()), pa.float64())], names=["unit", "decision"])
-
-    distinct = docs.select(F.col(text_col).alias("text")).mapInArrow(found, "unit string").distinct()
-    return distinct.mapInArrow(decided, "unit string, decision double")
-
-
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.3 on); columns of these names are replaced.
 
@@ -279,20 +346,13 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     """
     base = docs.drop("score", "predicted")
     schema = base.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    context = docs.sparkSession.sparkContext
-    near = materialize(toxic_units(base, model, text_col), "toxic-units")
-    size = near.agg(F.sum(F.octet_length("unit") + 64)).first()[0] or 0
-    known = None
-    if size <= KNOWN_BYTES:
-        units_, decisions = near.toArrow().to_pydict().values()
-        known = dict(zip(units_, decisions, strict=True))
-    sent = context.broadcast((model, known))
+    sent = docs.sparkSession.sparkContext.broadcast((model.landmarks, model.alpha, model.bias, model.curve))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, looked_up = sent.value
+        m = Model(*sent.value)
         for whole in batches:
             for batch in slices(whole, text_col):
-                s = m.scores(batch.column(text_col).to_pylist(), looked_up)
+                s = m.scores(batch.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([int(v >= CUT) for v in s], pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
     return base.mapInArrow(scored, schema)

@@ -168,7 +168,10 @@ def test_decontamination_equals_brute_force(spark, edge_docs, no_docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (1 << 20, 40):
         got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=size)
-        assert {r.doc_id: (r.n_words, r.hit_words, r.hit_items) for r in got.collect()} == want
+        assert {r.doc_id: (r.n_words, r.hit_words, r.hit_items) for r in got.collect()} == {i: (n, hit, sorted(map(str, found))) for i, (n, hit, found) in want.items()}
+    odd = spark.createDataFrame([("x-1", "one"), (None, "cat sat"), ("é", ""), ("10", None)], "item_id string, text string")
+    by = {r.doc_id: (r.n_words, len(r.hit_words), r.hit_items) for r in decontaminate.find_contamination(edge_docs, odd, block_bytes=4).collect()}
+    assert by[1] == (180, 60, []) and by[6] == by[7] == (1, 1, ["x-1"]) and by[3] == by[4] == by[5] == (0, 0, []) and by[8][0] == 20000
     assert decontaminate.find_contamination(edge_docs, bench).count() == 11 and decontaminate.remove_contaminated(no_docs, bench).count() == 0
     assert decontaminate.remove_contaminated(edge_docs, bench.limit(0)).count() == 11
 
@@ -263,7 +266,7 @@ def test_toxicity_tolerates_gaps(spark, edge_docs, no_docs):
     clean = clean or ["the day was fine"] * 80
     toxic = [f"{t} you {w} there" for t, w in zip(clean, ["idiot", "moron", "clown"] * 30, strict=False)]
     model = toxicity.train([toxicity.units(t) for t in clean + toxic], np.r_[np.zeros(len(clean), int), np.ones(len(toxic), int)])
-    gapped = ["you id-iot there", "what a mor_on", "i-d_i*o.t", "an idxiot he is", "c l o w n", "you clowxn", "a morron"]
+    gapped = ["you id-iot there", "what a mor_on", "i-d_i*o.t", "an idxiot he is", "c l o w n", "you clowxn", "a morron", "ixdxixoxt", "a cltowyn"]
     s = model.scores([*gapped, "the w12 w5 was fine", "", None])
     assert min(s[: len(gapped)]) >= 0.3 and max(s[len(gapped) :]) < 0.3, s
     scored = toxicity.score_toxicity(edge_docs, model)
@@ -291,17 +294,13 @@ def test_subsequence_kernel_equals_enumeration():
     assert np.allclose(np.diag(got), toxicity.kernel(c, c, True), atol=1e-5)
 
 
-def test_toxicity_of_sent_and_own_units(spark, monkeypatch):
-    """Units that are sent to all tasks, and units that each task decides, give the same scores."""
+def test_toxicity_decisions_equal_kernels():
+    """The table of subsequences decides as the kernels to all landmarks do, also where the length of a unit is not computed."""
     clean, toxic = [f"calm river stone walk w{i}" for i in range(40)], [f"you utter buffoon w{i}" for i in range(40)]
     model = toxicity.train([toxicity.units(t) for t in clean + toxic], np.r_[np.zeros(40, int), np.ones(40, int)])
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *toxic, "buf-foon " * 3000, None, "", "b u f f o o n"])], "doc_id long, text string")
-    both = []
-    for most in (32 << 20, 0):
-        monkeypatch.setattr(toxicity, "KNOWN_BYTES", most)
-        both.append({r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()})
-    assert both[0] == both[1] and min(both[0][i] for i in range(40, 81)) >= 0.3 > max([*(both[0][i] for i in range(40)), both[0][81], both[0][82]])
-    assert both[0][83] >= 0.3 and both[0][81] == both[0][82]
+    words = ["buffoon", "buf-foon", "bxuffoon", "river", "a", "", "é😀buffo", "x" * 24, "w7", "moonbuffon", *(f"w{i}" for i in range(30))]
+    want = np.clip(model.values(words) @ model.alpha + model.bias, toxicity.FLOOR, toxicity.CEILING)
+    assert np.allclose(model.decisions(words), want, atol=2e-3) and model.decisions(["buffoon"])[0] > 0 > model.decisions(["river"])[0]
 
 
 def test_quality_model(spark, edge_docs, no_docs):
@@ -315,14 +314,15 @@ def test_quality_model(spark, edge_docs, no_docs):
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_substring_dedup", "op7_quality_rules", "op9_poisson_mix"])
+@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_substring_dedup", "op7_quality_rules", "op8_benchmark_decontamination", "op9_poisson_mix"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
     from recallforge.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got = QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
     assert sorted(map(repr, con.sql(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall())) == sorted(repr(tuple(r)) for r in got.select(*cols).collect())
