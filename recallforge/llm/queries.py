@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, quality_rules, substrings
+from . import decontaminate, mixing, near_dups, quality_rules, substrings
 from .decontaminate import op8_benchmark_decontamination
 from .html_text import op6_html_extraction
 from .mixing import op9_poisson_mix
@@ -15,4 +15,4 @@ from .tokens import op5_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_token_counts, op6_html_extraction, op7_quality_rules, op8_benchmark_decontamination, op9_poisson_mix, op10_secret_scans)}
-ORACLES = {"op2_minhash_near_dedup": near_dups.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_poisson_mix": mixing.ORACLE}
+ORACLES = {"op2_minhash_near_dedup": near_dups.ORACLE, "op3_substring_dedup": substrings.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op9_poisson_mix": mixing.ORACLE}
