@@ -31,10 +31,13 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var wbr ins del nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math object select button".split())
+RAW = frozenset("script style noscript template title textarea iframe svg select button".split())
 DROPPED = frozenset("nav footer aside form head header menu dialog".split())
 MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus share social related newsletter subscribe popup modal widget complementary contentinfo banner".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that hold the article whatever their names say, and beginnings of names that tell of other elements.
+HOLDERS = frozenset(("html", "body", "article", "main"))
+ABOUT = ("has-", "with-", "without-", "no-", "has_", "with_", "without_", "no_")
 MOST_HOSTS, ROOT_BYTES, SALTS = 2000, 16 << 20, 64
 SURE = 5  # different pages that a text is equal on to be template whatever its share
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr table pre blockquote figure".split())
@@ -74,11 +77,14 @@ def parse(page: str | None) -> list[tuple[Element, str]]:
         if tag == "br":
             held.append(" ")
             continue
-        names = set()
+        names, marked = set(), False
         if not m[1] and m[3]:
             for c in CLASS.findall(m[3]):
-                names.update(re.split(r"[\s_-]+", "".join(c).lower()))
-        marked = bool(names & MARKS)
+                for name in "".join(c).lower().split():
+                    parts = set(re.split("[_-]+", name)) - {""}
+                    names |= parts
+                    marked = marked or bool(parts & MARKS) and not name.startswith(ABOUT)
+        marked = marked and tag not in HOLDERS
         if tag in RAW and not m[1]:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -103,7 +109,7 @@ def parse(page: str | None) -> list[tuple[Element, str]]:
             opened[stack.pop()[1]] -= 1
         around = stack[-1]
         gone = around[3] or marked or (tag in DROPPED and not (tag == "header" and around[4]))
-        stack.append((around, tag, tag + "".join("." + n for n in sorted(names)[:3]), gone, around[4] or tag in MAIN))
+        stack.append((around, tag, tag + "".join("." + n for n in sorted(names)), gone, around[4] or tag in MAIN))
         opened[tag] += 1
     if at < len(page):
         held.append(page[at:])
@@ -326,14 +332,19 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
                     wrappers.clear()
         yield out()
 
+    def united(part: pd.DataFrame) -> list:
+        return functools.reduce(merge, map(loads, sorted(part["wrapper"])))
+
+    def some(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [dumps(united(part))]})
+
     def whole(part: pd.DataFrame) -> pd.DataFrame:
-        found = None
-        for w in sorted(part["wrapper"]):
-            found = loads(w) if found is None else merge(found, loads(w))
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [constants(found)]})
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "template": [constants(united(part))]})
 
+    # a host that is in every task is united in two steps, so that no task gets all its partial wrappers
     rows = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(partial, "host string, wrapper string")
-    return rows.groupBy("host").applyInPandas(whole, "host string, template string")
+    salted = rows.withColumn("salt", F.expr(f"pmod(xxhash64(wrapper), {SALTS})"))
+    return salted.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string").groupBy("host").applyInPandas(whole, "host string, template string")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -360,4 +371,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages; null and empty html, repeated and long pages as in ``extract_text``."""
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
