@@ -3,7 +3,8 @@
 A source's mean repetition rate is the rows it should have over those it has.  A document's count is the Poisson
 distribution of that mean inverted at a number in [0, 1) taken from a digest of seed and id, so a run can be repeated
 and every task decides alone.  Copies are exploded, and dealt and ordered by a digest of (seed, id, copy): a global
-shuffle without a range-sampling pass.  Only DataFrame functions are used.
+shuffle without a range-sampling pass.  Rows of one key, as those without an id, are dealt by their other columns too, so
+no partition gets all of them.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-BROADCAST_ROWS, SALTS = 20_000, 64
+BROADCAST_BYTES, SALTS = 16 << 20, 64
 
 
 def _digest(digits: int, *parts: Column | str) -> Column:
@@ -50,17 +51,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     cuts = materialize(rates(base, weights, epochs, power, source_col), "mix-rates")
     u = _digest(13, F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))) / F.lit(float(1 << 52))
     same = F.col(source_col).eqNullSafe(F.col("m_source"))
-    if cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = cuts.agg(F.sum(F.coalesce(F.octet_length("m_source"), F.lit(0)) + 8 * F.size("cuts") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         joined = base.join(F.broadcast(cuts), same)
     else:
         joined = base.withColumn("m_salt", _digest(15, F.lit("salt"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % SALTS).join(cuts.withColumn("m_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("m_salt") == F.col("m_of"))).drop("m_salt", "m_of")
     copies = joined.withColumn("m_u", u).withColumn("m_n", F.expr("size(filter(cuts, c -> c <= m_u))")).filter("m_n > 0")
     copies = copies.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("m_n")))).select(*base.columns, "replica")
     keyed = copies.withColumn("mix_key", _digest(15, F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("replica").cast("string")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    # rows that share a key, as all that have no id do, are dealt by what else they hold
+    return keyed.repartition("mix_key", F.xxhash64(*base.columns)).sortWithinPartitions("mix_key")
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents at the default weights; null and repeated ids and sources as in ``mix_sources``."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
