@@ -262,8 +262,8 @@ def test_html_deep_pages(spark):
 
 
 def test_toxicity_tolerates_gaps(spark, edge_docs, no_docs):
-    clean = [f"the {a} {b} was fine and {c}" for a, b, c in zip(*[iter(texts(1, 300, 300)[0].split() * 3)] * 3, strict=False)][:80]
-    clean = clean or ["the day was fine"] * 80
+    own = random.Random(11)  # whatever other tests drew: 80 documents of each label
+    clean = ["the {} {} was fine and {}".format(*(f"w{own.randrange(300)}" for _ in range(3))) for _ in range(80)]
     toxic = [f"{t} you {w} there" for t, w in zip(clean, ["idiot", "moron", "clown"] * 30, strict=False)]
     model = toxicity.train([toxicity.units(t) for t in clean + toxic], np.r_[np.zeros(len(clean), int), np.ones(len(toxic), int)])
     gapped = ["you id-iot there", "what a mor_on", "i-d_i*o.t", "an idxiot he is", "c l o w n", "you clowxn", "a morron", "ixdxixoxt", "a cltowyn"]
