@@ -37,7 +37,7 @@ ORDER, DECAY, UNIT, CUT = 4, 0.7, 24, 0.3
 FLOOR, CEILING, REMEMBERED, ELEMENTS = -0.8, 0.4, 400_000, 1 << 20
 #: Bounds of the training sample: documents of each label, landmarks, and distinct clean units to train on; and how many
 #: toxic units are learned from in stretched forms too, and in how many forms.
-MOST_DOCS, LANDMARKS, MOST_CLEAN, STRETCHED, GAPPED = 2_000, 192, 60_000, 24, 6
+MOST_DOCS, LANDMARKS, MOST_CLEAN, STRETCHED, GAPPED = 2_000, 192, 40_000, 24, 6
 PARTED = re.compile(r"[^\W_][\W_]+[^\W_]")
 SPACED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 
@@ -188,6 +188,10 @@ class Model:
         return out
 
     def decisions(self, words: list[str]) -> np.ndarray:
+        """Decisions of units, between the floor and the ceiling."""
+        return np.clip(self.margins(words), FLOOR, CEILING)
+
+    def margins(self, words: list[str]) -> np.ndarray:
         """Decisions of units, the floor at least.
 
         The length of a unit is computed only where the least that it can be would leave the decision above the floor.
@@ -204,7 +208,7 @@ class Model:
             near = np.flatnonzero(np.where(sums > 0, sums / least, 0.0) + self.bias > FLOOR - 1e-3)
             if len(near):
                 out[rows[near]] = sums[near] / np.sqrt(kernel(c[near], c[near], True) + 1e-12) + self.bias
-        return np.clip(np.round(out, 4), FLOOR, CEILING)
+        return np.maximum(np.round(out, 4), FLOOR)
 
     def above(self, words: list[str]) -> dict[str, float]:
         """The units above the floor, with their decisions."""
@@ -222,16 +226,21 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(seen @ self.curve[:3] + self.curve[3], -30, 30)))).tolist()
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss, by Newton steps; y is +1 or -1."""
-    z = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    reg = np.eye(z.shape[1])
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0, rows: int = 8192) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss, by Newton steps; y is +1 or -1.  Rows are taken up in blocks, without a copy of all."""
+    n = x.shape[1] + 1
+    reg = np.eye(n)
     reg[-1, -1] = 1e-3
-    w = np.zeros(z.shape[1])
+    w = np.zeros(n)
     for _ in range(25):
-        active = y * (z @ w) < 1
-        za, ca = z[active], c * weight[active]
-        new = np.linalg.solve(reg + (za * ca[:, None]).T @ za, (za * (ca * y[active])[:, None]).sum(0))
+        left, right = reg.copy(), np.zeros(n)
+        for s in range(0, len(x), rows):
+            z = np.hstack([x[s : s + rows], np.ones((len(x[s : s + rows]), 1))]).astype(np.float64)
+            active = y[s : s + rows] * (z @ w) < 1
+            z, ca = z[active], c * weight[s : s + rows][active]
+            left += (z * ca[:, None]).T @ z
+            right += z.T @ (ca * y[s : s + rows][active])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -279,25 +288,21 @@ def train(bags: list[Counter], toxic: np.ndarray, rounds: int = 3, landmarks: in
     model = Model(chosen, np.zeros(len(chosen)), 0.0, np.zeros(4))
     vals, vecs = np.linalg.eigh(model.values(chosen).astype(np.float64))
     keep = vals > 1e-4
-    root = vecs[:, keep] / np.sqrt(vals[keep])  # Nystrom: features are kernels times this
+    root = (vecs[:, keep] / np.sqrt(vals[keep])).astype(np.float32)  # Nystrom: features are kernels times this
     negatives = list(dict.fromkeys([*clean[: most_clean // 2], *rare[:: max(1, -(-len(rare) * 2 // most_clean))]]))[:most_clean]
     xn = model.values(negatives) @ root
     wn = np.sqrt([in_neg[u] for u in negatives])
     witness = {u for u in ranked if in_pos[u] > 1 and lift(u) > 2.5} or set(ranked[:1])
-    every = sorted({*in_pos, *longer})
-    xe = model.values(every) @ root
-    at = {u: i for i, u in enumerate(every)}
+    every = sorted(in_pos)
     for k in range(rounds):
         some = sorted({*witness, *longer})
-        x = np.vstack([xe[[at[u] for u in some]], xn])
-        y = np.r_[np.ones(len(some)), -np.ones(len(xn))]
         wp = np.array([in_pos[u] or 2 for u in some], float)
-        w, bias = svm(x, y, np.r_[wp / wp.sum() * wn.sum() / 8, wn])
+        w, bias = svm(np.vstack([model.values(some) @ root, xn]), np.r_[np.ones(len(some)), -np.ones(len(xn))], np.r_[wp / wp.sum() * wn.sum() / 8, wn])
+        model = Model(chosen, root @ w, bias, np.zeros(4))
         if k + 1 < rounds:
-            f = xe @ w + bias
-            best = [max(b, key=lambda u: (f[at[u]], u)) for b in pos if b]
-            witness = {u for u in best if f[at[u]] > -0.5 and lift(u) > 0} | {u for u in every if f[at[u]] > 0 and lift(u) > 0.7} or witness
-    model = Model(chosen, root @ w, bias, np.zeros(4))
+            f = dict(zip(every, model.margins(every).tolist(), strict=True))
+            best = [max(b, key=lambda u: (f[u], u)) for b in pos if b]
+            witness = {u for u in best if f[u] > -0.5 and lift(u) > 0} | {u for u in every if f[u] > 0 and lift(u) > 0.7} or witness
     known = model.above(sorted(set(in_neg) | set(in_pos)))
     d = np.array([summary(b, known) for b in [*pos, *neg]])
     # a logistic curve with Platt's smoothed targets
