@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from recallforge.functions.stem import stem
 
 # Keyword rules (in order: type, importance, confidence, phrases) and greetings.
 RULES = (
@@ -21,6 +28,43 @@ def tokens(text: Column | str) -> Column:
     return F.transform(parts, lambda w: F.regexp_replace(F.lower(w), "('s|')$", ""))
 
 
+_WORDS = re.compile(r"(?:[^\W_]|')+")
+
+
+@functools.lru_cache(1 << 18)
+def term(word: str) -> str:
+    """The stem of a word in lower case without a final 's or apostrophe."""
+    low = word.lower()
+    return stem(low.removesuffix("'s") if low.endswith("'s") else low.removesuffix("'"))
+
+
+def stemmed(text: str | None) -> list[str]:
+    """The stemmed tokens of a text, in order; duplicates stay."""
+    return [term(w) for w in _WORDS.findall(text or "")]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def terms(text: pd.Series) -> pd.Series:
+    """``stemmed`` over a column; each worker stems a word once."""
+    return text.map(stemmed)
+
+
+def stem_all(tokens: Column | str) -> Column:
+    """Stems of an array of tokens."""
+    return _stem_all(tokens)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stem_all(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: [term(w) for w in t])
+
+
+def overlap(a: str | None, b: str | None) -> float:
+    """Jaccard overlap of the token sets of two texts; 0 if either has none."""
+    x, y = set(stemmed(a)), set(stemmed(b))
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
 def sentences(text: Column) -> Column:
     """Trimmed non-empty sentences, split at . ! ? and line ends."""
     cut = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
@@ -55,6 +99,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def summary(actor: Column, text: Column, most: int = 240) -> Column:
+    """``actor said: text`` on one line, cut after ``most`` characters (not bytes, so no character is cut apart)."""
+    line = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), "\n", " ")
+    return F.concat(actor, F.lit(" said: "), F.when(F.octet_length(line) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line))
+
+
+def merged(a: str, b: str) -> str:
+    """The text that holds the other one, else both."""
+    return a if b in a else b if a in b else f"{a}; {b}"
+
+
 def squeeze(text: Column) -> Column:
     """Lower case with runs of white space as one space."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))

@@ -1,49 +1,21 @@
-"""Ranking of memories for text queries: BM25, hybrid scores, source caps, context texts."""
+"""Lists of hits: corpus statistics, top-k, source caps, contexts, fusion."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallforge.functions.text import tokens
-
-# BM25 parameters and weights of the hybrid score without external vectors.
-K1, B = 1.5, 0.75
-WEIGHTS = {"density": 0.32, "bm25": 0.13, "importance": 0.03, "kind": 0.05, "prefix": 0.25}
-
-
-def postings(memories: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) of rows (id, content)."""
-    t = memories.select("id", tokens("content").alias("t"))
-    t = t.withColumn("dl", F.size("t").cast("long"))
-    return t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+from recallforge.functions.text import terms
 
 
 def bm25_stats(memories: DataFrame) -> DataFrame:
-    """(term, df, doc_count, avg_len) over all rows."""
-    t = memories.select(tokens("content").alias("t"))
-    total = t.agg(F.count("*").alias("doc_count"), F.avg(F.size("t").cast("double")).alias("avg_len"))
-    df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(total))  # one row of totals
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term) of rows (query_id, text), terms once."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-
-
-def bm25_scores(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) of the pairs that share a term.
-
-    Only terms that a query has leave the scan: memories are exploded after their terms are filtered by the query
-    vocabulary, which is joined in as a relation, so Spark broadcasts it only if it is small.
-    """
-    terms = query_terms(queries)
-    stats = bm25_stats(memories).join(terms.select("term").distinct(), "term", "left_semi")
-    idf = F.log((F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weighed = postings(memories).join(stats, "term")
-    part = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.greatest("avg_len", F.lit(1.0))))
-    return weighed.select("id", "term", part.alias("part")).join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
+    """(term, df, doc_count, avg_len) over all rows (id, content); terms are stemmed."""
+    t = memories.select(terms(F.coalesce("content", F.lit(""))).alias("t"))
+    # totals ride along as a term of their own (an array's null), so the texts are read once
+    each = t.select(F.size("t").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))).alias("term"))
+    counted = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    sums = counted.filter("term is null").selectExpr("df doc_count", "total / df avg_len")
+    return counted.filter("term is not null").select("term", "df").crossJoin(F.broadcast(sums))  # one row of totals
 
 
 def top(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "id") -> DataFrame:
@@ -58,37 +30,14 @@ def cap_sources(ranked: DataFrame, most: int = 2, score: str = "score") -> DataF
     return ranked.withColumn("n", F.row_number().over(w)).filter(F.col("source").isNull() | (F.col("n") <= most)).drop("n")
 
 
-def hybrid(memories: DataFrame, queries: DataFrame, importance: float = 0.5) -> DataFrame:
-    """(query_id, id, source, score and its signals) of the pairs that share a term.
-
-    Term density is the Jaccard overlap of token sets, the prefix signal the mean over query tokens of 1 for an equal
-    token (shared terms) here; kinds are all plain memories (0.8).
-    """
-    sizes = memories.select("id", "source", F.size(F.array_distinct(tokens("content"))).alias("n_doc"))
-    asked = queries.select("query_id", F.size(F.array_distinct(tokens("text"))).alias("n_query"))
-    terms = query_terms(queries)
-    own = memories.select("id", F.explode(F.array_distinct(tokens("content"))).alias("term"))
-    shared = own.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
-    s = shared.join(bm25_scores(memories, queries), ["query_id", "id"]).join(sizes, "id").join(asked, "query_id")
-    density = F.col("shared") / (F.col("n_doc") + F.col("n_query") - F.col("shared"))
-    prefix = F.col("shared") / F.col("n_query")
-    w = WEIGHTS
-    score = w["density"] * density + w["bm25"] * F.col("bm25") + w["importance"] * importance + w["kind"] * 0.8 + w["prefix"] * prefix
-    return s.select("query_id", "id", "source", "bm25", density.alias("density"), prefix.alias("prefix"), score.alias("score"))
-
-
-def reasons():
-    """Why a memory was found."""
-    found = F.array(F.when(F.col("bm25") > 0.1, "keyword_match").when(F.col("density") > 0.1, "weak_keyword_match"))
-    kept = F.filter(found, lambda x: x.isNotNull())
-    return F.when(F.size(kept) == 0, F.array(F.lit("low_relevance"))).otherwise(kept)
-
-
-def build_context(hits: DataFrame) -> DataFrame:
-    """(query_id, context): a heading and a line for each hit in the order of ``rank``."""
-    line = F.format_string("- [%s score=%.3f confidence=%.2f] %s", "memory_type", F.round("score", 3), "confidence", "content")
+def build_context(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context): a heading and a line for each hit in the order of ``rank``; empty for ``queries`` without hits."""
+    line = F.format_string("- [%s score=%.3f confidence=%.2f] %s\n", "memory_type", F.round("score", 3), "confidence", F.coalesce("content", F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    return hits.groupBy("query_id").agg(F.concat_ws("\n", F.lit("# Agent Memory"), F.transform(lines, lambda x: x["line"])).alias("context"))
+    out = hits.groupBy("query_id").agg(F.concat(F.lit("# Agent Memory\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "")).alias("context"))
+    if queries is None:
+        return out
+    return queries.select("query_id").distinct().join(out, "query_id", "left").select("query_id", F.coalesce("context", F.lit("")).alias("context"))
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -2,50 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallforge.functions import normal as N
 from recallforge.functions import stem
 from recallforge.functions import text as T
-from recallforge.operators import evaluate, ingest, retrieve
+from recallforge.operators import evaluate, ingest
+from recallforge.plans.registry import ORACLES, QUERIES, SENT, TOK, query, table, turns
+from recallforge.plans.stem_sql import stems
 from recallforge.sources import log
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-TOK = r"list_transform(list_filter(string_split_regex(coalesce({0}, ''), '[^\p{{L}}\p{{N}}'']+'), lambda w: w <> ''), lambda w: regexp_replace(lower(w), '(''s|'')$', ''))"
-SENT = r"list_filter(list_transform(string_split_regex(coalesce({0}, ''), '[.!?\n]'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as string) namespace", "turn seq", "concat(conv_id, '::', turn) event_id", "role actor", "text")
+from recallforge.plans import memory, retrieval  # noqa: F401  (they register their queries)
 
-
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id id", "source", "text content")
-
-
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id query_id", "text")
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
@@ -63,17 +33,9 @@ def sentence_split(spark, sf_dir):
 _RULE_SQL = " ".join(f"WHEN {' OR '.join(f'contains(l, $${p}$$)' for p in phrases)} THEN '{kind}|{i}|{c}'" for kind, i, c, phrases in T.RULES)
 
 
-@query(f"""SELECT x, split_part(r, '|', 1) AS memory_type, CAST(split_part(r, '|', 2) AS DOUBLE) AS importance, CAST(split_part(r, '|', 3) AS DOUBLE) AS confidence, strlen(l) >= 12 AS keep
-FROM (SELECT x, lower(x) AS l, CASE {_RULE_SQL.replace('(l,', '(lower(x),')} ELSE 'episodic|0.45|0.58' END AS r FROM (VALUES ('I prefer green tea'), ('Remember that the door is red'), ('When you deploy, use the script'), ('Next time we test first'), ('hello'), ('We went to the lake'), ('thank you')) v(x))""")
-def classify_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("I prefer green tea", "Remember that the door is red", "When you deploy, use the script", "Next time we test first", "hello", "We went to the lake", "thank you")], "x string")
-    c = rows.withColumn("c", T.classify(F.lower("x")))
-    return c.select("x", "c.*", T.should_keep(F.lower("x"), F.col("c.memory_type")).alias("keep"))
-
-
 @query(f"""SELECT conv_id, turn, pos, split_part(r, '|', 1) AS memory_type, CAST(split_part(r, '|', 2) AS DOUBLE) AS importance, CAST(split_part(r, '|', 3) AS DOUBLE) AS confidence, strlen(lower(x)) >= 12 AS keep
 FROM (SELECT *, CASE {_RULE_SQL.replace('(l,', '(lower(x),')} ELSE 'episodic|0.45|0.58' END AS r FROM (SELECT conv_id, turn, unnest({SENT.format('text')}) AS x, CAST(generate_subscripts({SENT.format('text')}, 1) - 1 AS INTEGER) AS pos FROM conversations))""")
-def classify_sentences(spark, sf_dir):
+def classify_rules(spark, sf_dir):
     """The rules over all sentences of all turns."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("pos", "x"))
     c = rows.withColumn("c", T.classify(F.lower("x")))
@@ -82,7 +44,8 @@ def classify_sentences(spark, sf_dir):
 
 _CAND = f"""WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS namespace, conv_id || '::' || turn AS event_id, unnest({SENT.format('text')}) AS content, generate_subscripts({SENT.format('text')}, 1) - 1 AS pos FROM conversations),
 k AS (SELECT *, CASE {_RULE_SQL.replace('(l,', '(lower(content),')} ELSE 'episodic|0.45|0.58' END AS r FROM s WHERE strlen(lower(content)) >= 12),
-c AS (SELECT namespace, event_id, CAST(pos AS INTEGER) AS pos, content, split_part(r, '|', 1) AS memory_type, CAST(split_part(r, '|', 2) AS DOUBLE) AS importance, CAST(split_part(r, '|', 3) AS DOUBLE) AS confidence FROM k QUALIFY row_number() OVER (PARTITION BY event_id, lower(content) ORDER BY pos) = 1)"""
+told AS (SELECT CAST(conv_id AS VARCHAR), conv_id || '::' || turn, 0, role || ' said: ' || CASE WHEN strlen(t) > 240 THEN left(t, 240) || '...' ELSE t END, 'episodic', 0.35::DOUBLE, 0.55::DOUBLE FROM (SELECT *, replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS t FROM conversations) WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 8 AND conv_id || '::' || turn NOT IN (SELECT event_id FROM k)),
+c AS (SELECT namespace, event_id, CAST(pos AS INTEGER) AS pos, content, split_part(r, '|', 1) AS memory_type, CAST(split_part(r, '|', 2) AS DOUBLE) AS importance, CAST(split_part(r, '|', 3) AS DOUBLE) AS confidence FROM k QUALIFY row_number() OVER (PARTITION BY event_id, lower(content) ORDER BY pos) = 1 UNION ALL SELECT * FROM told)"""
 
 
 @query(f"{_CAND} SELECT * FROM c")
@@ -92,7 +55,8 @@ def extract_memories(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents WHERE lang = 'en' GROUP BY source")
 def namespace_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+    d = table(spark, sf_dir, "documents").withColumnRenamed("lang", "namespace")
+    return log.visible(d, "en").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
 _EVENTS = "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS id, event_type AS memory_type, value FROM events"
@@ -116,9 +80,9 @@ def list_recent_limit(spark, sf_dir):
 SELECT event_type AS memory_type, count(*) AS n FROM v, m WHERE deleted_at IS NULL AND valid_from <= t AND valid_to >= t GROUP BY event_type""")
 def validity_and_soft_delete(spark, sf_dir):
     r = records(spark, sf_dir)
-    now = r.agg((F.max("ts") - F.expr("interval 5 days")).alias("t")).first()[0]
-    rows = r.withColumns({"valid_from": F.col("ts"), "valid_to": F.col("ts") + F.expr("interval 3 days"), "deleted_at": F.when(F.col("value") < 10, F.col("ts"))})
-    return log.visible(rows, as_of=F.lit(now)).groupBy("memory_type").agg(F.count("*").alias("n"))
+    now = r.agg((F.max("ts") - F.expr("interval 5 days")).alias("now"))  # one row
+    rows = r.crossJoin(F.broadcast(now)).withColumns({"valid_from": F.col("ts"), "valid_to": F.col("ts") + F.expr("interval 3 days"), "deleted_at": F.when(F.col("value") < 10, F.col("ts"))})
+    return log.visible(rows, as_of=F.col("now")).groupBy("memory_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id AS seq, lower(hex(event_type)) || '=' || lower(hex(CAST(user_id AS VARCHAR))) AS metadata FROM events")
@@ -136,94 +100,6 @@ def merge_metadata_max(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.lower("text").alias("content")).agg(F.min("doc_id").alias("id"), F.count("*").alias("merged"), F.max("n_chars").alias("importance"))
 
 
-_BM = f"""WITH d AS (SELECT doc_id AS id, source, {TOK.format('text')} AS t FROM documents), q AS (SELECT item_id AS query_id, {TOK.format('text')} AS t FROM benchmark),
-tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), qt AS (SELECT query_id, unnest(list_distinct(t)) AS term FROM q),
-s AS (SELECT query_id, id, count(*) AS shared, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))) AS bm25 FROM qt JOIN tf USING (term) JOIN df USING (term), tot GROUP BY query_id, id)"""
-
-
-@query(f"{_BM} SELECT term, df, n AS doc_count, round(avgdl, 6) AS avg_len FROM df, tot")
-def bm25_stats(spark, sf_dir):
-    return retrieve.bm25_stats(memories(spark, sf_dir)).withColumn("avg_len", F.round("avg_len", 6))
-
-
-_R = "row_number() OVER (PARTITION BY query_id ORDER BY {0} DESC, id)"
-
-
-@query(f"{_BM} SELECT query_id, id, round(round(bm25, 6), 4) AS bm25, rank FROM (SELECT *, CAST({_R.format('round(bm25, 6)')} AS INTEGER) AS rank FROM s) WHERE rank <= 10")
-def bm25_topk(spark, sf_dir):
-    scored = retrieve.bm25_scores(memories(spark, sf_dir), asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
-    return retrieve.top(scored, 10, "bm25").withColumn("bm25", F.round("bm25", 4))
-
-
-_HY = f"""{_BM}, h AS (SELECT s.query_id, s.id, d.source, round(0.32 * (shared / (len(list_distinct(d.t)) + len(list_distinct(q.t)) - shared)) + 0.13 * bm25 + 0.03 * 0.5 + 0.05 * 0.8 + 0.25 * (shared / len(list_distinct(q.t))), 6) AS score
-FROM s JOIN d USING (id) JOIN q USING (query_id)), c AS (SELECT * FROM h QUALIFY source IS NULL OR row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) <= 2),
-top AS (SELECT * FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM c) WHERE rank <= 8)"""
-
-
-def hybrid_hits(spark, sf_dir) -> DataFrame:
-    scored = retrieve.hybrid(memories(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return retrieve.top(retrieve.cap_sources(scored), 8)
-
-
-@query(f"{_HY} SELECT query_id, id, source, round(score, 4) AS score, rank FROM top")
-def hybrid_topk_source_cap(spark, sf_dir):
-    return hybrid_hits(spark, sf_dir).select("query_id", "id", "source", F.round("score", 4).alias("score"), "rank")
-
-
-@query(f"""{_HY} SELECT query_id, '# Agent Memory' || chr(10) || string_agg('- [episodic confidence=0.58] ' || substr(text, 1, 40), chr(10) ORDER BY rank) AS context FROM top JOIN documents ON doc_id = id GROUP BY query_id""")
-def build_context(spark, sf_dir):
-    hits = hybrid_hits(spark, sf_dir).select("query_id", "id", "rank").join(memories(spark, sf_dir).selectExpr("id", "substring(content, 1, 40) content"), "id")
-    line = F.format_string("- [%s confidence=%.2f] %s", F.lit("episodic"), F.lit(0.58), "content")
-    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    return hits.groupBy("query_id").agg(F.concat_ws("\n", F.lit("# Agent Memory"), F.transform(lines, lambda x: x["line"])).alias("context"))
-
-
-@query(f"""{_HY} SELECT query_id, '# Agent Memory' || chr(10) || string_agg(format('- [episodic score={{:.3f}} confidence=0.58] ', round(score, 3)) || text, chr(10) ORDER BY rank) AS context FROM top JOIN documents ON doc_id = id GROUP BY query_id""")
-def build_context_whole(spark, sf_dir):
-    """As the reference writes it: the whole content of each memory and its score."""
-    hits = hybrid_hits(spark, sf_dir).select("query_id", "id", "rank", "score").join(memories(spark, sf_dir).select("id", "content"), "id")
-    return retrieve.build_context(hits.withColumns({"memory_type": F.lit("episodic"), "confidence": F.lit(0.58)}))
-
-
-@query(f"{_HY}, u AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM top UNION ALL SELECT query_id, id, round(bm25 / 10, 6) FROM s) GROUP BY ALL) SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM u) WHERE rank <= 5")
-def fuse_candidates(spark, sf_dir):
-    b = retrieve.bm25_scores(memories(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "id", F.round(F.col("bm25") / 10, 6).alias("score"))
-    return retrieve.fuse(hybrid_hits(spark, sf_dir), b, 5).withColumn("score", F.round("score", 4))
-
-
-def dot_topk(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query_id, id, score, rank): every vector whose id is divisible by 50 against all, in blocks of queries.
-
-    A block of queries, of bounded size, goes to all tasks; each task keeps ``k`` for each query before the exchange.
-    """
-    spark = vectors.sparkSession
-    ids = vectors.filter("id % 50 = 0").select("id").orderBy("id")
-    bounds = [r.id for r in ids.withColumn("n", F.monotonically_increasing_id()).select("id").collect()[::block]]
-    out = None
-    for a, b in zip(bounds, [*bounds[1:], None], strict=True):
-        part = vectors.filter(f"id % 50 = 0 and id >= {a}" + (f" and id < {b}" if b is not None else "")).collect()
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in part]), np.array([r.e for r in part], np.float64)))
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            qid, q = sent.value
-            for batch in batches:
-                own = batch["id"].to_numpy()
-                s = np.round(np.stack(batch["e"].to_numpy()).astype(np.float64) @ q.T, 4)
-                top = np.lexsort((np.broadcast_to(own[:, None], s.shape), -s), axis=0)[:k]
-                yield pd.DataFrame({"query_id": np.repeat(qid[None, :], len(top), 0).ravel(), "id": own[top].ravel(), "score": np.take_along_axis(s, top, 0).ravel()})
-
-        rows = vectors.mapInPandas(best, "query_id long, id long, score double")
-        out = rows if out is None else out.unionByName(rows)
-    return retrieve.top(out.withColumn("score", F.round("score", 4)), k)
-
-
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM q, embeddings)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""")
-def vector_topk(spark, sf_dir):
-    return dot_topk(table(spark, sf_dir, "embeddings").selectExpr("vec_id id", "embedding e"), 10)
-
-
 @query("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS namespace, turn AS seq, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 m AS (SELECT *, CASE WHEN n < 5 THEN 0 ELSE CAST(floor((n - 5) / 3) AS BIGINT) + 1 END AS m FROM t), w AS (SELECT *, unnest(range(0, m + 1)) AS j FROM m)
 SELECT namespace, j AS "window", j < max(m) AS "full", count(*) AS n_turns, '[Multi-turn conversation — ' || count(*) || ' turns]' || chr(10) || string_agg('Turn ' || (i - j * 3 + 1) || ' — ' || role || ': ' || text, chr(10) ORDER BY i) AS combined
@@ -245,16 +121,7 @@ def source_window_neighbors(spark, sf_dir):
 @query()
 def remember_fold(spark, sf_dir):
     c = ingest.candidates(turns(spark, sf_dir))
-    return ingest.fold(c.selectExpr("namespace", "memory_type", "cast(split(event_id, '::')[1] as long) * 1000 + pos seq", "content", "importance", "confidence"))
-
-
-_JUDGE = "('a', 'On  Monday', ['monday', 'tuesday']), ('b', '', ['x']), ('c', 'Paris', ['in paris, france']), ('d', 'Rome', ['Oslo'])"
-
-
-@query(f"SELECT id, n <> '' AND len(list_filter(g, lambda x: lower(x) <> '' AND (contains(n, lower(x)) OR contains(lower(x), n)))) > 0 AS correct FROM (SELECT id, trim(regexp_replace(lower(a), '\\s+', ' ', 'g')) AS n, g FROM (VALUES {_JUDGE}) v(id, a, g))")
-def judge_exact(spark, sf_dir):
-    rows = spark.createDataFrame([("a", "On  Monday", ["monday", "tuesday"]), ("b", "", ["x"]), ("c", "Paris", ["in paris, france"]), ("d", "Rome", ["Oslo"])], "id string, a string, g array<string>")
-    return rows.select("id", evaluate.exact_judge(F.col("a"), F.col("g")).alias("correct"))
+    return ingest.fold(c.selectExpr("namespace", "memory_type", "cast(split(event_id, '::')[1] as long) * 1000000 + pos seq", "content", "importance", "confidence"))
 
 
 _SQUEEZE = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
@@ -262,75 +129,11 @@ _SQUEEZE = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
 
 @query(f"""SELECT conv_id, turn, n <> '' AND len(list_filter([g], lambda x: x <> '' AND (contains(n, x) OR contains(x, n)))) > 0 AS correct FROM (
 SELECT a.conv_id, a.turn, {_SQUEEZE.format('b.text')} AS n, {_SQUEEZE.format('a.text')} AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""")
-def judge_exact_turns(spark, sf_dir):
+def judge_exact(spark, sf_dir):
     """The judge over all neighbouring turns: the later one as answer, the earlier one as gold."""
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", evaluate.exact_judge(F.coalesce("held", F.lit("")), F.array(F.coalesce("text", F.lit("")))).alias("correct"))
 
 
-_GRAM = "array_to_string({0}[1:8], ' ')"
-_EVAL = f"""{_BM}, g AS (SELECT query_id, array_to_string(t[1:8], ' ') AS g FROM q WHERE len(t) >= 8), dg AS (SELECT DISTINCT id, array_to_string(t[i:i+7], ' ') AS g FROM (SELECT id, t, unnest(range(1, len(t) - 6)) AS i FROM d WHERE len(t) >= 8)),
-ev AS (SELECT query_id, list(DISTINCT id) AS e FROM g JOIN dg USING (g) GROUP BY query_id), hits AS (SELECT * FROM (SELECT query_id, id, {_R.format('round(bm25, 6)')} AS rank FROM s) WHERE rank <= 10),
-j AS (SELECT hits.query_id, rank, coalesce(list_contains(e, id), false) AS hit, coalesce(len(e), 0) AS n FROM hits LEFT JOIN ev USING (query_id)),
-per AS (SELECT query_id, max(n) AS n, {', '.join(f'count(*) FILTER (hit AND rank <= {k}) / greatest(max(n), 1) AS recall_{k}' for k in (1, 3, 5, 10))}, coalesce(1.0 / min(rank) FILTER (hit), 0) AS mrr,
-coalesce(sum(1.0 / log2(rank + 1)) FILTER (hit AND rank <= 5), 0) / list_sum(list_transform(range(1, greatest(least(max(n), 5), 1) + 1), lambda i: 1.0 / log2(i + 1))) AS ndcg_5 FROM j GROUP BY query_id)"""
-
-
-_WHOLE = f"""{_BM}, k AS (SELECT query_id, t, CAST(least(len(t), 8) AS BIGINT) AS n FROM q WHERE len(t) > 0), g AS (SELECT DISTINCT query_id, array_to_string(t[i:i+n-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM k)),
-dg AS (SELECT DISTINCT id, array_to_string(t[i:i+n-1], ' ') AS g FROM (SELECT id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM k) WHERE len(t) >= n)),
-ev AS {_EVAL.split("ev AS ", 1)[1]}"""
-
-
-def grams(t: str, n: str) -> str:
-    """SQL of the distinct runs of ``n`` tokens of the array ``t``, which has ``n`` at least."""
-    return f"array_distinct(transform(sequence(1, size({t}) - {n} + 1), i -> array_join(slice({t}, i, {n}), ' ')))"
-
-
-def whole_evidence(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, evidence): the documents with any eight tokens in a row of the item, or with the whole of a shorter one."""
-    q = queries.select("query_id", T.tokens("text").alias("t")).filter("size(t) > 0").withColumn("n", F.expr("least(size(t), 8)"))
-    lengths = sorted(r.n for r in q.select("n").distinct().collect())  # eight at most
-    d = memories.select("id", T.tokens("content").alias("t")).withColumn("n", F.explode(F.lit(lengths).cast("array<int>"))).filter("size(t) >= n")
-    pairs = d.selectExpr("id", f"explode({grams('t', 'n')}) g").join(q.selectExpr("query_id", f"explode({grams('t', 'n')}) g"), "g")
-    return pairs.groupBy("query_id").agg(F.collect_set("id").alias("evidence"))
-
-
-def evaluated(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """Retrieved and evidence arrays of each query: evidence are the documents with its first eight tokens in a row, or ``whole``."""
-    q = asked(spark, sf_dir).select("query_id", T.tokens("text").alias("t")).filter("size(t) >= 8").selectExpr("query_id", "array_join(slice(t, 1, 8), ' ') g")
-    d = memories(spark, sf_dir).select("id", T.tokens("content").alias("t")).filter("size(t) >= 8").selectExpr("id", "explode(array_distinct(transform(sequence(1, size(t) - 7), i -> array_join(slice(t, i, 8), ' ')))) g")
-    evidence = whole_evidence(memories(spark, sf_dir), asked(spark, sf_dir)) if whole else d.join(q, "g").groupBy("query_id").agg(F.collect_set("id").alias("evidence"))
-    hits = retrieve.top(retrieve.bm25_scores(memories(spark, sf_dir), asked(spark, sf_dir)).withColumn("score", F.round("bm25", 6)), 10)
-    got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
-    return got.join(evidence, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<bigint>")))
-
-
-_NAMES = [*(f"recall_{k}" for k in (1, 3, 5, 10)), "mrr", "ndcg_5"]
-
-
-@query(f"{_EVAL} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _NAMES)} FROM per")
-def retrieval_metrics(spark, sf_dir):
-    m = evaluate.metrics(evaluated(spark, sf_dir))
-    return m.select("query_id", *[F.round(c, 6).alias(c) for c in _NAMES])
-
-
-@query(f"{_EVAL} SELECT count(*) AS questions, {', '.join(f'round(avg({c}), 5) AS {c}' for c in _NAMES)}, round(avg(CASE WHEN recall_10 = 0 THEN 1.0 ELSE 0.0 END), 5) AS miss_10 FROM per")
-def eval_summary(spark, sf_dir):
-    m = evaluate.metrics(evaluated(spark, sf_dir))
-    return m.agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 5).alias(c) for c in _NAMES], F.round(F.avg(F.when(F.col("recall_10") == 0, 1.0).otherwise(0.0)), 5).alias("miss_10"))
-
-
-@query(f"{_WHOLE} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _NAMES)} FROM per")
-def retrieval_metrics_whole(spark, sf_dir):
-    m = evaluate.metrics(evaluated(spark, sf_dir, whole=True))
-    return m.select("query_id", *[F.round(c, 6).alias(c) for c in _NAMES])
-
-
-@query(f"{_WHOLE} SELECT count(*) AS questions, {', '.join(f'round(avg({c}), 5) AS {c}' for c in _NAMES)}, round(avg(CASE WHEN recall_10 = 0 THEN 1.0 ELSE 0.0 END), 5) AS miss_10 FROM per")
-def eval_summary_whole(spark, sf_dir):
-    m = evaluate.metrics(evaluated(spark, sf_dir, whole=True))
-    return m.agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 5).alias(c) for c in _NAMES], F.round(F.avg(F.when(F.col("recall_10") == 0, 1.0).otherwise(0.0)), 5).alias("miss_10"))
-
-
 @query("SELECT o_orderkey, CAST(isodow(o_orderdate) AS INTEGER) AS weekday, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS monday, strftime(date_trunc('week', o_orderdate) + INTERVAL 6 DAY, '%Y-%m-%d') AS sunday, strftime(o_orderdate, '%-d %B %Y') AS shown FROM orders")
 def date_arith(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
@@ -346,8 +149,8 @@ def report_rollup(spark, sf_dir):
 @query("SELECT (SELECT count(*) FROM documents SEMI JOIN labels USING (doc_id)) AS with_label, (SELECT count(*) FROM documents ANTI JOIN labels USING (doc_id)) AS without_label")
 def evidence_semi_anti(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    a = d.join(lab, "doc_id", "left_semi").agg(F.count("*").alias("n")).first()[0]
-    return d.join(lab, "doc_id", "left_anti").agg(F.count("*").alias("without_label")).select(F.lit(a).cast("long").alias("with_label"), "without_label")
+    a = d.join(lab, "doc_id", "left_semi").agg(F.count("*").alias("with_label"))
+    return a.crossJoin(d.join(lab, "doc_id", "left_anti").agg(F.count("*").alias("without_label")))  # one row each
 
 
 _NUMBER_SQL = " ".join(f"WHEN '{word}' THEN '{i}'" for i, word in enumerate(N.NUMBERS))
@@ -392,8 +195,8 @@ def speaker_and_kind_signals(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", N.speaker_match(F.col("text"), F.col("held_role")).alias("speaker_match"), N.kind_factor(kind).cast("double").alias("kind_factor"))
 
 
-@query()
+@query(f"""WITH raw AS (SELECT unnest({TOK.format('text')}) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM raw GROUP BY word), {stems('SELECT word FROM n')} SELECT stem, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n_uses FROM n JOIN st USING (word) GROUP BY stem""")
 def stem_vocabulary(spark, sf_dir):
-    """Stems of all words of the documents with the number of their words and uses; the stemmer has no SQL form."""
+    """Stems of all words of the documents with the number of their words and uses."""
     v = stem.vocabulary(table(spark, sf_dir, "documents"), T.tokens("text"))
     return v.groupBy("stem").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_uses"))

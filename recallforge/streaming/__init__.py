@@ -1 +1 @@
-"""streaming package."""
+"""Streaming versions of the stateful operators."""

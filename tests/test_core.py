@@ -8,8 +8,9 @@ import pytest
 from recallforge.functions import normal as N
 from recallforge.functions import stem
 from recallforge.functions import text as T
-from recallforge.operators import evaluate, ingest, retrieve
+from recallforge.operators import evaluate, ingest, retrieve, search
 from recallforge.plans import queries as core
+from recallforge.plans import registry
 from recallforge.sources import log
 
 DIR = "/root/testdata/sf0.001"
@@ -45,10 +46,51 @@ def test_metrics(spark):
     assert (a.recall_1, a.recall_3, a.mrr) == (0.0, 1.0, 0.5) and b.mrr == b.recall_10 == b.ndcg_5 == 0.0
 
 
-def test_fold_merges_in_order(spark):
-    rows = [("n", "semantic", 1, "I like tea", 0.5, 0.5), ("n", "semantic", 2, "i LIKE tea", 0.9, 0.4), ("n", "semantic", 3, "other words here", 0.1, 0.1)]
-    got = ingest.fold(spark.createDataFrame(rows, "namespace string, memory_type string, seq long, content string, importance double, confidence double")).orderBy("seq").collect()
-    assert [(r.merged, r.importance) for r in got] == [(2, 0.9), (1, 0.1)]
+def brute_fold(rows, least=0.72):
+    """Every row against all memories before it, in order."""
+    out = []
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        mine = set(T.stemmed(r["content"]))
+        for m in out:
+            theirs = set(T.stemmed(m["content"]))
+            if ingest.ascii_lower(m["content"]) == ingest.ascii_lower(r["content"]) or (mine and theirs and len(mine & theirs) / len(mine | theirs) >= least):
+                m["content"] = T.merged(m["content"], r["content"])
+                m["merged"] += 1
+                break
+        else:
+            out.append({**r, "merged": 1})
+    return sorted((m["content"], m["seq"], m["merged"]) for m in out)
+
+
+def test_fold_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(220):
+        content = " ".join(rnd.sample(words, rnd.randint(1, 9))) if not rows or rnd.random() < 0.5 else rnd.choice(rows)["content"]
+        if rnd.random() < 0.3:
+            content = content.upper() if rnd.random() < 0.4 else content + " " + rnd.choice(words)
+        rows.append({"namespace": "n", "memory_type": "semantic", "seq": i, "content": content, "importance": rnd.random(), "confidence": 0.5})
+    got = ingest.fold(spark.createDataFrame(rows)).collect()
+    assert sorted((r.content, r.seq, r.merged) for r in got) == brute_fold(rows) and len(got) < 200
+
+
+def test_fold_keeps_the_first_rows_place_and_takes_new_metadata(spark):
+    rows = [("a", "n", "semantic", "I like tea", "e1", 0.5, 0.5, {"k": "1", "x": "y"}, 1), ("b", "n", "semantic", "i LIKE tea", "e2", 0.9, 0.4, {"k": "2"}, 2), ("c", "n", "semantic", "I like tea", "e3", 0.1, 0.1, {"side_channel": "x"}, 3), ("d", "n", "episodic", "I like tea", "e4", 0.2, 0.2, {}, 4)]
+    got = {r.id: r for r in ingest.fold(spark.createDataFrame(rows, "id string, namespace string, memory_type string, content string, source_event_id string, importance double, confidence double, metadata map<string,string>, seq long")).collect()}
+    assert set(got) == {"a", "c", "d"} and (got["a"].source_event_id, got["a"].importance, got["a"].confidence, got["a"].merged) == ("e1", 0.9, 0.5, 2)
+    assert got["a"].metadata == {"k": "2", "x": "y"} and got["c"].merged == 1
+
+
+def test_candidates_and_summaries(spark):
+    rows = [("n", "e1", "user", "I like green tea a lot. i like green tea a lot! Ok. We met by the old lake"), ("n", "e2", "bot", "a b. c d. e f. g h. i j"), ("n", "e3", "bot", "a b. c d"), ("n", "e4", "bot", None)]
+    got = [tuple(r) for r in ingest.candidates(spark.createDataFrame(rows, "namespace string, event_id string, actor string, text string")).orderBy("event_id", "pos").collect()]
+    assert got == [
+        ("n", "e1", 0, "I like green tea a lot", "semantic", 0.85, 0.82), ("n", "e1", 3, "We met by the old lake", "episodic", 0.45, 0.58),
+        ("n", "e2", 0, "bot said: a b. c d. e f. g h. i j", "episodic", 0.35, 0.55),
+    ]
 
 
 def test_source_cap(spark):
@@ -58,23 +100,35 @@ def test_source_cap(spark):
 
 def test_context_has_whole_memories(spark):
     """Every memory of a context is whole and has its score; nearly all are longer than forty characters."""
-    texts = [r.content for r in core.memories(spark, DIR).collect()]
-    contexts = [r.context for r in core.QUERIES["build_context_whole"](spark, DIR).collect()]
-    assert contexts and all(" score=" in c for c in contexts)
-    assert all(any(c.endswith("] " + t) for t in texts if t is not None) for c in contexts) and any(len(c) > 1000 for c in contexts)
+    texts = [r.content for r in registry.memories(spark, DIR).collect()]
+    contexts = [r.context for r in core.QUERIES["build_context"](spark, DIR).collect()]
+    assert contexts and all(c.startswith("# Agent Memory\n- [episodic score=") for c in contexts)
+    assert all(any(c.endswith("] " + t + "\n") for t in texts if t is not None) for c in contexts) and any(len(c) > 1000 for c in contexts)
+    hits = spark.createDataFrame([(1, 1, 0.5, "semantic", 0.75, "a")], "query_id long, rank int, score double, memory_type string, confidence double, content string")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert {r.query_id: r.context for r in retrieve.build_context(hits, asked).collect()} == {1: "# Agent Memory\n- [semantic score=0.500 confidence=0.75] a\n", 2: ""}
 
 
 def test_rules_and_judge_read_whole_tables(spark):
-    turns = core.table(spark, DIR, "conversations").count()
-    assert core.QUERIES["classify_sentences"](spark, DIR).select("conv_id", "turn").distinct().count() > turns // 2
-    assert core.QUERIES["judge_exact_turns"](spark, DIR).count() > turns // 2
+    turns = registry.table(spark, DIR, "conversations").count()
+    assert core.QUERIES["classify_rules"](spark, DIR).select("conv_id", "turn").distinct().count() > turns // 2
+    assert core.QUERIES["judge_exact"](spark, DIR).count() > turns // 2
 
 
 def test_evidence_of_whole_items(spark):
     """A later passage of an item, and an item of under eight tokens, are evidence too."""
     docs = spark.createDataFrame([(1, "x c d e f g h i j y"), (2, "say red fox now"), (3, "a b c d"), (4, "red"), (5, None)], "id long, content string")
     asked = spark.createDataFrame([(7, "a b c d e f g h i j"), (8, "red fox"), (9, "")], "query_id long, text string")
-    assert {r.query_id: r.evidence for r in core.whole_evidence(docs, asked).collect()} == {7: [1], 8: [2]}
+    assert sorted(map(tuple, search.contains_windows(docs, asked).collect())) == [(7, 1), (8, 2)]
+
+
+def test_rules_on_sentences(spark):
+    from pyspark.sql import functions as F
+
+    said = {"I prefer green tea": "semantic", "Remember that the door is red": "semantic", "When you deploy, use the script": "procedural", "Next time we test first": "reflection", "We went to the lake": "episodic", "hello": None, "thank you": None}
+    df = spark.createDataFrame([(x,) for x in said], "x string").withColumn("c", T.classify(F.lower("x")))
+    got = {r.x: r.memory_type if r.keep else None for r in df.select("x", "c.memory_type", T.should_keep(F.lower("x"), F.col("c.memory_type")).alias("keep")).collect()}
+    assert got == said
 
 
 # Pairs of the published sample vocabulary and of the algorithm's description.
