@@ -214,7 +214,7 @@ hit AS (SELECT doc_id, item_id, dw.n, i FROM dw JOIN bw USING (n, g)),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids FROM hit GROUP BY doc_id),
 run AS (SELECT doc_id, max(e) AS longest_match FROM (SELECT doc_id, count(*) + max(n) - 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, spot - i ORDER BY i) AS grp, spot - i AS diag FROM (
-  SELECT doc_id, item_id, h.n, h.i, p.i AS spot FROM hit h JOIN (SELECT item_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM k)) p USING (item_id, n) JOIN dw USING (doc_id, n, i) WHERE dw.g = p.g)) GROUP BY doc_id, item_id, diag, grp) GROUP BY doc_id)
+  SELECT doc_id, item_id, h.n, h.i, spot FROM hit h JOIN (SELECT item_id, n, i AS spot, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM k)) p USING (item_id, n) JOIN dw USING (doc_id, n, i) WHERE dw.g = p.g)) GROUP BY doc_id, item_id, diag, grp) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(longest_match, 0) AS longest_match
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN run USING (doc_id)
 """
