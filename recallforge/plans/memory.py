@@ -141,11 +141,11 @@ def ingest_dataset(spark, sf_dir):
 # ---- vectors
 
 
-@query(f"{_ALL.rsplit(', pairs AS', 1)[0].rsplit('shared_e AS', 1)[0].rstrip().rstrip(',')} SELECT query_id, id, round(round(cosine, 6), 4) AS cosine, rank FROM (SELECT *, CAST({_R.format('round(cosine, 6)')} AS INTEGER) AS rank FROM cosine) WHERE rank <= 5")
+@query(f"{_ALL.rsplit(', pairs AS', 1)[0].rsplit('shared_e AS', 1)[0].rstrip().rstrip(',')} SELECT query_id, id, round(cosine, 6) AS cosine, rank FROM (SELECT *, CAST({_R.format('round(cosine, 6)')} AS INTEGER) AS rank FROM cosine) WHERE rank <= 5")
 def embedding_topk(spark, sf_dir):
     """The nearest documents of every item by hashed embeddings."""
     found = search.search(memories(spark, sf_dir), asked(spark, sf_dir), search.Search(limit=5, weights={"cosine": 1.0}, per_source=None))
-    return found.filter("cosine <> 0").select("query_id", "id", F.round("score", 4).alias("cosine"), "rank")
+    return found.filter("cosine <> 0").select("query_id", "id", F.col("score").alias("cosine"), "rank")
 
 
 # ---- judges, metrics, answers

@@ -27,10 +27,10 @@ def bm25_stats(spark, sf_dir):
 _BM25 = search.Search(limit=10, weights=search.BM25_ONLY, per_source=None, matches_only=True)
 
 
-@query(f"{_BM} SELECT query_id, id, round(round(bm25, 6), 4) AS bm25, rank FROM (SELECT *, CAST({_R.format('round(bm25, 6)')} AS INTEGER) AS rank FROM s) WHERE rank <= 10")
+@query(f"{_BM} SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM (SELECT *, CAST({_R.format('round(bm25, 6)')} AS INTEGER) AS rank FROM s) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     hits = search.search(memories(spark, sf_dir), asked(spark, sf_dir), _BM25)
-    return hits.select("query_id", "id", F.round("score", 4).alias("bm25"), "rank")
+    return hits.select("query_id", "id", F.col("score").alias("bm25"), "rank")
 
 
 #: Entities of texts: (kind, id, e).
@@ -85,10 +85,10 @@ def hits(spark, sf_dir) -> DataFrame:
     return search.search(whole_memories(spark, sf_dir), asked(spark, sf_dir))
 
 
-@query(f"{_ALL} SELECT query_id, id, source, round(score, 4) AS score, rank FROM top")
+@query(f"{_ALL} SELECT query_id, id, source, score, rank FROM top")
 def hybrid_topk_source_cap(spark, sf_dir):
     """All signals of the score, two of a source at most."""
-    return hits(spark, sf_dir).select("query_id", "id", "source", F.round("score", 4).alias("score"), "rank")
+    return hits(spark, sf_dir).select("query_id", "id", "source", "score", "rank")
 
 
 @query(f"""{_ALL}, why AS (SELECT query_id, id, concat_ws(',', CASE WHEN cosine > 0.3 THEN 'semantic_match' WHEN cosine > 0.1 THEN 'weak_semantic_match' END, CASE WHEN bm25 > 0.1 THEN 'keyword_match' WHEN density > 0.1 THEN 'weak_keyword_match' END, CASE WHEN entity > 0.05 THEN 'entity_match' END, CASE WHEN speaker THEN 'speaker_match' END) AS r FROM top)
@@ -104,22 +104,22 @@ def build_context(spark, sf_dir):
     return retrieve.build_context(found.withColumns({"memory_type": F.lit("episodic"), "confidence": F.lit(0.75)}), asked(spark, sf_dir))
 
 
-@query(f"{_ALL}, b10 AS (SELECT query_id, id, round(bm25, 6) AS score FROM (SELECT *, {_R.format('round(bm25, 6)')} AS rank FROM s) WHERE rank <= 10), u AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM top UNION ALL SELECT query_id, id, score FROM b10) GROUP BY ALL) SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM u) WHERE rank <= 5")
+@query(f"{_ALL}, b10 AS (SELECT query_id, id, round(bm25, 6) AS score FROM (SELECT *, {_R.format('round(bm25, 6)')} AS rank FROM s) WHERE rank <= 10), u AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM top UNION ALL SELECT query_id, id, score FROM b10) GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM u) WHERE rank <= 5")
 def fuse_candidates(spark, sf_dir):
     """The hybrid and the BM25 list of each item as one, by the better score."""
     b = search.search(memories(spark, sf_dir), asked(spark, sf_dir), _BM25).select("query_id", "id", "score")
-    return retrieve.fuse(hits(spark, sf_dir), b, 5).withColumn("score", F.round("score", 4))
+    return retrieve.fuse(hits(spark, sf_dir), b, 5)
 
 
 @query(f"""WITH {_TERMS}, len AS (SELECT id, ns, len(t) AS dl FROM raw WHERE kind = 'd'), tot AS (SELECT ns, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY ns), tf AS (SELECT id, ns, term, count(*) AS tf FROM tok WHERE kind = 'd' GROUP BY ALL), df AS (SELECT ns, term, count(*) AS df FROM tf GROUP BY ALL),
 qt AS (SELECT DISTINCT id AS item, term FROM tok WHERE kind = 'q'), s AS (SELECT tf.ns || ':' || item AS query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (ns, term) JOIN len USING (id) JOIN tot ON tot.ns = tf.ns GROUP BY ALL)
-SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM s) WHERE rank <= 10""")
+SELECT query_id, id, score, rank FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM s) WHERE rank <= 10""")
 def search_by_namespace(spark, sf_dir):
     """Every item asked in every language's namespace, by that namespace's own statistics."""
     spaces = table(spark, sf_dir, "documents").select(F.col("lang").alias("namespace")).distinct()
     q = asked(spark, sf_dir).join(F.broadcast(spaces)).selectExpr("concat(namespace, ':', query_id) query_id", "namespace", "text")  # a few languages
     found = search.search(table(spark, sf_dir, "documents").selectExpr("doc_id id", "lang namespace", "text content"), q, _BM25)
-    return found.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    return found.select("query_id", "id", "score", "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM q, embeddings)
