@@ -34,8 +34,21 @@ def _after(w: str, start: int) -> int:
     return found.end() if found else len(w)
 
 
-def _longest(w: str, suffixes) -> str:
-    return max((s for s in suffixes if w.endswith(s)), key=len, default="")
+class Suffixes:
+    """A set of suffixes, asked for the longest one of a word."""
+
+    def __init__(self, *suffixes: str):
+        self.by_length = [(n, frozenset(s for s in suffixes if len(s) == n)) for n in sorted({len(s) for s in suffixes}, reverse=True)]
+
+    def of(self, w: str) -> str:
+        for n, some in self.by_length:
+            if w[-n:] in some:
+                return w[-n:]
+        return ""
+
+
+_POSSESSIVE, _PLURAL, _PAST = Suffixes("'", "'s", "'s'"), Suffixes("sses", "ied", "ies", "us", "ss", "s"), Suffixes("eedly", "ingly", "edly", "eed", "ing", "ed")
+_SECOND, _THIRD, _FOURTH = Suffixes(*STEP2, "ogi", "li"), Suffixes(*STEP3, "ative"), Suffixes(*STEP4, "ion")
 
 
 def stem(word: str) -> str:
@@ -51,8 +64,8 @@ def stem(word: str) -> str:
     start = _START.match(w)
     r1 = start.end() if start else _after(w, 0)
     r2 = _after(w, r1)
-    w = w.removesuffix(_longest(w, ("'", "'s", "'s'")))
-    s = _longest(w, ("sses", "ied", "ies", "us", "ss", "s"))
+    w = w.removesuffix(_POSSESSIVE.of(w))
+    s = _PLURAL.of(w)
     if s == "sses":
         w = w[:-2]
     elif s in ("ied", "ies"):
@@ -61,7 +74,7 @@ def stem(word: str) -> str:
         w = w[:-1]
     if w in INVARIANT:
         return w
-    s = _longest(w, ("eedly", "ingly", "edly", "eed", "ing", "ed"))
+    s = _PAST.of(w)
     if s in ("eed", "eedly"):
         if len(w) - len(s) >= r1:
             w = w[: -len(s)] + "ee"
@@ -75,7 +88,7 @@ def stem(word: str) -> str:
             w += "e"
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
         w = w[:-1] + "i"
-    s = _longest(w, (*STEP2, "ogi", "li"))
+    s = _SECOND.of(w)
     if s and len(w) - len(s) >= r1:
         if s == "ogi":
             w = w[:-1] if w[-4:-3] == "l" else w
@@ -83,10 +96,10 @@ def stem(word: str) -> str:
             w = w[:-2] if w[-3:-2] in set("cdeghkmnrt") else w
         else:
             w = w[: -len(s)] + STEP2[s]
-    s = _longest(w, (*STEP3, "ative"))
+    s = _THIRD.of(w)
     if s and len(w) - len(s) >= (r2 if s == "ative" else r1):
         w = w[: -len(s)] + STEP3.get(s, "")
-    s = _longest(w, (*STEP4, "ion"))
+    s = _FOURTH.of(w)
     if s and len(w) - len(s) >= r2 and (s != "ion" or w[-4:-3] in ("s", "t")):
         w = w[: -len(s)]
     if w.endswith("e") and (len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _SHORT.search(w[:-1]))):

@@ -53,6 +53,12 @@ class Search:
             raise ValueError("limit must be 1 at least")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where they come in fewer partitions, as from one small file; large inputs stay as they are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def prepared(memories: DataFrame) -> DataFrame:
     """(id, namespace, source, content, importance, kind, turn, speaker, entities) of memories; what is missing has defaults."""
     have = memories.columns
@@ -275,7 +281,7 @@ def search(memories: DataFrame, queries: DataFrame, plan: Search | None = None)
     Queries without text, and namespaces without memories, get what the other signals give, or nothing.
     """
     plan = plan or Search()
-    rows, out, query_type = prepared(memories), None, queries.schema["query_id"].dataType
+    rows, out, query_type = prepared(spread(memories)), None, queries.schema["query_id"].dataType
     for block in blocks(queries):
         if block:
             part = score_block(rows, block, plan, query_type)
@@ -324,7 +330,7 @@ def contains_windows(memories: DataFrame, queries: DataFrame, window: int = 8) -
                             pairs.update((q, key) for q in held.get(tuple(t[i : i + n]), ()))
                 yield pd.DataFrame(sorted(pairs), columns=["query_id", "id"])
 
-        part = memories.select("id", "content").mapInPandas(found, StructType([StructField("query_id", query_type), memories.schema["id"]]))
+        part = spread(memories.select("id", "content")).mapInPandas(found, StructType([StructField("query_id", query_type), memories.schema["id"]]))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

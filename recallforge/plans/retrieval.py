@@ -61,7 +61,7 @@ def whole_memories(spark, sf_dir) -> DataFrame:
         "doc_id id", "'default' namespace", "text content", "concat(source, '_turn_', doc_id % 7) source_event_id", "0.3D + (doc_id % 5) / 10.0D importance",
         "map('speaker', lang, 'memory_kind', case lang when 'en' then 'verbatim_turn' when 'de' then 'observation' when 'fr' then 'llm_fact' else 'other' end) metadata",
     )
-    return E.enrich(d)
+    return E.enrich(search.spread(d))
 
 
 #: All signals of all pairs of an item and a document.

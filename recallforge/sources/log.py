@@ -87,8 +87,9 @@ def parse(lines: DataFrame) -> DataFrame:
     """(seq, kind, f, error) of (seq, line): decoded fields by name; ``error`` says why a record is corrupt.  Blank lines are skipped."""
     raw = F.split("line", "\t")
     rows = lines.filter(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select("seq", raw.alias("raw"))
-    parts = F.transform("raw", unescape)
-    rows = rows.select("seq", F.get(parts, F.lit(0)).alias("kind"), parts.alias("p"), F.exists("raw", lambda x: ~escaped_well(x)).alias("bad"))
+    # as a generator's row, so that the optimizer does not unescape anew for each field that is read
+    rows = rows.select("seq", F.inline(F.array(F.struct(F.transform("raw", unescape).alias("p"), F.exists("raw", lambda x: ~escaped_well(x)).alias("bad")))))
+    rows = rows.withColumn("kind", F.get("p", F.lit(0)))
 
     def time(i: int) -> Column:
         return F.timestamp_seconds(F.get("p", F.lit(i)).try_cast("long"))
