@@ -288,6 +288,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by sets of three words; null, blank and very long texts, and repeated rows, as in ``near_duplicates``."""
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), 3, 85)
 
 
@@ -317,6 +318,10 @@ ORACLE = oracle()
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with the columns of ``docs``; repeated rows of a kept id stay."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with the columns of ``docs``.
+
+    Null, empty and blank texts are linked with nothing and stay, as do rows with a null id and repeated rows of a kept id;
+    rows of an id go together if any of them is not kept.  An empty table stays empty.
+    """
     gone = near_duplicates(docs.select(id_col, text_col), n, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

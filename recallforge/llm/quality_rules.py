@@ -97,6 +97,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all documents; null and empty texts, languages and sources, and repeated rows, as in ``quality_rules``."""
     return quality_rules(documents(spark, sf_dir, "doc_id", "lang", "source", "text"))
 
 

@@ -194,7 +194,10 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
 
 
 def redact_secrets(docs: DataFrame, mark: str = "<secret>", rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with overlapping spans joined and each replaced by ``mark`` in the text; ``n_chars``, if there, follows."""
+    """Every row of ``docs`` with overlapping spans joined and each replaced by ``mark`` in the text; ``n_chars``, if there, follows.
+
+    Null and empty texts stay as they are; repeated rows are redacted each; all other columns stay.
+    """
     merged = F.expr(
         "aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, s) -> if(size(acc) > 0 and s.start <= element_at(acc, -1).b,"
         " concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, s.end)))),"
@@ -211,6 +214,7 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>", rules: tuple[Rule, .
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents; null, empty and very long texts, and repeated rows, as in ``scan_secrets``."""
     found = scan_secrets(documents(spark, sf_dir, "doc_id", "text"))
     listed = "array_join(transform({0}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
     base = f"filter(spans, s -> s.kind in {BASE})"

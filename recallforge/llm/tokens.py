@@ -214,6 +214,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; null and empty texts have none, very long ones are counted whole, repeated rows each."""
     import public_tokenizers
 
     return count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))

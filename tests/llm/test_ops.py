@@ -326,3 +326,69 @@ def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, DIR)
     cols = sorted(got.columns)
     assert sorted(map(repr, con.sql(f"select {', '.join(cols)} from ({ORACLES[name]})").fetchall())) == sorted(repr(tuple(r)) for r in got.select(*cols).collect())
+
+
+def test_html_marks_hold_for_elements_of_their_own(spark):
+    """Names of the body or the article drop nothing, nor do names that tell of another element; formulas are text."""
+    body = "<div class='{0} layout'><article class='share-post'><h1>t{0}</h1><p>a{0} <math><mi>x</mi></math> end</p><object>o{0}</object></article><div class='post-comments'>c{0}</div></div>"
+    rows = [(i, "http://m.example/", f'<html class="has-menu"><body class="home with-sidebar no-footer">{body.format(i)}</body></html>') for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "t3\n\na3 x end\n\no3"
+
+
+def test_html_wrappers_decide(spark):
+    """Without any marked element only the alignment of a host's pages tells the article; without wrappers its template stays."""
+    page = "<div class='a'>Our town paper</div><div class='b'><div>Read more</div><div>story {0}</div><div>second part {0}</div></div><div class='c'>All rights kept</div>"
+    got = html_pages(spark, [page.format(i) for i in range(7)], "http://w.example/1")
+    assert got[4] == "story 4\n\nsecond part 4"
+    assert html_text.content(html_text.parse(page.format(4)), None) == "Our town paper\n\nRead more\n\nstory 4\n\nsecond part 4\n\nAll rights kept"
+
+
+def test_html_on_edge_cases(spark):
+    schema = "page_id long, url string, html string, text string, host string, template string"
+    long = "<p>" + "long words here " * 50_000 + "</p>"
+    rows = [(1, "http://e.example/", "<p>one</p>", "x", "y", "z")] * 2 + [(None, None, None, None, None, None), (2, "http://e.example/", long, "x", "y", "z"), (3, "no url", "", "", "", ""), (4, "http://E.example:80/", "<p>unclosed <b>bold", "", "", ""), (5, None, "plain &lt;text&gt; &#233;", "", "", "")]
+    got = html_text.extract_text(spark.createDataFrame(rows, schema))
+    by = sorted((r.page_id or 0, r.text[:20], r.n_chars) for r in got.collect())
+    assert by == [(0, "", 0), (1, "one", 3), (1, "one", 3), (2, "long words here long", 16 * 50_000 - 1), (3, "", 0), (4, "unclosed bold", 13), (5, "plain <text> é", 14)]
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pair_weights_are_where_the_loss_is_least():
+    """The gradient of the penalized logistic loss over the drawn pairs is zero at the weights; good rows rank above bad ones."""
+    own = np.random.default_rng(4)
+    good = own.integers(0, 2, 300)
+    x = own.normal(size=(300, 5)) + good[:, None] * [1.0, 0.5, 0, 0, -1.0]
+    w, cut = quality_model.fit(x, good)
+    scale = x.std(0) + 1e-6
+    pos, neg = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    small, large = (neg, pos) if len(neg) <= len(pos) else (pos, neg)
+    a, b = np.repeat(small, quality_model.PAIRS_EACH), np.random.default_rng(7).choice(large, len(small) * quality_model.PAIRS_EACH)
+    diff = (x[b] - x[a] if small is neg else x[a] - x[b]) / scale
+    gradient = -(diff / (1 + np.exp(diff @ (w * scale)))[:, None]).sum(0) + w * scale
+    assert np.abs(gradient).max() < 1e-2 and (x @ w)[good == 1].mean() > (x @ w)[good == 0].mean()
+    assert cut == np.quantile(x @ w, len(neg) / 300) and not quality_model.fit(x, np.ones(300, int))[0].any()
+
+
+def test_quality_does_not_depend_on_partitions(spark, edge_docs):
+    rows = [(i, " ".join(rnd.choice(["calm", "river", "&&", "WALK", "7"]) for _ in range(30))) for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(0, 120, 2)] + [(i, 1) for i in range(1, 40, 2)], "doc_id long, quality int")
+    a, b = ({r.doc_id: r.raw for r in quality_model.score_quality(docs.repartition(n), labels.repartition(7 - n), "true").collect()} for n in (1, 5))
+    assert a == b
+    edge = {r.doc_id: r for r in quality_model.score_quality(edge_docs, labels, "true").collect()}
+    assert edge[3].score == edge[4].score and 0 <= edge[3].score <= 1 and edge[1].score == edge[2].score
+
+
+def test_mixing_of_hot_keys_and_large_rates(spark):
+    """Rows without an id are replicated alike but dealt to several partitions; large rates and long texts are no trouble."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).selectExpr("if(id < 2000, null, id) doc_id", "if(id % 100 = 0, 'rare', 'often') source", "concat('t', id) text", "'x' replica")
+    mixed = mixing.mix_sources(docs, {"rare": 0.5, "often": 0.5}, epochs=40.0)
+    n = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert mixed.columns == ["doc_id", "source", "text", "replica", "mix_key"] and n["rare"] > 30 * 1000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be put together again
+    spread = mixed.filter("doc_id is null and replica = 1").select(F.spark_partition_id().alias("p"), "mix_key").distinct().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.mix_key for r in spread}) == 1 and len({r.p for r in spread}) > 1
+    assert mixing.mix_sources(spark.createDataFrame([(1, "s", "long " * 200_000)], "doc_id long, source string, text string"), epochs=3.0).select("text").distinct().count() <= 1
