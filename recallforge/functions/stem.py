@@ -29,6 +29,10 @@ _SHORT = re.compile(f"(^{VOWEL}{REST}|{REST}{VOWEL}[^aeiouywxY])$")
 _DOUBLE = re.compile("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
 
 
+#: Letters that a word ends with before any step; words with other ends stay as they are.
+ENDS = frozenset("'sdgylirnmect")
+
+
 def _after(w: str, start: int) -> int:
     found = _REGION.search(w, start)
     return found.end() if found else len(w)
@@ -58,7 +62,7 @@ def stem(word: str) -> str:
         return word
     if w in EXCEPTIONS:
         return EXCEPTIONS[w]
-    if len(w) <= 2:
+    if len(w) <= 2 or w[-1] not in ENDS:
         return w
     w = re.sub(r"^y|(?<=[aeiouy])y", "Y", w)
     start = _START.match(w)
