@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from recallforge.functions.stem import stem
+from recallforge.functions.stem import EXCEPTIONS, stem
 
 # Keyword rules (in order: type, importance, confidence, phrases) and greetings.
 RULES = (
@@ -43,6 +44,40 @@ def stemmed(text: str | None) -> list[str]:
     return [term(w) for w in _WORDS.findall(text or "")]
 
 
+class TermNumbers:
+    """The numbers of the terms that words are stemmed to, among those of a given vocabulary.
+
+    A stem has the first two letters of its word, but for a few exceptional words, so most words of other beginnings need
+    no stemming.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], most: int = 400_000):
+        self.vocabulary, self.most, self.known = vocabulary, most, {}
+        self.begins = {t[:2] for t in vocabulary}
+
+    def number(self, word: str) -> int:
+        """-1 for words of other terms."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > self.most:
+                self.known.clear()
+            low = word.lower()
+            low = low.removesuffix("'s") if low.endswith("'s") else low.removesuffix("'")
+            bare = low.removeprefix("'")
+            near = len(bare) <= 3 or bare[:2] in self.begins or bare[:1] in self.begins or bare in EXCEPTIONS
+            found = self.known[word] = self.vocabulary.get(stem(low), -1) if near else -1
+        return found
+
+    def count(self, text: str | None) -> tuple[int, dict[int, int]]:
+        """How many tokens a text has, and how often each term of the vocabulary."""
+        words, out = Counter(_WORDS.findall(text or "")), {}
+        for w, n in words.items():
+            k = self.number(w)
+            if k >= 0:
+                out[k] = out.get(k, 0) + n
+        return words.total(), out
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def terms(text: pd.Series) -> pd.Series:
     """``stemmed`` over a column; each worker stems a word once."""

@@ -23,7 +23,7 @@ from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 from recallforge.functions.embedding import EmbeddingProvider, HashEmbedding
 from recallforge.functions.entities import held_entities, text_names
 from recallforge.functions.normal import kind_factor, turn_index
-from recallforge.functions.text import stemmed
+from recallforge.functions.text import TermNumbers, stemmed
 from recallforge.operators.retrieve import cap_sources, top
 
 # BM25 parameters, and weights of the signals with hashed and with external embeddings.
@@ -113,6 +113,7 @@ class Block:
                         if len(t[:n].encode()) >= 4:
                             self.begins[t[:n]].append(k)
         self.related: dict[str, list[int]] = {}
+        self.numbers = TermNumbers(self.terms)
 
     @staticmethod
     def _index(sets: list) -> tuple[dict[str, int], list[np.ndarray]]:
@@ -150,14 +151,15 @@ def statistics(memories: DataFrame, block: Block) -> dict[str, tuple[int, float,
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, wanted = sent.value
+        numbers = TermNumbers(terms)
         n, total, df = Counter(), Counter(), Counter()
         for batch in batches:
             for ns, text in zip(batch.column("namespace").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if ns in wanted:
-                    tokens = stemmed(text)
+                    length, found = numbers.count(text)
                     n[ns] += 1
-                    total[ns] += len(tokens)
-                    df.update((ns, terms[t]) for t in set(tokens) if t in terms)
+                    total[ns] += length
+                    df.update((ns, k) for k in found)
         rows = [*((ns, -1, n[ns], total[ns]) for ns in n), *((ns, k, c, 0) for (ns, k), c in df.items())]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["namespace", "k", "n", "total"])
@@ -176,12 +178,16 @@ def statistics(memories: DataFrame, block: Block) -> dict[str, tuple[int, float,
 
 def signals(batch: pd.DataFrame, block: Block, stats: dict) -> dict[str, np.ndarray]:
     """Every signal of the memories of a batch with all queries of a block, as (memory, query) arrays."""
-    n, weights = len(batch), block.plan.weights
-    bags = [stemmed(t) for t in batch["content"]]
-    sets = [Counter(b) for b in bags]
-    hits = [(i, block.terms[t], c) for i, s in enumerate(sets) for t, c in s.items() if t in block.terms]
+    n, weights, bags, sets = len(batch), block.plan.weights, [], []
+    if any(weights.get(s) for s in ("density", "prefix", "cosine")):  # these look at all tokens of a memory
+        bags = [stemmed(t) for t in batch["content"]]
+        sets = [Counter(b) for b in bags]
+        counted = [(len(b), {block.terms[t]: c for t, c in s.items() if t in block.terms}) for b, s in zip(bags, sets, strict=True)]
+    else:
+        counted = [block.numbers.count(t) for t in batch["content"]]
+    hits = [(i, k, c) for i, (_, found) in enumerate(counted) for k, c in found.items()]
     rows, keys, tf = (np.array(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, int),) * 3
-    length = np.array([len(b) for b in bags], float)
+    length = np.array([m for m, _ in counted], float)
     idf, mean = np.zeros(len(rows)), np.ones(len(rows))
     for ns in set(batch["namespace"]):
         own = (batch["namespace"].to_numpy() == ns)[rows] if len(rows) else np.empty(0, bool)

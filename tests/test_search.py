@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallforge.functions import embedding, entities
-from recallforge.functions.text import stemmed
+from recallforge.functions.text import TermNumbers, stemmed
 from recallforge.operators import search
 
 MEMORY = "id long, namespace string, source_event_id string, content string, importance double, metadata map<string,string>"
@@ -89,6 +89,27 @@ def test_search_equals_plain_scores(spark, monkeypatch):
     assert search.search(spark.createDataFrame([], MEMORY), asked).count() == 0 and search.search(spark.createDataFrame(rows, MEMORY), asked.limit(0)).count() == 0
 
 
+def test_numbers_of_terms_equal_stems():
+    words = "dying lying skies 'cause y's cry cries crying Cry's ties hoping hopes hope happily happy généreux été is as 'a a's eing ing gently news x' toys generously arsenal Ünder".split()
+    for some in (words, words[::3], ["die"], ["e"], []):
+        vocabulary = {t: k for k, t in enumerate(sorted({t for w in some for t in stemmed(w)}))}
+        numbers = TermNumbers(vocabulary, most=5)
+        for w in words:
+            got = stemmed(w)
+            assert numbers.count(w) == (len(got), {vocabulary[t]: 1 for t in got if t in vocabulary}), w
+    assert TermNumbers({"cri": 0}).count("cry Cries x cried") == (4, {0: 3}) and TermNumbers({}).count(None) == (0, {})
+
+
+def test_bm25_alone_equals_the_signal_among_others(spark):
+    rnd = random.Random(6)
+    words = ["walk", "walking", "river", "Rivers", "tea", "cry", "cries", "dying", "die", "it's"]
+    rows = [(i, "default", None, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))), 0.5, {}) for i in range(40)]
+    memories, asked = spark.createDataFrame(rows, MEMORY), spark.createDataFrame([(k, " ".join(rnd.sample(words, 3))) for k in range(5)], "query_id long, text string")
+    one = {(r.query_id, r.id): r.score for r in search.search(memories, asked, search.Search(limit=50, weights=search.BM25_ONLY, per_source=None, matches_only=True)).collect()}
+    all_ = {(r.query_id, r.id): round(r.bm25, 6) for r in search.search(memories, asked, search.Search(limit=50, per_source=None)).collect() if r.bm25 > 0}
+    assert one == all_ and len(one) > 50
+
+
 def test_external_embeddings_have_their_weights(spark):
     class Length:
         dimensions = 1
