@@ -68,6 +68,10 @@ class TermNumbers:
             found = self.known[word] = self.vocabulary.get(stem(low), -1) if near else -1
         return found
 
+    def sequence(self, text: str | None) -> list[int]:
+        """The numbers of all tokens of a text, in order."""
+        return [self.number(w) for w in _WORDS.findall(text or "")]
+
     def count(self, text: str | None) -> tuple[int, dict[int, int]]:
         """How many tokens a text has, and how often each term of the vocabulary."""
         words, out = Counter(_WORDS.findall(text or "")), {}

@@ -315,23 +315,26 @@ def contains_windows(memories: DataFrame, queries: DataFrame, window: int = 8) -
     """
     out = None
     for block in blocks(queries):
-        grams: dict[tuple, list] = defaultdict(list)
-        for q in block:
-            t = stemmed(q.text)
+        bags = [(q.query_id, stemmed(q.text)) for q in block]
+        vocabulary = {t: k for k, t in enumerate(sorted({t for _, b in bags for t in b}))}
+        grams: dict[tuple, set] = defaultdict(set)
+        for query_id, bag in bags:
+            t = [vocabulary[w] for w in bag]
             n = min(window, len(t))
-            for g in {tuple(t[i : i + n]) for i in range(len(t) - n + 1)} if n else ():
-                grams[g].append(q.query_id)
-        sent = memories.sparkSession.sparkContext.broadcast(dict(grams))
+            for i in range(len(t) - n + 1) if n else ():
+                grams[tuple(t[i : i + n])].add(query_id)
+        sent = memories.sparkSession.sparkContext.broadcast((vocabulary, dict(grams)))
         query_type = queries.schema["query_id"].dataType
 
         def found(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            held = sent.value
+            terms, held = sent.value
+            numbers = TermNumbers(terms)
             sizes, starts = sorted({len(g) for g in held}), {g[0] for g in held}
             for batch in batches:
                 pairs = set()
                 for key, text in zip(batch["id"], batch["content"], strict=True):
-                    t = stemmed(text)
-                    for i in [i for i, w in enumerate(t) if w in starts]:
+                    t = numbers.sequence(text)
+                    for i in [i for i, k in enumerate(t) if k in starts]:
                         for n in sizes:
                             pairs.update((q, key) for q in held.get(tuple(t[i : i + n]), ()))
                 yield pd.DataFrame(sorted(pairs), columns=["query_id", "id"])
