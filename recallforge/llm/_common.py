@@ -52,6 +52,10 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def lasting(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``table``, for what the operator's result still reads: ``drop`` leaves it."""
+        return materialize(df, f"{self.tag}-{name}")
+
     def drop(self) -> None:
         """Delete the tables written so far; call it when all that was computed from them is written elsewhere."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
