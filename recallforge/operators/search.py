@@ -8,7 +8,7 @@ and no text is shuffled.  Two scans are made for each block: statistics, then sc
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,16 +18,18 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DataType, DoubleType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 from recallforge.functions.embedding import EmbeddingProvider, HashEmbedding
 from recallforge.functions.entities import held_entities, text_names
-from recallforge.functions.normal import kind_factor, turn_index
+from recallforge.functions.normal import KIND_FACTORS, OTHER_KIND, kind_factor, turn_index
 from recallforge.functions.text import TermNumbers, stemmed
+from recallforge.functions.wordbatch import word_numbers
 from recallforge.operators.retrieve import cap_sources, top
+from recallforge.sources.index import K1, Asked, B, TextIndex
+from recallforge.sources.shared import Scratch, materialize
 
-# BM25 parameters, and weights of the signals with hashed and with external embeddings.
-K1, B = 1.5, 0.75
+# Weights of the signals with hashed and with external embeddings.
 HASHED = {"density": 0.32, "bm25": 0.13, "entity": 0.15, "speaker": 0.05, "cosine": 0.02, "importance": 0.03, "kind": 0.05, "prefix": 0.25, "temporal": 0.1}
 EXTERNAL = {"density": 0.22, "bm25": 0.09, "entity": 0.22, "speaker": 0.06, "cosine": 0.25, "importance": 0.04, "kind": 0.12, "prefix": 0.25, "temporal": 0.1}
 BM25_ONLY = {"bm25": 1.0}
@@ -242,10 +244,13 @@ def best(rows: pd.DataFrame, plan: Search) -> pd.DataFrame:
     return rows
 
 
-def score_block(memories: DataFrame, queries: list, plan: Search, query_type: DataType) -> DataFrame:
-    """(query_id, id, source, score, signals): of every task what may be among the best of a query."""
+def score_block(memories: DataFrame, queries: list, plan: Search, query_type: DataType, stats: dict | None = None) -> DataFrame:
+    """(query_id, id, source, score, signals): of every task what may be among the best of a query.
+
+    ``stats`` are those of all memories, where ``memories`` are some of them.
+    """
     block = Block(queries, plan)
-    stats = statistics(memories, block)
+    stats = statistics(memories, block) if stats is None else stats
     # with the providers of users, whose classes need not be importable where tasks run
     sent = memories.sparkSession.sparkContext.broadcast(cloudpickle.dumps((block, stats)))
     names = [s for s in SIGNALS if plan.weights.get(s)]
@@ -280,23 +285,92 @@ def score_block(memories: DataFrame, queries: list, plan: Search, query_type: Da
     return wanted.mapInArrow(scored, spark_schema)
 
 
-def search(memories: DataFrame, queries: DataFrame, plan: Search | None = None) -> DataFrame:
+def search(memories: DataFrame, queries: DataFrame, plan: Search | None = None, index: TextIndex | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, id, source, score, signals, rank): the best memories of each query in its namespace.
 
     ``memories`` are those that the query may see (see ``log.visible``).  Ties go by id; a null source is not capped.
-    Queries without text, and namespaces without memories, get what the other signals give, or nothing.
+    Queries without text, and namespaces without memories, get what the other signals give, or nothing.  With an ``index``
+    of the same memories only those are read and scored that may be among the best, with the same result.  ``prepare``
+    adds what memories are scored by, as ``entities.enrich`` does, to those that are.
     """
     plan = plan or Search()
-    rows, out, query_type = prepared(spread(memories)), None, queries.schema["query_id"].dataType
+    prepare = prepare or (lambda rows: rows)
+    out, query_type = None, queries.schema["query_id"].dataType
     for block in blocks(queries):
         if block:
-            part = score_block(rows, block, plan, query_type)
+            if index is not None and plan.provider is None:
+                part = _through_index(index, memories, block, plan, query_type, prepare)
+            else:
+                part = score_block(prepared(prepare(spread(memories))), block, plan, query_type)
             out = part if out is None else out.unionByName(part)
     if out is None:
-        out = score_block(rows.limit(0), [], plan, query_type)
+        out = score_block(prepared(prepare(memories.limit(0))), [], plan, query_type)
     return top(cap_sources(out, plan.per_source) if plan.per_source is not None else out, plan.limit)
 
 
+#: Ids up to this number are broadcast, some 20 bytes each; more are joined.
+FEW_IDS = 200_000
+
+
+def _picked(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The memories whose ids are in a written table (id)."""
+    ids = ids.select("id").distinct()
+    return memories.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+
+
+def _through_index(index: TextIndex, memories: DataFrame, queries: list, plan: Search, query_type: DataType, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As ``score_block`` of all memories, from those that the index doesn't exclude.
+
+    The best by terms are scored in full, which gives each query a threshold; every memory whose terms, with all that the
+    other signals can add, reach the threshold is scored, too.  Queries that get no threshold, as those with few matches,
+    are scored against all memories.
+    """
+    block, w = Block(queries, plan), plan.weights
+    asked = Asked([q.namespace for q in queries], [sorted(set(stemmed(q.text))) for q in queries], w.get("bm25", 0.0), w.get("density", 0.0) + 0.5 * w.get("prefix", 0.0))
+    with Scratch(index.spark) as scratch:
+        found = index.search(asked, scratch)
+        stats = {ns: (s.count, s.mean, {block.terms[t]: s.df[k] for t, k in asked.numbers.items() if k in s.df}) for ns, s in found.stats.items()}
+        if plan.matches_only and set(w) == {"bm25"}:
+            best_ = materialize(_named(found.best(plan.limit if plan.per_source is None else SURE * plan.limit, scratch, plan.digits).filter("q >= 0"), queries, query_type), "found")
+            if plan.per_source is None:
+                own = prepared(_picked(memories, best_)).select("id", "source")
+                return best_.selectExpr("query_id", "id", "value score", "value bm25").join(F.broadcast(own) if own.count() <= FEW_IDS else own, "id").select("query_id", "id", "source", "score", "bm25")
+        first = scratch.table(found.best(SURE * plan.limit, scratch).filter("q >= 0").select("q", "id"), "first")
+        rated = scratch.table(score_block(prepared(prepare(_picked(memories, first))), queries, plan, query_type, stats), "rated")
+        kept = top(cap_sources(rated, plan.per_source) if plan.per_source is not None else rated, plan.limit)
+        least = {r.query_id: r.least for r in kept.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= plan.limit).collect()}  # one row a query
+        bound = _others(memories, plan)
+        near = found.above([least[q.query_id] - bound if q.query_id in least else np.inf for q in queries])
+        sure = scratch.table(near.select("q", "id").unionByName(first), "sure")
+        out = materialize(score_block(prepared(prepare(_picked(memories, sure))), queries, plan, query_type, stats), "scored")
+        open_ = [q for q in queries if q.query_id not in least or least[q.query_id] - bound <= 0]
+        if open_:
+            known = [q.query_id for q in open_]
+            whole = materialize(score_block(prepared(prepare(spread(memories))), open_, plan, query_type), "scored")
+            out = out.filter(~F.col("query_id").isin(known)).unionByName(whole)
+        return out
+
+
+#: Times the limit, how many memories are scored to get a threshold.
+SURE = 4
+
+
+def _others(memories: DataFrame, plan: Search) -> float:
+    """What all signals but those of shared terms can add to a score at most."""
+    w = plan.weights
+    # a query's terms that a memory shares give a whole point of the prefix signal, others half of one at most
+    fixed = 0.5 * w.get("prefix", 0.0) + 1.2 * w.get("entity", 0.0) + w.get("cosine", 0.0) + w.get("speaker", 0.0) + w.get("temporal", 0.0) + max(OTHER_KIND, *KIND_FACTORS.values()) * w.get("kind", 0.0)
+    importance = memories.agg(F.max(F.col("importance").cast("double"))).first()[0] if "importance" in memories.columns else None
+    return fixed + w.get("importance", 0.0) * max(importance or 0.0, 0.5)
+
+
+def _named(found: DataFrame, queries: list, query_type: DataType) -> DataFrame:
+    """Rows (q, ...) with the query's own id instead of its number."""
+    spark = found.sparkSession
+    names = spark.createDataFrame([(k, q.query_id) for k, q in enumerate(queries)], StructType([StructField("q", IntegerType()), StructField("query_id", query_type)]))
+    return found.join(F.broadcast(names), "q").drop("q")  # the queries of one block
+
+
 def reasons() -> Column:
     """Why a memory was found, by its signals."""
     given = F.array(
@@ -308,6 +382,14 @@ def reasons() -> Column:
     return F.when(F.size(kept) == 0, F.array(F.lit("low_relevance"))).otherwise(kept)
 
 
+def _digests(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Digests of the runs of ``n`` numbers; different runs may have equal ones."""
+    out = np.zeros(max(len(numbers) - n + 1, 0), np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (numbers[j : j + len(out)] + 2).astype(np.uint64)
+    return out
+
+
 def contains_windows(memories: DataFrame, queries: DataFrame, window: int = 8) -> DataFrame:
     """(query_id, id) of memories with any ``window`` tokens in a row of the query, or the whole of a shorter one.
 
@@ -325,21 +407,28 @@ def contains_windows(memories: DataFrame, queries: DataFrame, window: int = 8) -
                 grams[tuple(t[i : i + n])].add(query_id)
         sent = memories.sparkSession.sparkContext.broadcast((vocabulary, dict(grams)))
         query_type = queries.schema["query_id"].dataType
+        schema = StructType([StructField("query_id", query_type), memories.schema["id"]])
 
-        def found(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def found(batches: Iterator[pa.RecordBatch], sent=sent, schema=to_arrow_schema(schema)) -> Iterator[pa.RecordBatch]:
             terms, held = sent.value
             numbers = TermNumbers(terms)
-            sizes, starts = sorted({len(g) for g in held}), {g[0] for g in held}
-            for batch in batches:
-                pairs = set()
-                for key, text in zip(batch["id"], batch["content"], strict=True):
-                    t = numbers.sequence(text)
-                    for i in [i for i, k in enumerate(t) if k in starts]:
-                        for n in sizes:
-                            pairs.update((q, key) for q in held.get(tuple(t[i : i + n]), ()))
-                yield pd.DataFrame(sorted(pairs), columns=["query_id", "id"])
-
-        part = spread(memories.select("id", "content")).mapInPandas(found, StructType([StructField("query_id", query_type), memories.schema["id"]]))
+            digests = {n: np.unique(_digests(np.array([g for g in held if len(g) == n]).ravel(), n)[::n]) for n in sorted({len(g) for g in held})}
+            for whole in batches:
+                for a in range(0, whole.num_rows, ROWS):
+                    ids, texts = (whole.slice(a, ROWS).column(c).to_pylist() for c in ("id", "content"))
+                    words, of, bounds = word_numbers(texts)
+                    of = np.array([numbers.number(w) for w in words], np.int64)[of] if words else of
+                    pairs = set()
+                    for n, wanted in digests.items():
+                        # a window has terms of the vocabulary only, and ends in its text
+                        for i in np.flatnonzero(np.isin(_digests(of, n), wanted)).tolist():
+                            doc = int(np.searchsorted(bounds, i, "right")) - 1
+                            if i + n <= bounds[doc + 1]:
+                                pairs.update((q, ids[doc]) for q in held.get(tuple(of[i : i + n].tolist()), ()))
+                    q, i = list(zip(*sorted(pairs), strict=True)) or ([], [])
+                    yield pa.RecordBatch.from_arrays([pa.array(q, schema.field(0).type), pa.array(i, schema.field(1).type)], names=["query_id", "id"])
+
+        part = spread(memories.select("id", "content")).mapInArrow(found, schema)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

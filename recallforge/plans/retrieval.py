@@ -9,6 +9,8 @@ from recallforge.functions import entities as E
 from recallforge.operators import evaluate, retrieve, search
 from recallforge.plans.registry import TOK, asked, memories, query, table
 from recallforge.plans.stem_sql import stems
+from recallforge.sources.index import TextIndex
+from recallforge.sources.shared import Scratch
 
 #: Stemmed tokens of documents (kind d) and items (kind q), and BM25 of the pairs that share one.
 _TERMS = f"""raw AS MATERIALIZED (SELECT 'd' AS kind, doc_id AS id, lang AS ns, coalesce(text, '') AS text, {TOK.format('text')} AS t FROM documents UNION ALL SELECT 'q', item_id, NULL, coalesce(text, ''), {TOK.format('text')} FROM benchmark),
@@ -29,10 +31,17 @@ _BM25 = search.Search(limit=10, weights=search.BM25_ONLY, per_source=None, match
 
 @query(f"{_BM} SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM (SELECT *, CAST({_R.format('round(bm25, 6)')} AS INTEGER) AS rank FROM s) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    hits = search.search(memories(spark, sf_dir), asked(spark, sf_dir), _BM25)
+    hits = found(memories(spark, sf_dir), asked(spark, sf_dir), _BM25)
     return hits.select("query_id", "id", F.col("score").alias("bm25"), "rank")
 
 
+def found(memories: DataFrame, queries: DataFrame, plan: search.Search | None = None, prepare=None) -> DataFrame:
+    """``search.search`` through an index of the memories, which is made for it and deleted after."""
+    with Scratch(memories.sparkSession) as scratch:
+        index = TextIndex.build(search.spread(memories), scratch.path("index"))
+        return search.search(memories, queries, plan, index, prepare)
+
+
 #: Entities of texts: (kind, id, e).
 _ENTITIES = r"""piece AS (SELECT *, row_number() OVER () AS p FROM (SELECT kind, id, text AS s FROM raw UNION ALL SELECT * FROM (SELECT kind, id, unnest(string_split_regex(text, '[.!?]')) FROM raw))),
 quoted AS (SELECT kind, id, trim(v, chr(32) || chr(9) || chr(10) || chr(13)) AS v FROM (SELECT kind, id, unnest(x) AS v, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT kind, id, string_split_regex(s, '["“”]') AS x FROM piece)) WHERE i % 2 = 0 AND i < n),
@@ -57,11 +66,15 @@ def linked_memories(spark, sf_dir):
 
 def whole_memories(spark, sf_dir) -> DataFrame:
     """Documents as stored memories, with all that a search looks at; entities are those of the content."""
-    d = table(spark, sf_dir, "documents").selectExpr(
+    return E.enrich(search.spread(plain_memories(spark, sf_dir)))
+
+
+def plain_memories(spark, sf_dir) -> DataFrame:
+    """As ``whole_memories``, without entities."""
+    return table(spark, sf_dir, "documents").selectExpr(
         "doc_id id", "'default' namespace", "text content", "concat(source, '_turn_', doc_id % 7) source_event_id", "0.3D + (doc_id % 5) / 10.0D importance",
         "map('speaker', lang, 'memory_kind', case lang when 'en' then 'verbatim_turn' when 'de' then 'observation' when 'fr' then 'llm_fact' else 'other' end) metadata",
     )
-    return E.enrich(search.spread(d))
 
 
 #: All signals of all pairs of an item and a document.
@@ -82,7 +95,7 @@ top AS (SELECT * FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank F
 
 
 def hits(spark, sf_dir) -> DataFrame:
-    return search.search(whole_memories(spark, sf_dir), asked(spark, sf_dir))
+    return found(plain_memories(spark, sf_dir), asked(spark, sf_dir), prepare=E.enrich)
 
 
 @query(f"{_ALL} SELECT query_id, id, source, score, rank FROM top")
@@ -107,7 +120,7 @@ def build_context(spark, sf_dir):
 @query(f"{_ALL}, b10 AS (SELECT query_id, id, round(bm25, 6) AS score FROM (SELECT *, {_R.format('round(bm25, 6)')} AS rank FROM s) WHERE rank <= 10), u AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM top UNION ALL SELECT query_id, id, score FROM b10) GROUP BY ALL) SELECT query_id, id, score, rank FROM (SELECT *, CAST({_R.format('score')} AS INTEGER) AS rank FROM u) WHERE rank <= 5")
 def fuse_candidates(spark, sf_dir):
     """The hybrid and the BM25 list of each item as one, by the better score."""
-    b = search.search(memories(spark, sf_dir), asked(spark, sf_dir), _BM25).select("query_id", "id", "score")
+    b = found(memories(spark, sf_dir), asked(spark, sf_dir), _BM25).select("query_id", "id", "score")
     return retrieve.fuse(hits(spark, sf_dir), b, 5)
 
 
@@ -118,8 +131,8 @@ def search_by_namespace(spark, sf_dir):
     """Every item asked in every language's namespace, by that namespace's own statistics."""
     spaces = table(spark, sf_dir, "documents").select(F.col("lang").alias("namespace")).distinct()
     q = asked(spark, sf_dir).join(F.broadcast(spaces)).selectExpr("concat(namespace, ':', query_id) query_id", "namespace", "text")  # a few languages
-    found = search.search(table(spark, sf_dir, "documents").selectExpr("doc_id id", "lang namespace", "text content"), q, _BM25)
-    return found.select("query_id", "id", "score", "rank")
+    hits = found(table(spark, sf_dir, "documents").selectExpr("doc_id id", "lang namespace", "text content"), q, _BM25)
+    return hits.select("query_id", "id", "score", "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM q, embeddings)
@@ -142,8 +155,8 @@ _NAMES = [*(f"recall_{k}" for k in (1, 3, 5, 10)), "mrr", "ndcg_5"]
 def evaluated(spark, sf_dir) -> DataFrame:
     """Retrieved and evidence arrays of each item; evidence are the documents with any eight tokens in a row of the item, or all of a shorter one."""
     evidence = search.contains_windows(memories(spark, sf_dir), asked(spark, sf_dir)).groupBy("query_id").agg(F.collect_set("id").alias("evidence"))
-    found = search.search(memories(spark, sf_dir), asked(spark, sf_dir), _BM25)
-    got = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
+    hits = found(memories(spark, sf_dir), asked(spark, sf_dir), _BM25)
+    got = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
     return got.join(evidence, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<bigint>")))
 
 
