@@ -142,59 +142,81 @@ def bucket_links(key: np.ndarray, mask: np.ndarray, fp: np.ndarray, bits: int, o
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(rows: DataFrame, bits: int, once: bool) -> DataFrame:
-    """(a, b): links within the buckets of rows (key, mask, fp); one bucket at a time is held whole."""
+def compared(rows: DataFrame, bits: int, once: bool, most: int | None) -> DataFrame:
+    """(a, b, key, rest, fp, root): links (a, b) within the buckets of rows (key, mask, rest, fp, root), and the rows of
+    buckets of over ``most`` fingerprints, which pass through.
+
+    One bucket of up to ``most`` is held at a time.  Buckets of one ``root``, where it is not null, have no links that matter.
+    """
+    names, out_names = ("key", "mask", "rest", "fp", "root"), ("a", "b", "key", "rest", "fp", "root")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(key, mask, fp, bits, once)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        none, held, passing = np.empty((5, 0), np.uint64), np.empty((5, 0), np.uint64), None
+
+        def result(links: tuple[np.ndarray, np.ndarray], large: np.ndarray) -> pa.RecordBatch:
+            pad = [pa.nulls(len(links[0]), pa.int64())] * 4
+            of_links = [pa.array(x.view(np.int64)) for x in links] + pad
+            of_rows = [pa.nulls(large.shape[1], pa.int64())] * 2 + [pa.array(np.ascontiguousarray(large[i]).view(np.int64)) for i in (0, 2, 3, 4)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(of_links, of_rows, strict=True)], names=list(out_names))
+
+        def done(part: np.ndarray) -> pa.RecordBatch:
+            """Of whole buckets."""
+            key, root = part[0], part[4]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(key)])
+            large = sizes > most if most is not None else np.zeros(len(sizes), bool)
+            several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts) if len(key) else large
+            large, small = np.repeat(large, sizes), np.repeat(~large & several, sizes)
+            return result(bucket_links(key[small], part[1][small], part[3][small], bits, once), part[:, large])
 
-        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = tuple(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "mask", "fp"))
-            if held and held[-1][0][-1] == cols[0][-1]:
-                held.append(cols)
+            part = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names]) if batch.num_rows else none
+            if passing is not None:
+                n = int((part[0] == passing).sum())
+                yield result((none[0], none[0]), part[:, :n])
+                part = part[:, n:]
+                passing = passing if not part.shape[1] else None
+            if not part.shape[1]:
                 continue
-            cut = int(np.flatnonzero(cols[0] == cols[0][-1])[0])
-            yield found(*(np.concatenate([*c]) for c in zip(*held, tuple(x[:cut] for x in cols), strict=True)))
-            held = [tuple(x[cut:] for x in cols)]
-        if held:
-            yield found(*(np.concatenate([*c]) for c in zip(*held, strict=True)))
-
-    dealt = rows.select("key", "mask", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(stream, "a long, b long")
-
-
-def linked(classes: DataFrame, bits: int, scratch: Scratch) -> DataFrame | None:
-    """(id, root) of the distinct fingerprints ``fp`` that are linked with another one; None if none are."""
-    rows, edges, parts = branched(classes.selectExpr("0L key", "-1L rest", "fp")), None, None
+            part = np.concatenate([held, part], axis=1)
+            cut = int(np.searchsorted(part[0].view(np.int64), part[0].view(np.int64)[-1]))
+            yield done(part[:, :cut])
+            held = part[:, cut:]
+            if most is not None and held.shape[1] > most:
+                passing = held[0][0]
+                yield result((none[0], none[0]), held)
+                held = none
+        yield done(held)
+
+    dealt = rows.select(*names).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(stream, ", ".join(f"{c} long" for c in out_names))
+
+
+def linked(classes: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """(id, root) of the distinct fingerprints ``fp`` that are linked with another one."""
+    rows, edges = branched(classes.selectExpr("0L key", "-1L rest", "fp")).withColumn("root", F.col("fp")), None
     for level in range(LEVELS):
-        # buckets of one fingerprint have no links, and later ones of one component have none that matter
-        if parts is None:
-            sizes, keep = rows.groupBy("key").agg(F.count("*").alias("n")), "n > 1"
-        else:
-            rows = rows.join(parts.selectExpr("id fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-            sizes, keep = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("u"), F.max("root").alias("v")), "u <> v"
-        rows = scratch.table(rows.join(sizes.filter(keep).select("key", "n"), "key").select("key", "mask", "rest", "fp", "n"), f"rows{level}")
         last = level + 1 == LEVELS
-        small = links(rows if last else rows.filter(f"n <= {SMALL}"), bits, once=not level)
-        large = rows.filter(f"n > {SMALL}")
+        found = scratch.table(compared(rows, bits, not level, None if last else SMALL), f"compared{level}")
+        large = found.filter("a is null").select("key", "rest", "fp", "root")
         more = not last and not large.isEmpty()
+        new = found.filter("a is not null").select("a", "b")
         if more:
-            blocks = large.withColumn("key", F.expr(f"xxhash64(key, pmod(xxhash64(fp, key, 'block'), cast(ceil(n / {SMALL}) as int)))"))
-            small = small.unionByName(links(blocks, bits, once=False))
-        small = scratch.table(small.distinct(), f"links{level}")
-        edges = small if edges is None else edges.unionByName(small)
+            # dealt into blocks anew under each key, so that groups of copies are united before they are branched
+            sizes = large.groupBy("key").agg(F.expr(f"cast(ceil(count(*) / {SMALL}) as int)").alias("blocks"))
+            dealt = large.join(sizes, "key").withColumn("key", F.expr("xxhash64(key, pmod(xxhash64(fp, key, 'block'), blocks))"))
+            new = new.unionByName(compared(dealt.withColumn("mask", F.lit(0).cast("long")), bits, False, None).filter("a is not null").select("a", "b"))
+        new = scratch.table(new.distinct(), f"links{level}")
+        edges = new if edges is None else edges.unionByName(new)
         parts = components(edges, scratch)
         if not more:
             return parts
         parts = scratch.table(parts, f"parts{level}")
-        rooted = large.join(parts.selectExpr("id fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = scratch.table(large.drop("root").join(parts.selectExpr("id fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), f"rooted{level}")
+        # what is left are buckets of several components
         open_ = rooted.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v").select("key")
-        rows = branched(large.join(open_, "key").select("key", "rest", "fp"))
+        roots = rooted.select("fp", "root").distinct()
+        rows = branched(rooted.join(open_, "key").select("key", "rest", "fp")).join(roots, "fp")
     return parts
 
 
