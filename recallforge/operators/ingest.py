@@ -6,14 +6,15 @@ import math
 import re
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallforge.functions.entities import enrich
 from recallforge.functions.text import classify, merged, sentences, should_keep, stemmed, summary
 from recallforge.operators import observe
+from recallforge.operators.merge import merge_components
 from recallforge.schema import stable_id
+from recallforge.sources.shared import Scratch, materialize
 
 # Importance and confidence of summaries, prefixed and plain verbatim turns, and sessions; the overlap from
 # which two memories are one.
@@ -46,6 +47,7 @@ class Pool:
 
     def __init__(self, least: float):
         self.least, self.rows, self.tokens = least, [], []
+        self.made: list[set[str]] = []  # sets of tokens that merging has made
         self.by_token, self.by_text = defaultdict(list), {}
 
     def _index(self, i: int, new: set[str]) -> None:
@@ -83,6 +85,8 @@ class Pool:
         held |= {"content": merged(held["content"], row["content"]), "importance": max(held["importance"], row["importance"]), "confidence": max(held["confidence"], row["confidence"]), "merged": held["merged"] + 1}
         held["metadata"] = {**(dict(held.get("metadata") or {})), **(dict(row.get("metadata") or {}))}
         tokens = set(stemmed(held["content"]))
+        if tokens != self.tokens[i]:
+            self.made.append(tokens)
         new, self.tokens[i] = tokens - self.tokens[i], tokens
         self._index(i, new)
 
@@ -95,8 +99,8 @@ def fold(memories: DataFrame, least: float = SAME) -> DataFrame:
 
     A row joins the first memory that equals it but for case or whose token sets overlap by ``least``: contents are joined,
     importance and confidence take the larger value, its metadata win; id, source and place stay those of the first row.
-    Side-channel rows (``metadata.side_channel``) merge with nothing.  The order matters, so a namespace and type is one
-    ordered stream in one task; namespaces run in parallel, and the overlap is looked up by rare tokens, not pair by pair.
+    Side-channel rows (``metadata.side_channel``) merge with nothing.  The order matters among rows that can meet only:
+    see ``merge``, which replays these in order and all others in parallel.  The result is a written table.
     """
     have = memories.columns
     meta = F.col("metadata") if "metadata" in have else F.create_map().cast("map<string,string>")
@@ -107,14 +111,11 @@ def fold(memories: DataFrame, least: float = SAME) -> DataFrame:
         F.coalesce(F.map_contains_key(meta, F.lit("side_channel")), F.lit(False)).alias("side_channel"),
     )
     names = [f.split(" ")[0] for f in _FOLDED.split(", ")]
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        pool = Pool(least)
-        for row in part.sort_values(["seq", "content"]).to_dict("records"):
-            pool.add(row)
-        return pd.DataFrame(pool.rows, columns=names)
-
-    return rows.groupBy("namespace", "memory_type").applyInPandas(run, _FOLDED)
+    with Scratch(memories.sparkSession) as scratch:
+        rows = scratch.table(rows, "given")
+        alone = rows.filter("side_channel").drop("side_channel").withColumn("merged", F.lit(1).cast("long"))
+        merged = merge_components(rows.filter("not side_channel").drop("side_channel"), least, Pool, _FOLDED, scratch)
+        return materialize(merged.filter("state is null").select(*names).unionByName(alone.select(*names)), "folded")
 
 
 def windows(turns: DataFrame, size: int = 5) -> DataFrame:

@@ -118,10 +118,40 @@ def source_window_neighbors(spark, sf_dir):
     return ingest.neighbours(turns(spark, sf_dir)).withColumn("score", F.col("score").cast("double"))
 
 
-@query()
+def _fold_sql(namespace: str, seq: str) -> str:
+    """The merge on write row by row, as a recursion over a list of memories: the first one that matches takes a row up."""
+    low = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    stemmed = f"word AS (SELECT DISTINCT unnest({TOK.format('content')}) AS word FROM c), {stems('SELECT word FROM word')}"
+    return f"""{_CAND.replace('WITH s AS', 'WITH RECURSIVE s AS', 1)}, {stemmed},
+bag AS (SELECT event_id, pos, content, list(DISTINCT stem) AS toks FROM (SELECT event_id, pos, content, unnest({TOK.format('content')}) AS word FROM c) JOIN st USING (word) GROUP BY ALL),
+r AS (SELECT {namespace} AS namespace, memory_type, {seq} AS seq, content, importance, confidence, coalesce(toks, CAST([] AS VARCHAR[])) AS toks, row_number() OVER (PARTITION BY {namespace}, memory_type ORDER BY {seq}, content) AS i FROM c LEFT JOIN bag USING (event_id, pos, content)),
+n AS (SELECT namespace, memory_type, max(i) AS n FROM r GROUP BY ALL),
+fold(namespace, memory_type, i, pool) AS (SELECT namespace, memory_type, 0::BIGINT, CAST([] AS STRUCT(content VARCHAR, importance DOUBLE, confidence DOUBLE, seq BIGINT, merged BIGINT, toks VARCHAR[])[]) FROM n
+UNION ALL SELECT f.namespace, f.memory_type, f.i, CASE WHEN place = 0 THEN list_append(pool, struct_pack(content := f.content, importance := f.importance, confidence := f.confidence, seq := f.seq, merged := 1::BIGINT, toks := f.toks))
+  ELSE list_transform(pool, lambda m, k: CASE WHEN k <> place THEN m ELSE struct_pack(content := CASE WHEN contains(m.content, f.content) THEN m.content WHEN contains(f.content, m.content) THEN f.content ELSE m.content || '; ' || f.content END,
+    importance := greatest(m.importance, f.importance), confidence := greatest(m.confidence, f.confidence), seq := m.seq, merged := m.merged + 1, toks := CASE WHEN contains(m.content, f.content) THEN m.toks WHEN contains(f.content, m.content) THEN f.toks ELSE list_distinct(m.toks || f.toks) END) END) END
+  FROM (SELECT r.*, fold.pool, coalesce(list_position(list_transform(fold.pool, lambda m: {low.format('m.content')} = {low.format('r.content')} OR (len(m.toks) > 0 AND len(r.toks) > 0 AND len(list_intersect(m.toks, r.toks)) >= {ingest.SAME}::DOUBLE * len(list_distinct(m.toks || r.toks)))), true), 0) AS place FROM fold JOIN r ON r.namespace = fold.namespace AND r.memory_type = fold.memory_type AND r.i = fold.i + 1) AS f)
+SELECT namespace, memory_type, m.content AS content, m.importance AS importance, m.confidence AS confidence, m.seq AS seq, m.merged AS merged FROM (SELECT namespace, memory_type, unnest(pool) AS m FROM fold JOIN n USING (namespace, memory_type) WHERE fold.i = n.n)"""
+
+
+_FOLD = ("namespace", "memory_type", "content", "importance", "confidence", "seq", "merged")
+
+
+@query(_fold_sql("namespace", "CAST(split_part(event_id, '::', 2) AS BIGINT) * 1000000 + pos"))
 def remember_fold(spark, sf_dir):
+    """The memories of every conversation, merged on write in the order of the turns."""
     c = ingest.candidates(turns(spark, sf_dir))
-    return ingest.fold(c.selectExpr("namespace", "memory_type", "cast(split(event_id, '::')[1] as long) * 1000000 + pos seq", "content", "importance", "confidence"))
+    return ingest.fold(c.selectExpr("namespace", "memory_type", "cast(split(event_id, '::')[1] as long) * 1000000 + pos seq", "content", "importance", "confidence")).select(*_FOLD)
+
+
+@query()
+def remember_fold_one_namespace(spark, sf_dir):
+    """All conversations as one namespace: the order holds among memories that can meet, which are replayed in parallel.
+
+    The SQL of ``remember_fold`` gives the same rows here, but as one list of memories it takes minutes, so it isn't registered.
+    """
+    c = ingest.candidates(turns(spark, sf_dir)).selectExpr("'default' namespace", "memory_type", "cast(split(event_id, '::')[0] as long) * 1000000000 + cast(split(event_id, '::')[1] as long) * 1000000 + pos seq", "content", "importance", "confidence")
+    return ingest.fold(c).select(*_FOLD)
 
 
 _SQUEEZE = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
