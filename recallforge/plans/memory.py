@@ -13,6 +13,7 @@ from recallforge.plans.retrieval import _ALL, _BM, _EVIDENCE, _NAMES, _R, evalua
 from recallforge.schema import MemoryQuery, memory_type
 from recallforge.sources import datasets, log
 from recallforge.sources.store import TableStore
+from recallforge.streaming import keyed
 
 # ---- listings and the log: events as memories
 
@@ -138,6 +139,15 @@ def ingest_dataset(spark, sf_dir):
     return m.select("id", "namespace", "memory_type", F.md5("content").alias("content_md5"), "source_event_id", "importance", "confidence", F.col("metadata")["memory_kind"].alias("memory_kind"), "merged")
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+SELECT CAST(user_id AS VARCHAR) AS namespace, CAST(min(ts) AS TIMESTAMP) AS started, CAST(max(ts) + INTERVAL 6 HOURS AS TIMESTAMP) AS ended, count(*) AS n_turns, string_agg(event_type || ': ' || event_id, chr(10) ORDER BY ts, event_id) AS transcript FROM s GROUP BY user_id, k""")
+def gap_sessions(spark, sf_dir):
+    """Sessions of all users' events, six hours apart; the plan of the stream on a table."""
+    e = table(spark, sf_dir, "events").selectExpr("cast(user_id as string) namespace", "cast(ts as timestamp) time", "event_id seq", "event_type actor", "cast(event_id as string) text")
+    return keyed.gap_sessions(e, "6 hours")
+
+
 # ---- vectors
 
 
