@@ -5,10 +5,11 @@ that phrases need, as the tree of its suffix links: that tree is the trie of all
 (word, word before it, ...) gives its nodes level by level, with the sizes of their sets of end positions as runs.  The
 node of a phrase is linked to that of the phrase without its first word.
 
-Counts are reduced in two rounds, so that the many phrases that are rare everywhere stay in their shards.  First each
-shard gives digests of its words and pairs of words with their counts; digests whose sum is frequent come back to their
-shards (equal digests of two phrases can only let more through).  Then a shard enumerates the words and pairs that came
-back, and triples whose link and whose first two words did, with exact counts, which are summed by phrase.
+Counts are reduced in rounds, so that the many phrases that are rare everywhere stay in their shards.  First each shard
+gives digests of its words and pairs of words with their counts, packed by ranges of digests; for each it gets back one
+bit, whether the sum over all shards is frequent (equal digests of two phrases can only let more through).  The second
+round does the same for triples whose link and whose first two words are frequent.  Then a shard enumerates what is left,
+with exact counts, and these are summed by phrase.
 A phrase is subsumed through the links of the longer ones: to what they are without their first, or their last, word.
 """
 
@@ -27,6 +28,8 @@ from .alignment import packed, unpacked
 
 LEAST, TOP, PERCENT = 10, 2000, 50
 SHARD_BYTES = 16 << 20
+#: Bits of a digest.
+BITS = 40
 #: Bytes in ASCII lower case; of words (0), between words (1) and between pieces (2).
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _KIND = np.array([2 if b in b".,;:!?\n\x0b\x0c\r" else 1 if b in b" \t" else 0 for b in range(256)], np.uint8)
@@ -71,27 +74,42 @@ class BoundedAutomaton:
         self.pair = ids[self.pair_at] << 32 | ids[self.pair_at - 1]
         self.nodes2, self.n2 = runs(self.pair)
         with np.errstate(over="ignore"):
-            h = mix(word_hashes(words) ^ word_hashes([lang.encode()])[0]) if words else np.empty(0, np.uint64)
-            of, before = (self.nodes2 >> 32) - 1, (self.nodes2 & 0xFFFFFFFF) - 1
-            pairs = mix(h[of] * np.uint64(0x9E3779B97F4A7C15) + h[before])
-        self.digests = h.view(np.int64), pairs.view(np.int64)
+            self.h1 = mix(word_hashes(words) ^ word_hashes([lang.encode()])[0]) if words else np.empty(0, np.uint64)
+            self.h2 = self._joined(self.h1[(self.nodes2 >> 32) - 1], self.h1[(self.nodes2 & 0xFFFFFFFF) - 1])
+
+    @staticmethod
+    def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """(digests, counts) of all words, then of all pairs."""
+        return np.concatenate([self.h1, self.h2]) >> np.uint64(64 - BITS), np.concatenate([self.n1, self.n2])
+
+    def keep(self, frequent: np.ndarray) -> None:
+        """Leaves the words and pairs that are ``frequent``, in the order of ``short``, and triples whose link and first two words are."""
+        self.one, two = np.flatnonzero(frequent[: len(self.n1)]), frequent[len(self.n1) :]
+        self.two, self.two_n, h2 = self.nodes2[two], self.n2[two], self.h2[two]
+        self.three = self.three_n = np.empty(0, np.int64)
+        self.h3 = np.empty(0, np.uint64)
+        if len(self.two):
+            at = np.minimum(np.searchsorted(self.two, self.pair), len(self.two) - 1)
+            held = self.two[at] == self.pair
+            # a triple ends where a pair does, and the word before that pair ends one, too
+            here = np.flatnonzero(held[1:] & held[:-1] & (self.pair_at[1:] == self.pair_at[:-1] + 1)) + 1
+            self.three, self.three_n = runs(at[here] << 32 | self.ids[self.pair_at[here] - 2])
+            self.h3 = self._joined(h2[self.three >> 32], self.h1[(self.three & 0xFFFFFFFF) - 1])
+
+    def long(self) -> tuple[np.ndarray, np.ndarray]:
+        """(digests, counts) of the triples that ``keep`` has left."""
+        return self.h3 >> np.uint64(64 - BITS), self.three_n
 
     def enumerated(self, frequent: np.ndarray) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-        """(depth, numbers of the phrase's words from 0, counts) of words and pairs whose digests are ``frequent``, and of
-        triples whose link and first two words are such pairs."""
-        one, two = (np.isin(d, frequent) for d in self.digests)
-        yield 1, [np.flatnonzero(one)], self.n1[one]
-        nodes, n = self.nodes2[two], self.n2[two]
-        yield 2, [(nodes & 0xFFFFFFFF) - 1, (nodes >> 32) - 1], n
-        if not len(nodes):
-            return
-        at = np.minimum(np.searchsorted(nodes, self.pair), len(nodes) - 1)
-        held = nodes[at] == self.pair
-        # a triple ends where a pair does, and the word before that pair ends one, too
-        here = np.flatnonzero(held[1:] & held[:-1] & (self.pair_at[1:] == self.pair_at[:-1] + 1)) + 1
-        triples, n = runs(at[here] << 32 | self.ids[self.pair_at[here] - 2])
-        link = nodes[triples >> 32]
-        yield 3, [(triples & 0xFFFFFFFF) - 1, (link & 0xFFFFFFFF) - 1, (link >> 32) - 1], n
+        """(depth, numbers of the phrase's words from 0, counts) of what ``keep`` has left, of triples the ``frequent`` ones."""
+        yield 1, [self.one], self.n1[self.one]
+        yield 2, [(self.two & 0xFFFFFFFF) - 1, (self.two >> 32) - 1], self.two_n
+        three = self.three[frequent]
+        link = self.two[three >> 32]
+        yield 3, [(three & 0xFFFFFFFF) - 1, (link & 0xFFFFFFFF) - 1, (link >> 32) - 1], self.three_n[frequent]
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -128,35 +146,97 @@ def opened(row: dict) -> BoundedAutomaton:
     return BoundedAutomaton(row["lang"], words, unpacked(row["ids"]))
 
 
-def phrase_counts(made: DataFrame, least: int) -> DataFrame:
+def chunks(shard: int, digests: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, shard, digests, counts): sorted digests by their ranges, packed."""
+    order = np.argsort(digests, kind="stable")
+    digests, counts = digests[order].astype(np.int64), counts[order]
+    of = digests >> (BITS - parts.bit_length() + 1)
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+    ends = np.r_[cuts[1:], len(of)]
+    held = [[packed(np.diff(digests[a:b], prepend=0)) for a, b in zip(cuts, ends, strict=False)], [packed(counts[a:b]) for a, b in zip(cuts, ends, strict=False)]]
+    return pa.RecordBatch.from_arrays([pa.array(of[cuts]), pa.array(np.full(len(cuts), shard)), *(pa.array(h, pa.binary()) for h in held)], names=["part", "shard", "digests", "counts"])
+
+
+def marked(rows: DataFrame, least: int, name: str) -> DataFrame:
+    """(shard, name): for each digest of ``chunks``, in their order, a bit: whether its counts add up to ``least`` over all shards.
+
+    A range is held whole; their number follows the corpus, so one is of some two million entries.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def done() -> pa.RecordBatch:
+            every = np.concatenate([d for _, d, _ in held])
+            order = np.argsort(every, kind="stable")
+            in_order = every[order]
+            first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+            total = np.add.reduceat(np.concatenate([n for _, _, n in held])[order], first)
+            frequent = np.empty(len(every), bool)
+            frequent[order] = np.repeat(total >= least, np.diff(np.r_[first, len(every)]))
+            ends = np.cumsum([len(d) for _, d, _ in held])
+            bits = [np.packbits(frequent[e - len(d) : e]).tobytes() for e, (_, d, _) in zip(ends, held, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in held]), pa.array([part] * len(held)), pa.array([len(d) for _, d, _ in held], pa.int32()), pa.array(bits, pa.binary())], names=["shard", "part", "n", "bits"])
+
+        for batch in batches:
+            for p, shard, digests, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "digests", "counts")), strict=True):
+                if p != part:
+                    if held:
+                        yield done()
+                    part, held = p, []
+                held.append((shard, np.cumsum(unpacked(digests)), unpacked(counts)))
+        if held:
+            yield done()
+
+    bits = rows.repartition("part").sortWithinPartitions("part").mapInArrow(stream, "shard long, part long, n int, bits binary")
+    return bits.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("part", "n", "bits"))).alias(name))
+
+
+def flags(marks: list[dict] | None, digests: np.ndarray) -> np.ndarray:
+    """The bits of ``marked`` in the order of the digests as they were given to ``chunks``."""
+    out = np.zeros(len(digests), bool)
+    held = [np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=m["n"]).astype(bool) for m in marks or ()]
+    if held:
+        out[np.argsort(digests, kind="stable")] = np.concatenate(held)
+    return out
+
+
+def phrase_counts(made: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """(lang, k, phrase, n) of all phrases of ``k`` = 1 to 3 words that are in the shards ``least`` times or more."""
+    total = made.agg(F.sum("n_words")).first()[0] or 0
+    parts = 1 << min(BITS, max(0, (int(total) >> 20).bit_length()))
+    schema = "part long, shard long, digests binary, counts binary"
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                automaton = opened(row)
-                for digest, n in zip(automaton.digests, (automaton.n1, automaton.n2), strict=True):
-                    shard = np.full(len(n), row["shard"])
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(digest), pa.array(n.astype(np.int64))], names=["shard", "digest", "n"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield chunks(row["shard"], *opened(row).short(), parts)
 
-    # a digest has one row a shard at most
-    each = made.mapInArrow(digests, "shard long, digest long, n long").withColumn("total", F.sum("n").over(Window.partitionBy("digest")))
-    frequent = each.filter(F.col("total") >= least).groupBy("shard").agg(F.collect_list("digest").alias("frequent"))
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                automaton = opened(row)
+                automaton.keep(flags(row["short"], automaton.short()[0]))
+                yield chunks(row["shard"], *automaton.long(), parts)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                frequent = np.sort(row.column("frequent").flatten().to_numpy())
-                row = row.drop_columns(["frequent"]).to_pylist()[0]
+                row = batch.slice(i, 1).to_pylist()[0]
                 automaton = opened(row)
+                automaton.keep(flags(row["short"], automaton.short()[0]))
                 words = pa.array(automaton.words, pa.binary()).cast(pa.string())
-                for k, of, n in automaton.enumerated(frequent):
-                    parts = [words.take(pa.array(x)) for x in of]
-                    phrase = pa.compute.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+                for k, of, n in automaton.enumerated(flags(row["long"], automaton.long()[0])):
+                    held = [words.take(pa.array(x)) for x in of]
+                    phrase = pa.compute.binary_join_element_wise(*held, " ") if k > 1 else held[0]
                     yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
-    found = made.join(frequent, "shard").select("lang", "size", "words", "ids", "frequent").mapInArrow(phrases, "lang string, k int, phrase string, n long")
+    first = scratch.table(marked(made.mapInArrow(short, schema), least, "short"), "short")
+    both = made.join(first, "shard")
+    second = scratch.table(marked(both.mapInArrow(long, schema), least, "long"), "long")
+    found = both.join(second, "shard", "left").mapInArrow(phrases, "lang string, k int, phrase string, n long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
@@ -172,7 +252,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, percent: i
     """
     scratch = Scratch(docs.sparkSession, "phrases")
     made = scratch.table(shards(docs.selectExpr(f"coalesce(`{lang_col}`, 'und') lang", f"`{text_col}` text")), "shards")
-    grams = scratch.table(phrase_counts(made, least), "grams")
+    grams = scratch.table(phrase_counts(made, least, scratch), "grams")
     first, rest = F.substring_index("phrase", " ", 1), F.expr("substring(phrase, instr(phrase, ' ') + 1)")
     start, last = F.expr("substring(phrase, 1, length(phrase) - length(substring_index(phrase, ' ', -1)) - 1)"), F.substring_index("phrase", " ", -1)
     cuts = F.when(F.col("k") == 2, F.array(F.struct(F.lit(1).alias("cut"), first.alias("first"), rest.alias("rest"))))
