@@ -65,27 +65,37 @@ class Scratch:
         self.paths.clear()
 
 
-def sifted(rows: DataFrame, among: DataFrame, key: str, name: str, most_bits: int = 1 << 27) -> DataFrame:
+#: Bits of a bitmap that is broadcast (16 MB), and how many bitmaps a sieve has at most.
+MOST_BITS, MOST_PASSES = 1 << 27, 16
+
+
+def sifted(rows: DataFrame, among: DataFrame, key: str, name: str) -> DataFrame:
     """``rows`` with a boolean column ``name``: whether their ``key`` may be in the column ``key`` of ``among``.
 
-    The keys become a bitmap of 16 bits a key, aggregated on the executors, that is broadcast: ``most_bits`` (16 MB) is
-    its bound, beyond which every row may be.  A row whose key is there is always marked; few others are.
+    The keys become a bitmap of 16 bits a key, aggregated on the executors, that is broadcast; ``MOST_BITS`` is its bound.
+    More keys have fewer bits each, down to four; beyond that they are cut into ranges of a digest, each with a bitmap and
+    a scan of the rows of its range.  A row whose key is there is always marked; of the others few are (one in 16 with 16
+    bits, one in five with four), and slowly more once ``MOST_PASSES`` bitmaps are full, at half a billion keys.
     """
     n = among.count()
-    bits = 1 << max(15, (16 * n).bit_length())
-    if bits > most_bits:
-        return rows.withColumn(name, F.lit(True))
-    place = F.pmod(F.xxhash64(F.col(key), F.lit("sieve")), F.lit(bits))
-    maps = among.select(place.alias("at")).groupBy(F.expr("at >> 15").alias("m_bucket")).agg(F.bitmap_construct_agg(F.expr("at & 32767L")).alias("m_bits"))
-    placed = rows.withColumn("m_at", place).join(F.broadcast(maps), F.expr("m_at >> 15 = m_bucket"), "left")
-    # the bytes of a bitmap hold their lowest bit first
-    bit = F.expr("cast(conv(hex(substring(m_bits, cast((m_at & 32767L) / 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(m_at % 8 as int)) <> 0")
-    return placed.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias(name))
-
-
-def sieve(rows: DataFrame, among: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
+    passes = min(MOST_PASSES, max(1, -(-4 * n // MOST_BITS)))
+    bits = min(MOST_BITS, 1 << max(15, (16 * n // passes).bit_length()))
+    place, turn = (F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(m)) for salt, m in (("sieve", bits), ("pass", passes)))
+    out = None
+    for k in range(passes):
+        mine, theirs = (rows, among) if passes == 1 else (rows.filter(turn == k), among.filter(turn == k))
+        maps = theirs.select(place.alias("at")).groupBy(F.expr("at >> 15").alias("m_bucket")).agg(F.bitmap_construct_agg(F.expr("at & 32767L")).alias("m_bits"))
+        placed = mine.withColumn("m_at", place).join(F.broadcast(maps), F.expr("m_at >> 15 = m_bucket"), "left")
+        # the bytes of a bitmap hold their lowest bit first
+        bit = F.expr("cast(conv(hex(substring(m_bits, cast((m_at & 32767L) / 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(m_at % 8 as int)) <> 0")
+        part = placed.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sieve(rows: DataFrame, among: DataFrame, key: str) -> DataFrame:
     """The rows that ``sifted`` marks, before a join with ``among`` that shuffles them; the join's result is the same."""
-    return sifted(rows, among, key, "m_in", most_bits).filter("m_in").drop("m_in")
+    return sifted(rows, among, key, "m_in").filter("m_in").drop("m_in")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
