@@ -10,8 +10,11 @@ from recallforge.functions.text import summary
 from recallforge.operators import answer, evaluate, evidence, ingest, observe, search
 from recallforge.plans.registry import SENT, TOK, asked, memories, query, table, turns
 from recallforge.plans.retrieval import _ALL, _BM, _EVIDENCE, _NAMES, _R, evaluated
+from recallforge import schema
 from recallforge.schema import MemoryQuery, memory_type
 from recallforge.sources import datasets, log
+from recallforge.sources.shared import Scratch, materialize
+from recallforge.sources.snapshot import SnapshotStore
 from recallforge.sources.store import TableStore
 from recallforge.streaming import keyed
 
@@ -69,8 +72,11 @@ def log_round_trip(spark, sf_dir):
     return lines.select("id", F.md5("line").alias("line_md5")).join(same, "id")
 
 
-@query("""WITH r AS (SELECT event_id AS seq, 'u' || user_id AS id, event_type = 'error' AS gone, value, date_trunc('second', ts) AS ts FROM events),
-last AS (SELECT id, max(seq) FILTER (NOT gone) AS m, max(seq) FILTER (gone) AS d FROM r GROUP BY id) SELECT last.id, r.value, CASE WHEN d > m THEN CAST(epoch(g.ts) AS BIGINT) END AS deleted_at FROM last JOIN r ON r.seq = m LEFT JOIN r g ON g.seq = d""")
+_REPLAYED = """WITH r AS (SELECT event_id AS seq, 'u' || user_id AS id, event_type = 'error' AS gone, value, date_trunc('second', ts) AS ts FROM events),
+last AS (SELECT id, max(seq) FILTER (NOT gone) AS m, max(seq) FILTER (gone) AS d FROM r GROUP BY id) SELECT last.id, r.value, CASE WHEN d > m THEN CAST(epoch(g.ts) AS BIGINT) END AS deleted_at FROM last JOIN r ON r.seq = m LEFT JOIN r g ON g.seq = d"""
+
+
+@query(_REPLAYED)
 def log_replay_deletes(spark, sf_dir):
     """Events as records of a log, errors as deletes: the last version of every memory and when it was deleted."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
@@ -82,6 +88,27 @@ def log_replay_deletes(spark, sf_dir):
     return log.replay_memories(log.parse(lines)).select("id", F.col("importance").alias("value"), F.unix_seconds("deleted_at").alias("deleted_at"))
 
 
+@query(_REPLAYED)
+def snapshot_replay(spark, sf_dir):
+    """The same through a store of snapshots: events in ten writes in their order, of puts and deletes, compacted half way."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    bounds = e.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    id_ = F.concat(F.lit("u"), "user_id")
+    with Scratch(spark) as scratch:
+        store = SnapshotStore(spark, scratch.path("store"), buckets=16)
+        width = (bounds.b - bounds.a) // 10 + 1
+        for k in range(10):
+            part = e.filter(F.col("event_id").between(bounds.a + k * width, bounds.a + (k + 1) * width - 1))
+            # within a write a delete after an id's last put is one, other deletes are undone by it
+            last = part.groupBy(id_.alias("id")).agg(F.max_by(F.struct("ts", "value", "props"), F.when(F.col("event_type") != "error", F.col("event_id"))).alias("m"), F.max(F.when(F.col("event_type") != "error", F.col("event_id"))).alias("put"), F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("gone"), F.max_by("ts", F.when(F.col("event_type") == "error", F.col("event_id"))).alias("at"))
+            last = scratch.table(last, "last")
+            store._append("memory", schema.memories(last.filter("put is not null").selectExpr("id", "m.props content", "m.value importance", "m.ts created_at", "m.ts updated_at")).withColumn("importance", F.lit(0.5)).join(last.selectExpr("id", "m.value held"), "id").withColumn("metadata", F.create_map(F.lit("value"), F.format_string("%.6f", "held"))))
+            store._append("delete", last.filter("gone is not null and (put is null or gone > put)").selectExpr("id", "at created_at"))
+            if k == 5:
+                store.compact()
+        return materialize(store.memories().select("id", F.col("metadata")["value"].cast("double").alias("value"), F.unix_seconds("deleted_at").alias("deleted_at")), "replayed")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def props_json_fields(spark, sf_dir):
     """A field of JSON as text."""
