@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from recallforge import schema
 from recallforge.operators import answer, evaluate, evidence, ingest, rerank, retrieve, search
 from recallforge.providers import LlmProvider
 from recallforge.sources import datasets
+from recallforge.sources.shared import read_bytes, write_text
 
 
 @dataclass
@@ -104,15 +104,13 @@ def missed_report(report: Report, memories: DataFrame, n: int = 5) -> DataFrame:
 
 def write_outputs(report: Report, folder: str, dataset: bytes = b"") -> None:
     """manifest.json, summary.json, report.md, and scores.jsonl as a folder of JSON lines that tasks write."""
-    os.makedirs(folder, exist_ok=True)
-    report.results.write.mode("overwrite").json(os.path.join(folder, "scores.jsonl"))
+    spark, folder = report.results.sparkSession, folder.rstrip("/")
+    report.results.write.mode("overwrite").json(f"{folder}/scores.jsonl")
     summary = report.summary.first().asDict()
     manifest = {"config": asdict(report.config), "dataset_hash": schema.dataset_hash(dataset)}
     for name, value in (("manifest.json", manifest), ("summary.json", summary)):
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as out:
-            json.dump(value, out, indent=2, sort_keys=True)
-    with open(os.path.join(folder, "report.md"), "w", encoding="utf-8") as out:
-        out.write(report_text(report.config, summary))
+        write_text(spark, f"{folder}/{name}", json.dumps(value, indent=2, sort_keys=True))
+    write_text(spark, f"{folder}/report.md", report_text(report.config, summary))
 
 
 def report_text(config: RunConfig, summary: dict) -> str:
@@ -121,7 +119,7 @@ def report_text(config: RunConfig, summary: dict) -> str:
 
 
 def read_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.json(os.path.join(folder, "scores.jsonl"))
+    return spark.read.json(f"{folder.rstrip('/')}/scores.jsonl")
 
 
 def load_and_run(spark: SparkSession, config: RunConfig) -> Report:
@@ -129,6 +127,5 @@ def load_and_run(spark: SparkSession, config: RunConfig) -> Report:
     turns, questions = datasets.load_dataset(spark, config.dataset, config.kind)
     report = run(spark, turns, questions, config)
     if config.output:
-        with open(config.dataset, "rb") as data:
-            write_outputs(report, config.output, data.read())
+        write_outputs(report, config.output, read_bytes(spark, config.dataset))
     return report

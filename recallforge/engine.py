@@ -55,9 +55,10 @@ class MemoryEngine:
     def remember(self, memories: DataFrame) -> DataFrame:
         """Merges memories, in the order of ``seq``, into those of the store; returns what was written.
 
-        Stored memories of the same namespace and type come first, in the order of their ids.
+        Stored memories of the same namespace and type come first, in the order of their ids.  Without ``seq`` the order is
+        that of a digest of the content.
         """
-        given = memories if "seq" in memories.columns else memories.withColumn("seq", F.row_number().over(Window.orderBy("content")).cast("long"))
+        given = memories if "seq" in memories.columns else memories.withColumn("seq", F.expr("shiftrightunsigned(xxhash64(content), 1)"))
         new = schema.memories(given.drop("seq"), self.store.now).join(given.select("id", "seq"), "id") if "id" in given.columns else self._numbered(given)
         new = new.persist()
         held = visible(self.store.memories(), as_of=self.store.now, side_channel=False).join(new.select("namespace", "memory_type").distinct(), ["namespace", "memory_type"], "left_semi").persist()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -24,7 +26,7 @@ class EmbeddingProvider(Protocol):
     def embed(self, text: str) -> list[float]: ...
 
 
-@functools.lru_cache(1 << 18)
+@functools.lru_cache(1 << 16)
 def token_hash(token: str) -> int:
     """The first 60 bits of a token's MD5 sum: the same in SQL and on every machine."""
     return int(hashlib.md5(token.encode("utf-8", "replace")).hexdigest()[:15], 16)
@@ -71,6 +73,37 @@ class FallbackEmbedding:
             return self.stand_in.embed(text)
 
 
+class HttpEmbedding:
+    """An embedding server's ``POST url`` of {"model", "prompt"}, which answers {"embedding": [...]}.
+
+    ``strict`` raises where the server can't be reached, answers wrongly or with another size; else the hash embedding of
+    the same size stands in, as in ``FallbackEmbedding``.
+    """
+
+    def __init__(self, url: str, model: str, dimensions: int = 768, timeout: float = 30.0, strict: bool = False):
+        self.url, self.model, self.dimensions, self.timeout, self.strict = url, model, dimensions, timeout, strict
+        self.stand_in = HashEmbedding(dimensions)
+
+    def asked(self, text: str) -> list[float]:
+        """What the server answers."""
+        body = json.dumps({"model": self.model, "prompt": text}).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            found = json.loads(answer.read())
+        vector = [float(x) for x in (found.get("embedding") if isinstance(found, dict) else None) or ()]
+        if len(vector) != self.dimensions:
+            raise ValueError(f"{len(vector)} numbers instead of {self.dimensions}")
+        return vector
+
+    def embed(self, text: str) -> list[float]:
+        try:
+            return self.asked(text)
+        except (OSError, ValueError, TypeError):  # not reached, or not an embedding
+            if self.strict:
+                raise
+            return self.stand_in.embed(text)
+
+
 def embed_column(provider: EmbeddingProvider) -> Callable[[Column], Column]:
     """A pandas UDF that embeds texts with ``provider``; null texts are embedded as empty ones."""
 

@@ -32,7 +32,7 @@ def tokens(text: Column | str) -> Column:
 _WORDS = re.compile(r"(?:[^\W_]|')+")
 
 
-@functools.lru_cache(1 << 18)
+@functools.lru_cache(1 << 16)
 def term(word: str) -> str:
     """The stem of a word in lower case without a final 's or apostrophe."""
     low = word.lower()
@@ -51,7 +51,7 @@ class TermNumbers:
     no stemming.
     """
 
-    def __init__(self, vocabulary: dict[str, int], most: int = 400_000):
+    def __init__(self, vocabulary: dict[str, int], most: int = 150_000):
         self.vocabulary, self.most, self.known = vocabulary, most, {}
         self.begins = {t[:2] for t in vocabulary}
 

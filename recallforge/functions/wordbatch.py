@@ -33,7 +33,7 @@ def word_numbers(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.nda
 class TermBatches:
     """Terms of batches of texts; each word is stemmed once as long as it is remembered, in bounded memory."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def of(self, word: str) -> str:

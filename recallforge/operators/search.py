@@ -34,8 +34,8 @@ HASHED = {"density": 0.32, "bm25": 0.13, "entity": 0.15, "speaker": 0.05, "cosin
 EXTERNAL = {"density": 0.22, "bm25": 0.09, "entity": 0.22, "speaker": 0.06, "cosine": 0.25, "importance": 0.04, "kind": 0.12, "prefix": 0.25, "temporal": 0.1}
 BM25_ONLY = {"bm25": 1.0}
 SIGNALS = ("cosine", "density", "bm25", "entity", "temporal", "speaker", "prefix")
-#: Bytes of query texts in a block, memories that are scored at once.
-BLOCK_BYTES, ROWS = 2 << 20, 512
+#: Bytes of query texts and queries in a block, memories that are scored at once, and pairs of both.
+BLOCK_BYTES, MOST_QUERIES, ROWS, CELLS = 2 << 20, 2048, 512, 4 << 20
 
 
 @dataclass
@@ -83,13 +83,22 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", namespace.alias("namespace"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def blocks(queries: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list]:
-    """The queries in blocks of about ``most`` bytes of text; the driver holds one block at a time."""
-    rows = asked(queries)
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-int(total) // most))
-    for k in range(n):
-        yield sorted((rows if n == 1 else rows.filter(F.pmod(F.xxhash64("query_id", "text"), F.lit(n)) == k)).collect())
+def blocks(queries: DataFrame, most: int | None = None) -> Iterator[list]:
+    """The queries in blocks of about ``most`` bytes of text and ``MOST_QUERIES`` queries; the driver holds one block at a time.
+
+    Several blocks are laid out by block once, so each is read alone.
+    """
+    rows, most = asked(queries), most or BLOCK_BYTES
+    size = rows.agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.count("*").alias("n")).first()
+    n = max(1, -(-int(size.bytes or 0) // most), -(-size.n // MOST_QUERIES))
+    with Scratch(queries.sparkSession) as scratch:
+        if n > 1:
+            path = scratch.path("queries")
+            dealt = rows.withColumn("block", F.pmod(F.xxhash64("query_id", "text"), F.lit(n)).cast("int"))
+            dealt.write.partitionBy("block").parquet(path)
+            rows = queries.sparkSession.read.schema(dealt.schema).parquet(path)
+        for k in range(n):
+            yield sorted((rows if n == 1 else rows.filter(F.col("block") == k).drop("block")).collect())
 
 
 class Block:
@@ -129,7 +138,7 @@ class Block:
     def near(self, token: str) -> list[int]:
         """Terms that begin with ``token`` or that it begins with, both of four bytes at least; not itself."""
         if token not in self.related:
-            if len(self.related) > 200_000:
+            if len(self.related) > 50_000:
                 self.related.clear()
             found = []
             if len(token.encode()) >= 4:
@@ -341,8 +350,10 @@ def _through_index(index: TextIndex, memories: DataFrame, queries: list, plan: S
         least = {r.query_id: r.least for r in kept.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= plan.limit).collect()}  # one row a query
         bound = _others(memories, plan)
         near = found.above([least[q.query_id] - bound if q.query_id in least else np.inf for q in queries])
-        sure = scratch.table(near.select("q", "id").unionByName(first), "sure")
-        out = materialize(score_block(prepared(prepare(_picked(memories, sure))), queries, plan, query_type, stats), "scored")
+        # what was rated is not scored again
+        more = scratch.table(near.select("id").distinct().join(first.select("id").distinct(), "id", "left_anti"), "more")
+        out = rated.unionByName(score_block(prepared(prepare(_picked(memories, more))), queries, plan, query_type, stats))
+        out = materialize(out, "scored")
         open_ = [q for q in queries if q.query_id not in least or least[q.query_id] - bound <= 0]
         if open_:
             known = [q.query_id for q in open_]
@@ -453,9 +464,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 4, blo
             ids, q = sent.value
             held, least = None, np.full(len(ids), -np.inf)
             plan = Search(limit=k, per_source=None)
+            step = max(1, min(rows, CELLS // max(len(ids), 1)))
             for whole in batches:
-                for a in range(0, whole.num_rows, rows):
-                    batch = whole.slice(a, rows).to_pandas()
+                for a in range(0, whole.num_rows, step):
+                    batch = whole.slice(a, step).to_pandas()
                     own = np.round(np.stack(batch["e"].to_numpy()).astype(np.float64) @ q.T, digits)
                     if len(own) >= k:
                         least = np.maximum(least, np.partition(own, len(own) - k, axis=0)[len(own) - k])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallforge.functions import dates as D
 from recallforge.functions.text import summary
-from recallforge.operators import answer, evaluate, evidence, ingest, observe, search
+from recallforge.operators import answer, asof, evaluate, evidence, ingest, observe, search
 from recallforge.plans.registry import SENT, TOK, asked, memories, query, table, turns
 from recallforge.plans.retrieval import _ALL, _BM, _EVIDENCE, _NAMES, _R, evaluated
 from recallforge import schema
@@ -166,6 +166,17 @@ def ingest_dataset(spark, sf_dir):
     return m.select("id", "namespace", "memory_type", F.md5("content").alias("content_md5"), "source_event_id", "importance", "confidence", F.col("metadata")["memory_kind"].alias("memory_kind"), "merged")
 
 
+@query("""WITH v AS (SELECT 'u' || user_id AS id, ts, max(event_id) AS version, arg_max(value, event_id) AS value, arg_max(event_type = 'error', event_id) AS gone FROM events WHERE event_type <> 'click' GROUP BY user_id, ts),
+q AS (SELECT event_id AS query_id, 'u' || user_id AS id, ts FROM events WHERE event_type = 'click')
+SELECT query_id, q.id, v.version, CASE WHEN NOT gone AND v.ts + INTERVAL 2 DAYS >= q.ts THEN value END AS value FROM q ASOF LEFT JOIN v ON q.id = v.id AND q.ts >= v.ts""")
+def memories_as_of(spark, sf_dir):
+    """Clicks as questions, answered from the memory's version at their time; a version is valid for two days, errors delete."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "concat('u', user_id) id", "cast(ts as timestamp) ts", "event_type", "value")
+    versions = e.filter("event_type <> 'click'").selectExpr("id", "event_id version", "ts since", "value", "ts valid_from", "ts + interval 2 days valid_to", "case when event_type = 'error' then ts end deleted_at")
+    found = asof.as_of(e.filter("event_type = 'click'").selectExpr("event_id query_id", "id", "ts"), versions, ["id"], "ts", "since", "version")
+    return found.select("query_id", "id", F.col("version.version").alias("version"), F.when(asof.valid(F.col("version"), F.col("ts")), F.col("version.value")).alias("value"))
+
+
 @query("""WITH e AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
 SELECT CAST(user_id AS VARCHAR) AS namespace, CAST(min(ts) AS TIMESTAMP) AS started, CAST(max(ts) + INTERVAL 6 HOURS AS TIMESTAMP) AS ended, count(*) AS n_turns, string_agg(event_type || ': ' || event_id, chr(10) ORDER BY ts, event_id) AS transcript FROM s GROUP BY user_id, k""")

@@ -31,7 +31,7 @@ from recallforge.sources.shared import Scratch, delete
 # BM25 parameters.
 K1, B = 1.5, 0.75
 #: Memories of a segment, bytes of text that are indexed at once; ranges of terms, and terms from which a segment has them.
-SEGMENT, SEGMENT_BYTES, RANGES, WHOLE = 4096, 16 << 20, 64, 8192
+SEGMENT, SEGMENT_BYTES, RANGES, WHOLE = 4096, 8 << 20, 64, 8192
 #: One in so many segments is evaluated first, to seed the thresholds; the rest of scores that rounding may hide.
 SEED, HAIR = 8, 1e-5
 _MEMORIES = "n long, tokens long, lengths binary"
@@ -39,8 +39,8 @@ _POSTINGS = "low int, high int, terms binary, size long, counts binary, most bin
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def term_range(term: str) -> int:
-    return zlib.crc32(term.encode()) % RANGES
+def term_range(term: str, ranges: int) -> int:
+    return zlib.crc32(term.encode()) % ranges
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -54,12 +54,12 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
-def posting_rows(terms: list[str], numbers: np.ndarray, bounds: np.ndarray) -> Iterator[dict]:
+def posting_rows(terms: list[str], numbers: np.ndarray, bounds: np.ndarray, n_ranges: int, whole: int) -> Iterator[dict]:
     """The columns of ``_POSTINGS`` of a segment, whose texts are ``numbers`` of sorted ``terms`` between ``bounds``."""
     if not terms:
         return
     length = np.diff(bounds)
-    ranges = np.array([term_range(t) for t in terms]) if len(terms) > WHOLE else np.zeros(len(terms), np.int64)
+    ranges = np.array([term_range(t, n_ranges) for t in terms]) if len(terms) > whole else np.zeros(len(terms), np.int64)
     order = np.argsort(ranges, kind="stable")
     rank = np.empty(len(terms), np.int64)
     rank[order] = np.arange(len(terms))
@@ -76,7 +76,7 @@ def posting_rows(terms: list[str], numbers: np.ndarray, bounds: np.ndarray) -> I
     for a, b in zip(edges, [*edges[1:], len(terms)], strict=True):
         p, q = int(cuts[a]), int(cuts[b])
         names = "\n".join(terms[k] for k in order[a:b].tolist()).encode()
-        low, high = (int(by_range[a]),) * 2 if len(terms) > WHOLE else (0, RANGES - 1)
+        low, high = (int(by_range[a]),) * 2 if len(terms) > whole else (0, n_ranges - 1)
         yield {"low": low, "high": high, "terms": pa.compress(names, codec="zstd", asbytes=True), "size": len(names), "counts": packed(counts[a:b]), "most": packed(most[a:b]), "least": packed(least[a:b]), "places": packed(step[p:q]), "tf": packed(tf[p:q])}
 
 
@@ -193,7 +193,7 @@ class TextIndex:
                 terms, numbers, bounds = encoder.encode(texts)
                 length, name = np.diff(bounds), uuid.uuid4().hex
                 rows = [{"kind": "memories", "ids": ids, "n": len(ids), "tokens": int(length.sum()), "lengths": packed(length)}]
-                rows += [{"kind": "postings", **row} for row in posting_rows(terms, numbers, bounds)]
+                rows += [{"kind": "postings", **row} for row in posting_rows(terms, numbers, bounds, RANGES, WHOLE)]
                 types = [("kind", pa.string()), ("namespace", pa.string()), ("segment", pa.string()), ("ids", pa.list_(id_arrow)), *names]
                 return pa.RecordBatch.from_pylist([{"namespace": namespace, "segment": name, **row} for row in rows], pa.schema(types))
 
@@ -226,7 +226,7 @@ class TextIndex:
         reader = self.spark.read.schema(self._schema()) if self.id_type else self.spark.read
         rows = reader.parquet(self.path).filter((F.col("kind") == kind) & F.col("namespace").isin(sorted(set(asked.namespaces))))
         if kind == "postings":
-            ranges = sorted({term_range(t) for t in asked.numbers})
+            ranges = sorted({term_range(t, RANGES) for t in asked.numbers})
             if len(ranges) <= RANGES // 2:  # else all rows have some
                 held = F.lit(False)
                 for r in ranges:
@@ -249,7 +249,7 @@ class TextIndex:
                     terms = pa.decompress(row["terms"], row["size"], codec="zstd", asbytes=True).decode().split("\n")
                     found = []
                     for t in wanted[row["namespace"]]:
-                        if row["low"] <= term_range(t) <= row["high"] and (at := bisect_left(terms, t)) < len(terms) and terms[at] == t:
+                        if row["low"] <= term_range(t, RANGES) <= row["high"] and (at := bisect_left(terms, t)) < len(terms) and terms[at] == t:
                             found.append((at, numbers[t]))
                     if found:
                         counts, most, least, step, tf = (unpacked(row[c]) for c in ("counts", "most", "least", "places", "tf"))

@@ -25,6 +25,24 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small file, wherever its file system is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)  # no hidden files beside it on a local disk
+    try:
+        stream = fs.create(place, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+    finally:
+        fs.setWriteChecksum(True)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """One file that fits the driver's memory, wherever its file system is."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, and a lost executor loses none of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -134,3 +134,35 @@ def test_nearest_in_blocks(spark):
         want.update((k, i, -s) for s, i in best)
     for size in (32 << 20, 100):
         assert {(r.query_id, r.id, r.score) for r in search.nearest(v, q, 6, block_bytes=size, rows=9).collect()} == want
+
+
+def test_an_embedding_server(spark):
+    import http.server
+    import json
+    import threading
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            known = {"short": {"embedding": [1.0]}, "odd": {"x": 1}}.get(asked["prompt"], {"embedding": [float(len(asked["prompt"])), 1, 2, 3, 4, 5, 6, 7]})
+            self.send_response(500 if asked["prompt"] == "broken" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(known).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/api/embeddings"
+    one, strict = embedding.HttpEmbedding(url, "m", 8), embedding.HttpEmbedding(url, "m", 8, strict=True)
+    assert one.embed("abc") == [3.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0] == strict.embed("xyz")
+    for text in ("short", "odd", "broken"):
+        assert one.embed(text) == embedding.HashEmbedding(8).embed(text)
+        with pytest.raises((OSError, ValueError)):
+            strict.embed(text)
+    df = spark.createDataFrame([("abcd",), (None,)], "t string").select(embedding.embed_column(one)("t").alias("v"))
+    assert [r.v[0] for r in df.collect()] == [4.0, 0.0]
+    server.shutdown()
+    server.server_close()
+    assert one.embed("abc") == embedding.HashEmbedding(8).embed("abc")
