@@ -23,8 +23,9 @@ from recallforge.functions.text import stemmed
 from recallforge.operators.graph import components
 from recallforge.sources.shared import Scratch
 
-#: Sets of one token that are compared in one place; more are dealt into blocks, and each pair of blocks is.
-BLOCK = 1024
+#: Sets of one token that are compared in one place; more are dealt into blocks, and each pair of blocks is.  Places of up
+#: to so many rows are compared all at once; rows of memories that are given at once.
+BLOCK, SHORT, GIVEN = 1024, 64, 2048
 
 
 def with_tokens(rows: DataFrame, text: str, space: list[str]) -> DataFrame:
@@ -69,6 +70,47 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.n
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def _matches(place: np.ndarray, side: np.ndarray, node: np.ndarray, offsets: np.ndarray, flat: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of sides 0 and 1 of a place whose sets overlap by ``least``; if ``same`` only those with the smaller node first.
+
+    Rows are sorted by place and side; small places are compared all at once, by shifts.
+    """
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    sizes, length = np.diff(np.r_[starts, len(place)]), np.diff(offsets)
+    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+        ones = s + int((side[s : s + n] == 0).sum())
+        if s < ones < s + n:
+            i, j = _pairs([flat[offsets[k] : offsets[k + 1]] for k in range(s, ones)], [flat[offsets[k] : offsets[k + 1]] for k in range(ones, s + n)], least)
+            out_i.append(s + i)
+            out_j.append(ones + j)
+    at, step, near_i, near_j = np.flatnonzero(np.repeat(sizes <= SHORT, sizes) & (side == 0)), 1, [], []
+    while len(at):
+        at = at[at + step < len(place)]
+        at = at[place[at + step] == place[at]]
+        to = at + step
+        small, large = np.minimum(length[at], length[to]), np.maximum(length[at], length[to])
+        fits = (side[to] == 1) & (small >= least * large) & ((node[at] < node[to]) if same else True)
+        near_i.append(at[fits])
+        near_j.append(to[fits])
+        step += 1
+    i, j = (np.concatenate([np.empty(0, np.int64), *x]) for x in (near_i, near_j))
+    for a in range(0, len(i), 20_000):
+        x, y = i[a : a + 20_000], j[a : a + 20_000]
+        size = np.r_[length[x], length[y]]
+        owner = np.repeat(np.r_[np.arange(len(x)), np.arange(len(x))], size)
+        tokens = flat[np.repeat(np.r_[offsets[x], offsets[y]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        order = np.lexsort((tokens, owner))
+        owner, tokens = owner[order], tokens[order]
+        both = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (tokens[1:] == tokens[:-1])], minlength=len(x))
+        hit = (both > 0) & (both >= least * (length[x] + length[y] - both))
+        out_i.append(x[hit])
+        out_j.append(y[hit])
+    i, j = np.concatenate(out_i), np.concatenate(out_j)
+    keep = node[i] < node[j] if same else np.ones(len(i), bool)
+    return i[keep], j[keep]
+
+
 def overlapping(left: DataFrame, right: DataFrame, least: float, same: bool = False) -> DataFrame:
     """(a, b): nodes of ``left`` and ``right`` (node, tokens) whose sets overlap by ``least``; distinct, in both orders if ``same``.
 
@@ -91,26 +133,33 @@ def overlapping(left: DataFrame, right: DataFrame, least: float, same: bool = Fa
     rows = dealt(mine, left, 0).unionByName(dealt(theirs, right, 1))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, ([], [])
+        held: pa.Table | None = None
 
-        def done() -> pa.RecordBatch:
-            a, b = held
-            i, j = _pairs([t for _, t in a], [t for _, t in b], least) if a and b else (np.empty(0, int),) * 2
-            return pa.RecordBatch.from_arrays([pa.array([a[x][0] for x in i.tolist()], pa.int64()), pa.array([b[x][0] for x in j.tolist()], pa.int64())], names=["a", "b"])
+        def found(part: pa.Table) -> pa.RecordBatch:
+            part = part.combine_chunks()
+            place, side, node = (part.column(c).to_numpy() for c in ("place", "side", "node"))
+            lists = part.column("tokens").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            i, j = _matches(place, side, node, offsets, flat, least, same)
+            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
         for batch in batches:
-            offsets, flat = batch.column("tokens").offsets.to_numpy(), batch.column("tokens").values.to_numpy()
-            for i, (p, side, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "side", "node")), strict=True)):
-                if p != place:
-                    if place is not None:
-                        yield done()
-                    place, held = p, ([], [])
-                held[side].append((node, flat[offsets[i] : offsets[i + 1]]))
-        if place is not None:
-            yield done()
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            place = table.column("place").to_numpy()
+            cut = int(np.searchsorted(place, place[-1]))
+            if cut:
+                yield found(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield found(held)
 
     ordered = rows.select("place", "side", "node", "tokens").repartition("place").sortWithinPartitions("place", "side", "node")
-    return ordered.mapInArrow(stream, "a long, b long").filter("a <> b").distinct()
+    pairs = ordered.mapInArrow(stream, "a long, b long").distinct()
+    return pairs.unionByName(pairs.selectExpr("b a", "a b")) if same else pairs.filter("a <> b")
 
 
 def replayed(rows: DataFrame, by: list[str], pool, least: float, schema: str) -> DataFrame:
@@ -121,23 +170,26 @@ def replayed(rows: DataFrame, by: list[str], pool, least: float, schema: str) ->
     arrow = to_arrow_schema(StructType.fromDDL(out_schema))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
+        key, held, out = None, None, []
 
-        def done() -> pa.RecordBatch:
-            out = [{**{n: r.get(n) for n in names}, "metadata": list(dict(r.get("metadata") or {}).items()), "root": key[-1]} for r in held.rows]
-            out += [{"namespace": key[0], "memory_type": key[1], "root": key[-1], "state": sorted(s)} for s in held.made]
-            return pa.RecordBatch.from_pylist(out, arrow)
+        def done() -> None:
+            out.extend({**{n: r.get(n) for n in names}, "metadata": list(dict(r.get("metadata") or {}).items()), "root": key[-1]} for r in held.rows)
+            out.extend({"namespace": key[0], "memory_type": key[1], "root": key[-1], "state": sorted(s)} for s in held.made)
 
         for batch in batches:
             for row in batch.to_pylist():
                 k = tuple(row[c] for c in by)
                 if k != key:
                     if held is not None:
-                        yield done()
+                        done()
+                    if len(out) >= GIVEN:
+                        yield pa.RecordBatch.from_pylist(out, arrow)
+                        out = []
                     key, held = k, pool(least)
                 held.add({**row, "metadata": dict(row["metadata"] or ())})
         if held is not None:
-            yield done()
+            done()
+        yield pa.RecordBatch.from_pylist(out, arrow)
 
     ordered = rows.repartition(*by).sortWithinPartitions(*by, "seq", "content")
     return ordered.mapInArrow(stream, out_schema)
@@ -155,7 +207,14 @@ def merge_components(rows: DataFrame, least: float, pool, schema: str, scratch:
     while True:
         roots = components(links, scratch)
         placed = rows.join(roots.selectExpr("id node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        out = scratch.table(replayed(placed.drop("tokens", "node"), [*space, "root"], pool, least, schema), "memories")
+        placed = scratch.table(placed, "placed")
+        # most rows are alone in their component: they are memories as they are
+        sizes = placed.groupBy("root").agg(F.count("*").alias("rows"))
+        counted = placed.join(sizes, "root")
+        alone = counted.filter("rows = 1").withColumns({"merged": F.lit(1).cast("long"), "state": F.lit(None).cast("array<string>")})
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        several = replayed(counted.filter("rows > 1").drop("tokens", "node", "rows"), [*space, "root"], pool, least, schema)
+        out = scratch.table(several.unionByName(alone.select(*names, "root", "state")), "memories")
         made = out.filter("state is not null").select("root", F.array_sort(F.transform("state", lambda t: F.xxhash64(*space, t))).alias("tokens"))
         made = made.withColumn("node", F.xxhash64("root", "tokens", F.lit("made"))).dropDuplicates(["node"])
         met = overlapping(made.select("node", "tokens"), nodes, least)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_core import brute_fold
 
@@ -81,3 +82,21 @@ def test_an_empty_table_and_namespaces_apart(spark):
     rows = rows_of(["a b c", "a b c"]) + rows_of(["a b c"], "m") + rows_of(["a b c"], kind="episodic")
     got = sorted((r.namespace, r.memory_type, r.merged) for r in ingest.fold(spark.createDataFrame(rows)).collect())
     assert got == [("m", "semantic", 1), ("n", "episodic", 1), ("n", "semantic", 2)]
+
+
+def test_large_and_small_places_give_the_same_matches(monkeypatch):
+    rnd = random.Random(4)
+    sets = [sorted(rnd.sample(range(12), rnd.randint(1, 8))) for _ in range(120)]
+    place = np.sort(np.array([rnd.randrange(5) for _ in sets]))
+    side = np.concatenate([np.sort(np.array([rnd.randrange(2) for _ in range(n)])) for n in np.bincount(place)])
+    node = np.array(rnd.sample(range(1000), len(sets)))
+    offsets = np.cumsum([0, *map(len, sets)])
+    for same in (True, False):
+        found = []
+        for short in (64, 0):
+            monkeypatch.setattr(merge, "SHORT", short)
+            i, j = merge._matches(place, side, node, offsets, np.concatenate(sets), 0.6, same)
+            found.append({*zip(i.tolist(), j.tolist(), strict=True)})
+        n = range(len(sets))
+        want = {(i, j) for i in n for j in n if place[i] == place[j] and side[i] < side[j] and len({*sets[i]} & {*sets[j]}) >= 0.6 * len({*sets[i]} | {*sets[j]}) and (node[i] < node[j] or not same)}
+        assert found == [want, want] and want
