@@ -173,7 +173,7 @@ def replayed(rows: DataFrame, by: list[str], pool, least: float, schema: str) ->
         key, held, out = None, None, []
 
         def done() -> None:
-            out.extend({**{n: r.get(n) for n in names}, "metadata": list(dict(r.get("metadata") or {}).items()), "root": key[-1]} for r in held.rows)
+            out.extend({**{n: r.get(n) for n in names}, "metadata": None if r["metadata"] is None else list(r["metadata"].items()), "root": key[-1]} for r in held.rows)
             out.extend({"namespace": key[0], "memory_type": key[1], "root": key[-1], "state": sorted(s)} for s in held.made)
 
         for batch in batches:
@@ -186,7 +186,7 @@ def replayed(rows: DataFrame, by: list[str], pool, least: float, schema: str) ->
                         yield pa.RecordBatch.from_pylist(out, arrow)
                         out = []
                     key, held = k, pool(least)
-                held.add({**row, "metadata": dict(row["metadata"] or ())})
+                held.add({**row, "metadata": None if row["metadata"] is None else dict(row["metadata"])})
         if held is not None:
             done()
         yield pa.RecordBatch.from_pylist(out, arrow)
