@@ -93,8 +93,13 @@ def sifted(rows: DataFrame, among: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
-def sieve(rows: DataFrame, among: DataFrame, key: str) -> DataFrame:
-    """The rows that ``sifted`` marks, before a join with ``among`` that shuffles them; the join's result is the same."""
+def sieve(rows: DataFrame, among: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """The rows that ``sifted`` marks, before a join with ``among`` that shuffles them; the join's result is the same.
+
+    With ``most``, all rows pass where 16 bits a key are more than that.
+    """
+    if most is not None and 16 * among.count() > most:
+        return rows
     return sifted(rows, among, key, "m_in").filter("m_in").drop("m_in")
 
 
