@@ -22,20 +22,20 @@ SUMMARY, PREFIXED, PLAIN, SESSION = (0.35, 0.55), (0.45, 0.7), (0.5, 0.75), (0.2
 SAME = 0.72
 
 
-def candidates(turns: DataFrame) -> DataFrame:
-    """(namespace, event_id, pos, content, memory_type, importance, confidence): kept sentences of turns (namespace, event_id,
+def candidates(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(namespace, event_id, pos, content, memory_type, importance, confidence, and ``keep``): kept sentences of turns (namespace, event_id,
     actor, text), once an event whatever their case; of a turn of eight words without any, a summary.
 
     All of it is within a row, so nothing is shuffled.
     """
     said = F.transform(sentences(F.col("text")), lambda s, i: F.struct(i.alias("pos"), s.alias("content"), classify(F.lower(s)).alias("c")))
     kept = F.filter(said, lambda x: should_keep(F.lower(x["content"]), x["c"]["memory_type"]))
-    rows = turns.select("namespace", "event_id", "actor", "text", kept.alias("kept")).withColumn("low", F.transform("kept", lambda x: F.lower(x["content"])))
+    rows = turns.select("namespace", "event_id", *keep, "actor", "text", kept.alias("kept")).withColumn("low", F.transform("kept", lambda x: F.lower(x["content"])))
     first = F.filter("kept", lambda x, i: F.array_position("low", F.lower(x["content"])) == i + 1)
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
     told = F.struct(F.lit(0).alias("pos"), summary(F.col("actor"), F.col("text")).alias("content"), F.struct(F.lit("episodic").alias("memory_type"), F.lit(SUMMARY[0]).alias("importance"), F.lit(SUMMARY[1]).alias("confidence")).alias("c"))
     all_ = F.when(F.size("kept") > 0, first).when(words >= 8, F.array(told)).otherwise(first)
-    return rows.select("namespace", "event_id", F.explode(all_).alias("x")).select("namespace", "event_id", "x.pos", "x.content", "x.c.*")
+    return rows.select("namespace", "event_id", *keep, F.explode(all_).alias("x")).select("namespace", "event_id", *keep, "x.pos", "x.content", "x.c.*")
 
 
 def ascii_lower(text: str) -> str:
@@ -225,11 +225,11 @@ def dataset_memories(turns: DataFrame, found: DataFrame | None = None) -> DataFr
 
     ``found`` are candidates of an extractor (see ``extract.llm_candidates``); by default those of the rules.
     """
-    events = turns.selectExpr("conversation_id namespace", "id event_id", "speaker actor", "text", "timestamp")
+    events = turns.selectExpr("conversation_id namespace", "id event_id", "speaker actor", "text", "timestamp", "turn_index")
     places = turns.selectExpr("conversation_id namespace", "id event_id", "turn_index")
-    found = candidates(events) if found is None else found
+    found = candidates(events, ("turn_index",)) if found is None else found.join(places, ["namespace", "event_id"])
     meta = F.col("metadata") if "metadata" in found.columns else F.create_map().cast("map<string,string>")
-    extracted = found.join(places, ["namespace", "event_id"]).select(
+    extracted = found.select(
         stable_id("mem", F.col("event_id"), F.col("pos"), F.col("content")).alias("id"), "namespace", "memory_type", "content", F.col("event_id").alias("source_event_id"),
         F.col("importance").cast("double").alias("importance"), F.col("confidence").cast("double").alias("confidence"), meta.alias("metadata"), _place(2, F.col("pos")).alias("seq"),
     )

@@ -8,12 +8,14 @@ and no text is shuffled.  Two scans are made for each block: statistics, then sc
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +103,14 @@ def blocks(queries: DataFrame, most: int | None = None) -> Iterator[list]:
             yield sorted((rows if n == 1 else rows.filter(F.col("block") == k).drop("block")).collect())
 
 
+class Query(NamedTuple):
+    """A query as a row of ``asked``."""
+
+    query_id: object
+    namespace: str
+    text: str
+
+
 class Block:
     """Queries as sparse counts over their own terms and entities."""
 
@@ -253,6 +263,30 @@ def best(rows: pd.DataFrame, plan: Search) -> pd.DataFrame:
     return rows
 
 
+def _held(batches: Iterable[pa.RecordBatch], block: Block, stats: dict) -> pd.DataFrame | None:
+    """What may be among the best of each query of a block, of the memories of all batches."""
+    plan, held, least = block.plan, None, np.full(len(block.ids), -np.inf)
+    names = [s for s in SIGNALS if plan.weights.get(s)]
+    for whole in batches:
+        for a in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(a, ROWS).to_pandas()
+            found = signals(batch, block, stats)
+            total = sum(plan.weights[s] * found[s] for s in names)
+            for s in ("importance", "kind"):
+                total = total + plan.weights.get(s, 0.0) * batch[s].to_numpy()[:, None]
+            total = np.round(total, plan.digits)
+            ok = (total >= least[None, :]) & (batch["namespace"].to_numpy()[:, None] == block.namespaces[None, :])
+            if plan.matches_only:
+                ok &= found["shared"] > 0
+            i, q = np.nonzero(ok)
+            new = pd.DataFrame({"q": q, "id": batch["id"].to_numpy()[i], "source": batch["source"].to_numpy()[i], "score": total[i, q], **{s: found[s][i, q] for s in names}})
+            held = best(new if held is None else pd.concat([held, new], ignore_index=True), plan)
+            full = held.groupby("q")["score"].agg(["size", "min"])
+            full = full[full["size"] >= plan.limit]
+            least[full.index.to_numpy()] = full["min"].to_numpy()
+    return held
+
+
 def score_block(memories: DataFrame, queries: list, plan: Search, query_type: DataType, stats: dict | None = None) -> DataFrame:
     """(query_id, id, source, score, signals): of every task what may be among the best of a query.
 
@@ -267,24 +301,7 @@ def score_block(memories: DataFrame, queries: list, plan: Search, query_type: Da
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = cloudpickle.loads(sent.value)
-        held, least = None, np.full(len(own.ids), -np.inf)
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(a, ROWS).to_pandas()
-                found = signals(batch, own, known)
-                total = sum(plan.weights[s] * found[s] for s in names)
-                for s in ("importance", "kind"):
-                    total = total + plan.weights.get(s, 0.0) * batch[s].to_numpy()[:, None]
-                total = np.round(total, plan.digits)
-                ok = (total >= least[None, :]) & (batch["namespace"].to_numpy()[:, None] == own.namespaces[None, :])
-                if plan.matches_only:
-                    ok &= found["shared"] > 0
-                i, q = np.nonzero(ok)
-                new = pd.DataFrame({"q": q, "id": batch["id"].to_numpy()[i], "source": batch["source"].to_numpy()[i], "score": total[i, q], **{s: found[s][i, q] for s in names}})
-                held = best(new if held is None else pd.concat([held, new], ignore_index=True), plan)
-                full = held.groupby("q")["score"].agg(["size", "min"])
-                full = full[full["size"] >= plan.limit]
-                least[full.index.to_numpy()] = full["min"].to_numpy()
+        held = _held(batches, own, known)
         if held is not None and len(held):
             out = held.assign(query_id=[own.ids[q] for q in held["q"]])[["query_id", "id", "source", "score", *names]]
             yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
@@ -294,16 +311,105 @@ def score_block(memories: DataFrame, queries: list, plan: Search, query_type: Da
     return wanted.mapInArrow(scored, spark_schema)
 
 
+#: Namespaces up to this number are all searched by blocks; the most memories, bytes of their texts and queries of a namespace that
+#: is searched in one place.
+FEW_SPACES, APART, APART_BYTES, APART_QUERIES = 16, 4096, 8 << 20, 256
+
+
+def _crowded(memories: DataFrame, queries: DataFrame) -> DataFrame | None:
+    """(namespace) of the namespaces that are too large to be searched in one place; none if there are only a few in all.
+
+    There is at most one for each ``APART`` memories or ``APART_QUERIES`` queries, so they are broadcast.
+    """
+    asked_ = asked(queries).groupBy("namespace").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    if asked_.limit(FEW_SPACES + 1).count() <= FEW_SPACES:
+        return None
+    namespace = F.coalesce("namespace", F.lit("default")).alias("namespace")
+    held = memories.groupBy(namespace).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
+    return held.filter(f"n > {APART} or bytes > {APART_BYTES}").select("namespace").unionByName(asked_.filter(f"n > {APART_QUERIES} or bytes > {APART_BYTES}").select("namespace")).distinct()
+
+
+def _by_namespace(memories: DataFrame, queries: DataFrame, plan: Search, crowded: DataFrame) -> DataFrame:
+    """(query_id, id, source, score, signals, rank) of the queries whose namespaces are not ``crowded``.
+
+    Each namespace's memories and queries meet in one place, and small namespaces are scored several at once; so the work is
+    that of the pairs within namespaces, however many of these there are.
+    """
+    asked_ = asked(queries).join(F.broadcast(crowded), "namespace", "left_anti")
+    rows = prepared(memories).join(F.broadcast(crowded), "namespace", "left_anti")
+    names = [s for s in SIGNALS if plan.weights.get(s)]
+    query_type = queries.schema["query_id"].dataType
+    spark_schema = StructType([StructField("query_id", query_type), memories.schema["id"], rows.schema["source"], *(StructField(c, DoubleType()) for c in ("score", *names)), StructField("rank", IntegerType())])
+    schema, sent = to_arrow_schema(spark_schema), memories.sparkSession.sparkContext.broadcast(cloudpickle.dumps(plan))
+
+    def results(part: pa.Table, plan: Search) -> Iterator[pa.RecordBatch]:
+        side = part.column("side").to_numpy()
+        of_queries, of_memories = part.filter(pa.array(side == 0)), part.filter(pa.array(side == 1))
+        if not of_queries.num_rows or not of_memories.num_rows:
+            return
+        block = Block([Query(*x) for x in zip(*(of_queries.column(c).to_pylist() for c in ("query_id", "namespace", "content")), strict=True)], plan)
+        wanted, lengths, df = set(block.namespaces), defaultdict(list), defaultdict(Counter)
+        spaces = of_memories.column("namespace").to_pylist()
+        of_memories = of_memories.filter(pa.array([ns in wanted for ns in spaces]))
+        for ns, text in zip(of_memories.column("namespace").to_pylist(), of_memories.column("content").to_pylist(), strict=True):
+            length, found = block.numbers.count(text)
+            lengths[ns].append(length)
+            df[ns].update(found.keys())
+        stats = {ns: (len(n), sum(n) / len(n), df[ns]) for ns, n in lengths.items()}
+        held = _held(of_memories.combine_chunks().to_batches(), block, stats)
+        if held is not None and len(held):
+            order = np.lexsort((held["id"].to_numpy(), -held["score"].to_numpy(), held["q"].to_numpy()))
+            held = held.iloc[order]
+            out = held.assign(query_id=[block.ids[q] for q in held["q"]], rank=held.groupby("q").cumcount() + 1)[["query_id", "id", "source", "score", *names, "rank"]]
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, held = cloudpickle.loads(sent.value), None
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                part = pa.Table.from_batches([whole.slice(a, ROWS)])
+                held = part if held is None else pa.concat_tables([held, part])
+                if held.num_rows < ROWS:
+                    continue
+                # a namespace is scored when all of it is there
+                spaces = held.column("namespace")
+                cut = pc.index(spaces, spaces[-1]).as_py()
+                if cut:
+                    yield from results(held.slice(0, cut), plan)
+                    held = held.slice(cut)
+        if held is not None:
+            yield from results(held, plan)
+
+    both = rows.withColumn("side", F.lit(1)).unionByName(asked_.select("query_id", "namespace", F.col("text").alias("content"), F.lit(0).alias("side")), allowMissingColumns=True)
+    return both.repartition("namespace").sortWithinPartitions("namespace").mapInArrow(stream, spark_schema)
+
+
 def search(memories: DataFrame, queries: DataFrame, plan: Search | None = None, index: TextIndex | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, id, source, score, signals, rank): the best memories of each query in its namespace.
 
     ``memories`` are those that the query may see (see ``log.visible``).  Ties go by id; a null source is not capped.
     Queries without text, and namespaces without memories, get what the other signals give, or nothing.  With an ``index``
     of the same memories only those are read and scored that may be among the best, with the same result.  ``prepare``
-    adds what memories are scored by, as ``entities.enrich`` does, to those that are.
+    adds what memories are scored by, as ``entities.enrich`` does, to those that are.  Of many namespaces each is searched in
+    one place, but for the large ones.
     """
     plan = plan or Search()
     prepare = prepare or (lambda rows: rows)
+    if index is None and "namespace" in memories.columns and "namespace" in queries.columns and (crowded := _crowded(memories, queries)) is not None:
+        with Scratch(memories.sparkSession) as scratch:
+            crowded = [r.namespace for r in scratch.table(crowded, "crowded").collect()]  # few, see there
+        large = memories.sparkSession.createDataFrame([(ns,) for ns in crowded], "namespace string")
+        apart = _by_namespace(prepare(memories), queries, plan, large)
+        if not crowded:
+            return apart
+        namespace = F.coalesce("namespace", F.lit("default"))
+        rest, theirs = (rows.filter(namespace.isin(crowded)) for rows in (memories, queries))
+        return _by_blocks(rest, theirs, plan, None, prepare).select(*apart.columns).unionByName(apart)
+    return _by_blocks(memories, queries, plan, index, prepare)
+
+
+def _by_blocks(memories: DataFrame, queries: DataFrame, plan: Search, index: TextIndex | None, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As ``search``, each block of queries against all memories."""
     out, query_type = None, queries.schema["query_id"].dataType
     for block in blocks(queries):
         if block:

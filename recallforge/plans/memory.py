@@ -258,10 +258,11 @@ def source_window_evidence(spark, sf_dir):
 def conversation_evidence(spark, sf_dir):
     """All evidence of every conversation's first turn as a question: hits, turns, neighbours, sessions, observations."""
     t = dataset_turns(spark, sf_dir)
-    stored = ingest.dataset_memories(t).drop("seq")
     q = t.filter("turn_index = 0").select(F.col("conversation_id").alias("query_id"), "conversation_id", "text")
-    seen = log.visible(stored, side_channel=False)
-    found = search.search(seen, q.select("query_id", F.col("conversation_id").alias("namespace"), "text"), search.Search(limit=50)).withColumn("reasons", search.reasons())
-    out = evidence.evidence(q, evidence.candidates(found, stored), stored, t, evidence.Pack("two-stage", 10))
-    return out.select("query_id", F.posexplode("evidence").alias("pos", "p")).select("query_id", "pos", "p.source_event_id", F.md5("p.content").alias("content_md5"), F.round("p.score", 4).alias("score"))
-
+    with Scratch(spark) as scratch:
+        # they are read six times
+        stored = scratch.table(ingest.dataset_memories(t).drop("seq"), "stored")
+        seen = log.visible(stored, side_channel=False)
+        found = search.search(seen, q.select("query_id", F.col("conversation_id").alias("namespace"), "text"), search.Search(limit=50)).withColumn("reasons", search.reasons())
+        out = evidence.evidence(q, evidence.candidates(found, stored), stored, t, evidence.Pack("two-stage", 10))
+        return materialize(out.select("query_id", F.posexplode("evidence").alias("pos", "p")).select("query_id", "pos", "p.source_event_id", F.md5("p.content").alias("content_md5"), F.round("p.score", 4).alias("score")), "evidence")

@@ -166,3 +166,25 @@ def test_an_embedding_server(spark):
     server.shutdown()
     server.server_close()
     assert one.embed("abc") == embedding.HashEmbedding(8).embed("abc")
+
+
+def test_many_namespaces_are_searched_apart(spark, monkeypatch):
+    """Only the queries of crowded namespaces are scored in blocks, against these namespaces; the hits are those of blocks."""
+    rnd = random.Random(11)
+    words = [f"word{i}" for i in range(40)] + ["Ann", "Bea", "Old Town"]
+    rows = [(i, f"n{i % 30}" if i < 300 else "n3" if i < 330 else None, f"s_{i % 4}" if i % 5 else None, " ".join(rnd.choices(words, k=rnd.randrange(9))), 0.1 * (i % 9), {"speaker": "ann"} if i % 3 else None) for i in range(340)]
+    stored = entities.enrich(spark.createDataFrame(rows, MEMORY))
+    asked = spark.createDataFrame([(q, f"n{q % 32}" if q < 70 else None, " ".join(rnd.choices(words, k=4)) if q % 9 else None) for q in range(75)], "query_id long, namespace string, text string")
+    blocks, plain = [], search.score_block
+    monkeypatch.setattr(search, "score_block", lambda memories, queries, *more: blocks.extend(q.namespace for q in queries) or plain(memories, queries, *more))
+    monkeypatch.setattr(search, "APART", 20)
+    monkeypatch.setattr(search, "ROWS", 16)
+    for plan in (search.Search(limit=3), search.Search(limit=4, weights=search.BM25_ONLY, per_source=None, matches_only=True)):
+        blocks.clear()
+        got = search.search(stored, asked, plan)
+        assert set(blocks) == {"n3"}
+        want = search._by_blocks(stored, asked, plan, None, lambda rows: rows)
+        assert got.columns == want.columns
+        keys = ("query_id", "id", "source", "rank")
+        assert sorted((tuple(r[k] for k in keys) for r in got.collect()), key=repr) == sorted((tuple(r[k] for k in keys) for r in want.collect()), key=repr)
+        assert got.select("query_id").distinct().count() > 50
