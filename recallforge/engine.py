@@ -13,6 +13,7 @@ from recallforge.operators import extract, ingest, retrieve, search
 from recallforge.providers import LlmProvider
 from recallforge.schema import MemoryQuery
 from recallforge.sources.log import visible
+from recallforge.sources.shared import materialize
 from recallforge.sources.store import MemoryStore
 
 
@@ -64,7 +65,7 @@ class MemoryEngine:
         held = visible(self.store.memories(), as_of=self.store.now, side_channel=False).join(new.select("namespace", "memory_type").distinct(), ["namespace", "memory_type"], "left_semi").persist()
         place = F.row_number().over(Window.partitionBy("namespace", "memory_type").orderBy("id")).cast("long") - F.lit(1 << 50)
         columns = ["id", "namespace", "memory_type", "content", "source_event_id", "importance", "confidence", "metadata", "seq"]
-        folded = ingest.fold(held.withColumn("seq", place).select(*columns).unionByName(new.select(*columns)))
+        folded = materialize(ingest.fold(held.withColumn("seq", place).select(*columns).unionByName(new.select(*columns))), "folded")
         old = held.select("id", F.lit(True).alias("known"), "created_at", "valid_from", "valid_to")
         fresh = new.select("id", F.col("created_at").alias("new_at"), F.col("valid_from").alias("new_from"), F.col("valid_to").alias("new_to"))
         rows = folded.join(old, "id", "left").join(fresh.dropDuplicates(["id"]), "id", "left").filter("known is null or merged > 1")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recallforge.functions.entities import enrich
 from recallforge.functions.text import classify, merged, sentences, should_keep, stemmed, summary
 from recallforge.operators import observe
-from recallforge.operators.merge import merge_components
+from recallforge.operators.merge import merge_components, replayed
 from recallforge.schema import stable_id
 from recallforge.sources.shared import Scratch, materialize
 
@@ -20,6 +20,8 @@ from recallforge.sources.shared import Scratch, materialize
 # which two memories are one.
 SUMMARY, PREFIXED, PLAIN, SESSION = (0.35, 0.55), (0.45, 0.7), (0.5, 0.75), (0.2, 0.45)
 SAME = 0.72
+#: The most memories, and bytes of their contents, of a namespace and type that are replayed in one place.
+APART, APART_BYTES = 4096, 8 << 20
 
 
 def candidates(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -99,8 +101,9 @@ def fold(memories: DataFrame, least: float = SAME) -> DataFrame:
 
     A row joins the first memory that equals it but for case or whose token sets overlap by ``least``: contents are joined,
     importance and confidence take the larger value, its metadata win; id, source and place stay those of the first row.
-    Side-channel rows (``metadata.side_channel``) merge with nothing.  The order matters among rows that can meet only:
-    see ``merge``, which replays these in order and all others in parallel.  The result is a written table.
+    Side-channel rows (``metadata.side_channel``) merge with nothing.  Where a namespace and type has few rows, they are
+    replayed in one place.  In larger ones the order matters among rows that can meet only: see ``merge``, which replays these
+    in order and all others in parallel, and writes its result.
     """
     have = memories.columns
     meta = F.col("metadata") if "metadata" in have else F.create_map().cast("map<string,string>")
@@ -110,12 +113,21 @@ def fold(memories: DataFrame, least: float = SAME) -> DataFrame:
         F.col("importance").cast("double").alias("importance"), F.col("confidence").cast("double").alias("confidence"), meta.alias("metadata"), F.col("seq").cast("long").alias("seq"),
         F.coalesce(F.map_contains_key(meta, F.lit("side_channel")), F.lit(False)).alias("side_channel"),
     )
-    names = [f.split(" ")[0] for f in _FOLDED.split(", ")]
-    with Scratch(memories.sparkSession) as scratch:
-        rows = scratch.table(rows, "given")
-        alone = rows.filter("side_channel").drop("side_channel").withColumn("merged", F.lit(1).cast("long"))
-        merged = merge_components(rows.filter("not side_channel").drop("side_channel"), least, Pool, _FOLDED, scratch)
-        return materialize(merged.filter("state is null").select(*names).unionByName(alone.select(*names)), "folded")
+    names, space = [f.split(" ")[0] for f in _FOLDED.split(", ")], ["namespace", "memory_type"]
+    spark = memories.sparkSession
+    sizes = rows.groupBy(*space).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
+    # there is one for each APART memories at most
+    crowded = [tuple(r) for r in sizes.filter(f"n > {APART} or bytes > {APART_BYTES}").select(*space).collect()]
+    large = spark.createDataFrame(crowded, "namespace string, memory_type string")
+    same = [rows[c].eqNullSafe(large[c]) for c in space]
+    out = replayed(rows.join(F.broadcast(large), same, "left_anti") if crowded else rows, space, Pool, least, _FOLDED).select(*names)
+    if not crowded:
+        return out
+    with Scratch(spark) as scratch:
+        given = scratch.table(rows.join(F.broadcast(large), same, "left_semi"), "given")
+        alone = given.filter("side_channel").drop("side_channel").withColumn("merged", F.lit(1).cast("long"))
+        merged = merge_components(given.filter("not side_channel").drop("side_channel"), least, Pool, _FOLDED, scratch)
+        return out.unionByName(materialize(merged.filter("state is null").select(*names).unionByName(alone.select(*names)), "folded"))
 
 
 def windows(turns: DataFrame, size: int = 5) -> DataFrame:

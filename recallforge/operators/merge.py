@@ -164,7 +164,11 @@ def overlapping(left: DataFrame, right: DataFrame, least: float, same: bool = Fa
 
 def replayed(rows: DataFrame, by: list[str], pool, least: float, schema: str) -> DataFrame:
     """Rows of components replayed in the order of (seq, content), one component at a time: memories as in ``schema``, and
-    rows with ``state`` only, the sets of tokens that merging has made."""
+    rows with ``state`` only, the sets of tokens that merging has made.
+
+    ``by`` ends with the component's ``root``; without one, whole groups are replayed, and their sets are not given.
+    """
+    rooted = by[-1] == "root"
     names = [f.split(" ")[0] for f in schema.split(", ")]
     out_schema = f"{schema}, root long, state array<string>"
     arrow = to_arrow_schema(StructType.fromDDL(out_schema))
@@ -173,8 +177,8 @@ def replayed(rows: DataFrame, by: list[str], pool, least: float, schema: str) ->
         key, held, out = None, None, []
 
         def done() -> None:
-            out.extend({**{n: r.get(n) for n in names}, "metadata": None if r["metadata"] is None else list(r["metadata"].items()), "root": key[-1]} for r in held.rows)
-            out.extend({"namespace": key[0], "memory_type": key[1], "root": key[-1], "state": sorted(s)} for s in held.made)
+            out.extend({**{n: r.get(n) for n in names}, "metadata": None if r["metadata"] is None else list(r["metadata"].items()), "root": key[-1] if rooted else None} for r in held.rows)
+            out.extend({"namespace": key[0], "memory_type": key[1], "root": key[-1], "state": sorted(s)} for s in (held.made if rooted else ()))
 
         for batch in batches:
             for row in batch.to_pylist():

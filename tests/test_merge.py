@@ -100,3 +100,20 @@ def test_large_and_small_places_give_the_same_matches(monkeypatch):
         n = range(len(sets))
         want = {(i, j) for i in n for j in n if place[i] == place[j] and side[i] < side[j] and len({*sets[i]} & {*sets[j]}) >= 0.6 * len({*sets[i]} | {*sets[j]}) and (node[i] < node[j] or not same)}
         assert found == [want, want] and want
+
+
+def test_only_crowded_namespaces_are_cut_into_components(spark, monkeypatch):
+    rnd = random.Random(23)
+    rows = []
+    for space, n in (("a", 12), ("b", 90), (None, 9)):
+        rows += rows_of([" ".join(rnd.sample([f"w{j}" for j in range(7)], rnd.randint(3, 7))) for _ in range(n)], space)
+    given = spark.createDataFrame(rows, "namespace string, memory_type string, seq long, content string, importance double, confidence double")
+    cut, plain = [], ingest.merge_components
+    monkeypatch.setattr(ingest, "merge_components", lambda rows, *more: cut.extend(r.namespace for r in rows.select("namespace").distinct().collect()) or plain(rows, *more))
+    for most, crowded in ((4096, []), (20, ["b"])):
+        cut.clear()
+        monkeypatch.setattr(ingest, "APART", most)
+        got = ingest.fold(given).collect()
+        assert cut == crowded
+        for space in ("a", "b", None):
+            assert sorted((r.content, r.seq, r.merged) for r in got if r.namespace == space) == brute_fold([r for r in rows if r["namespace"] == space])
