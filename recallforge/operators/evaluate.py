@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallforge.functions.dates import same_date_any
+from recallforge.functions.dates import fits_or_same_date
 from recallforge.functions.normal import lenient
 from recallforge.functions.text import squeeze
 
@@ -29,8 +29,7 @@ def exact_judge(answer: Column, gold: Column, empty_is_right: bool = False) -> C
 
 def lenient_judge(answer: Column, gold: Column, empty_is_right: bool = False) -> Column:
     """Containment either way of the lenient forms, or about the same date."""
-    a, g = lenient(answer), F.transform(gold, lenient)
-    return _contained(a, g, empty_is_right) | same_date_any(a, g)
+    return fits_or_same_date(empty_is_right)(lenient(answer), F.transform(gold, lenient)).cast("boolean")
 
 
 #: Judges by name; others can be added.

@@ -137,3 +137,26 @@ def test_summary_and_misses(spark):
     assert (s.questions, s.answered, s.miss_10, s.wrong_with_evidence, s.wrong_with_first) == (4, 3, 0.5, 0.25, 0.0) and s.accuracy == pytest.approx(1 / 3) and s.recall_200 == pytest.approx(1.5 / 4)
     assert [r.query_id for r in evaluate.missed(m, 1).collect()] == [2] and evaluate.summarize(m.drop("correct")).first().accuracy is None
     assert sorted((r.query_id, r.gold, r["rank"]) for r in evaluate.gold_ranks(m).collect() if r.query_id != 3) == [(1, "a", 1), (2, "a", None), (4, "c", 2), (4, "d", None)]
+
+
+def test_equal_texts_are_parsed_once_by_the_date_judge(monkeypatch):
+    from recallforge.functions import dates
+
+    seen, plain = [], dates.calendar_date
+    monkeypatch.setattr(dates, "calendar_date", lambda tokens: seen.append(tuple(tokens)) or plain(tokens))
+    dates.meant.cache_clear()
+    try:
+        assert all(dates.same_date("7 may 2023", g) for g in ("8 may 2023", "week of 9 may 2023") * 50)
+        assert not dates.same_date("7 may 2023", "70 may 2023") and len(seen) <= 8
+    finally:
+        dates.meant.cache_clear()
+
+
+def test_lenient_judge_of_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from recallforge.operators import evaluate
+
+    rows = [("7 May 2023", None, None), ("", None, False), (None, ["x"], False), ("an Apple", ["apple pie", None], True), ("x", [None, ""], False), ("Friday before 9 May 2023", ["5 May 2023"], True)]
+    got = spark.createDataFrame([r[:2] for r in rows], "a string, g array<string>").select(evaluate.lenient_judge(F.col("a"), F.col("g")).alias("x"), evaluate.lenient_judge(F.col("a"), F.col("g"), True).alias("y")).collect()
+    assert [r.x for r in got] == [r[2] for r in rows] and [r.y for r in got] == [None, None, True, True, False, True]
