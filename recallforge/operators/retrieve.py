@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallforge.functions.text import terms
+from recallforge.functions.wordbatch import TermBatches
+
+
+#: Rows, and bytes of texts, whose terms are counted at once.
+ROWS, BYTES = 2048, 4 << 20
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of bounded size, of one text at least."""
+    ends, a = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while a < len(texts):
+        b = min(a + ROWS, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, "right"))))
+        yield texts.slice(a, b - a)
+        a = b
 
 
 def bm25_stats(memories: DataFrame) -> DataFrame:
-    """(term, df, doc_count, avg_len) over all rows (id, content); terms are stemmed."""
-    t = memories.select(terms(F.coalesce("content", F.lit(""))).alias("t"))
-    # totals ride along as a term of their own (an array's null), so the texts are read once
-    each = t.select(F.size("t").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))).alias("term"))
-    counted = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    """(term, df, doc_count, avg_len) over all rows (id, content); terms are stemmed, and counted by runs of texts."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = TermBatches()
+        for batch in batches:
+            for part in slices(batch.column("content")):
+                found, numbers, bounds = encoder.encode(part.to_pylist())
+                of = np.repeat(np.arange(len(part)), np.diff(bounds))
+                df = np.bincount(np.unique(of * max(len(found), 1) + numbers) % max(len(found), 1), minlength=len(found))
+                # totals ride along as a term of their own (null), so the texts are read once
+                columns = pa.array([*found, None], pa.string()), pa.array([*df.tolist(), len(part)], pa.int64()), pa.array([*[0] * len(found), len(numbers)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns], names=["term", "df", "total"])
+
+    each = memories.select("content").mapInArrow(made, "term string, df long, total long")
+    counted = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     sums = counted.filter("term is null").selectExpr("df doc_count", "total / df avg_len")
     return counted.filter("term is not null").select("term", "df").crossJoin(F.broadcast(sums))  # one row of totals
 

@@ -188,3 +188,20 @@ def test_many_namespaces_are_searched_apart(spark, monkeypatch):
         keys = ("query_id", "id", "source", "rank")
         assert sorted((tuple(r[k] for k in keys) for r in got.collect()), key=repr) == sorted((tuple(r[k] for k in keys) for r in want.collect()), key=repr)
         assert got.select("query_id").distinct().count() > 50
+
+
+def test_bm25_statistics_are_summed_before_they_are_shuffled(spark):
+    import pyarrow as pa
+
+    from recallforge.operators import retrieve
+
+    rnd = random.Random(3)
+    texts = [None, "", "...", "Ünser Hund's 'dog'", *(" ".join(rnd.choices(["dogs", "dog", "running", "été", "x1"], k=rnd.randrange(30))) for _ in range(300))]
+    got = retrieve.bm25_stats(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string"))
+    bags = [stemmed(t) for t in texts]
+    want = {t: sum(t in b for b in bags) for b in bags for t in b}
+    rows = got.collect()
+    assert {r.term: r.df for r in rows} == want and {(r.doc_count, r.avg_len) for r in rows} == {(len(texts), sum(map(len, bags)) / len(texts))}
+    # a run's terms come once, not once a text
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [len(s) for s in retrieve.slices(pa.array(["a" * (3 << 20), "b" * (3 << 20), None, "c" * (9 << 20), *["d"] * 3000]))] == [1, 2, 1, 2048, 952]
