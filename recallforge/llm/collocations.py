@@ -9,7 +9,8 @@ Counts are reduced in rounds, so that the many phrases that are rare everywhere
 gives digests of its words and pairs of words with their counts, packed by ranges of digests; for each it gets back one
 bit, whether the sum over all shards is frequent (equal digests of two phrases can only let more through).  The second
 round does the same for triples whose link and whose first two words are frequent.  Then a shard enumerates what is left,
-with exact counts, and these are summed by phrase.
+with exact counts, packed by the same ranges, and a range sums them by phrase: a frequent phrase becomes a row once, and
+not once for each shard that it is in.
 A phrase is subsumed through the links of the longer ones: to what they are without their first, or their last, word.
 """
 
@@ -88,7 +89,7 @@ class BoundedAutomaton:
     def keep(self, frequent: np.ndarray) -> None:
         """Leaves the words and pairs that are ``frequent``, in the order of ``short``, and triples whose link and first two words are."""
         self.one, two = np.flatnonzero(frequent[: len(self.n1)]), frequent[len(self.n1) :]
-        self.two, self.two_n, h2 = self.nodes2[two], self.n2[two], self.h2[two]
+        self.two, self.two_n, self.h2_left = self.nodes2[two], self.n2[two], self.h2[two]
         self.three = self.three_n = np.empty(0, np.int64)
         self.h3 = np.empty(0, np.uint64)
         if len(self.two):
@@ -97,7 +98,7 @@ class BoundedAutomaton:
             # a triple ends where a pair does, and the word before that pair ends one, too
             here = np.flatnonzero(held[1:] & held[:-1] & (self.pair_at[1:] == self.pair_at[:-1] + 1)) + 1
             self.three, self.three_n = runs(at[here] << 32 | self.ids[self.pair_at[here] - 2])
-            self.h3 = self._joined(h2[self.three >> 32], self.h1[(self.three & 0xFFFFFFFF) - 1])
+            self.h3 = self._joined(self.h2_left[self.three >> 32], self.h1[(self.three & 0xFFFFFFFF) - 1])
 
     def long(self) -> tuple[np.ndarray, np.ndarray]:
         """(digests, counts) of the triples that ``keep`` has left."""
@@ -111,6 +112,16 @@ class BoundedAutomaton:
         link = self.two[three >> 32]
         yield 3, [(three & 0xFFFFFFFF) - 1, (link & 0xFFFFFFFF) - 1, (link >> 32) - 1], self.three_n[frequent]
 
+    def phrases(self, frequent: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """What is ``enumerated``: (phrases, their digests, counts)."""
+        words, texts, counts = pa.array(self.words, pa.binary()).cast(pa.string()), [], []
+        for k, of, n in self.enumerated(frequent):
+            held = [words.take(pa.array(x)) for x in of]
+            texts.append(pa.compute.binary_join_element_wise(*held, " ") if k > 1 else held[0])
+            counts.append(n)
+        digests = np.concatenate([self.h1[self.one], self.h2_left, self.h3[frequent]]) >> np.uint64(64 - BITS)
+        return pa.concat_arrays(texts), digests, np.concatenate(counts)
+
 
 def shards(docs: DataFrame) -> DataFrame:
     """(shard, lang, n_words, words, ids) of docs (lang, text); one row a language and shard."""
@@ -201,6 +212,57 @@ def flags(marks: list[dict] | None, digests: np.ndarray) -> np.ndarray:
     return out
 
 
+def phrase_chunks(lang: str, phrases: pa.Array, digests: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, lang, phrases, size, counts): phrases by the ranges of their digests, packed; no word has a line end."""
+    of = digests.astype(np.int64) >> (BITS - parts.bit_length() + 1)
+    order = np.argsort(of, kind="stable")  # neighbours share words
+    of, counts = of[order], counts[order]
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+    ends = np.r_[cuts, len(of)]
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), phrases.take(pa.array(order))), "\n").cast(pa.binary()).to_pylist() if len(of) else []
+    held = [[pa.compress(x, codec="zstd", asbytes=True) for x in joined], [len(x) for x in joined], [packed(counts[a:b]) for a, b in zip(cuts, ends[1:], strict=True)]]
+    types = (pa.binary(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(of[cuts]), pa.array([lang] * len(cuts), pa.string()), *(pa.array(h, t) for h, t in zip(held, types, strict=True))], names=["part", "lang", "phrases", "size", "counts"])
+
+
+#: Phrases of a range that are held before they are summed, besides those that are different.
+UNSUMMED = 1 << 20
+
+
+def summed(rows: DataFrame, least: int) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases of ``phrase_chunks`` whose counts add up to ``least``, exactly; a range's are summed as they come."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, held, waiting = None, None, [], 0
+
+        def added() -> pa.Table:
+            table = pa.concat_tables(held if total is None else [total, *held])
+            return table.group_by("phrase", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+        def done() -> Iterator[pa.RecordBatch]:
+            whole = added() if held else total
+            whole = whole.filter(pa.compute.greater_equal(whole.column("n"), least))
+            k = pa.compute.add(pa.compute.count_substring(whole.column("phrase"), " "), 1).cast(pa.int32())
+            lang = pa.array([key[1]] * whole.num_rows, pa.string())
+            yield from pa.table({"lang": lang, "k": k, "phrase": whole.column("phrase"), "n": whole.column("n")}).to_batches()
+
+        for batch in batches:
+            for part, lang, phrases, size, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "lang", "phrases", "size", "counts")), strict=True):
+                if (part, lang) != key:
+                    if key is not None:
+                        yield from done()
+                    key, total, held, waiting = (part, lang), None, [], 0
+                text = pa.decompress(phrases, size, codec="zstd", asbytes=True)
+                held.append(pa.table({"phrase": pa.compute.split_pattern(pa.array([text], pa.binary()).cast(pa.string()), "\n").flatten(), "n": unpacked(counts)}))
+                waiting += held[-1].num_rows
+                if waiting >= UNSUMMED:
+                    total, held, waiting = added(), [], 0
+        if key is not None:
+            yield from done()
+
+    return rows.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(stream, "lang string, k int, phrase string, n long")
+
+
 def phrase_counts(made: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """(lang, k, phrase, n) of all phrases of ``k`` = 1 to 3 words that are in the shards ``least`` times or more."""
     total = made.agg(F.sum("n_words")).first()[0] or 0
@@ -227,17 +289,12 @@ def phrase_counts(made: DataFrame, least: int, scratch: Scratch) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 automaton = opened(row)
                 automaton.keep(flags(row["short"], automaton.short()[0]))
-                words = pa.array(automaton.words, pa.binary()).cast(pa.string())
-                for k, of, n in automaton.enumerated(flags(row["long"], automaton.long()[0])):
-                    held = [words.take(pa.array(x)) for x in of]
-                    phrase = pa.compute.binary_join_element_wise(*held, " ") if k > 1 else held[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+                yield phrase_chunks(row["lang"], *automaton.phrases(flags(row["long"], automaton.long()[0])), parts)
 
     first = scratch.table(marked(made.mapInArrow(short, schema), least, "short"), "short")
     both = made.join(first, "shard")
     second = scratch.table(marked(both.mapInArrow(long, schema), least, "long"), "long")
-    found = both.join(second, "shard", "left").mapInArrow(phrases, "lang string, k int, phrase string, n long")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return summed(both.join(second, "shard", "left").mapInArrow(phrases, "part long, lang string, phrases binary, size long, counts binary"), least)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, percent: int = PERCENT, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

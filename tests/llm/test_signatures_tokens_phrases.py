@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -166,3 +167,24 @@ def test_an_automaton_has_all_phrases_of_a_shard():
     every = np.ones(len(automaton.long()[0]), bool)
     got = {b" ".join(words[i] for i in p): n for _, of, counts in automaton.enumerated(every) for *p, n in zip(*(x.tolist() for x in of), counts.tolist(), strict=True)}
     assert got == {b"a": 4, b"b": 5, b"c": 3, b"a b": 4, b"b a": 2, b"b c": 1, b"a b a": 1, b"b a b": 2, b"a b c": 1}
+
+
+def test_a_frequent_phrase_becomes_a_row_once(spark, monkeypatch):
+    """However many shards have it; before, each shard gave a row for each phrase."""
+    monkeypatch.setattr(collocations, "UNSUMMED", 3)
+    schema = "part long, lang string, phrases binary, size long, counts binary"
+    texts = ["a b c a b", "b", "a b c", "a b rare"]
+
+    def made(batches):
+        for _ in batches:
+            for lang in ("en", "de", "en"):
+                words, ids = collocations.numbered(texts)
+                automaton = collocations.BoundedAutomaton(lang, words, ids)
+                automaton.keep(np.ones(len(automaton.short()[0]), bool))
+                yield collocations.phrase_chunks(lang, *automaton.phrases(np.ones(len(automaton.long()[0]), bool)), 4)
+
+    got = sorted(map(tuple, collocations.summed(spark.range(20, numPartitions=20).mapInArrow(made, schema), 100).collect()))
+    once = {"a": 4, "b": 5, "c": 2, "rare": 1, "a b": 4, "b c": 2, "c a": 1, "b rare": 1, "a b c": 2, "b c a": 1, "c a b": 1, "a b rare": 1}
+    want = [(lang, p.count(" ") + 1, p, n * m) for lang, m in (("en", 40), ("de", 20)) for p, n in once.items() if n * m >= 100]
+    assert got == sorted(want)
+    assert collocations.phrase_chunks("en", pa.array([], pa.string()), np.empty(0, np.uint64), np.empty(0, np.int64), 4).num_rows == 0
