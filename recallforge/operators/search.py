@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
-from recallforge.functions.embedding import EmbeddingProvider, HashEmbedding
+from recallforge.functions.embedding import EmbeddingProvider, HashEmbedding, normalised, token_hash
 from recallforge.functions.entities import held_entities, text_names
 from recallforge.functions.normal import KIND_FACTORS, OTHER_KIND, kind_factor, turn_index
 from recallforge.functions.text import TermNumbers, stemmed
-from recallforge.functions.wordbatch import word_numbers
+from recallforge.functions.wordbatch import TermBatches, word_numbers
 from recallforge.operators.retrieve import cap_sources, top
 from recallforge.sources.index import K1, Asked, B, TextIndex
 from recallforge.sources.shared import Scratch, materialize
@@ -36,8 +36,8 @@ HASHED = {"density": 0.32, "bm25": 0.13, "entity": 0.15, "speaker": 0.05, "cosin
 EXTERNAL = {"density": 0.22, "bm25": 0.09, "entity": 0.22, "speaker": 0.06, "cosine": 0.25, "importance": 0.04, "kind": 0.12, "prefix": 0.25, "temporal": 0.1}
 BM25_ONLY = {"bm25": 1.0}
 SIGNALS = ("cosine", "density", "bm25", "entity", "temporal", "speaker", "prefix")
-#: Bytes of query texts and queries in a block, memories that are scored at once, and pairs of both.
-BLOCK_BYTES, MOST_QUERIES, ROWS, CELLS = 2 << 20, 2048, 512, 4 << 20
+#: Bytes of query texts and queries in a block, memories and bytes of their texts that are scored at once, and pairs of both.
+BLOCK_BYTES, MOST_QUERIES, ROWS, TEXT_BYTES, CELLS = 2 << 20, 2048, 512, 2 << 20, 4 << 20
 
 
 @dataclass
@@ -134,19 +134,22 @@ class Block:
                         if len(t[:n].encode()) >= 4:
                             self.begins[t[:n]].append(k)
         self.related: dict[str, list[int]] = {}
-        self.numbers = TermNumbers(self.terms)
+        self.numbers, self.batches = TermNumbers(self.terms), TermBatches()
 
     @staticmethod
-    def _index(sets: list) -> tuple[dict[str, int], list[np.ndarray]]:
+    def _index(sets: list) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the keys of all sets; where each key's sets begin, and the sets by key."""
         by: dict[str, list[int]] = defaultdict(list)
         for q, found in enumerate(sets):
             for t in found:
                 by[t].append(q)
         order = sorted(by)
-        return {t: k for k, t in enumerate(order)}, [np.array(by[t]) for t in order]
+        return {t: k for k, t in enumerate(order)}, (np.cumsum([0, *(len(by[t]) for t in order)]), np.array([q for t in order for q in by[t]], np.int64))
 
     def near(self, token: str) -> list[int]:
         """Terms that begin with ``token`` or that it begins with, both of four bytes at least; not itself."""
+        if token[:2] not in self.numbers.begins and token[:1] not in self.numbers.begins and len(token) > 1:
+            return []
         if token not in self.related:
             if len(self.related) > 50_000:
                 self.related.clear()
@@ -156,16 +159,43 @@ class Block:
             self.related[token] = found
         return self.related[token]
 
-    def spread(self, rows: np.ndarray, keys: np.ndarray, values: np.ndarray, of: list[np.ndarray], n: int) -> np.ndarray:
-        """(row, query) sums of values of (row, key), for all queries that have the key."""
+    def spread(self, rows: np.ndarray, keys: np.ndarray, values: np.ndarray, of: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        """(row, query) sums of values of (row, key), for all queries that have the key; some ``CELLS`` of them at once."""
         out = np.zeros(n * len(self.ids))
-        if len(rows):
-            sizes = np.array([len(of[k]) for k in keys])
-            at = np.repeat(rows, sizes) * len(self.ids) + np.concatenate([of[k] for k in keys])
-            out = np.bincount(at, np.repeat(values, sizes), minlength=len(out))
+        starts, queries = of
+        sizes = np.diff(starts)[keys] if len(keys) else np.empty(0, np.int64)
+        ends = np.cumsum(sizes)
+        edges = np.unique([0, *np.searchsorted(ends, np.arange(CELLS, ends[-1] if len(ends) else 0, CELLS), "right"), len(keys)])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = sizes[a:b]
+            at = np.repeat(starts[keys[a:b]] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            out += np.bincount(np.repeat(rows[a:b] * len(self.ids), own) + queries[at], np.repeat(values[a:b], own), minlength=len(out))
         return out.reshape(n, len(self.ids))
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch with ``content`` in runs of up to ``ROWS`` rows and about ``TEXT_BYTES`` bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) // TEXT_BYTES << 32) + np.arange(len(sizes)) // ROWS
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def counted_pairs(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number, how often) of the numbers of texts that lie between bounds, in order; negative numbers are left out."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    keys = np.sort((of << 32 | numbers)[numbers >= 0])
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.r_[first, len(keys)])
+
+
+def known_numbers(words: list[str], of: np.ndarray, numbers: TermNumbers) -> np.ndarray:
+    """The vocabulary's numbers of texts that are numbers ``of`` distinct words."""
+    return np.array([numbers.number(w) for w in words], np.int64)[of] if words else of
+
+
 def statistics(memories: DataFrame, block: Block) -> dict[str, tuple[int, float, dict[int, int]]]:
     """By namespace: number of memories, mean number of tokens, documents that each term of the block is in."""
     sent = memories.sparkSession.sparkContext.broadcast((block.terms, set(block.namespaces)))
@@ -174,13 +204,18 @@ def statistics(memories: DataFrame, block: Block) -> dict[str, tuple[int, float,
         terms, wanted = sent.value
         numbers = TermNumbers(terms)
         n, total, df = Counter(), Counter(), Counter()
-        for batch in batches:
-            for ns, text in zip(batch.column("namespace").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if ns in wanted:
-                    length, found = numbers.count(text)
-                    n[ns] += 1
-                    total[ns] += length
-                    df.update((ns, k) for k in found)
+        for whole in batches:
+            for batch in pieces(whole):
+                held = [x for x in zip(batch.column("namespace").to_pylist(), batch.column("content").to_pylist(), strict=True) if x[0] in wanted]
+                if not held:
+                    continue
+                words, of, bounds = word_numbers([text for _, text in held])
+                space, spaces = pd.factorize(np.array([ns for ns, _ in held], object))
+                n.update(dict(zip(spaces, np.bincount(space).tolist(), strict=True)))
+                total.update(dict(zip(spaces, np.bincount(space, np.diff(bounds)).astype(np.int64).tolist(), strict=True)))
+                doc, k, _ = counted_pairs(known_numbers(words, of, numbers), bounds)
+                pairs, counts = np.unique(space[doc] << 32 | k, return_counts=True)
+                df.update({(spaces[x >> 32], x & 0xFFFFFFFF): c for x, c in zip(pairs.tolist(), counts.tolist(), strict=True)})
         rows = [*((ns, -1, n[ns], total[ns]) for ns in n), *((ns, k, c, 0) for (ns, k), c in df.items())]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["namespace", "k", "n", "total"])
@@ -199,35 +234,46 @@ def statistics(memories: DataFrame, block: Block) -> dict[str, tuple[int, float,
 
 def signals(batch: pd.DataFrame, block: Block, stats: dict) -> dict[str, np.ndarray]:
     """Every signal of the memories of a batch with all queries of a block, as (memory, query) arrays."""
-    n, weights, bags, sets = len(batch), block.plan.weights, [], []
+    n, weights = len(batch), block.plan.weights
+    texts, none = batch["content"].tolist(), np.zeros((n, len(block.ids)))
     if any(weights.get(s) for s in ("density", "prefix", "cosine")):  # these look at all tokens of a memory
-        bags = [stemmed(t) for t in batch["content"]]
-        sets = [Counter(b) for b in bags]
-        counted = [(len(b), {block.terms[t]: c for t, c in s.items() if t in block.terms}) for b, s in zip(bags, sets, strict=True)]
+        terms, numbers, bounds = block.batches.encode(texts)
+        doc, term, count = counted_pairs(numbers, bounds)
+        known = np.array([block.terms.get(t, -1) for t in terms], np.int64)[term] if terms else term
+        rows, keys, tf = doc[known >= 0], known[known >= 0], count[known >= 0]
     else:
-        counted = [block.numbers.count(t) for t in batch["content"]]
-    hits = [(i, k, c) for i, (_, found) in enumerate(counted) for k, c in found.items()]
-    rows, keys, tf = (np.array(x) for x in zip(*hits, strict=True)) if hits else (np.empty(0, int),) * 3
-    length = np.array([m for m, _ in counted], float)
-    idf, mean = np.zeros(len(rows)), np.ones(len(rows))
-    for ns in set(batch["namespace"]):
-        own = (batch["namespace"].to_numpy() == ns)[rows] if len(rows) else np.empty(0, bool)
-        count, avg, df = stats.get(ns, (0, 0.0, {}))
-        d = np.array([df.get(k, 0) for k in keys[own]], float)
-        idf[own], mean[own] = np.log((count - d + 0.5) / (d + 0.5) + 1.0), max(avg, 1.0)
-    out = {"bm25": block.spread(rows, keys, idf * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length[rows] / mean)) if len(rows) else idf, block.of_term, n)}
-    shared = block.spread(rows, keys, np.ones(len(rows)), block.of_term, n)
-    out["shared"] = shared
+        words, numbers, bounds = word_numbers(texts)
+        rows, keys, tf = counted_pairs(known_numbers(words, numbers, block.numbers), bounds)
+    out = {}
+    if weights.get("bm25"):
+        length = np.diff(bounds)
+        idf, mean = np.zeros(len(rows)), np.ones(len(rows))
+        for ns in set(batch["namespace"]):
+            own = (batch["namespace"].to_numpy() == ns)[rows] if len(rows) else np.empty(0, bool)
+            count_, avg, df = stats.get(ns, (0, 0.0, {}))
+            distinct, at = np.unique(keys[own], return_inverse=True)
+            d = np.array([df.get(k, 0) for k in distinct.tolist()], float)[at]
+            idf[own], mean[own] = np.log((count_ - d + 0.5) / (d + 0.5) + 1.0), max(avg, 1.0)
+        out["bm25"] = block.spread(rows, keys, idf * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * length[rows] / mean)), block.of_term, n)
+    if block.plan.matches_only or weights.get("density") or weights.get("prefix"):
+        shared = out["shared"] = block.spread(rows, keys, np.ones(len(rows)), block.of_term, n)
     if weights.get("density"):
-        union = np.array([len(s) for s in sets], float)[:, None] + block.sizes[None, :] - shared
+        union = np.bincount(doc, minlength=n).astype(float)[:, None] + block.sizes[None, :] - shared
         out["density"] = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
     if weights.get("prefix"):
-        half = [(i, k) for i, s in enumerate(sets) for k in {k for t in s for k in block.near(t)} - {block.terms.get(t) for t in s}]
-        i, k = (np.array(x) for x in zip(*half, strict=True)) if half else (np.empty(0, int),) * 2
-        out["prefix"] = (shared + block.spread(i, k, np.full(len(i), 0.5), block.of_term, n)) / np.maximum(block.sizes, 1.0)[None, :]
+        near, most = [block.near(t) for t in terms], max(len(block.terms), 1)
+        starts = np.cumsum([0, *map(len, near)])
+        sizes = np.diff(starts)[term] if len(term) else term
+        at = np.repeat(starts[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        half = np.setdiff1d(np.repeat(doc * most, sizes) + np.array([k for ks in near for k in ks], np.int64)[at], rows * most + keys)
+        out["prefix"] = (shared + block.spread(half // most, half % most, np.full(len(half), 0.5), block.of_term, n)) / np.maximum(block.sizes, 1.0)[None, :]
     if weights.get("cosine"):
-        vectors = np.array([block.plan.provider.embed(t) for t in batch["content"]]) if block.plan.provider else HashEmbedding(block.vectors.shape[1]).embed_tokens(bags)
-        out["cosine"] = np.maximum(vectors.reshape(n, -1) @ block.vectors.T, 0.0) if vectors.size else np.zeros_like(shared)
+        if block.plan.provider:
+            vectors = np.array([block.plan.provider.embed(t) for t in texts])
+        else:
+            size, h = block.vectors.shape[1], np.array([token_hash(t) for t in terms], np.int64)[term] if terms else term
+            vectors = normalised(np.bincount(doc * size + h % size, count * (1.0 - 2.0 * (h & 1)), n * size).reshape(n, size))
+        out["cosine"] = np.maximum(vectors.reshape(n, -1) @ block.vectors.T, 0.0) if vectors.size and block.vectors.size else none
     if weights.get("entity"):
         held = [(i, block.entities[e]) for i, found in enumerate(batch["entities"]) for e in set(found) if e in block.entities]
         i, k = (np.array(x) for x in zip(*held, strict=True)) if held else (np.empty(0, int),) * 2
@@ -268,8 +314,8 @@ def _held(batches: Iterable[pa.RecordBatch], block: Block, stats: dict) -> pd.Da
     plan, held, least = block.plan, None, np.full(len(block.ids), -np.inf)
     names = [s for s in SIGNALS if plan.weights.get(s)]
     for whole in batches:
-        for a in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(a, ROWS).to_pandas()
+        for piece in pieces(whole):
+            batch = piece.to_pandas()
             found = signals(batch, block, stats)
             total = sum(plan.weights[s] * found[s] for s in names)
             for s in ("importance", "kind"):
@@ -531,10 +577,10 @@ def contains_windows(memories: DataFrame, queries: DataFrame, window: int = 8) -
             numbers = TermNumbers(terms)
             digests = {n: np.unique(_digests(np.array([g for g in held if len(g) == n]).ravel(), n)[::n]) for n in sorted({len(g) for g in held})}
             for whole in batches:
-                for a in range(0, whole.num_rows, ROWS):
-                    ids, texts = (whole.slice(a, ROWS).column(c).to_pylist() for c in ("id", "content"))
+                for piece in pieces(whole):
+                    ids, texts = (piece.column(c).to_pylist() for c in ("id", "content"))
                     words, of, bounds = word_numbers(texts)
-                    of = np.array([numbers.number(w) for w in words], np.int64)[of] if words else of
+                    of = known_numbers(words, of, numbers)
                     pairs = set()
                     for n, wanted in digests.items():
                         # a window has terms of the vocabulary only, and ends in its text

@@ -2,11 +2,17 @@
 
 import math
 import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from recallforge.functions import embedding, entities
+from recallforge.functions.embedding import HashEmbedding
 from recallforge.functions.text import TermNumbers, stemmed
 from recallforge.operators import search
 
@@ -205,3 +211,45 @@ def test_bm25_statistics_are_summed_before_they_are_shuffled(spark):
     # a run's terms come once, not once a text
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert [len(s) for s in retrieve.slices(pa.array(["a" * (3 << 20), "b" * (3 << 20), None, "c" * (9 << 20), *["d"] * 3000]))] == [1, 2, 1, 2048, 952]
+
+
+def test_signals_equal_those_of_single_pairs(spark):
+    """Scores of a batch are those that each text has by itself, and only what has a weight is computed (before, BM25 always was)."""
+    words = "cries crying cried Crystal's cry the runner running run Été ab abcd abcdef x 2020".split()
+    rnd = random.Random(5)
+    texts = ["", *(" ".join(rnd.choices(words, k=rnd.randint(1, 30))) for _ in range(60))]
+    queries = [search.Query(k, "ns", " ".join(rnd.choices(words, k=4))) for k in range(7)] + [search.Query(9, "ns", "")]
+    batch = pd.DataFrame({"content": texts, "namespace": ["ns"] * len(texts), "entities": [[]] * len(texts), "turn": [1.0] * len(texts), "speaker": [""] * len(texts)})
+    block = search.Block(queries, search.Search())
+    df = Counter(block.terms[t] for text in texts for t in set(stemmed(text)) if t in block.terms)
+    stats = {"ns": (len(texts), float(np.mean([len(stemmed(t)) for t in texts])), df)}
+    got = search.signals(batch, block, stats)
+    for i, text in enumerate(texts):
+        bag = stemmed(text)
+        for j, q in enumerate(queries):
+            asked, shared = set(stemmed(q.text)), set(bag) & set(stemmed(q.text))
+            idf = {t: np.log((len(texts) - df[block.terms[t]] + 0.5) / (df[block.terms[t]] + 0.5) + 1) for t in asked}
+            bm25 = sum(idf[t] * bag.count(t) * 2.5 / (bag.count(t) + 1.5 * (0.25 + 0.75 * len(bag) / stats["ns"][1])) for t in shared)
+            near = [t for t in asked - shared if len(t.encode()) >= 4 and any(len(b.encode()) >= 4 and (b.startswith(t) or t.startswith(b)) for b in bag)]
+            cosine = max(float(np.dot(HashEmbedding().embed(text), HashEmbedding().embed(q.text))), 0.0)
+            want = {"shared": len(shared), "bm25": bm25, "density": len(shared) / max(len(set(bag) | asked), 1), "prefix": (len(shared) + len(near) / 2) / max(len(asked), 1), "cosine": cosine}
+            assert all(abs(got[s][i, j] - v) < 1e-9 for s, v in want.items()), (text, q.text)
+    assert set(search.signals(batch, search.Block(queries, search.Search(weights={"cosine": 1.0})), stats)) == {"cosine"}
+
+
+def test_long_texts_are_scored_a_few_at_once(monkeypatch):
+    """Pieces of a batch are bounded by bytes of text too, not by rows alone; they hold all rows in order."""
+    monkeypatch.setattr(search, "TEXT_BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(700)), "content": ["x" * 90, None, "y" * 1000, *["z" * 30] * 97, *[""] * 600]})
+    found = list(search.pieces(batch))
+    assert [i for p in found for i in p.column("id").to_pylist()] == list(range(700))
+    assert all(p.num_rows == 1 or pc.sum(pc.binary_length(p.column("content"))).as_py() <= 200 for p in found) and max(p.num_rows for p in found) <= search.ROWS
+    assert list(search.pieces(batch.slice(0, 0))) == []
+
+
+def test_evidence_is_searched_once_and_texts_stay_where_they_are(spark):
+    """Hits are a written table before their texts are joined (before, the search was part of each plan that used its evidence)."""
+    from recallforge.plans import memory
+
+    plans = [f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for f in (memory.item_evidence, memory.answer_spans)]
+    assert plans[0].count("MapInArrow") == 0 and plans[1].count("MapInArrow scored") == 0 and "documents.parquet" not in plans[1], plans
