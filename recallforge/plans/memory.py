@@ -232,6 +232,7 @@ def answer_best_sentence(spark, sf_dir):
 def item_evidence(spark, sf_dir) -> DataFrame:
     plan = search.Search(limit=8, weights=search.BM25_ONLY, per_source=None, matches_only=True)
     found = search.search(memories(spark, sf_dir), asked(spark, sf_dir), plan).select("query_id", "id", "score", "rank").withColumn("reasons", F.array().cast("array<string>"))
+    found = materialize(found, "hits")  # a few rows of known size, so that no text is shuffled to them
     stored = memories(spark, sf_dir).select("id", F.coalesce("content", F.lit("")).alias("content"), F.lit("episodic").alias("memory_type"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit(0.5).alias("importance"), F.col("source").alias("source_event_id"))
     return asked(spark, sf_dir).join(evidence.candidates(found, stored), "query_id").withColumnRenamed("candidates", "evidence")
 
@@ -239,7 +240,7 @@ def item_evidence(spark, sf_dir) -> DataFrame:
 @query()
 def answer_spans(spark, sf_dir):
     """The span and composing answerers over the same evidence; they have no SQL form."""
-    rows = item_evidence(spark, sf_dir)
+    rows = materialize(item_evidence(spark, sf_dir), "evidence")  # searched once for both
     spans = answer.answered(rows, "span").select("query_id", F.col("answer").alias("span"))
     return spans.join(answer.answered(rows, "composer").select("query_id", F.col("answer").alias("composed")), "query_id")
 
