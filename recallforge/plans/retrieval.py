@@ -10,7 +10,7 @@ from recallforge.operators import evaluate, retrieve, search
 from recallforge.plans.registry import TOK, asked, memories, query, table
 from recallforge.plans.stem_sql import stems
 from recallforge.sources.index import TextIndex
-from recallforge.sources.shared import Scratch
+from recallforge.sources.shared import Scratch, materialize
 
 #: Stemmed tokens of documents (kind d) and items (kind q), and BM25 of the pairs that share one.
 _TERMS = f"""raw AS MATERIALIZED (SELECT 'd' AS kind, doc_id AS id, lang AS ns, coalesce(text, '') AS text, {TOK.format('text')} AS t FROM documents UNION ALL SELECT 'q', item_id, NULL, coalesce(text, ''), {TOK.format('text')} FROM benchmark),
@@ -113,7 +113,8 @@ def hit_reasons(spark, sf_dir):
 @query(f"""{_ALL} SELECT query_id, '# Agent Memory' || chr(10) || string_agg('- [episodic score=' || format('{{:.3f}}', round(score, 3)) || ' confidence=0.75] ' || coalesce(content, '') || chr(10), '' ORDER BY rank) AS context FROM top GROUP BY query_id""")
 def build_context(spark, sf_dir):
     """The context of every item: whole memories and their scores."""
-    found = hits(spark, sf_dir).select("query_id", "id", "rank", "score").join(memories(spark, sf_dir).select("id", "content"), "id")
+    best = materialize(hits(spark, sf_dir).select("query_id", "id", "rank", "score"), "hits")  # of known size: no text is shuffled to them
+    found = best.join(memories(spark, sf_dir).select("id", "content"), "id")
     return retrieve.build_context(found.withColumns({"memory_type": F.lit("episodic"), "confidence": F.lit(0.75)}), asked(spark, sf_dir))
 
 
