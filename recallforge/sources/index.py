@@ -211,9 +211,9 @@ class TextIndex:
                         ids.append(id_)
                         texts.append(text)
                         size += len(text or "")
-                    if size >= SEGMENT_BYTES:
-                        yield from flushed()
-                        size = 0
+                        if size >= SEGMENT_BYTES:  # after each text, as some are long
+                            yield from flushed()
+                            size = 0
             yield from flushed()
 
         namespace = F.coalesce("namespace", F.lit("default")) if "namespace" in memories.columns else F.lit("default")

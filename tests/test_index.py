@@ -113,3 +113,12 @@ def test_windows_of_tokens_in_memories(spark):
             if any(tuple(b[j : j + n]) in grams for j in range(len(b) - n + 1)):
                 want.add((k, i))
     assert got == want and len(want) > 50
+
+
+def test_a_segment_of_long_texts_is_bounded_by_bytes(spark, tmp_path):
+    """A segment ends with the text that fills it (before, up to 511 more texts of any length came into it)."""
+    most = index.SEGMENT_BYTES
+    rows = spark.range(40, numPartitions=1).selectExpr("id", "'n' namespace", f"repeat('long text ', {most // 40}) content")
+    built = index.TextIndex.build(rows, str(tmp_path / "long"))
+    sizes = [r.n for r in spark.read.parquet(built.path).filter("kind = 'memories'").select("n").collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 5
