@@ -118,16 +118,17 @@ def fold(memories: DataFrame, least: float = SAME) -> DataFrame:
     sizes = rows.groupBy(*space).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
     # there is one for each APART memories at most
     crowded = [tuple(r) for r in sizes.filter(f"n > {APART} or bytes > {APART_BYTES}").select(*space).collect()]
-    large = spark.createDataFrame(crowded, "namespace string, memory_type string")
-    same = [rows[c].eqNullSafe(large[c]) for c in space]
-    out = replayed(rows.join(F.broadcast(large), same, "left_anti") if crowded else rows, space, Pool, least, _FOLDED).select(*names)
     if not crowded:
-        return out
+        return replayed(rows, space, Pool, least, _FOLDED).select(*names)
+    large = spark.createDataFrame(crowded, "namespace string, memory_type string")
     with Scratch(spark) as scratch:
-        given = scratch.table(rows.join(F.broadcast(large), same, "left_semi"), "given")
+        rows = scratch.table(rows, "rows")  # so they are made once
+        same = [rows[c].eqNullSafe(large[c]) for c in space]
+        given = rows.join(F.broadcast(large), same, "left_semi")
         alone = given.filter("side_channel").drop("side_channel").withColumn("merged", F.lit(1).cast("long"))
         merged = merge_components(given.filter("not side_channel").drop("side_channel"), least, Pool, _FOLDED, scratch)
-        return out.unionByName(materialize(merged.filter("state is null").select(*names).unionByName(alone.select(*names)), "folded"))
+        small = replayed(rows.join(F.broadcast(large), same, "left_anti"), space, Pool, least, _FOLDED)
+        return materialize(merged.filter("state is null").select(*names).unionByName(alone.select(*names)).unionByName(small.select(*names)), "folded")
 
 
 def windows(turns: DataFrame, size: int = 5) -> DataFrame:

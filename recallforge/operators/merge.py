@@ -2,9 +2,9 @@
 
 A row joins the first memory that it matches, and a match depends on what was merged before, so rows are replayed in the
 order in which they came.  But rows that never match each other can be replayed apart.  Equal sets of tokens are one node;
-nodes whose sets overlap enough, found by their rarest tokens, are linked, and each component is replayed on its own.
-Merging makes new sets, which may match rows of other components: those that do link their components, which are replayed
-once more, until no memory of a component ever matches a row of another one.  By induction over the rows this is what one
+nodes whose sets overlap enough, found by pairs of their rarest tokens, are linked, and each component is replayed on its own.
+Merging makes new sets, which may match rows of other components: those that do link their components, which alone are
+replayed once more, until no memory of a component ever matches a row of another one.  By induction over the rows this is what one
 replay of all would give.
 """
 
@@ -14,18 +14,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from recallforge.functions.text import stemmed
+from recallforge.functions.wordbatch import TermBatches
 from recallforge.operators.graph import components
 from recallforge.sources.shared import Scratch
 
-#: Sets of one token that are compared in one place; more are dealt into blocks, and each pair of blocks is.  Places of up
+#: Sets of one key that are compared in one place; more are dealt into blocks, and each pair of blocks is.  Places of up
 #: to so many rows are compared all at once; rows of memories that are given at once.
 BLOCK, SHORT, GIVEN = 1024, 64, 2048
+#: The most tokens of a set that is found by two of them at once; the most tokens whose frequency is known.
+PAIRED, OFTEN = 64, 1 << 16
+#: Words whose stems a task remembers.
+STEMS = 1 << 18
 
 
 def with_tokens(rows: DataFrame, text: str, space: list[str]) -> DataFrame:
@@ -34,8 +39,13 @@ def with_tokens(rows: DataFrame, text: str, space: list[str]) -> DataFrame:
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, terms array<string>"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TermBatches(STEMS)
         for batch in batches:
-            terms = pa.array([sorted(set(stemmed(t))) for t in batch.column(text).to_pylist()], pa.list_(pa.string()))
+            distinct, numbers, bounds = known.encode(batch.column(text).to_pylist())
+            n = max(len(distinct), 1)
+            each = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(bounds)) * n + numbers)
+            offsets = np.searchsorted(each, np.arange(batch.num_rows + 1) * n)
+            terms = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(distinct, pa.string()).take(pa.array(each % n)))
             yield pa.RecordBatch.from_arrays([*batch.columns, terms], names=[*batch.schema.names, "terms"])
 
     found = rows.mapInArrow(made, schema)
@@ -44,12 +54,66 @@ def with_tokens(rows: DataFrame, text: str, space: list[str]) -> DataFrame:
     return found.withColumn("tokens", digests).withColumn("node", node).drop("terms")
 
 
-def _prefixes(sets: DataFrame, df: DataFrame, least: float) -> DataFrame:
-    """(token, node, tokens): sets under those of their rarest tokens of which any set that overlaps by ``least`` has one."""
-    each = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    ranked = each.join(df, "token", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
-    first = ranked.withColumn("r", F.slice("r", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1))
-    return first.select("node", F.explode("r").alias("r")).select("node", "r.token", "r.df")
+def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Digests of pairs of numbers."""
+    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) + (b.view(np.uint64) if isinstance(b, np.ndarray) else np.uint64(b))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def _keys(offsets: np.ndarray, flat: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): digests under which any two sets that overlap by ``least`` meet.
+
+    In one order for all sets, here rarest tokens first, two sets that share ``t`` tokens share ``k`` of those that are left
+    of each without its last ``t - k``.  Sets of up to PAIRED tokens meet under two such tokens at once, which few sets have
+    in common however many there are; those that may share a single one, and those that may meet longer ones, under one.
+    """
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.searchsorted(often[0], flat)
+    place[place == len(often[0])] = 0
+    df = np.where(often[0][place] == flat, often[1][place], 0) if len(often[0]) else np.zeros(len(flat), np.int64)
+    tokens = flat[np.lexsort((flat, df, row))]
+    starts = offsets[:-1] - offsets[0]
+    shared = np.ceil(least * size - 1e-9).astype(np.int64)
+    rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    first = np.where((size > 0) & ((shared <= 1) | (size >= int(least * PAIRED))), np.minimum(size, size - shared + 1), 0)
+    at = np.repeat(np.arange(len(size)), first)
+    rows.append(at)
+    keys.append(_mixed(tokens[np.repeat(starts - (np.cumsum(first) - first), first) + np.arange(len(at))], 1))
+    first = np.where((size > 1) & (size <= PAIRED), np.minimum(size, size - shared + 2), 0)
+    for n in np.unique(first[first > 1]).tolist():
+        of, (i, j) = np.flatnonzero(first == n), np.triu_indices(n, 1)
+        mine = tokens[starts[of][:, None] + np.arange(n)]
+        rows.append(np.repeat(of, len(i)))
+        keys.append(_mixed(mine[:, i].ravel(), mine[:, j].ravel()))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that have over one in OFTEN of all places in ``sets``, so fewer than OFTEN, in order, and in how many sets
+    they are; all others count as equally rare."""
+    per = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    places = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first().n
+    found = per.filter(F.col("df") > places / OFTEN).orderBy("token").toPandas()
+    return found["token"].to_numpy(np.int64), found["df"].to_numpy(np.int64)
+
+
+def _keyed(sets: DataFrame, often: Broadcast, least: float) -> DataFrame:
+    """(node, key) of ``_keys``."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, lists = batch.column("node").to_numpy(), batch.column("tokens")
+            for a in range(0, len(node), GIVEN):
+                part = lists.slice(a, GIVEN)
+                offsets = part.offsets.to_numpy().astype(np.int64)
+                row, key = _keys(offsets, part.values.to_numpy()[offsets[0] : offsets[-1]], often.value, least)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a : a + GIVEN][row]), pa.array(key)], names=["node", "key"])
+
+    return sets.filter("size(tokens) > 0").select("node", "tokens").mapInArrow(made, "node long, key long")
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -111,24 +175,31 @@ def _matches(place: np.ndarray, side: np.ndarray, node: np.ndarray, offsets: np.
     return i[keep], j[keep]
 
 
-def overlapping(left: DataFrame, right: DataFrame, least: float, same: bool = False) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, least: float, same: bool = False, often: tuple[np.ndarray, np.ndarray] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(a, b): nodes of ``left`` and ``right`` (node, tokens) whose sets overlap by ``least``; distinct, in both orders if ``same``.
 
-    Sets meet under their rarest tokens; a token of very many sets is dealt into blocks, each pair of which meets in one
-    place, so no task holds more than two blocks.
+    Sets meet under their keys; a key of very many sets is dealt into blocks, each pair of which meets in one place, so no
+    task holds more than two blocks.  ``often`` are the ``frequent`` tokens of ``right``, where these are known; with
+    ``scratch`` the keys that sets share are found once and written.
     """
-    df = right.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    mine = _prefixes(left, df, least)
-    theirs = mine if same else _prefixes(right, df, least)
-    # a token that no other set is under can't give a pair
-    per = theirs.groupBy("token").agg(F.count("*").alias("n_right")).filter("n_right > 1" if same else "n_right > 0")
-    per = per.join(mine.groupBy("token").agg(F.count("*").alias("n_left")), "token").selectExpr("token", f"cast(ceil(n_right / {BLOCK}) as int) rights", f"cast(ceil(n_left / {BLOCK}) as int) lefts")
+    written = scratch.table if scratch else lambda df, _: df
+    known = left.sparkSession.sparkContext.broadcast(frequent(right) if often is None else often)
+    mine = _keyed(left, known, least)
+    # a key that no other set is under can't give a pair
+    if same:
+        held = written(mine.withColumn("n_right", F.count("*").over(Window.partitionBy("key"))).filter("n_right > 1"), "keys")
+        mine = theirs = held.withColumn("n_left", F.col("n_right"))
+    else:
+        theirs = _keyed(right, known, least)
+        lefts = mine.groupBy("key").agg(F.count("*").alias("n_left"))
+        theirs = written(theirs.join(lefts, "key").withColumn("n_right", F.count("*").over(Window.partitionBy("key"))), "keys")
+        mine = mine.join(theirs.groupBy("key").agg(F.first("n_right").alias("n_right"), F.first("n_left").alias("n_left")), "key")
 
     def dealt(rows: DataFrame, sets: DataFrame, side: int) -> DataFrame:
-        own, other = ("lefts", "rights") if side == 0 else ("rights", "lefts")
-        out = rows.join(per, "token").withColumn("own", F.expr(f"pmod(xxhash64(node, token), {own})")).withColumn("other", F.explode(F.expr(f"sequence(0, {other} - 1)")))
-        place = F.xxhash64("token", F.col("own") if side == 0 else F.col("other").cast("long"), F.col("other").cast("long") if side == 0 else F.col("own"))
-        return out.select("node", place.alias("place"), F.lit(side).alias("side")).join(sets, "node")
+        own, other = ("n_left", "n_right") if side == 0 else ("n_right", "n_left")
+        out = rows.withColumn("own", F.expr(f"pmod(xxhash64(node, key), cast(ceil({own} / {BLOCK}) as int))")).withColumn("other", F.explode(F.expr(f"sequence(0, cast(ceil({other} / {BLOCK}) as int) - 1)")))
+        place = F.xxhash64("key", F.col("own") if side == 0 else F.col("other").cast("long"), F.col("other").cast("long") if side == 0 else F.col("own"))
+        return out.select("node", place.alias("place"), F.lit(side).alias("side")).join(sets.select("node", "tokens"), "node")
 
     rows = dealt(mine, left, 0).unionByName(dealt(theirs, right, 1))
 
@@ -202,30 +273,35 @@ def replayed(rows: DataFrame, by: list[str], pool, least: float, schema: str) ->
 def merge_components(rows: DataFrame, least: float, pool, schema: str, scratch: Scratch) -> DataFrame:
     """What one replay of all ``rows`` in each (namespace, memory_type) gives, by components; ``pool`` replays one.
 
-    A written table: the memories as in ``schema``, with ``root`` and ``state`` of ``replayed``.
+    The memories as in ``schema``, with ``root`` and ``state`` of ``replayed``; a plan over tables of ``scratch``.
     """
-    space = ["namespace", "memory_type"]
+    space, names = ["namespace", "memory_type"], [f.split(" ")[0] for f in schema.split(", ")]
     rows = scratch.table(with_tokens(rows, "content", space), "rows")
-    nodes = scratch.table(rows.filter("size(tokens) > 0").groupBy("node").agg(F.first("tokens").alias("tokens")), "nodes")
-    links = scratch.table(overlapping(nodes, nodes, least, same=True), "links")
+    nodes = scratch.table(rows.groupBy("node").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")), "nodes")
+    often = frequent(nodes)
+    links = scratch.table(overlapping(nodes, nodes, least, same=True, often=often, scratch=scratch), "links")
+    # most rows are alone in their component: they are memories as they are
+    linked = components(links, scratch).selectExpr("id node", "root")
+    where = scratch.table(linked.unionByName(nodes.filter("n > 1").join(linked, "node", "left_anti").selectExpr("node", "node root")), "where")
+    changed, done = where, None
     while True:
-        roots = components(links, scratch)
-        placed = rows.join(roots.selectExpr("id node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = scratch.table(placed, "placed")
-        # most rows are alone in their component: they are memories as they are
-        sizes = placed.groupBy("root").agg(F.count("*").alias("rows"))
-        counted = placed.join(sizes, "root")
-        alone = counted.filter("rows = 1").withColumns({"merged": F.lit(1).cast("long"), "state": F.lit(None).cast("array<string>")})
-        names = [f.split(" ")[0] for f in schema.split(", ")]
-        several = replayed(counted.filter("rows > 1").drop("tokens", "node", "rows"), [*space, "root"], pool, least, schema)
-        out = scratch.table(several.unionByName(alone.select(*names, "root", "state")), "memories")
-        made = out.filter("state is not null").select("root", F.array_sort(F.transform("state", lambda t: F.xxhash64(*space, t))).alias("tokens"))
-        made = made.withColumn("node", F.xxhash64("root", "tokens", F.lit("made"))).dropDuplicates(["node"])
-        met = overlapping(made.select("node", "tokens"), nodes, least)
+        several = rows.drop("tokens").join(changed, "node").drop("node")
+        new = scratch.table(replayed(several, [*space, "root"], pool, least, schema), "memories")
+        done = new if done is None else scratch.table(done.unionByName(new), "memories")
+        made = new.filter("state is not null").select("root", F.array_sort(F.transform("state", lambda t: F.xxhash64(*space, t))).alias("tokens"))
+        made = scratch.table(made.withColumn("node", F.xxhash64("root", "tokens", F.lit("made"))).dropDuplicates(["node"]), "made")
+        met = overlapping(made.select("node", "tokens"), nodes, least, often=often, scratch=scratch)
         # only matches between components matter
-        where = placed.select("node", F.col("root").alias("other")).distinct()
-        across = met.join(made.selectExpr("node a", "root"), "a").join(where.withColumnRenamed("node", "b"), "b").filter("root <> other")
+        other = met.join(where.selectExpr("node b", "root other"), "b", "left").withColumn("other", F.coalesce("other", "b"))
+        across = other.join(made.selectExpr("node a", "root"), "a").filter("root <> other")
         across = scratch.table(across.selectExpr("root a", "other b").distinct(), "across")
         if across.isEmpty():
-            return out
-        links = scratch.table(links.unionByName(across), "links")
+            alone = rows.join(where, "node", "left_anti").withColumns({"merged": F.lit(1).cast("long"), "root": F.col("node"), "state": F.lit(None).cast("array<string>")})
+            return done.unionByName(alone.select(*names, "root", "state"))
+        # components that met are one now, and are replayed again; a node that was alone was a component of its own
+        joined = components(across, scratch).selectExpr("id was", "root next")
+        came = joined.join(where.selectExpr("root was").distinct(), "was", "left_anti").selectExpr("was node", "next root")
+        moved = where.withColumnRenamed("root", "was").join(joined, "was")
+        changed = scratch.table(moved.selectExpr("node", "next root").unionByName(came), "changed")
+        where = scratch.table(where.join(changed, "node", "left_anti").unionByName(changed), "where")
+        done = done.join(joined.selectExpr("was root"), "root", "left_anti").select(*done.columns)

@@ -117,3 +117,45 @@ def test_only_crowded_namespaces_are_cut_into_components(spark, monkeypatch):
         assert cut == crowded
         for space in ("a", "b", None):
             assert sorted((r.content, r.seq, r.merged) for r in got if r.namespace == space) == brute_fold([r for r in rows if r["namespace"] == space])
+
+
+@pytest.mark.parametrize("paired", [1, 6, 64])
+def test_sets_that_overlap_share_a_key_and_few_others_do(monkeypatch, paired):
+    monkeypatch.setattr(merge, "PAIRED", paired)
+    rnd = random.Random(paired)
+    for least in (0.3, 0.72, 1.0):
+        sets = [sorted(rnd.sample(range(14), rnd.randint(0, 12))) for _ in range(200)]
+        offsets = np.cumsum([0, *map(len, sets)])
+        row, key = merge._keys(offsets, np.concatenate(sets).astype(np.int64), (np.array([2, 5, 9]), np.array([80, 70, 90])), least)
+        keys = [set() for _ in sets]
+        for i, k in zip(row.tolist(), key.tolist(), strict=True):
+            keys[i].add(k)
+        want = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if x and y and len({*x} & {*y}) >= least * len({*x} | {*y})]
+        assert want and all(keys[i] & keys[j] for i, j in want)
+    if paired == 64:
+        # of sets of few words, as many more as there are, far fewer meet than share one of their rarest tokens
+        sets = np.sort(np.array([rnd.sample(range(300), 10) for _ in range(3000)]))
+        key = merge._keys(np.arange(3001) * 10, sets.ravel(), (np.empty(0, np.int64), np.empty(0, np.int64)), 0.72)[1]
+        met = np.unique(key, return_counts=True)[1]
+        single = np.bincount(sets[:, :3].ravel())
+        assert 20 * (met * (met - 1)).sum() < (single * (single - 1)).sum()
+
+
+def test_only_components_that_meet_are_replayed_again_and_rows_are_made_twice(spark, monkeypatch):
+    a, b, c = "w1 w2 w3 w4 w5 w6 w7", "w2 w3 w4 w5 w6 w7 w8", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"
+    rows = rows_of([a, b, *[f"x{i // 2} y{i // 2} z{i // 2}" for i in range(40)], c, *[f"alone{i}" for i in range(9)]])
+    made, counts, plain = spark.sparkContext.accumulator(0), [], merge.replayed
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(ingest, "APART", 20)
+    monkeypatch.setattr(merge, "replayed", lambda rows, *more: counts.append(rows.count()) or plain(rows, *more))
+    df = spark.createDataFrame(rows)
+    got = ingest.fold(df.mapInArrow(counted, df.schema)).collect()
+    assert sorted((r.content, r.seq, r.merged) for r in got) == brute_fold(rows)
+    assert counts == [42, 3]
+    # once for the sizes of namespaces, once for all that follows
+    assert made.value == 2 * len(rows)
